@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import table
 from gristmill.llm.mixing import mix
+from gristmill.llm.pii import find_pii
 from gristmill.llm.quality_classifier import classify
 from gristmill.llm.quality_rules import apply_rules
 from gristmill.llm.secret_scan import scan
 from gristmill.llm.sharding import shard
+from gristmill.llm.simhash import near_duplicates
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +32,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select(
         "doc_id", "lang", "quality_bits", "quality_limit", F.col("quality_kept").alias("kept"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op7_quality_classifier, op10_sharding]
+    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
     return {f.__name__: f for f in listed}
 
 
