@@ -15,6 +15,7 @@ from gristmill.llm.quality_rules import apply_rules
 from gristmill.llm.secret_scan import scan
 from gristmill.llm.sharding import shard
 from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.substring_dedup import remove_repeats
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
+    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op5_substring_dedup, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
     return {f.__name__: f for f in listed}
 
 
