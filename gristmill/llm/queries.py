@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import table
+from gristmill.llm.lm_scoring import score_documents
 from gristmill.llm.mixing import mix
 from gristmill.llm.pii import find_pii
 from gristmill.llm.quality_classifier import classify
@@ -33,6 +34,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op5_substring_dedup, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
+    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
     return {f.__name__: f for f in listed}
 
 
