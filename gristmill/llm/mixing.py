@@ -79,7 +79,7 @@ def target_weights(counts: Mapping[str, int], weights: Mapping[str, float] | Non
     return {k: min(rate[k], least * max_epochs) * n for k, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 64,
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 16,
         period: int = PERIOD, max_epochs: float = MAX_EPOCHS, seed: int = 42,
         tie_breakers: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The rows of ``docs`` as a stream that follows target weights by source.

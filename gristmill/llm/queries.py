@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import table
+from gristmill.llm.decontamination import contaminations
 from gristmill.llm.lm_scoring import score_documents
 from gristmill.llm.mixing import mix
 from gristmill.llm.pii import find_pii
@@ -56,12 +57,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_simhash, op7_quality_classifier, op8_pii, op10_sharding]
+    listed = [op1_mixing, op2_secret_scan, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_simhash, op7_quality_classifier, op8_pii, op9_decontamination,
+              op10_sharding]
     return {f.__name__: f for f in listed}
 
 

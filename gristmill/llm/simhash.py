@@ -48,15 +48,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each row of ``docs`` (doc_id, text); null texts have no words."""
+    """doc_id, fp (fingerprint as a signed long) and text_hash of each row of ``docs`` (doc_id, text); null texts have no words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(x.as_py() or "") for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, fields(doc_id=kind, fp="long"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(hashed, fields(doc_id=kind, fp="long", text_hash="long"))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -74,10 +75,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of ``docs`` (doc_id, text).
+    """doc_id, fingerprint (16 hexadecimal digits), component_id, component and text_hash of each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links of at most two bits reach,
-    the row's own included. Texts without words share the fingerprint 0 and link
+    the row's own included; component (the smallest fingerprint, as a long)
+    tells groups apart where doc_ids repeat. Texts without words share the fingerprint 0 and link
     like others. A null doc_id is never a component's smallest unless there is
     no other, and then component_id is null. Repeated rows each get their row;
     an empty table gives none.
@@ -89,7 +91,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     # pre-aggregated by fingerprint; the hot component has one row for each of its tasks in the shuffle
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = least.join(smallest, "component").select("fp", "component_id")
+    known = least.join(smallest, "component").select("fp", "component_id", "component")
     # one row for each fingerprint on the right, so Spark may split a fingerprint with many copies on the left
     return marked.join(known, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "text_hash")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, all columns of ``docs``: the one with the smallest doc_id.
+
+    Of equal doc_ids the smallest hash of the text stays, and of rows equal in
+    both any one; a null doc_id stays only where a group has no other.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("text_hash"))
+    kept = near_duplicates(docs).groupBy("component").agg(F.min(rank).alias("first")).select(
+        F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.last").alias("_null"),
+        F.col("first.text_hash").alias("_hash"))
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
+    key = ["_id", "_null", "_hash"]
+    return keyed.join(kept.distinct(), key, "left_semi").dropDuplicates(key).drop(*key)
