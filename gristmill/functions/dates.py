@@ -20,7 +20,7 @@ def parse_date(c: Column | str) -> Column:
     tries = [F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")))]
     short = F.when(text.rlike("^[0-9]{2}[-./]"), F.concat(
         F.when(F.substring(text, 1, 2) >= "69", "19").otherwise("20"), text))
-    for form in (text, short):
+    for form in (F.when(text.rlike("^[0-9]{4}"), text), short):
         tries += [F.try_to_timestamp(form, F.lit(day + time)) for day in DAYS for time in TIMES]
     return F.coalesce(*tries)
 

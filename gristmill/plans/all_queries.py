@@ -1,3 +1,4 @@
 """Importing this registers every query of the library."""
 
-from gristmill.plans import url_queries  # noqa: F401
+from gristmill.plans import catalog_queries, page_queries, text_queries, url_queries  # noqa: F401
+from gristmill.plans import stream_queries  # noqa: F401, I001  (after the batch queries, whose SQL it shares)
