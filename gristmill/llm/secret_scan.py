@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-MIN_VALUE = 12
 
 #: Weak parts; each is reported only next to a part that completes it.
 WEAK = {
     "endpoint": r"(?i:https?|jdbc:[a-z]{1,20}|postgres|mysql|redis|amqp|mongodb)://[A-Za-z0-9._~:@/?%&=+-]{4,}",
     "identifier": r"(?i:(?:access_?key_?id|client_?id|account_?id|user(?:_?name)?|login))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,}",
-    "bare_key": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
+    "bare_key": r"[A-Za-z0-9+/=_-]{40,}",
 }
+#: What the value of a match must be; for assignments that is the text after the sign.
+VALUES = {"assign": r"^.{12,}$", "bare_key": r"^[A-Za-z0-9+/]{40}$"}
+BARE_KEY_HAS = ["[0-9]", "[A-Z]"]
 BLANK_LINE = r"\n[\x20\t\r]*\n"
 #: Kinds in the order in which equal starts are listed; a break only separates scopes.
 KINDS = ["assign", "access", "hex", *WEAK]
@@ -37,19 +39,26 @@ COMPLETED_BY = {"endpoint": SECRET, "identifier": SECRET, "bare_key": ADDRESS}
 LINK_GAP = 200
 
 
-def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
-    """array<struct<gap, size, value>>: code points before, in and in a group of each match."""
+def _matches(text: Column, pattern: str, group: int | None = None, kind: str = "") -> Column:
+    """array<struct<gap, size, ok>>: code points before and in each match, and whether its value (or group) will do."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
+
+    def will_do(value: Column) -> Column:
+        ok = value.rlike(VALUES[kind]) if kind in VALUES else F.lit(True)
+        for has in BARE_KEY_HAS if kind == "bare_key" else ():
+            ok = ok & value.rlike(has)
+        return ok
+
     sizes = F.transform(parts, lambda x: F.struct(
-        F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), F.length(x["value"]).alias("value")))
+        F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), will_do(x["value"]).alias("ok")))
     return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(sizes, lambda x: x["size"].isNotNull()))
 
 
 def _numbered(kind: str) -> Column:
     """The matches of a kind with the kind and their numbers; none for null."""
-    parts = F.coalesce(F.col(kind), F.array().cast("array<struct<gap:int,size:int,value:int>>"))
+    parts = F.coalesce(F.col(kind), F.array().cast("array<struct<gap:int,size:int,ok:boolean>>"))
     return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x.alias("m")))
 
 
@@ -68,9 +77,9 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select(
         "doc_id", F.xxhash64("text").alias("_h1"), F.crc32(F.col("text").cast("binary")).alias("_h2"), "text",
-        _matches(F.col("text"), ASSIGN, 2).alias("assign"), _matches(F.col("text"), ACCESS).alias("access"),
+        _matches(F.col("text"), ASSIGN, 2, "assign").alias("assign"), _matches(F.col("text"), ACCESS).alias("access"),
         _matches(F.col("text"), HEX).alias("hex"),
-        *[_matches(F.col("text"), pattern).alias(kind) for kind, pattern in WEAK.items()])
+        *[_matches(F.col("text"), pattern, kind=kind).alias(kind) for kind, pattern in WEAK.items()])
     # breaks matter only where a weak part may link
     weak = F.coalesce(*WEAK)
     rows = rows.withColumn("break", F.when(weak.isNotNull(), _matches(F.col("text"), BLANK_LINE)))
@@ -80,12 +89,12 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.groupBy(*key).agg(F.first("parts").alias("parts"), F.count(F.lit(1)).alias("copies"))
     parts = rows.select(*key, "copies", F.explode_outer("parts").alias("p")).select(
         *key, "copies", F.col("p.kind").alias("kind"), F.col("p.number").alias("number"),
-        F.col("p.m.gap").alias("gap"), F.col("p.m.size").alias("size"), F.col("p.m.value").alias("value"))
+        F.col("p.m.gap").alias("gap"), F.col("p.m.size").alias("size"), F.col("p.m.ok").alias("ok"))
     so_far = W.partitionBy(*key, "kind").orderBy("number").rowsBetween(W.unboundedPreceding, 0)
     parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
-    # a short value fails its match; the row stays, as it may be the only one of its document
+    # a match whose value won't do is none; the row stays, as it may be the only one of its document
     parts = parts.withColumn("start", F.col("end") - F.col("size")).withColumn(
-        "kind", F.when((F.col("kind") != "assign") | (F.col("value") >= MIN_VALUE), F.col("kind")))
+        "kind", F.when(F.col("ok"), F.col("kind")))
     order = W.partitionBy(*key).orderBy("start", "end", "kind")
     parts = parts.withColumn("scope", F.sum(F.when(F.col("kind") == "break", 1).otherwise(0)).over(
         order.rowsBetween(W.unboundedPreceding, 0)))
