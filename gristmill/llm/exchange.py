@@ -9,31 +9,88 @@ not one for each occurrence. Groups and buckets are sized by the text's bytes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a group on average; a bucket holds the keys of as much.
-GROUP_BYTES = 12 << 20
-#: Words whose hashes a worker keeps.
-CACHED_WORDS = 400_000
+GROUP_BYTES = 8 << 20
+#: Bytes that are hashed at once.
+PIECE = 1 << 20
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered."""
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit keys (the splitmix64 finalizer)."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHED_WORDS:
-            self[word] = value
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: What a byte and its place in a word are worth; white space is worth nothing.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = np.where(SPACES, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(20)))
+PLACES = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _hashed_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it starts): a sum of byte values times place values, mixed."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = ~SPACES[codes]
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    starts = starts.astype(np.int32)
+    place = np.arange(len(codes), dtype=np.int32)
+    place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, np.int32(len(codes)))))
+    worth = BYTES[codes]
+    if place.max() <= 0xFFFF:
+        worth *= PLACES[place]
+    else:  # very long words
+        worth *= PLACES[place & 0xFFFF] * PLACES[(place >> 16) + 1 & 0xFFFF]
+    return mixed(np.add.reduceat(worth, starts)), starts
+
+
+def hash_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts, in order; number of words of each text)."""
+    hashes, sizes = [np.zeros(0, np.uint64)], []
+    held: list[bytes] = []
+
+    def flush() -> None:
+        if held:
+            found, starts = _hashed_piece(b"\n".join(held))
+            ends = np.cumsum([len(x) + 1 for x in held])
+            sizes.extend(np.diff(np.searchsorted(starts, ends), prepend=0).tolist())
+            hashes.append(found)
+            held.clear()
+
+    total = 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if total + len(data) > PIECE:
+            flush()
+            total = 0
+        if len(data) <= PIECE:
+            held.append(data)
+            total += len(data)
+            continue
+        number = at = 0
+        while at < len(data):  # a long text is cut at white space
+            end = at + PIECE
+            if end < len(data) and (following := re.compile(rb"[\x09-\x0d\x20]").search(data, end)):
+                end = following.start()
+            elif end < len(data):
+                end = len(data)
+            found, _ = _hashed_piece(data[at:end])
+            hashes.append(found)
+            number += len(found)
+            at = end
+        sizes.append(number)
+    flush()
+    return np.concatenate(hashes), np.array(sizes, np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,24 +98,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def mixed(keys: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit keys (the splitmix64 finalizer)."""
-    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return keys ^ (keys >> np.uint64(31))
-
-
 def parts_for(docs: DataFrame) -> int:
     """Number of groups, and of buckets, for the text of ``docs``; odd, as ids are dealt by remainder."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(4, size // GROUP_BYTES) | 1
 
 
+def packed_counts(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: one for each below 255, and those from 255 on in full behind them."""
+    large = counts >= 255
+    return np.concatenate([np.minimum(counts, 255).astype(np.uint8), counts[large].astype("<u8").view(np.uint8)])
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that ``packed_counts`` has packed."""
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
+    return counts
+
+
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys in their order) for each bucket that has keys."""
-    bucket = (keys % np.uint64(n)).astype(np.uint32)
+    bucket = (keys % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)  # sixteen bits sort in one pass
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    edges = runs(bucket[order])
     for at, places in zip(edges, np.split(order, edges[1:]), strict=True) if len(keys) else ():
         yield int(bucket[order[at]]), places
 

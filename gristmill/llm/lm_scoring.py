@@ -9,15 +9,13 @@ document sums the logarithms of its words' scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import checkpointed
-from gristmill.llm.exchange import WordHashes, answered, asked, by_bucket, mixed, parts_for, runs, words_of
+from gristmill.llm.exchange import answered, asked, by_bucket, hash_words, mixed, packed_counts, parts_for, runs, unpacked_counts
 
 #: The longest n-gram and the factor for each step back.
 ORDER, ALPHA = 2, 0.4
@@ -50,13 +48,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
     n = parts_for(docs)
     grouped = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text")
 
-    def hashed(rows: pd.DataFrame) -> Iterator[np.ndarray]:
-        cache = WordHashes()
-        for text in rows["text"]:
-            yield cache.of(words_of(text))
+    def hashed(rows: pd.DataFrame) -> list[np.ndarray]:
+        words, sizes = hash_words(rows["text"])
+        return np.split(words, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def counted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of all orders of a group, sorted, with their counts."""
+        """Distinct n-grams of all orders of a group with their counts."""
         keys = np.concatenate([np.zeros(0, np.uint64), *(ngrams(h, k) for h in hashed(rows) for k in range(1, order + 1))])
         keys.sort()
         at = runs(keys)
@@ -64,27 +61,39 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
 
     def totals(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """For each question the counts of its keys over all groups."""
-        by_key = np.argsort(keys, kind="stable")
+        by_key = np.argsort(keys)
         at = runs(keys[by_key])
         sums = np.add.reduceat(counts[by_key].astype(np.uint64), at) if len(at) else np.zeros(0, np.uint64)
         total = np.zeros(len(keys), np.uint64)
         total[by_key] = np.repeat(sums, np.diff(np.append(at, len(keys))))
-        return [total[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return [packed_counts(total[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def scored(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        keys, _ = counted(rows)
-        total = np.zeros(len(keys), np.int64)
+        words = hashed(rows)
+        grams = [ngrams(h, k) for h in words for k in range(1, order + 1)]
+        sizes = np.array([len(x) for x in grams], np.int64)
+        document = np.repeat(np.arange(len(grams)) // order, sizes)
+        keys = np.concatenate([np.zeros(0, np.uint64), *grams])
+        by_key = np.argsort(keys, kind="stable")  # equal keys stay in the order of their documents
+        key_order, document = keys[by_key], document[by_key]
+        at = runs(key_order)
+        distinct = key_order[at]
+        total = np.zeros(len(distinct), np.int64)
         answers = dict(zip(told["bucket"], told["told"], strict=True))
-        for bucket, places in by_bucket(keys, n):
-            total[places] = np.frombuffer(answers[bucket], np.uint64)
+        for bucket, places in by_bucket(distinct, n):
+            total[places] = unpacked_counts(answers[bucket], len(places))
+        # occurrences of a key in one document lie together
+        changes = np.ones(len(keys), bool)
+        changes[1:] = (key_order[1:] != key_order[:-1]) | (document[1:] != document[:-1])
+        own_at = np.flatnonzero(changes)
+        own = np.repeat(np.diff(np.append(own_at, len(keys))), np.diff(np.append(own_at, len(keys))))
+        elsewhere = np.zeros(len(keys), np.int64)
+        elsewhere[by_key] = np.repeat(total, np.diff(np.append(at, len(keys)))) - own
+        parts = np.split(elsewhere, np.cumsum(sizes)[:-1]) if len(grams) else []
         out = []
-        for doc_id, hashes in zip(rows["doc_id"], hashed(rows), strict=True):
+        for number, (doc_id, hashes) in enumerate(zip(rows["doc_id"], words, strict=True)):
             size = len(hashes)
-            others = []
-            for k in range(1, order + 1):
-                distinct, inverse, own = np.unique(ngrams(hashes, k), return_inverse=True, return_counts=True)
-                at = np.searchsorted(keys, distinct)
-                others.append((total[at] - own)[inverse] if len(distinct) else np.zeros(0, np.int64))
+            others = parts[number * order:(number + 1) * order]
             # from single words upwards; a longer n-gram takes over where it occurs elsewhere
             single = others[0]
             value = np.where(single > 0, np.log(np.maximum(single, 0.5)), np.log(0.5 * alpha))

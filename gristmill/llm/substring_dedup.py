@@ -9,14 +9,12 @@ windows go. Windows that go and overlap or touch are one removal interval.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.exchange import WordHashes, answered, asked, mixed, parts_for, runs, words_of
+from gristmill.llm.exchange import answered, asked, hash_words, mixed, parts_for, runs, words_of
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,25 +59,26 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     grouped = docs.select((F.pmod(ident, F.lit(n))).cast("int").alias("g"), ident.alias("id"), "text")
 
-    def windows(rows: pd.DataFrame, cache: WordHashes) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        for ident, text in zip(rows["id"], rows["text"], strict=True):
-            words = words_of(text)
-            yield ident, words, window_hashes(cache.of(words), size)
+    def windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each window, its document's id, where each document's windows end) of a group."""
+        words, sizes = hash_words(rows["text"])
+        ends = np.cumsum(sizes)
+        whole = np.arange(len(words) - size + 1) + size <= np.repeat(ends, sizes)[:max(0, len(words) - size + 1)]
+        found = np.maximum(sizes - size + 1, 0)
+        return window_hashes(words, size)[whole], np.repeat(rows["id"].to_numpy(np.int64), found), np.cumsum(found)
 
     def least_ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct window of a group, and the smallest id that has it, in the order of its first place."""
-        cache, keys, ids = WordHashes(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for ident, _, found in windows(rows.sort_values("id"), cache):
-            keys.append(found)
-            ids.append(np.full(len(found), ident, np.int64))
-        key, ident = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(key, kind="stable")  # ids rise, so the first of equal keys has the smallest
-        first = np.sort(order[runs(key[order])])  # in the documents' order, where ids compress well
-        return key[first], ident[first]
+        keys, ids, _ = windows(rows.sort_values("id"))
+        order = np.argsort(keys)
+        at = runs(keys[order])
+        # ids rise with the place, so the first place has the smallest; in that order ids compress well
+        first = np.sort(np.minimum.reduceat(order, at)) if len(at) else order
+        return keys[first], ids[first]
 
     def repeated(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """For each question its keys that another group has with a smaller id."""
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         at = runs(keys[order])
         least = np.minimum.reduceat(ids[order], at) if len(at) else ids
         smaller = np.zeros(len(keys), bool)
@@ -88,20 +87,24 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
 
     def removed(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         elsewhere = np.sort(np.frombuffer(b"".join(told["told"]), np.uint64))
-        known, least = least_ids(rows)
-        order = np.argsort(known)
-        known, least = known[order], least[order]
+        keys, ids, ends = windows(rows)
+        order = np.argsort(keys)
+        at = runs(keys[order])
+        gone_windows = np.zeros(len(keys), bool)
+        if len(at):
+            times = np.diff(np.append(at, len(keys)))
+            least = np.minimum.reduceat(ids[order], at)
+            known = keys[order[at]]
+            place = np.minimum(np.searchsorted(elsewhere, known), max(0, len(elsewhere) - 1))
+            before = elsewhere[place] == known if len(elsewhere) else np.zeros(len(known), bool)
+            gone_windows[order] = (ids[order] > np.repeat(least, times)) | np.repeat(before, times)
         out = []
-        for (ident, words, found), doc_id in zip(windows(rows, WordHashes()), rows["id"], strict=True):
+        for doc_id, text, a, b in zip(rows["id"], rows["text"], np.append(0, ends[:-1]), ends, strict=True):
+            words = words_of(text)
             gone = np.zeros(len(words), bool)
-            spans: list[tuple[int, int]] = []
-            if len(found):
-                own = least[np.searchsorted(known, found)] < ident
-                if len(elsewhere):
-                    own |= elsewhere[np.minimum(np.searchsorted(elsewhere, found), len(elsewhere) - 1)] == found
-                spans = intervals(np.flatnonzero(own), size)
-                for a, b in spans:
-                    gone[a:b] = True
+            spans = intervals(np.flatnonzero(gone_windows[a:b]), size)
+            for first, after in spans:
+                gone[first:after] = True
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
             out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
                         ",".join(f"{a}:{b}" for a, b in spans), kept.decode("utf-8", "replace") if with_text else None))
