@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def filled(c: Column | str, other: Column | str) -> Column:
     return F.when(is_blank(c), as_column(other)).otherwise(as_column(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def select_existing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Those of ``columns`` that ``df`` has."""
     return df.select(*[c for c in columns if c in df.columns])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.columns import as_column
 
-#: Day orders and times of day that a date may be written in.
-DAYS = ["y-M-d", "y.M.d", "y/M/d", "y년 M월 d일"]
-TIMES = ["", " H:m", " H:m:s", "'T'H:m", "'T'H:m:s", " H시 m분", " H시 m분 s초"]
+#: A day with one separator throughout, or with Korean units, and a time of day.
+WRITTEN = r"^([0-9]{2}|[0-9]{4})([-./])([0-9]{1,2})\2([0-9]{1,2})(?:[ T]([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?)?$"
+KOREAN = r"^([0-9]{4})(년) ([0-9]{1,2})월 ([0-9]{1,2})일(?: ([0-9]{1,2})시 ([0-9]{1,2})분(?: ([0-9]{1,2})초)?)?$"
 FULL_DATE = r"((?:19|20)[0-9]{2})\s*[-./년]\s*([0-9]{1,2})\s*[-./월]\s*([0-9]{1,2})"
 
 
@@ -17,12 +17,14 @@ def parse_date(c: Column | str) -> Column:
     """A timestamp: eight digits as a day first, then the written forms; two-digit years from 1969 to 2068."""
     text = F.trim(as_column(c))
     digits = F.regexp_replace(text, "[^0-9]", "")
-    tries = [F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")))]
-    short = F.when(text.rlike("^[0-9]{2}[-./]"), F.concat(
-        F.when(F.substring(text, 1, 2) >= "69", "19").otherwise("20"), text))
-    for form in (F.when(text.rlike("^[0-9]{4}"), text), short):
-        tries += [F.try_to_timestamp(form, F.lit(day + time)) for day in DAYS for time in TIMES]
-    return F.coalesce(*tries)
+
+    def read(form: str) -> Column:
+        part = lambda k: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, form, k), F.lit("")), F.lit("9999")).cast("int"), F.lit(0))
+        year = part(1)
+        full = F.when(F.length(F.regexp_extract(text, form, 1)) == 2, year + F.when(year >= 69, 1900).otherwise(2000)).otherwise(year)
+        return F.when(text.rlike(form), F.try_make_timestamp(full, part(3), part(4), part(5), part(6), part(7).cast("decimal(8,6)")))
+
+    return F.coalesce(F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd"))), read(WRITTEN), read(KOREAN))
 
 
 def latest_date(c: Column | str, now: Column) -> Column:

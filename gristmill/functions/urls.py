@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.columns import as_column, contains_any
+from gristmill.functions.columns import as_column, contains_any, let
 
 # Query keys that don't identify a page.
 CRAWL_PAGE_KEYS = [
@@ -92,7 +92,7 @@ def absolute(url: Column | str) -> Column:
 
 def _decoded(text: Column, plus_is_space: bool) -> Column:
     safe = text if plus_is_space else F.replace(text, F.lit("+"), F.lit("%2B"))
-    return F.coalesce(F.try_url_decode(safe), text)
+    return F.when(text.rlike("[%+]"), F.coalesce(F.try_url_decode(safe), text)).otherwise(text)
 
 
 def _encoded(text: Column, slash: bool, space: str) -> Column:
@@ -126,31 +126,35 @@ def joined_pairs(pairs: Column) -> Column:
 
 
 def _assembled(url: Column, path_text: Column, pairs: Column) -> Column:
-    q = joined_pairs(pairs)
-    return F.concat(scheme(url), F.lit("://"), bare_host(url), path_text, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    q = let(joined_pairs(pairs), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(scheme(url), F.lit("://"), bare_host(url), path_text, q)
 
 
 def canonical_crawl_url(url: Column | str) -> Column:
     """Key of a page for a crawl: lower case, resolved path, lasting parameters in order, no fragment."""
-    full = absolute(url)
     drop = [*CRAWL_PAGE_KEYS, *TRACKING_KEYS, *CRAWL_VOLATILE_KEYS]
-    place = _encoded(resolved_path(F.lower(_decoded(path(full), False))), True, "%20")
-    pairs = F.filter(query_pairs(full, lower_values=True), lambda p: ~p["key"].startswith("utm_") & ~p["key"].isin(drop))
-    made = _assembled(full, place, F.array_sort(pairs))
-    return F.when(full == "", "").otherwise(F.regexp_replace(made, "/+$", ""))
+
+    def key(full: Column) -> Column:
+        place = _encoded(resolved_path(F.lower(_decoded(path(full), False))), True, "%20")
+        pairs = F.filter(query_pairs(full, lower_values=True), lambda p: ~p["key"].startswith("utm_") & ~p["key"].isin(drop))
+        return F.when(full == "", "").otherwise(F.regexp_replace(_assembled(full, place, F.array_sort(pairs)), "/+$", ""))
+
+    return let(absolute(url), key)
 
 
 def canonical_dedup_url(url: Column | str) -> Column:
     """Key of a document: path and value case kept, page and search parameters dropped, repeated pairs once."""
-    full = absolute(url)
     drop = [*DEDUP_PAGE_KEYS, *TRACKING_KEYS, *DEDUP_VOLATILE_KEYS]
 
     def lasting(p: Column) -> Column:
         plain = F.regexp_replace(p["key"], "^q_", "")
         return ~p["key"].startswith("utm_") & ~plain.isin(drop) & (~plain.startswith("search") | plain.isin(PRIMARY_KEYS))
 
-    pairs = F.array_sort(F.array_distinct(F.filter(query_pairs(full), lasting)))
-    return F.when(full == "", "").otherwise(_assembled(full, _encoded(resolved_path(_decoded(path(full), False)), True, "%20"), pairs))
+    def key(full: Column) -> Column:
+        pairs = F.array_sort(F.array_distinct(F.filter(query_pairs(full), lasting)))
+        return F.when(full == "", "").otherwise(_assembled(full, _encoded(resolved_path(_decoded(path(full), False)), True, "%20"), pairs))
+
+    return let(absolute(url), key)
 
 
 def without_scheme(key: Column | str) -> Column:
@@ -171,7 +175,11 @@ def normalized_url(url: Column | str) -> Column:
 
 def structure_key(url: Column | str) -> Column:
     """What pages of one kind share: numeric path segments as {num}, parameter names only."""
-    key = canonical_crawl_url(url)
+    return let(canonical_crawl_url(url), structure_of)
+
+
+def structure_of(key: Column) -> Column:
+    """The structure of a crawl key."""
     place = F.array_join(F.transform(F.filter(F.split(path(key), "/"), lambda s: s != ""),
                                      lambda s: F.when(s.rlike("^[0-9]+$"), "{num}").otherwise(s)), "/")
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(query_pairs(key), lambda p: p["key"]))), "&")

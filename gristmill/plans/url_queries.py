@@ -65,7 +65,8 @@ _STRUCTURE = f"""regexp_replace(lower(regexp_extract(url, '^([a-zA-Z]+)://', 1))
     select {_STRUCTURE} as structure, count(*) as n, min(page_id) as first_page, contains({_STRUCTURE}, '{{num}}') as has_variable
     from k group by 1""")
 def url_structure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = pages(spark, sf_dir).select("page_id", U.structure_key("url").alias("structure"))
+    keyed = pages(spark, sf_dir).select("page_id", U.canonical_crawl_url("url").alias("key"))
+    keyed = keyed.select("page_id", U.structure_of(F.col("key")).alias("structure"))
     return keyed.groupBy("structure").agg(
         F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).withColumn(
         "has_variable", F.col("structure").contains("{num}"))
