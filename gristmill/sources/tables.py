@@ -71,3 +71,9 @@ def appended_stage(old: DataFrame, new: DataFrame) -> DataFrame:
     rows = old.withColumn("_part", F.lit(0)).unionByName(new.withColumn("_part", F.lit(1)))
     names = [c for c in old.columns if c != "url"]
     return rows.groupBy("url").agg(F.min_by(F.struct(*names), F.struct("_part", "ord")).alias("r")).select("url", "r.*")
+
+
+def limited(df: DataFrame, key: str, n: int, most: int) -> DataFrame:
+    """The first rows by key, ``n`` of them but at least one and at most ``most``, with truncated: whether there are more."""
+    n = max(1, min(n, most))
+    return df.orderBy(key).limit(n).withColumn("truncated", F.lit(df.limit(n + 1).count() > n))
