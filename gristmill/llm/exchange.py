@@ -1,6 +1,6 @@
 """Questions about hashed keys: documents ask in groups, buckets of keys answer.
 
-Documents are dealt into groups by a column ``g``. Each group sends its distinct
+Documents are dealt into groups by a hash. Each group sends its distinct
 keys, once each, to the buckets that hold them; each bucket sees all that is
 asked about its keys and answers every group. Keys travel as arrays, a row for
 each group and bucket, so a common key costs a row's share for each group and
@@ -14,11 +14,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a group on average; a bucket holds the keys of as much.
 GROUP_BYTES = 8 << 20
+#: A null doc_id is larger than any other.
+NO_ID = (1 << 63) - 1
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
 
@@ -54,7 +57,7 @@ def _hashed_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(worth, starts)), starts
 
 
-def hash_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words of all texts, in order; number of words of each text)."""
     hashes, sizes = [np.zeros(0, np.uint64)], []
     held: list[bytes] = []
@@ -68,8 +71,7 @@ def hash_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
             held.clear()
 
     total = 0
-    for text in texts:
-        data = (text or "").encode("utf-8", "surrogatepass")
+    for data in texts:
         if total + len(data) > PIECE:
             flush()
             total = 0
@@ -93,15 +95,48 @@ def hash_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.array(sizes, np.int64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of characters other than space and U+0009 to U+000D, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def parts_for(docs: DataFrame) -> int:
-    """Number of groups, and of buckets, for the text of ``docs``; odd, as ids are dealt by remainder."""
+    """Number of groups, and of buckets, for the text of ``docs``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4, size // GROUP_BYTES) | 1
+    return max(5, size // GROUP_BYTES)
+
+
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(g, ids, sizes, texts): the rows of ``docs`` (doc_id, text) in packed blocks, dealt to groups by a hash of both.
+
+    Words are parted by ASCII alone, so texts stay UTF-8 from here on; null
+    texts are empty and null ids ``NO_ID``. Blocks are compressed, as the
+    groups' shuffle is the only one that moves the text.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            ids, texts = batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
+            order = np.argsort(group, kind="stable")
+            blocks = []
+            for places in np.split(order, runs(group[order])[1:]) if len(order) else ():
+                own = [texts[k] or b"" for k in places]
+                blocks.append((group[places[0]], ids[places].tobytes(), np.array([len(x) for x in own], np.int64).tobytes(),
+                               pa.compress(b"".join(own), "zstd", asbytes=True)))
+            columns = list(zip(*blocks, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)],
+                                             ["g", "ids", "sizes", "texts"])
+
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
+    return rows.mapInArrow(pack, "g int, ids binary, sizes binary, texts binary")
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """(ids, texts) of the blocks of a group."""
+    ids, texts = [np.zeros(0, np.int64)], []
+    for block in rows.itertuples(index=False):
+        sizes = np.frombuffer(block.sizes, np.int64)
+        data = pa.decompress(block.texts, int(sizes.sum()), "zstd", asbytes=True) if sizes.sum() else b""
+        ends = np.cumsum(sizes)
+        ids.append(np.frombuffer(block.ids, np.int64))
+        texts += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return np.concatenate(ids), texts
 
 
 def packed_counts(counts: np.ndarray) -> np.ndarray:

@@ -14,12 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.exchange import answered, asked, hash_words, mixed, parts_for, runs, words_of
+from gristmill.llm.exchange import NO_ID, answered, asked, dealt, hash_words, mixed, parts_for, runs, unpacked
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: A null doc_id is larger than any other.
-NO_ID = (1 << 63) - 1
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -56,20 +54,21 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
     ignored. Two windows that differ share a hash with a chance of 2**-64.
     """
     n = parts_for(docs)
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    grouped = docs.select((F.pmod(ident, F.lit(n))).cast("int").alias("g"), ident.alias("id"), "text")
+    grouped = dealt(docs, n)
 
-    def windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each window, its document's id, where each document's windows end) of a group."""
-        words, sizes = hash_words(rows["text"])
+    def windows(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each window, its document's id, where each document's windows end)."""
+        words, sizes = hash_words(texts)
         ends = np.cumsum(sizes)
         whole = np.arange(len(words) - size + 1) + size <= np.repeat(ends, sizes)[:max(0, len(words) - size + 1)]
         found = np.maximum(sizes - size + 1, 0)
-        return window_hashes(words, size)[whole], np.repeat(rows["id"].to_numpy(np.int64), found), np.cumsum(found)
+        return window_hashes(words, size)[whole], np.repeat(ids, found), np.cumsum(found)
 
     def least_ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct window of a group, and the smallest id that has it, in the order of its first place."""
-        keys, ids, _ = windows(rows.sort_values("id"))
+        ids, texts = unpacked(rows)
+        by_id = np.argsort(ids, kind="stable")
+        keys, ids, _ = windows(ids[by_id], [texts[k] for k in by_id])
         order = np.argsort(keys)
         at = runs(keys[order])
         # ids rise with the place, so the first place has the smallest; in that order ids compress well
@@ -87,7 +86,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
 
     def removed(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         elsewhere = np.sort(np.frombuffer(b"".join(told["told"]), np.uint64))
-        keys, ids, ends = windows(rows)
+        doc_ids, texts = unpacked(rows)
+        keys, ids, ends = windows(doc_ids, texts)
         order = np.argsort(keys)
         at = runs(keys[order])
         gone_windows = np.zeros(len(keys), bool)
@@ -99,8 +99,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
             before = elsewhere[place] == known if len(elsewhere) else np.zeros(len(known), bool)
             gone_windows[order] = (ids[order] > np.repeat(least, times)) | np.repeat(before, times)
         out = []
-        for doc_id, text, a, b in zip(rows["id"], rows["text"], np.append(0, ends[:-1]), ends, strict=True):
-            words = words_of(text)
+        for doc_id, text, a, b in zip(doc_ids.tolist(), texts, np.append(0, ends[:-1]), ends, strict=True):
+            words = text.split()
             gone = np.zeros(len(words), bool)
             spans = intervals(np.flatnonzero(gone_windows[a:b]), size)
             for first, after in spans:

@@ -235,10 +235,10 @@ def test_backoff_odd_rows(odd_docs, no_docs):
 
 def test_word_hashes():
     long = "x" * 70_000
-    texts = ["", None, "a b  a", long + " a", long + "y", "b\na"]
+    texts = [t.encode() for t in ("", " \n", "a b  a", long + " a", long + "y", "b\na", "word " * 300_000)]
     whole, sizes = exchange.hash_words(texts)
-    flat = [w for t in texts for w in exchange.words_of(t)]
-    assert sizes.tolist() == [0, 0, 3, 2, 1, 2]
+    flat = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [0, 0, 3, 2, 1, 2, 300_000]
     assert len({*zip(flat, whole.tolist(), strict=True)}) == len(set(flat)) == len(set(whole.tolist()))
     counts = np.array([1, 254, 255, 256, 1 << 40])
     assert exchange.unpacked_counts(exchange.packed_counts(counts).tobytes(), 5).tolist() == counts.tolist()
