@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import checkpointed
 from gristmill.llm.ranking import ROWS_PER_BUCKET, hex_digits, ranked, shuffle_key
 
 
@@ -31,8 +32,9 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    total = docs.count()
-    rows = rows.withColumn("key", shuffle_key(seed, "doc_id", "text_crc32"))
+    # the texts are read once; all further passes are over these few bytes a row
+    rows = checkpointed(rows.withColumn("key", shuffle_key(seed, "doc_id", "text_crc32")))
+    total = rows.count()
     rows = ranked(rows, ["source"], F.substring("key", 1, hex_digits(total)), ["key", "doc_id", "size"], "rank")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     placed = rows.join(sizes, "source").withColumn(
