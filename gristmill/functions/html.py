@@ -18,6 +18,9 @@ MAIN = ("article", "main")
 #: What a place is worth as a title, before the length and words are judged.
 TITLE_WEIGHTS = {"og:title": 40, "meta": 30, "h1": 35, "h2": 15, "title": 25}
 GENERIC_TITLES = {"home", "index", "untitled", "main", "notice", "board", "list", "view"}
+#: Elements that name a value, and those that hold it.
+LABELS, CELLS = {"th", "dt"}, {"td", "dd"}
+TRAILS = {"breadcrumb", "location", "breadcrumbs"}
 DATE = re.compile(r"20[0-9]{2}[-./년]\s*[0-9]{1,2}[-./월]\s*[0-9]{1,2}")
 
 
@@ -36,6 +39,13 @@ class Page(HTMLParser):
         self.held_title: list[str] | None = None
         self.links: list[tuple[str, str]] = []
         self.anchor: tuple[str, list[str]] | None = None
+        self.label = ""
+        self.cell: tuple[bool, list[str]] | None = None  # whether it is a label, and its texts
+        self.pairs: list[tuple[str, str]] = []
+        self.trail: list[str] = []
+        self.in_trail = 0
+        self.row: tuple[list[str], list[tuple[str, str]]] | None = None  # texts and links of a list entry
+        self.entries: list[tuple[str, str, str]] = []
         self.feed(html)
         self.close()
         self._end_block()
@@ -47,9 +57,30 @@ class Page(HTMLParser):
 
     def _end_anchor(self) -> None:
         if self.anchor:
-            self.links.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
+            link = (self.anchor[0], " ".join("".join(self.anchor[1]).split()))
+            self.links.append(link)
+            if self.in_trail and link[1]:
+                self.trail.append(link[1])
+            if self.row:
+                self.row[1].append(link)
         self.anchor = None
 
+    def _end_cell(self) -> None:
+        if self.cell:
+            text = " ".join("".join(self.cell[1]).split())
+            if self.cell[0]:
+                self.label = text.rstrip(" :：")
+            elif self.label:
+                self.pairs.append((self.label, text))
+                self.label = ""
+        self.cell = None
+
+    def _end_row(self) -> None:
+        if self.row and self.row[1]:
+            href, title = self.row[1][0]
+            self.entries.append((href, title, " ".join(" ".join(self.row[0]).split())))
+        self.row = None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
         if tag == "meta" and a.get("content"):
@@ -61,7 +92,16 @@ class Page(HTMLParser):
             self.anchor = (a["href"].strip(), [])
         if tag in VOID:
             return
-        noisy = tag in DROPPED or any(c in NOISE_CLASSES for c in (a.get("class") or "").lower().split())
+        classes = set((a.get("class") or "").lower().split())
+        if classes & TRAILS or self.in_trail:
+            self.in_trail += 1
+        if tag in LABELS | CELLS:
+            self._end_cell()
+            self.cell = (tag in LABELS, [])
+        if tag in ("tr", "li") and not self.hidden:
+            self._end_row()
+            self.row = ([], [])
+        noisy = tag in DROPPED or bool(classes & set(NOISE_CLASSES))
         self.stack.append(tag + "!" * noisy)
         self.hidden += noisy
         self.main += tag in MAIN
@@ -79,9 +119,14 @@ class Page(HTMLParser):
             self.held_title = None
         if tag in BLOCKS:
             self._end_block()
+        if tag in LABELS | CELLS:
+            self._end_cell()
+        if tag in ("tr", "li"):
+            self._end_row()
         if any(x.rstrip("!") == tag for x in self.stack):
             while self.stack:  # tags that were left open end here
                 top = self.stack.pop()
+                self.in_trail = max(0, self.in_trail - 1)
                 self.hidden -= top.endswith("!")
                 self.main -= top.rstrip("!") in MAIN
                 if top.rstrip("!") == tag:
@@ -92,6 +137,10 @@ class Page(HTMLParser):
             self.held_title.append(data)
         if self.anchor:
             self.anchor[1].append(data)
+        if self.cell:
+            self.cell[1].append(data)
+        if self.row:
+            self.row[0].append(data)
         if self.hidden or (self.stack and self.stack[-1] == "title"):
             return
         self.all_text.append(data)
@@ -118,6 +167,11 @@ class Page(HTMLParser):
                 best[flat] = (text, place, score)
         return sorted(best.values(), key=lambda x: (-x[2], x[0]))[:20]
 
+    def posts(self, base: str) -> list[tuple[str, str, str]]:
+        """(url, title, date) of list entries that have a link and a date."""
+        found = [(href, title, DATE.search(text)) for href, title, text in self.entries]
+        return [(urljoin(base, href), title, date[0]) for href, title, date in found if date and title]
+
     def absolute_links(self, base: str) -> list[tuple[str, str]]:
         """Links to other pages with their texts."""
         return [(urljoin(base, href), text) for href, text in self.links

@@ -296,3 +296,11 @@ def dedup_keys(url: Column | str) -> Column:
     keyed = F.filter(query_pairs(url), lambda p: p["key"].isin(PRIMARY_KEYS))
     named = F.transform(keyed, lambda p: F.concat(host(url), F.lit("|"), p["key"], F.lit("="), p["value"]))
     return F.array_distinct(F.concat(F.array(canonical_dedup_url(url), tokens(url)), named))
+
+
+def parent_board(url: Column | str) -> Column:
+    """The list that an article's URL belongs to: list for view in the path, without the keys of the article."""
+    place = F.regexp_replace(path(url), r"(?i)(view|read|detail)(\.(?:do|jsp|asp|php))$", "list$2")
+    kept = F.filter(query_pairs(url), lambda p: ~p["key"].isin([*PRIMARY_KEYS, *DEDUP_PAGE_KEYS]) | p["key"].isin("bbsid", "boardid"))
+    q = let(joined_pairs(kept), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(scheme(url), F.lit("://"), host(url), place, q)

@@ -95,3 +95,49 @@ def site_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
         level = edges.join(level, edges.parent == level.node).select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"))
         found = found.union(level)
     return found.groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detail page with labelled values and a list page for each order, as (page_id, url, html)."""
+    date = F.date_format(F.add_months("o_orderdate", 240), "yyyy.MM.dd")  # lists are read for dates of this century
+    detail = F.concat(F.lit('<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/b">Board '), F.col("o_orderstatus"),
+                      F.lit('</a></div><h2>T</h2><table><tr><th>Author :</th><td>c'), F.col("o_custkey"), F.lit("</td><th>Date</th><td>"), date,
+                      F.lit('</td></tr></table><ul><li><a href="view.do?id='), F.col("o_orderkey"), F.lit('">Post '), F.col("o_orderkey"),
+                      F.lit("</a> <span>"), date, F.lit('</span></li><li><a href="/none">No date</a></li></ul>'))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://a.kr/bbs/list.do").alias("url"), detail.alias("html"))
+
+
+@query("page_labelled_pairs", """
+    select o_orderkey as page_id, 'Author' as label, 'c' || o_custkey::varchar as value from orders union all select o_orderkey, 'Date', strftime(o_orderdate + interval 20 years, '%Y.%m.%d') from orders""")
+def page_labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a detail page with their labels."""
+    return H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, *p) for p in H.Page(h).pairs], "page_id long, label string, value string")
+
+
+@query("page_post_dates", "select o_orderkey as page_id, (o_orderdate + interval 20 years)::date as day from orders")
+def page_post_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of a post by its label."""
+    from gristmill.functions.dates import parse_date
+
+    dated = page_labelled_pairs(spark, sf_dir).where(F.lower("label").rlike("^(date|작성일|등록일|게시일)$"))
+    return dated.groupBy("page_id").agg(F.min(parse_date("value").cast("date")).alias("day"))
+
+
+@query("board_posts", """
+    select o_orderkey as page_id, 'https://a.kr/bbs/view.do?id=' || o_orderkey::varchar as url, 'Post ' || o_orderkey::varchar as title, strftime(o_orderdate + interval 20 years, '%Y.%m.%d') as date from orders""")
+def board_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of list pages that have a link and a date."""
+    return H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, *p) for p in H.Page(h).posts(u)], "page_id long, url string, title string, date string")
+
+
+@query("page_breadcrumbs", "select 'Home > Board ' || o_orderstatus as trail, count(*) as n from orders group by 1")
+def page_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trails = H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, " > ".join(H.Page(h).trail))], "page_id long, trail string")
+    return trails.groupBy("trail").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("parent_board_urls", "select o_orderkey, 'https://a.kr/bbs/list.do?bbsid=B' || o_custkey::varchar as parent from orders")
+def parent_board_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list that each article belongs to."""
+    url = F.concat(F.lit("https://a.kr/bbs/view.do?page=2&nttId="), F.col("o_orderkey"), F.lit("&bbsId=B"), F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", U.parent_board(url).alias("parent"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 ENCODINGS = ["utf-8-sig", "utf-8", "cp949", "euc-kr", "utf-16", "utf-16-le", "utf-16-be", "latin-1"]
 #: Where the text of an office file is: members of the archive and the tag that ends a line.
 OFFICE = {
-    "docx": (r"word/document\.xml$", "p"),
     "pptx": (r"ppt/slides/slide[0-9]+\.xml$", "p"),
     "xlsx": (r"xl/sharedStrings\.xml$", "si"),
     "hwpx": (r"Contents/section[0-9]+\.xml$", "p"),
@@ -49,6 +48,29 @@ def office_text(data: bytes, kind: str) -> str:
     return "\n".join(out)
 
 
+def markdown_table(rows: list[list[str]]) -> str:
+    """A table as Markdown, its first row as head; short rows are filled up."""
+    width = max(map(len, rows), default=0)
+    filled = [[c.replace("|", "\\|").replace("\n", " ") for c in r] + [""] * (width - len(r)) for r in rows]
+    lines = ["| " + " | ".join(r) + " |" for r in filled]
+    return "\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if width else ""
+
+
+def document_text(data: bytes) -> str:
+    """Text of a DOCX file: paragraphs as lines, tables as Markdown."""
+    name = lambda e: e.tag.rpartition("}")[2]
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        root = ElementTree.fromstring(archive.read("word/document.xml"))
+    body = next((e for e in root.iter() if name(e) == "body"), root)
+    out: list[str] = []
+    for element in body:
+        if name(element) == "tbl":
+            out.append(markdown_table([["".join(c.itertext()).strip() for c in r if name(c) == "tc"] for r in element if name(r) == "tr"]))
+        elif text := "".join(element.itertext()).strip():
+            out.append(text)
+    return "\n".join(out)
+
+
 def created_date(data: bytes) -> str | None:
     """The creation time that an office file carries."""
     try:
@@ -63,12 +85,14 @@ def plain_text(name: str, data: bytes) -> tuple[str | None, str | None, str | No
     """(text, created, error) of a file by its extension."""
     kind = name.rpartition(".")[2].lower()
     try:
+        if kind == "docx":
+            return document_text(data), created_date(data), None
         if kind in OFFICE:
             return office_text(data, kind), created_date(data), None
         if kind in ("txt", "csv", "md", "log", "html", "htm", "json", "xml"):
             return decoded(data)[0], None, None
         return None, None, f"no reader for {kind}"
-    except (zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
         return None, None, str(e)[:200]
 
 

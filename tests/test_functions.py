@@ -131,14 +131,14 @@ def test_guards():
 def test_files(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:p><w:t>Hello</w:t></w:p><w:p><w:t>there</w:t></w:p></w:d>')
+        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:body><w:p><w:t>Hello</w:t></w:p><w:tbl><w:tr><w:tc><w:t>a</w:t></w:tc><w:tc><w:t>b|c</w:t></w:tc></w:tr><w:tr><w:tc><w:t>1</w:t></w:tc></w:tr></w:tbl></w:body></w:d>')
         z.writestr("docProps/core.xml", '<c><dcterms:created xsi:type="x">2024-01-02T03:04:05Z</dcterms:created></c>')
     (tmp_path / "a.docx").write_bytes(data.getvalue())
     (tmp_path / "b.txt").write_bytes("안녕하세요".encode("cp949"))
     (tmp_path / "c.docx").write_bytes(b"broken")
     (tmp_path / "d.pdf").write_bytes(b"%PDF")
     got = {r["path"].rpartition("/")[2]: r for r in files.read_texts(spark, str(tmp_path)).collect()}
-    assert got["a.docx"]["text"] == "Hello\nthere" and got["a.docx"]["created"] == "2024-01-02T03:04:05Z"
+    assert got["a.docx"]["text"] == "Hello\n| a | b\\|c |\n| --- | --- |\n| 1 |  |" and got["a.docx"]["created"] == "2024-01-02T03:04:05Z"
     assert got["b.txt"]["text"] == "안녕하세요"
     assert got["c.docx"]["error"] and got["d.pdf"]["error"]
     lines = tmp_path / "x.jsonl"
