@@ -10,7 +10,7 @@ shuffle, for the same reason.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -137,24 +137,6 @@ def fit(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[order_of], value[order_of]
 
 
-def log2_table(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """log2 probability of every packed n-gram, from the sorted arrays of a model."""
-
-    def part(number: int, size: int, default: float) -> np.ndarray:
-        low, high = np.searchsorted(keys, [number << 20, number + 1 << 20])
-        out = np.full(size, default)
-        out[keys[low:high] - (number << 20)] = values[low:high]
-        return out
-
-    p = np.full(1, 1.0 / CLASSES)
-    for order in range(1, ORDER + 1):
-        size = CLASSES**order
-        own, weight = part(order, size, np.nan), part(7 + order, size // CLASSES, 1.0)
-        backed = np.repeat(weight, CLASSES) * np.resize(p, size)  # the lower order repeats under each first symbol
-        p = np.where(np.isnan(own), backed, own)
-    return np.log2(p).astype(np.float32)
-
-
 def fit_models(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Models by name from (lang, code, n); at most ``MAX_LANGUAGES`` + 1 of at most 2.1 million numbers each."""
     counts = checkpointed(counts)
@@ -176,6 +158,30 @@ def fit_models(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return models
 
 
+def probability(codes: np.ndarray, find: Callable[[np.ndarray, float], np.ndarray]) -> np.ndarray:
+    """Interpolated probability of packed n-grams; ``find`` gives the values of keys, or a default."""
+    p = np.full(len(codes), 1.0 / CLASSES)
+    for order in range(1, ORDER + 1):
+        gram = codes & (CLASSES**order - 1)  # the last symbols
+        own, weight = find((order << 20) + gram, np.nan), find((7 + order << 20) + (gram >> BITS), 1.0)
+        p = np.where(np.isnan(own), weight * p, own)
+    return p
+
+
+def found_in(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """Values of wanted keys in sorted arrays."""
+    if not len(keys):
+        return np.full(len(wanted), default)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], default)
+
+
+def log2_table(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """log2 probability of every packed n-gram, from the sorted arrays of a model."""
+    every = np.arange(SIZE, dtype=np.int32)
+    return np.log2(probability(every, lambda wanted, default: found_in(keys, values, wanted, default))).astype(np.float32)
+
+
 class Scorer:
     """Sums of log2 probabilities under models by language; made once in each Python worker."""
 
