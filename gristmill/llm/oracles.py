@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gristmill.llm.mixing import MAX_EPOCHS, PERIOD, TEMPERATURE
 from gristmill.llm.secret_scan import ACCESS, ASSIGN, BLANK_LINE, COMPLETED_BY, HEX, KINDS, LINK_GAP, WEAK
 from gristmill.llm.substring_dedup import WINDOW
 
@@ -56,3 +57,45 @@ def substring_dedup_sql() -> str:
       where not exists (select 1 from gone g where g.rid = w.rid and g.p = w.p) group by rid)
     select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256, coalesce(said, '') as removed
     from d left join removed r on d.rid = r.rid left join kept k on d.rid = k.rid"""
+
+
+def sharding_sql(n_shards: int = 40, seed: int = 42) -> str:
+    """The shards with plain windows; CRC-32 byte by byte, by a table that its polynomial gives."""
+    return f"""
+    with t as (select list(c order by i) as crc from (select i, list_reduce(list_concat([i], range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    d as (select doc_id, coalesce(source::varchar, '') as source, regexp_extract_all(hex(coalesce(text, '')), '..') as h from documents),
+    b as (select doc_id, source, len(h) as n_bytes,
+      [16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1 for x in h] as bytes from d),
+    c as (select doc_id, source, n_bytes + 16 as size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) as text_crc32 from b, t),
+    k as (select *, md5('{seed}:' || coalesce(doc_id::varchar, '') || ':' || text_crc32::varchar) as key from c),
+    r as (select *, row_number() over (partition by source order by key, doc_id, size) - 1 as rank, count(*) over (partition by source) as n_source, count(*) over () as n from k),
+    p as (select *, row_number() over (order by (2 * rank + 1)::double / (2 * n_source), source, rank) - 1 as place from r),
+    s as (select *, (place * {n_shards}) // n as shard from p)
+    select doc_id, source, size, text_crc32, 'rows' as law, shard::int as shard, place - (shard * n + {n_shards - 1}) // {n_shards} as slot, null::int as grown_shard from s"""
+
+
+def mixing_sql(block_rows: int = 16, period: int = PERIOD, max_epochs: float = MAX_EPOCHS, seed: int = 42) -> str:
+    """The stream of the mixture, with the period's schedule worked out slot by slot."""
+    return f"""
+    with recursive c as (select coalesce(source, '') as s, count(*) as n from documents group by 1),
+    w as (select s, n, pow(n, {TEMPERATURE}) as w from c),
+    v as (select s, n, least(w / n, (select min(w / n) from w) * {max_epochs}) * n as w from w),
+    x as (select s, n, greatest(0.0, w / (select sum(w) from v) * {period} - 1) as x from v),
+    y as (select s, n, x * (({period} - (select count(*) from c)) / (select sum(x) from x)) as x from x),
+    r as (select s, n, 1 + floor(x)::bigint as c, row_number() over (order by floor(x) - x, s) as place from y),
+    shares as (select s, n, c + (place <= {period} - (select sum(c) from r))::bigint as c from r),
+    l as (select list(s order by s) as names, list(c order by s) as cs from shares),
+    e as (select -1 as slot, [1::bigint for c in cs] as js, 0::bigint as pick from l union all
+      select slot + 1, [case when i = p then js[i] + 1 else js[i] end for i in range(1, len(js) + 1)], p from (
+        select slot, js, list_min([struct_pack(d := (js[i] * {period} + cs[i] - 1) // cs[i], i := i) for i in range(1, len(js) + 1)
+          if js[i] <= cs[i] and ((js[i] - 1) * {period}) // cs[i] <= slot + 1]).i as p from e, l where slot < {period - 1})),
+    timed as (select slot, names[pick] as s, row_number() over (partition by pick order by slot) - 1 as q from e, l where slot >= 0),
+    length as (select max((((n - 1) // {block_rows}) // c) * {period} + slot) + 1 as stop from shares join timed using (s) where q = ((n - 1) // {block_rows}) % c),
+    taken as (select s, n, c, ((stop // {period}) * c + (select count(*) from timed t where t.s = shares.s and slot < stop % {period})) * {block_rows} as taken from shares, length),
+    d as (select doc_id, coalesce(source, '') as s, row_number() over (partition by coalesce(source, '') order by md5('{seed}:' || coalesce(doc_id::varchar, '')), doc_id) - 1 as rank from documents),
+    k as (select doc_id, s, n, c, rank, unnest(range(0, (taken - rank - 1) // n + 1)) as epoch from d join taken using (s)),
+    b as (select *, (rank + epoch * n) as k, (rank + epoch * n) // {block_rows} as block from k)
+    select doc_id, s as source, epoch, block, (block // c) * {period} + slot as slot, (block // c) * {period} + (q * {period}) // c as release,
+      (block // c) * {period} + ((q + 1) * {period} + c - 1) // c as deadline, ((block // c) * {period} + slot) * {block_rows} + k % {block_rows} as position
+    from b join timed using (s) where q = block % c"""

@@ -11,7 +11,7 @@ from gristmill.llm.common import table
 from gristmill.llm.decontamination import contaminations
 from gristmill.llm.lm_scoring import score_documents
 from gristmill.llm.mixing import mix
-from gristmill.llm.oracles import secret_scan_sql, substring_dedup_sql
+from gristmill.llm.oracles import mixing_sql, secret_scan_sql, sharding_sql, substring_dedup_sql
 from gristmill.llm.pii import find_pii
 from gristmill.llm.quality_classifier import classify
 from gristmill.llm.quality_rules import apply_rules
@@ -73,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan_sql(), "op5_substring_dedup": substring_dedup_sql()}
+    return {"op1_mixing": mixing_sql(), "op2_secret_scan": secret_scan_sql(), "op5_substring_dedup": substring_dedup_sql(),
+            "op10_sharding": sharding_sql()}
