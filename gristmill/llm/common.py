@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def like_string(column: str | Column) -> Column:
 def fields(**kinds: str) -> T.StructType:
     """A schema from name=ddl pairs, in order."""
     return T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+#: What this Python process has made for its tasks, by name; a few of the last.
+_MADE: dict[str, object] = {}
+
+
+def made_once(name: str, make: Callable[[], object]) -> object:
+    """``make()``, kept for later tasks of the same Python worker; names are unique for each use (see ``unique_name``)."""
+    if name not in _MADE:
+        while len(_MADE) >= 3:
+            _MADE.pop(next(iter(_MADE)))
+        _MADE[name] = make()
+    return _MADE[name]
+
+
+def unique_name() -> str:
+    return uuid.uuid4().hex

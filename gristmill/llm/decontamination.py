@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import fields
+from gristmill.llm.common import fields, made_once, unique_name
 
 Q = 12
 #: Characters of a segment, and edits as a share of them.
@@ -234,10 +234,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     covered="double", edits="long")
     rows = docs.select("doc_id", "text")
     for items in _blocks(benchmark):
-        shared = context.broadcast(items)  # a block of the benchmark, bounded by BLOCK_CHARS
+        shared, name = context.broadcast(items), unique_name()  # a block of the benchmark, bounded by BLOCK_CHARS
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = made_once(name, lambda: Index(shared.value))
             for batch in batches:
                 found = index.found(x.as_py() or "" for x in batch.column(1))
                 said = [(number, item, *f) for number, of in found.items() for item, f in of.items()]
@@ -256,10 +256,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found; see ``contaminations``."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
     for items in _blocks(benchmark):
-        shared = context.broadcast(items)  # a block of the benchmark, bounded by BLOCK_CHARS
+        shared, name = context.broadcast(items), unique_name()  # a block of the benchmark, bounded by BLOCK_CHARS
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = made_once(name, lambda: Index(shared.value))
             for batch in batches:
                 found = index.found(x.as_py() or "" for x in batch.column(at))
                 yield batch.filter(pa.array([number not in found for number in range(batch.num_rows)], pa.bool_()))
