@@ -96,9 +96,9 @@ def hash_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts_for(docs: DataFrame) -> int:
-    """Number of groups, and of buckets, for the text of ``docs``."""
+    """Number of groups, and of buckets, for the text of ``docs``: by its bytes, and one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(5, size // GROUP_BYTES)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES)
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:
