@@ -50,10 +50,9 @@ def _hashed_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(codes), dtype=np.int32)
     place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, np.int32(len(codes)))))
     worth = BYTES[codes]
-    if place.max() <= 0xFFFF:
-        worth *= PLACES[place]
-    else:  # very long words
-        worth *= PLACES[place & 0xFFFF] * PLACES[(place >> 16) + 1 & 0xFFFF]
+    worth *= PLACES[place & 0xFFFF]
+    far = np.flatnonzero(place > 0xFFFF)  # only in very long words, so that no other word's hash depends on them
+    worth[far] *= mixed((place[far] >> 16).astype(np.uint64) << np.uint64(32)) | np.uint64(1)
     return mixed(np.add.reduceat(worth, starts)), starts
 
 

@@ -244,6 +244,22 @@ def test_word_hashes():
     assert exchange.unpacked_counts(exchange.packed_counts(counts).tobytes(), 5).tolist() == counts.tolist()
 
 
+def test_a_word_hashes_alike_beside_a_very_long_one():
+    words = b"the same words as elsewhere"
+    alone = exchange.hash_words([words])[0].tolist()
+    for other in (b"x" * 70_000, "\u6f22".encode() * 30_000, b" " * 70_000 + b"y", b"z" * 200_000):
+        for texts in ([words, other], [other, words], [words + b" " + other], [other + b"\n" + words]):
+            found = exchange.hash_words(texts)[0].tolist()
+            assert found[:5] == alone or found[-5:] == alone
+    far = bytearray(b"x" * 200_000)
+    hashes = set()
+    for place in (1, 65_536, 65_537, 131_072, 131_074):
+        changed = far.copy()
+        changed[place] = ord("y")
+        hashes.add(int(exchange.hash_words([bytes(changed)])[0][0]))
+    assert len(hashes) == 5
+
+
 # -- 5 substrings
 
 
