@@ -97,16 +97,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "text_hash")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, all columns of ``docs``: the one with the smallest doc_id.
+def first_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row of each component of ``assigned`` (doc_id, text_hash, component), all columns of ``docs``: the one with the smallest doc_id.
 
     Of equal doc_ids the smallest hash of the text stays, and of rows equal in
     both any one; a null doc_id stays only where a group has no other.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("text_hash"))
-    kept = near_duplicates(docs).groupBy("component").agg(F.min(rank).alias("first")).select(
+    kept = assigned.groupBy("component").agg(F.min(rank).alias("first")).select(
         F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.last").alias("_null"),
         F.col("first.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
     key = ["_id", "_null", "_hash"]
     return keyed.join(kept.distinct(), key, "left_semi").dropDuplicates(key).drop(*key)
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates; see ``first_of_each``."""
+    return first_of_each(docs, near_duplicates(docs))

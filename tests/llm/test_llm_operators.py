@@ -21,6 +21,7 @@ from gristmill.llm.components import components
 from gristmill.llm.decontamination import contaminations, decontaminated
 from gristmill.llm.lm_scoring import score_documents
 from gristmill.llm.mixing import mix, period_schedule, shares_of, target_weights
+from gristmill.llm.near_copies import near_copies, without_near_copies
 from gristmill.llm.pii import find_pii
 from gristmill.llm.quality_classifier import classify
 from gristmill.llm.quality_rules import apply_rules
@@ -355,6 +356,48 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[k] for k in range(61)} == {0} and {got[1000 + k] for k in range(61)} == {1000}
 
 
+def brute_copies(rows, size=5, least=0.8):
+    """Sorted ids of each group of (id, text) rows that pairs of similar shingle sets join."""
+    sets = []
+    for _, text in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    parts = collections.defaultdict(list)
+    for (i, _), g in zip(rows, group, strict=True):
+        parts[g].append(i)
+    return sorted((sorted(p, key=lambda x: (x is None, x)) for p in parts.values()), key=repr)
+
+
+def test_near_copies_of_the_pipeline(spark, odd_docs, no_docs):
+    import corpus_pipeline as p
+
+    r, texts = random.Random(11), []
+    for k in range(12):
+        words = prose(500 + k, 200).split()
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4, 5, 8, 20):  # at 200 words, four changes leave about 0.8
+            copy = words.copy()
+            for place in r.sample(range(len(words)), changes):
+                copy[place] = f"new{place}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for rows in (docs, odd_docs):
+        parts = collections.defaultdict(list)
+        for x in near_copies(rows).collect():
+            parts[x["component"]].append(x["doc_id"])
+        want = brute_copies([tuple(x) for x in rows.select("doc_id", "text").collect()])
+        assert sorted((sorted(x, key=lambda i: (i is None, i)) for x in parts.values()), key=repr) == want
+    want = [part[0] for part in brute_copies(list(enumerate(texts)))]
+    assert 12 < len(want) < 60 and ids(p.near_dedup(spark, docs, "")) == sorted(want)
+    assert without_near_copies(odd_docs).columns == odd_docs.columns and near_copies(no_docs).count() == 0
+
+
 # -- 8 personal data
 
 
