@@ -18,7 +18,7 @@ from gristmill.llm.common import checkpointed
 from gristmill.llm.exchange import NO_ID, answered, asked, by_bucket, dealt, hash_words, mixed, packed_counts, parts_for, runs, unpacked, unpacked_counts
 
 #: The longest n-gram and the factor for each step back.
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -227,6 +227,15 @@ def test_backoff_scores(spark, small, order):
         assert got.loc[i, "log_score"] == pytest.approx(score, rel=1e-9, abs=1e-6) and got.loc[i, "n_backoff"] == backed
 
 
+def test_the_registered_scores_step_back_more_than_once(spark):
+    assert {r["doc_id"]: r["log_score"] for r in queries.op4_lm_scoring(spark, SMALL).collect()} == pytest.approx(
+        {r["doc_id"]: r["log_score"] for r in score_documents(table(spark, SMALL, "documents"), 3).collect()})
+    r = np.random.default_rng(5)
+    for keys in (r.integers(0, 1 << 64, 1000, np.uint64), np.zeros(0, np.uint64), np.array([(1 << 64) - 1, 0, 7], np.uint64)):
+        for some in (keys, np.sort(keys)):
+            assert exchange.unpacked_keys(exchange.packed_keys(some)).tolist() == some.tolist()
+
+
 def test_backoff_odd_rows(odd_docs, no_docs):
     assert score_documents(no_docs).count() == 0
     out = score_documents(odd_docs)
