@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm.mixing import MAX_EPOCHS, PERIOD, TEMPERATURE
+from gristmill.llm.mixing import MAX_EPOCHS, TEMPERATURE, UNITS
 from gristmill.llm.secret_scan import ACCESS, ASSIGN, BLANK_LINE, COMPLETED_BY, HEX, KINDS, LINK_GAP, WEAK
 from gristmill.llm.substring_dedup import WINDOW
 
@@ -75,27 +75,23 @@ def sharding_sql(n_shards: int = 40, seed: int = 42) -> str:
     select doc_id, source, size, text_crc32, 'rows' as law, shard::int as shard, place - (shard * n + {n_shards - 1}) // {n_shards} as slot, null::int as grown_shard from s"""
 
 
-def mixing_sql(block_rows: int = 16, period: int = PERIOD, max_epochs: float = MAX_EPOCHS, seed: int = 42) -> str:
-    """The stream of the mixture, with the period's schedule worked out slot by slot."""
+def mixing_sql(block_rows: int = 16, seed: int = 42) -> str:
+    """The stream of the mixture, its schedule worked out slot by slot from the first on."""
     return f"""
     with recursive c as (select coalesce(source, '') as s, count(*) as n from documents group by 1),
     w as (select s, n, pow(n, {TEMPERATURE}) as w from c),
-    v as (select s, n, least(w / n, (select min(w / n) from w) * {max_epochs}) * n as w from w),
-    x as (select s, n, greatest(0.0, w / (select sum(w) from v) * {period} - 1) as x from v),
-    y as (select s, n, x * (({period} - (select count(*) from c)) / (select sum(x) from x)) as x from x),
-    r as (select s, n, 1 + floor(x)::bigint as c, row_number() over (order by floor(x) - x, s) as place from y),
-    shares as (select s, n, c + (place <= {period} - (select sum(c) from r))::bigint as c from r),
-    l as (select list(s order by s) as names, list(c order by s) as cs from shares),
-    e as (select -1 as slot, [1::bigint for c in cs] as js, 0::bigint as pick from l union all
+    x as (select s, n, (floor(least(w / n, (select min(w / n) from w) * {MAX_EPOCHS}) * n * {UNITS}) + 1)::hugeint as w from w),
+    t as (select list(s order by s) as names, list(w order by s) as ws, sum(w)::hugeint as total,
+      max(((n + {block_rows - 1}) // {block_rows} * (select sum(w) from x) + w - 1) // w)::bigint as length from x),
+    e as (select -1::bigint as slot, [1::hugeint for x in ws] as js, 0::bigint as pick from t union all
       select slot + 1, [case when i = p then js[i] + 1 else js[i] end for i in range(1, len(js) + 1)], p from (
-        select slot, js, list_min([struct_pack(d := (js[i] * {period} + cs[i] - 1) // cs[i], i := i) for i in range(1, len(js) + 1)
-          if js[i] <= cs[i] and ((js[i] - 1) * {period}) // cs[i] <= slot + 1]).i as p from e, l where slot < {period - 1})),
-    timed as (select slot, names[pick] as s, row_number() over (partition by pick order by slot) - 1 as q from e, l where slot >= 0),
-    length as (select max((((n - 1) // {block_rows}) // c) * {period} + slot) + 1 as stop from shares join timed using (s) where q = ((n - 1) // {block_rows}) % c),
-    taken as (select s, n, c, ((stop // {period}) * c + (select count(*) from timed t where t.s = shares.s and slot < stop % {period})) * {block_rows} as taken from shares, length),
+        select slot, js, list_min([struct_pack(d := (js[i] * total + ws[i] - 1) // ws[i], i := i) for i in range(1, len(js) + 1)
+          if ((js[i] - 1) * total) // ws[i] <= slot + 1]).i as p from e, t where slot < length - 1)),
+    timed as (select slot, names[pick] as s, pick, row_number() over (partition by pick order by slot) - 1 as block from e, t where slot >= 0),
     d as (select doc_id, coalesce(source, '') as s, row_number() over (partition by coalesce(source, '') order by md5('{seed}:' || coalesce(doc_id::varchar, '')), doc_id) - 1 as rank from documents),
-    k as (select doc_id, s, n, c, rank, unnest(range(0, (taken - rank - 1) // n + 1)) as epoch from d join taken using (s)),
+    taken as (select s, n, w, (select count(*) from timed where timed.s = x.s) * {block_rows} as taken from x),
+    k as (select doc_id, s, n, w, rank, unnest(range(0, (taken - rank - 1) // n + 1)) as epoch from d join taken using (s)),
     b as (select *, (rank + epoch * n) as k, (rank + epoch * n) // {block_rows} as block from k)
-    select doc_id, s as source, epoch, block, (block // c) * {period} + slot as slot, (block // c) * {period} + (q * {period}) // c as release,
-      (block // c) * {period} + ((q + 1) * {period} + c - 1) // c as deadline, ((block // c) * {period} + slot) * {block_rows} + k % {block_rows} as position
-    from b join timed using (s) where q = block % c"""
+    select doc_id, s as source, epoch, block, slot, ((block::hugeint * total) // w)::bigint as release,
+      (((block + 1)::hugeint * total + w - 1) // w)::bigint as deadline, slot * {block_rows} + k % {block_rows} as position
+    from b join timed using (s, block), t"""

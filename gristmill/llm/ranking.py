@@ -30,19 +30,24 @@ def hex_digits(n_rows: int) -> int:
     return digits
 
 
-def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], rank: str) -> DataFrame:
-    """Add the long column ``rank``: 0-based place of each row in its group.
+def ranked_buckets(df: DataFrame, group: list[str], bucket: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, buckets) of a table that is ranked in its groups; groups may be of any size.
 
-    ``bucket`` must not decrease along ``order`` inside a group. Groups may be
-    of any size. Rows that are equal in ``order`` get consecutive ranks in any
-    order.
+    The rows get bucket and place (0-based, inside the bucket); a bucket's row
+    has its start, the rank of its first row in the group, and its size.
+    ``bucket`` must not decrease along ``order`` inside a group. Rows that are
+    equal in ``order`` get consecutive places in any order.
     """
-    held = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = held.withColumn("_row", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return (inside.join(starts, keys)
-            .withColumn(rank, F.col("_start") + F.col("_row") - 1)
-            .drop("_bucket", "_start", "_row"))
+    held = df.withColumn("bucket", bucket)
+    keys = [*group, "bucket"]
+    before = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return held.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1), starts
+
+
+def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], rank: str) -> DataFrame:
+    """Add the long column ``rank``: 0-based place of each row in its group; see ``ranked_buckets``."""
+    rows, starts = ranked_buckets(df, group, bucket, order)
+    return (rows.join(starts.drop("size"), [*group, "bucket"])
+            .withColumn(rank, F.col("start") + F.col("place")).drop("bucket", "start", "place"))
