@@ -1,202 +1,136 @@
-"""Character n-gram models with interpolated modified Kneser-Ney smoothing.
+"""n-gram models with interpolated modified Kneser-Ney smoothing, fitted by Spark.
 
-Texts are read as symbols of an alphabet of 32 classes, so an n-gram of four
-symbols packs into 20 bits. That is a collision-free hash with a proven bound:
-a model of one language has at most 32**4 n-grams whatever the corpus, so its
-sorted arrays may be broadcast. Counting adds up inside each task before the
-shuffle, for the same reason.
+Counts of the longest n-grams are a table; all lower orders count distinct left
+neighbours of the order above. Each order is joined with its contexts and with
+the order below, so a model is never in one task, whatever its size, and there
+is one for each language. An n-gram is a string or a hash, with its head (all
+but its last unit) and its tail (all but its first) beside it.
+
+A model is used as logarithms: of the probability of each n-gram that was seen,
+and of the weight that a context leaves to the next lower order.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, like_string
+from gristmill.llm.common import checkpointed
+from gristmill.llm.exchange import mixed
 
-BITS, ORDER = 5, 4
-CLASSES = 1 << BITS
-SIZE = CLASSES**ORDER
-#: Code points that are worked on at once in a task.
-PIECE = 1 << 20
-#: Languages with a model of their own, those with most symbols; all others share the model ``OTHER``.
-MAX_LANGUAGES, OTHER = 64, "other"
+#: What stands before a text; no character or word of a text is equal to it.
+START = "\t"
 
 
-def symbol(char: str) -> int:
-    """Class of a character: newline, other space, 26 letters, digit, capital, punctuation, other.
+def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
+    """The orders from the first on, as ``fit`` takes them, of n-grams of characters (lang, gram, n) of ``order``."""
+    def with_parts(level: DataFrame) -> DataFrame:
+        return level.select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("head"), F.expr("substring(gram, 2)").alias("tail"), "n")
 
-    Accents fall away; letters of other scripts share the 26 letter classes by code point.
-    """
-    kind = unicodedata.category(char)
-    if char == "\n":
-        return 0
-    if char.isspace():
-        return 1
-    if kind[0] == "N":
-        return 28
-    if kind in ("Lu", "Lt"):
-        return 29
-    if kind[0] in "LM":
-        base = unicodedata.normalize("NFKD", char)[0].lower()
-        return 2 + (ord(base) - 97 if "a" <= base <= "z" else ord(char) % 26)
-    return 30 if char in ".,;:'\"-()?!" else 31
-
-
-@lru_cache(1)
-def symbols() -> np.ndarray:
-    return np.array([31 if 0xD800 <= c < 0xE000 else symbol(chr(c)) for c in range(0x10000)] + [31], np.int32)
-
-
-def ngram_codes(texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the text, packed n-grams) in pieces; each symbol with the three before it, newlines before the first."""
-    table = symbols()
-    for number, text in enumerate(texts):
-        for at in range(0, len(text), PIECE):
-            piece = text[max(0, at - ORDER + 1): at + PIECE]
-            points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
-            s = table[np.minimum(points, 0x10000)]
-            if at == 0:
-                s = np.concatenate([np.zeros(ORDER - 1, np.int32), s])
-            yield number, (s[:-3] << 15) | (s[1:-2] << 10) | (s[2:-1] << 5) | s[3:]
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all texts of ``docs`` (lang, text)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, n in counts.items():
-                code = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code), pa.string()),
-                                                  "code": code.astype(np.int32), "n": n[code]})
-            counts.clear()
-
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), (x.as_py() or "" for x in batch.column(1))
-            for number, codes in ngram_codes(texts):
-                if langs[number] not in counts and len(counts) == 8:
-                    yield from flushed()
-                n = counts.setdefault(langs[number], np.zeros(SIZE, np.int64))
-                if len(codes) < SIZE // 16:
-                    found, times = np.unique(codes, return_counts=True)
-                    n[found] += times
-                else:
-                    n += np.bincount(codes, minlength=SIZE)
-        yield from flushed()
-
-    rows = docs.select(like_string("lang").alias("lang"), "text").mapInArrow(count, "lang string, code int, n long")
-    return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of counts 0, 1, 2 and 3 or more; bounded where counts of counts are missing."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y]
-    return np.array([0.0, *(min(max(d, 0.1), k) for k, d in enumerate(raw, 1))])
-
-
-def fit(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values of a model from the counts of all packed n-grams.
-
-    A key is order << 20 | n-gram for the probability of a seen n-gram, and
-    (8 + length) << 20 | context for the weight that a context leaves to the
-    next lower order. Orders below the highest count distinct left neighbours.
+    levels = [checkpointed(with_parts(counts))]
+    for _ in range(order - 1):
+        levels.insert(0, checkpointed(with_parts(levels[0].groupBy("lang", F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")))))
+    return levels
+
+
+def discounts(level: DataFrame, least: int) -> DataFrame:
+    """(lang, d1, d2, d3) of one order; counts below ``least`` are given up to the order below."""
+    n1, n2, n3, n4 = (F.sum((F.col("n") == k).cast("double")) for k in (1, 2, 3, 4))
+    found = level.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+
+    def discount(k: int, a: str, b: str) -> Column:
+        raw = F.when(F.col(a) > 0, k - (k + 1) * y * F.col(b) / F.col(a)).otherwise(k * y)
+        return F.lit(float(k)) if k < least else F.least(F.greatest(raw, F.lit(0.1)), F.lit(float(k)))
+
+    return found.select("lang", discount(1, "n1", "n2").alias("d1"), discount(2, "n2", "n3").alias("d2"), discount(3, "n3", "n4").alias("d3"))
+
+
+def fit(levels: list[DataFrame], empty: Column, least: int = 1) -> DataFrame:
+    """(lang, size, gram, p, below, left): the model of counts (lang, gram, head, tail, n) of each order, from the first on.
+
+    size is the number of units, p the logarithm (base 2) of the n-gram's
+    probability, below what it would be without the n-gram (the context's weight
+    times the probability at the order below), left that of the weight which the
+    n-gram leaves, as a context, to lower orders. p and below are null for what
+    is only a context, left for what is none. The n-gram ``empty`` is the context
+    of the first order, and its p the share of each unit and of one unknown.
+    ``least`` is the least count that n-grams of two units or more must have.
     """
-    levels = [counts.reshape((CLASSES,) * ORDER).astype(np.float64)]
-    while levels[0].ndim > 1:
-        levels.insert(0, (levels[0] > 0).sum(0).astype(np.float64))
-    lower = np.full((), 1.0 / CLASSES)
-    keys, values = [], []
-    for order, c in enumerate(levels, 1):
-        d = discounts(c)
-        level = np.minimum(c, 3).astype(np.int64)
-        total = c.sum(-1, keepdims=True)
-        left = d[level].sum(-1, keepdims=True)
-        weight = np.divide(left, total, out=np.ones_like(total), where=total > 0)
-        own = np.divide(np.maximum(c - d[level], 0), total, out=np.zeros_like(c), where=total > 0)
-        lower = own + weight * lower
-        seen = np.flatnonzero(c)
-        keys.append((order << 20) + seen)
-        values.append(lower.reshape(-1)[seen])
-        contexts = np.flatnonzero(total)
-        keys.append((7 + order << 20) + contexts)
-        values.append(weight.reshape(-1)[contexts])
-    key, value = np.concatenate(keys).astype(np.int64), np.concatenate(values)
-    order_of = np.argsort(key)
-    return key[order_of], value[order_of]
-
-
-def fit_models(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Models by name from (lang, code, n); at most ``MAX_LANGUAGES`` + 1 of at most 2.1 million numbers each."""
-    counts = checkpointed(counts)
-    large = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    names = [r["lang"] for r in large]
-    named = counts.select(F.when(F.col("lang").isin(names), F.col("lang")).otherwise(OTHER).alias("model"), "code", "n")
-
-    def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(SIZE, np.int64)
-        np.add.at(c, rows["code"].to_numpy(), rows["n"].to_numpy())
-        keys, values = fit(c)
-        return pd.DataFrame({"model": key[0], "key": keys, "value": values})
-
-    rows = named.groupBy("model").applyInPandas(fitted, "model string, key long, value double").toPandas()
-    models = {}
-    for name, part in rows.groupby("model"):
-        part = part.sort_values("key")
-        models[str(name)] = (part["key"].to_numpy().astype(np.int32), part["value"].to_numpy().astype(np.float32))
-    return models
-
-
-def probability(codes: np.ndarray, find: Callable[[np.ndarray, float], np.ndarray]) -> np.ndarray:
-    """Interpolated probability of packed n-grams; ``find`` gives the values of keys, or a default."""
-    p = np.full(len(codes), 1.0 / CLASSES)
-    for order in range(1, ORDER + 1):
-        gram = codes & (CLASSES**order - 1)  # the last symbols
-        own, weight = find((order << 20) + gram, np.nan), find((7 + order << 20) + (gram >> BITS), 1.0)
-        p = np.where(np.isnan(own), weight * p, own)
-    return p
-
-
-def found_in(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    """Values of wanted keys in sorted arrays."""
-    if not len(keys):
-        return np.full(len(wanted), default)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[place] == wanted, values[place], default)
-
-
-def log2_table(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """log2 probability of every packed n-gram, from the sorted arrays of a model."""
-    every = np.arange(SIZE, dtype=np.int32)
-    return np.log2(probability(every, lambda wanted, default: found_in(keys, values, wanted, default))).astype(np.float32)
-
-
-class Scorer:
-    """Sums of log2 probabilities under models by language; made once in each Python worker."""
-
-    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.models, self.tables = models, {}
-
-    def name(self, lang: str) -> str:
-        return lang if lang in self.models else OTHER
-
-    def log2(self, lang: str, text: str) -> float:
-        """log2 probability of a text; 5 bits a symbol where no model knows the language."""
-        name = self.name(lang)
-        if name not in self.models:
-            return -float(BITS * len(text))
-        if name not in self.tables:
-            self.tables[name] = log2_table(*self.models[name])
-        table = self.tables[name]
-        return float(sum(table[codes].sum(dtype=np.float64) for _, codes in ngram_codes([text])))
+    parts, needed = [], None
+    for size, level in reversed(list(enumerate(levels, 1))):
+        d, low = discounts(level, least if size > 1 else 1), least if size > 1 else 1
+        contexts = level.groupBy("lang", "head").agg(F.sum("n").alias("total"), *[
+            F.sum(x.cast("long")).alias(f"n{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))])
+        given_up = F.least(F.col("n1") * F.col("d1") + F.col("n2") * F.col("d2") + F.col("n3") * F.col("d3"), "total")
+        # a context that leaves all to the order below is as good as none
+        contexts = contexts.join(d, "lang").select("lang", "head", "total", F.log2(given_up / F.col("total")).alias("left")).where("left < 0")
+        kept = level
+        if low > 1:
+            # what is too rare has the weight of its context only; that is needed where it is the tail of what is kept
+            kept = level if needed is None else level.join(needed, ["lang", "gram"], "left")
+            kept = kept.where(F.col("n") >= low if needed is None else (F.col("n") >= low) | F.col("needed"))
+        given = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        kept = checkpointed(kept.join(d, "lang").join(contexts, ["lang", "head"], "left").select(
+            "lang", "gram", "tail", F.coalesce((F.col("n") - F.least(given, "n")) / F.col("total"), F.lit(0.0)).alias("own"), F.coalesce("left", F.lit(0.0)).alias("left")))
+        parts.insert(0, (size, kept, contexts.select("lang", F.col("head").alias("gram"), "left")))
+        needed = kept.select("lang", F.col("tail").alias("gram"), F.lit(True).alias("needed")).distinct()
+    lower = levels[0].groupBy("lang").agg((-F.log2(F.count(F.lit(1)) + 1.0)).alias("p")).select("lang", empty.alias("gram"), "p")
+    known, out = lower.withColumn("below", F.lit(None).cast("double")), None
+    for size, kept, weights in parts:
+        below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_below"))
+        weighted = F.col("left") + F.col("p_below")
+        p = checkpointed(kept.join(below, ["lang", "tail"]).select(
+            "lang", "gram", F.log2(F.col("own") + F.pow(F.lit(2.0), weighted)).alias("p"), weighted.alias("below")))
+        part = known.join(weights, ["lang", "gram"], "full").select("lang", F.lit(size - 1).alias("size"), "gram", "p", "below", "left")
+        out = part if out is None else out.union(part)
+        known, lower = p, p.select("lang", "gram", "p")
+    return out.union(known.select("lang", F.lit(len(levels)).alias("size"), "gram", "p", "below", F.lit(None).cast("double").alias("left")))
+
+
+# -- keys of n-grams
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What tells the keys of contexts from those of n-grams.
+CONTEXT = np.uint64(0xA0761D6478BD642F)
+
+
+def rolled(units: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n units that end at each place from the n-th on; ``units`` are 64-bit hashes."""
+    out = units[:max(0, len(units) - n + 1)].copy()
+    for k in range(1, n):
+        out *= BASE
+        out += units[k:len(units) - n + 1 + k]
+    return mixed(out + np.uint64(n))
+
+
+def text_hash(text: str) -> np.uint64:
+    """A 64-bit hash of a short text, by its code points."""
+    out = np.zeros(1, np.uint64)
+    for point in text:
+        out = mixed(out + BASE) + np.uint64(ord(point) + 1)
+    return mixed(out)[0]
+
+
+class HashArray:
+    """Sorted 64-bit keys with values; the leading bits of a key say where its run begins."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.values = np.append(values, np.float32(np.nan)).astype(np.float32)
+        bits = max(1, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, ~np.uint64(0))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of keys; nan where there is none."""
+        at = self.begins[(wanted >> self.shift).astype(np.int64)]
+        here = self.keys[at]
+        behind = np.flatnonzero(here < wanted)
+        while len(behind):
+            at[behind] += 1
+            here[behind] = self.keys[at[behind]]
+            behind = behind[here[behind] < wanted[behind]]
+        at[here != wanted] = len(self.keys) - 1
+        return self.values[at]

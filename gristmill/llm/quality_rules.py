@@ -1,31 +1,42 @@
 """Quality rules with an n-gram perplexity band (operator 3).
 
 Counting rules come first. Documents that pass them are held against a modified
-Kneser-Ney character model of their language, counted by Spark over all
-documents: a perplexity far below the language's usual range is boilerplate, far
-above it is noise. Both bounds are set from the quartiles of the language.
+Kneser-Ney model of the characters of their language, counted by Spark over all
+documents that pass the rules and are made of letters, each distinct text once.
+A perplexity far below the language's usual range is boilerplate, far above it
+is noise. Both bounds are set from the quartiles of the language.
+
+A model is stored in sorted hash arrays, cut by key into parts of bounded size.
+Each part is sent to the workers on its own, and a worker keeps a few of them,
+so a model may grow with the corpus, and there may be any number of languages.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import checkpointed, fields, like_string, made_once, unique_name
-from gristmill.llm.kneser_ney import Scorer, count_ngrams, fit_models
+from gristmill.llm.exchange import mixed
+from gristmill.llm.kneser_ney import CONTEXT, START, HashArray, char_levels, fit, rolled
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
+#: Characters of an n-gram.
+ORDER = 5
 #: A band reaches this many times the distance of the quartiles beyond them.
-REACH = 8.0
-#: Bits that a document may spend on names, addresses and numbers before it counts as too surprising.
-ALLOWANCE = 100.0
+REACH = 4.0
+#: Documents train the model if so many of a hundred characters at least are letters or spaces.
+LETTERS_PERCENT = 90
+#: Characters that are worked on at once, and n-grams in a part of a model.
+PIECE, PART = 1 << 20, 1 << 21
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -62,46 +73,217 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
             repeated_words(words))
 
 
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    """The base rules."""
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words
+
+
+# -- characters
+
+
+def code_points(text: str) -> np.ndarray:
+    """The code points of a text; the start mark cannot occur, as a tab is read as a space, nor can a zero."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(points == ord(START), 32, np.where(points == 0, 0xFFFD, points)).astype(np.uint32)
+
+
+def pieces(texts: Iterable[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of the texts, code points, where each one's begin): texts behind start marks, and cut where they are long."""
+    numbers, parts, total = [], [], 0
+    for number, text in enumerate(texts):
+        before = np.full(ORDER - 1, ord(START), np.uint32)
+        for at in range(0, len(text), PIECE):
+            points = np.concatenate([before, code_points(text[at:at + PIECE])])
+            before = points[1 - ORDER:]
+            numbers.append(number)
+            parts.append(points)
+            total += len(points)
+            if total >= PIECE:
+                yield numbers, np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+                numbers, parts, total = [], [], 0
+    if parts:
+        yield numbers, np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+
+
+def ends_of(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places of the characters that are no marks or repeated context."""
+    kept = np.ones(len(points), bool)
+    kept[(begins[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return np.flatnonzero(kept)
+
+
+def units(points: np.ndarray) -> np.ndarray:
+    return mixed((points.astype(np.uint64) + np.uint64(1)) << np.uint64(20))
+
+
+def trains(text: str) -> bool:
+    """Whether a text that passes the base rules is made of letters."""
+    return 100 * sum(map(str.isalpha, text)) + 100 * sum(map(text.count, SPACES)) >= LETTERS_PERCENT * len(text)
+
+
+def training_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text): each distinct text of each language once, of ``docs`` (lang, text)."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            kept = []
+            for number, (lang, text, h) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if text and (lang, h) not in seen:
+                    seen.add((lang, h))
+                    counts = text_counts(text)
+                    if not fails(counts[0], counts[4]) and trains(text):
+                        kept.append(number)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            yield batch.take(pa.array(new, pa.int64())).select([0, 1])
+
+    rows = docs.select(like_string("lang").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    # a task sends each text once, so a text with many copies is as many rows as there are tasks
+    return rows.mapInArrow(chosen, "lang string, text string, h long").repartition("lang", "h").mapInArrow(once, "lang string, text string")
+
+
+def count_chars(texts: DataFrame) -> DataFrame:
+    """(lang, gram, n) of all character n-grams of ``texts`` (lang, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, own in by_lang.items():
+                for _, points, begins in pieces(own):
+                    ends = ends_of(points, begins)
+                    _, first, n = np.unique(rolled(units(points), ORDER)[ends - ORDER + 1], return_index=True, return_counts=True)
+                    grams = np.ascontiguousarray(points[(ends[first] - ORDER + 1)[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "gram": pa.array(grams), "n": pa.array(n)})
+
+    return texts.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def packed(model: DataFrame, n_parts: int) -> DataFrame:
+    """(lang, part, keys, values): the sorted hash arrays of the model; a part has the keys with its leading bits."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, values = [], []
+        for size, own in rows.groupby("size"):
+            grams = np.array(own["gram"].tolist(), f"<U{max(1, size)}")
+            points = np.ascontiguousarray(grams).view("<u4").reshape(len(own), -1).astype(np.uint32)
+            h = rolled(units(points.ravel()), size)[::size] if size else mixed(np.zeros(len(own), np.uint64))
+            for column, extra in (("p", np.uint64(0)), ("left", CONTEXT)):
+                there = own[column].notna().to_numpy()
+                keys.append(h[there] ^ extra)
+                values.append(own[column].to_numpy()[there])
+        key, value = np.concatenate(keys), np.concatenate(values).astype(np.float32)
+        order = np.argsort(key)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "part": rows["part"].iloc[:1], "keys": [key[order].tobytes()], "values": [value[order].tobytes()]})
+
+    # dealt by the n-gram: its hash as an n-gram and as a context lie in different parts otherwise
+    held = model.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(n_parts)).cast("int"))
+    return held.groupBy("lang", "part").applyInPandas(pack, "lang string, part int, keys binary, values binary")
+
+
+class Models:
+    """Models of characters by language, from the parts that were sent."""
+
+    def __init__(self, name: str, sent: dict[str, list]):
+        self.name, self.sent = name, sent
+
+    def arrays(self, lang: str) -> Iterator[HashArray]:
+        for number, part in enumerate(self.sent[lang]):
+            yield made_once(f"{self.name} {lang} {number}", lambda part=part: HashArray(
+                np.frombuffer(part.value[0], np.uint64), np.frombuffer(part.value[1], np.float32)))
+
+    def find(self, lang: str, keys: np.ndarray) -> np.ndarray:
+        out = None
+        for array in self.arrays(lang):
+            found = array.find(keys)
+            out = found if out is None else np.where(np.isnan(out), found, out)
+        return out
+
+    def log2(self, lang: str, texts: list[str]) -> np.ndarray:
+        """log2 probability of each text; not a number where no model knows the language."""
+        out = np.full(len(texts), np.nan if lang not in self.sent else 0.0)
+        for numbers, points, begins in pieces(texts) if lang in self.sent else ():
+            p = self.characters(lang, points, begins)
+            np.add.at(out, numbers, np.add.reduceat(p, begins - (ORDER - 1) * np.arange(len(begins))))
+        return out
+
+    def characters(self, lang: str, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log2 probability of each character that is no mark."""
+        todo, hashes = ends_of(points, begins), units(points)
+        out, here = np.zeros(len(todo)), np.arange(len(todo))
+        for size in range(ORDER, 0, -1):
+            # the n-gram where it was seen; else the weight of its context, and the order below
+            found = self.find(lang, rolled(hashes, size)[todo[here] - size + 1])
+            missed = np.isnan(found)
+            out[here] += np.where(missed, 0.0, found)
+            here = here[missed]
+            if not len(here):
+                return out
+            contexts = rolled(hashes, size - 1)[todo[here] - size + 1] if size > 1 else mixed(np.zeros(1, np.uint64)).repeat(len(here))
+            weight = self.find(lang, contexts ^ CONTEXT)
+            out[here] += np.where(np.isnan(weight), 0.0, weight)
+        # an unknown character has the share of one of all known and one more
+        out[here] += self.find(lang, mixed(np.zeros(1, np.uint64)))[0]
+        return out
+
+
+def fitted(docs: DataFrame) -> dict[str, list]:
+    """The parts of the models of all languages of ``docs`` (lang, text), as broadcasts of at most about ``PART`` n-grams each."""
+    model = checkpointed(fit(char_levels(count_chars(training_texts(docs)), ORDER), F.lit("")))
+    most = model.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    context, sent = docs.sparkSession.sparkContext, {}
+    for row in packed(model, most // PART + 1).toLocalIterator():  # one part at a time on the driver
+        sent.setdefault(row["lang"], []).append(context.broadcast((bytes(row["keys"]), bytes(row["values"]))))
+    return sent
+
+
 def apply_rules(docs: DataFrame) -> DataFrame:
     """A verdict for each row of ``docs`` (doc_id, text, lang).
 
-    Returns doc_id, the counts of ``COUNTS``, model (the language or the shared
-    model), log2_perplexity (bits a symbol), lower, upper, base_failed and kept.
+    Returns doc_id, the counts of ``COUNTS``, lang, log2_perplexity (bits a
+    character), lower, upper, base_failed and kept.
 
     A null text has no words and fails the base rules; a null language is the
-    language ''. Bands come from the documents that pass the base rules; a
-    language without such documents has none, and there the base rules decide
-    alone. Repeated rows each get their verdict; an empty table gives no rows.
+    language ''. A tab is read as a space by the model. Bands come from the
+    documents that pass the base rules. A language in which no document could
+    train a model has no perplexities, and there the base rules decide alone.
+    Texts of any length are scored whole. Repeated rows each get their verdict;
+    an empty table gives no rows; other columns are ignored.
     """
-    models = fit_models(count_ngrams(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 32**4 n-grams for each of 65 models
-
-    name = unique_name()
+    name, sent = unique_name(), fitted(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = made_once(name, lambda: Scorer(shared.value))
+        models = Models(name, sent)
         for batch in batches:
-            rows = [(*text_counts(text), scorer.name(lang), scorer.log2(lang, text), len(text))
-                    for lang, text in zip(batch.column(1).to_pylist(), (x.as_py() or "" for x in batch.column(2)), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 8
+            langs, texts = batch.column(1).to_pylist(), [x or "" for x in batch.column(2).to_pylist()]
+            counts = [text_counts(text) for text in texts]
+            bits = np.full(len(texts), np.nan)
+            for lang in set(langs):
+                own = [k for k, x in enumerate(langs) if x == lang and texts[k] and not fails(counts[k][0], counts[k][4])]
+                bits[own] = -models.log2(lang, [texts[k] for k in own]) / [len(texts[k]) for k in own]
+            columns = list(zip(*counts, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string()),
-                 pa.array(columns[6], pa.float64()), pa.array(columns[7], pa.int64())],
-                ["doc_id", *COUNTS, "model", "log2_p", "n_chars"])
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), batch.column(1), pa.array(bits, pa.float64(), from_pandas=True)],
+                ["doc_id", *COUNTS, "lang", "log2_perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", like_string("lang").alias("lang"), "text")
     scored = checkpointed(rows.mapInArrow(score, fields(
-        doc_id=kind, **dict.fromkeys(COUNTS, "long"), model="string", log2_p="double", n_chars="long")))
-    scored = scored.withColumn("log2_perplexity", F.when(F.col("n_chars") > 0, -F.col("log2_p") / F.col("n_chars")))
+        doc_id=kind, **dict.fromkeys(COUNTS, "long"), lang="string", log2_perplexity="double")))
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    quartiles = scored.where("not base_failed").groupBy("model").agg(
+    quartiles = scored.where("not base_failed").groupBy("lang").agg(
         F.percentile_approx("log2_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    bands = quartiles.select("model", (low - REACH * (high - low)).alias("lower"), (high + REACH * (high - low)).alias("upper"))
-    judged = scored.join(F.broadcast(bands), "model", "left")  # a row for each model, 65 at most
-    inside = (F.col("log2_perplexity") >= F.col("lower")) & (
-        -F.col("log2_p") - ALLOWANCE <= F.col("upper") * F.col("n_chars"))
-    return judged.select("doc_id", *COUNTS, "model", "log2_perplexity", "lower", "upper", "base_failed",
+    bands = quartiles.select("lang", (low - REACH * (high - low)).alias("lower"), (high + REACH * (high - low)).alias("upper"))
+    judged = scored.join(bands, "lang", "left")  # a row for each language
+    inside = F.col("log2_perplexity").between(F.col("lower"), F.col("upper"))
+    return judged.select("doc_id", *COUNTS, "lang", "log2_perplexity", "lower", "upper", "base_failed",
                          (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))

@@ -13,7 +13,7 @@ from gristmill.llm.lm_scoring import score_documents
 from gristmill.llm.mixing import mix
 from gristmill.llm.oracles import mixing_sql, secret_scan_sql, sharding_sql, substring_dedup_sql
 from gristmill.llm.pii import find_pii
-from gristmill.llm.quality_classifier import classify
+from gristmill.llm.quality_classifier import verdicts, with_verdicts
 from gristmill.llm.quality_rules import apply_rules
 from gristmill.llm.secret_scan import scan
 from gristmill.llm.sharding import shard
@@ -49,9 +49,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return classify(docs, table(spark, sf_dir, "labels")).select(
-        "doc_id", "lang", "quality_bits", "quality_limit", F.col("quality_kept").alias("kept"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"))
+    return with_verdicts(rows, F.col("text_hash"), verdicts(docs, table(spark, sf_dir, "labels"))).select(
+        "doc_id", "lang", "quality_bits", "quality_least", "quality_limit", F.col("quality_kept").alias("kept"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
