@@ -3,8 +3,8 @@
 Counts of the longest n-grams are a table; all lower orders count distinct left
 neighbours of the order above. Each order is joined with its contexts and with
 the order below, so a model is never in one task, whatever its size, and there
-is one for each language. An n-gram is a string or a hash, with its head (all
-but its last unit) and its tail (all but its first) beside it.
+is one for each language. An n-gram has its head (all but its last unit) and its
+tail (all but its first) beside it.
 
 A model is used as logarithms: of the probability of each n-gram that was seen,
 and of the weight that a context leaves to the next lower order.
@@ -34,59 +34,45 @@ def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
     return levels
 
 
-def discounts(level: DataFrame, least: int) -> DataFrame:
-    """(lang, d1, d2, d3) of one order; counts below ``least`` are given up to the order below."""
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): what counts of 1, 2 and more of one order give up; bounded where counts of counts are missing."""
     n1, n2, n3, n4 = (F.sum((F.col("n") == k).cast("double")) for k in (1, 2, 3, 4))
     found = level.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
 
     def discount(k: int, a: str, b: str) -> Column:
         raw = F.when(F.col(a) > 0, k - (k + 1) * y * F.col(b) / F.col(a)).otherwise(k * y)
-        return F.lit(float(k)) if k < least else F.least(F.greatest(raw, F.lit(0.1)), F.lit(float(k)))
+        return F.least(F.greatest(raw, F.lit(0.1)), F.lit(float(k)))
 
     return found.select("lang", discount(1, "n1", "n2").alias("d1"), discount(2, "n2", "n3").alias("d2"), discount(3, "n3", "n4").alias("d3"))
 
 
-def fit(levels: list[DataFrame], empty: Column, least: int = 1) -> DataFrame:
-    """(lang, size, gram, p, below, left): the model of counts (lang, gram, head, tail, n) of each order, from the first on.
+def fit(levels: list[DataFrame]) -> DataFrame:
+    """(lang, size, gram, p, left): the model of counts (lang, gram, head, tail, n) of each order, from the first on.
 
     size is the number of units, p the logarithm (base 2) of the n-gram's
-    probability, below what it would be without the n-gram (the context's weight
-    times the probability at the order below), left that of the weight which the
-    n-gram leaves, as a context, to lower orders. p and below are null for what
-    is only a context, left for what is none. The n-gram ``empty`` is the context
-    of the first order, and its p the share of each unit and of one unknown.
-    ``least`` is the least count that n-grams of two units or more must have.
+    probability, left that of the weight which it leaves, as a context, to lower
+    orders. p is null for what is only a context, left for what is none or leaves
+    all. The empty n-gram is the context of the first order, and its p the share
+    of each unit and of one unknown.
     """
-    parts, needed = [], None
-    for size, level in reversed(list(enumerate(levels, 1))):
-        d, low = discounts(level, least if size > 1 else 1), least if size > 1 else 1
+    known = levels[0].groupBy("lang").agg((-F.log2(F.count(F.lit(1)) + 1.0)).alias("p")).select("lang", F.lit("").alias("gram"), "p")
+    out = None
+    for size, level in enumerate(levels, 1):
+        d = discounts(level)
         contexts = level.groupBy("lang", "head").agg(F.sum("n").alias("total"), *[
             F.sum(x.cast("long")).alias(f"n{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))])
         given_up = F.least(F.col("n1") * F.col("d1") + F.col("n2") * F.col("d2") + F.col("n3") * F.col("d3"), "total")
-        # a context that leaves all to the order below is as good as none
-        contexts = contexts.join(d, "lang").select("lang", "head", "total", F.log2(given_up / F.col("total")).alias("left")).where("left < 0")
-        kept = level
-        if low > 1:
-            # what is too rare has the weight of its context only; that is needed where it is the tail of what is kept
-            kept = level if needed is None else level.join(needed, ["lang", "gram"], "left")
-            kept = kept.where(F.col("n") >= low if needed is None else (F.col("n") >= low) | F.col("needed"))
+        contexts = contexts.join(d, "lang").select("lang", "head", "total", F.log2(given_up / F.col("total")).alias("left"))
         given = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        kept = checkpointed(kept.join(d, "lang").join(contexts, ["lang", "head"], "left").select(
-            "lang", "gram", "tail", F.coalesce((F.col("n") - F.least(given, "n")) / F.col("total"), F.lit(0.0)).alias("own"), F.coalesce("left", F.lit(0.0)).alias("left")))
-        parts.insert(0, (size, kept, contexts.select("lang", F.col("head").alias("gram"), "left")))
-        needed = kept.select("lang", F.col("tail").alias("gram"), F.lit(True).alias("needed")).distinct()
-    lower = levels[0].groupBy("lang").agg((-F.log2(F.count(F.lit(1)) + 1.0)).alias("p")).select("lang", empty.alias("gram"), "p")
-    known, out = lower.withColumn("below", F.lit(None).cast("double")), None
-    for size, kept, weights in parts:
-        below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_below"))
-        weighted = F.col("left") + F.col("p_below")
-        p = checkpointed(kept.join(below, ["lang", "tail"]).select(
-            "lang", "gram", F.log2(F.col("own") + F.pow(F.lit(2.0), weighted)).alias("p"), weighted.alias("below")))
-        part = known.join(weights, ["lang", "gram"], "full").select("lang", F.lit(size - 1).alias("size"), "gram", "p", "below", "left")
-        out = part if out is None else out.union(part)
-        known, lower = p, p.select("lang", "gram", "p")
-    return out.union(known.select("lang", F.lit(len(levels)).alias("size"), "gram", "p", "below", F.lit(None).cast("double").alias("left")))
+        below = known.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_below"))
+        seen = level.join(d, "lang").join(contexts, ["lang", "head"]).join(below, ["lang", "tail"])
+        own = (F.col("n") - F.least(given, "n")) / F.col("total")
+        p = checkpointed(seen.select("lang", "gram", F.log2(own + F.pow(F.lit(2.0), F.col("left") + F.col("p_below"))).alias("p")))
+        weights = contexts.select("lang", F.col("head").alias("gram"), "left").where("left < 0")
+        part = known.join(weights, ["lang", "gram"], "full").select("lang", F.lit(size - 1).alias("size"), "gram", "p", "left")
+        out, known = part if out is None else out.union(part), p
+    return out.union(known.select("lang", F.lit(len(levels)).alias("size"), "gram", "p", F.lit(None).cast("double").alias("left")))
 
 
 # -- keys of n-grams

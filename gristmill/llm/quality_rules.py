@@ -236,7 +236,7 @@ class Models:
 
 def fitted(docs: DataFrame) -> dict[str, list]:
     """The parts of the models of all languages of ``docs`` (lang, text), as broadcasts of at most about ``PART`` n-grams each."""
-    model = checkpointed(fit(char_levels(count_chars(training_texts(docs)), ORDER), F.lit("")))
+    model = checkpointed(fit(char_levels(count_chars(training_texts(docs)), ORDER)))
     most = model.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     context, sent = docs.sparkSession.sparkContext, {}
     for row in packed(model, most // PART + 1).toLocalIterator():  # one part at a time on the driver
