@@ -149,6 +149,8 @@ class Index:
         found = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         same = self.keys[found] == grams[at]
         at, found = at[same], found[same]
+        if not len(at):
+            return none, none
         times = self.times[found]
         bands = len(codes) // STRIDE + SEGMENT + 2
         bands_found, counts_found = [none], [none]

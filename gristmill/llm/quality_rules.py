@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -116,9 +117,16 @@ def units(points: np.ndarray) -> np.ndarray:
     return mixed((points.astype(np.uint64) + np.uint64(1)) << np.uint64(20))
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Which code points of the basic plane are letters or spaces; what lies above counts as letters."""
+    return np.array([chr(c).isalpha() or chr(c) in SPACES for c in range(0x10000)] + [True])
+
+
 def trains(text: str) -> bool:
     """Whether a text that passes the base rules is made of letters."""
-    return 100 * sum(map(str.isalpha, text)) + 100 * sum(map(text.count, SPACES)) >= LETTERS_PERCENT * len(text)
+    n = sum(int(letters()[np.minimum(code_points(text[at:at + PIECE]), 0x10000)].sum()) for at in range(0, len(text), PIECE))
+    return 100 * n >= LETTERS_PERCENT * len(text)
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
@@ -252,7 +260,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 
     A null text has no words and fails the base rules; a null language is the
     language ''. A tab is read as a space by the model. Bands come from the
-    documents that pass the base rules. A language in which no document could
+    documents that train the model, each text once. A language in which no document could
     train a model has no perplexities, and there the base rules decide alone.
     Texts of any length are scored whole. Repeated rows each get their verdict;
     an empty table gives no rows; other columns are ignored.
@@ -269,17 +277,19 @@ def apply_rules(docs: DataFrame) -> DataFrame:
                 own = [k for k, x in enumerate(langs) if x == lang and texts[k] and not fails(counts[k][0], counts[k][4])]
                 bits[own] = -models.log2(lang, [texts[k] for k in own]) / [len(texts[k]) for k in own]
             columns = list(zip(*counts, strict=True)) or [()] * 5
+            fit_to_train = [b == b and trains(text) for b, text in zip(bits.tolist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), batch.column(1), pa.array(bits, pa.float64(), from_pandas=True)],
-                ["doc_id", *COUNTS, "lang", "log2_perplexity"])
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), batch.column(1), pa.array(bits, pa.float64(), from_pandas=True),
+                 batch.column(3), pa.array(fit_to_train, pa.bool_())],
+                ["doc_id", *COUNTS, "lang", "log2_perplexity", "text_hash", "trains"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", like_string("lang").alias("lang"), "text")
+    rows = docs.select("doc_id", like_string("lang").alias("lang"), "text", F.xxhash64("text"))
     scored = checkpointed(rows.mapInArrow(score, fields(
-        doc_id=kind, **dict.fromkeys(COUNTS, "long"), lang="string", log2_perplexity="double")))
+        doc_id=kind, **dict.fromkeys(COUNTS, "long"), lang="string", log2_perplexity="double", text_hash="long", trains="boolean")))
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    quartiles = scored.where("not base_failed").groupBy("lang").agg(
+    quartiles = scored.where("trains").select("lang", "text_hash", "log2_perplexity").distinct().groupBy("lang").agg(
         F.percentile_approx("log2_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     bands = quartiles.select("lang", (low - REACH * (high - low)).alias("lower"), (high + REACH * (high - low)).alias("upper"))

@@ -50,4 +50,4 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], ra
     """Add the long column ``rank``: 0-based place of each row in its group; see ``ranked_buckets``."""
     rows, starts = ranked_buckets(df, group, bucket, order)
     return (rows.join(starts.drop("size"), [*group, "bucket"])
-            .withColumn(rank, F.col("start") + F.col("place")).drop("bucket", "start", "place"))
+            .withColumn("place", F.col("start") + F.col("place")).drop("bucket", "start").withColumnRenamed("place", rank))

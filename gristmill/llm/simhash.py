@@ -1,12 +1,17 @@
 """SimHash near-duplicates by multi-index hashing (operator 6).
 
-A fingerprint of 64 bits has two segments of 32. Two fingerprints that differ
-in at most two bits always meet in a point that is one flip or none away from
-both: the Hamming ball of radius one inside each segment, with the other
-segment unchanged, holds such a point. So each distinct fingerprint enumerates
-its 65 points, fingerprints are fetched by equal points, and the complete
-distance is verified. A point has 65 fingerprints around it at most, so no
-bucket grows with the data, however many near copies there are.
+A fingerprint of 64 bits has two segments of 32, and there is a table of
+fingerprints for each segment, keyed by its value. Two fingerprints that differ
+in at most two bits differ in at most one bit of some segment. So each distinct
+fingerprint asks each table for the values in the Hamming ball of radius one
+around its own segment, and complete distances are verified on what it fetches.
+
+Of two values that differ in a bit only the one that has it asks for the other.
+Where more than ``LARGE`` fingerprints share a segment, as in a very large group
+of near copies, all that ask for it are matched by the points around them
+instead: two fingerprints within two bits always share a point that is one flip
+or none away from both, and a point has 65 fingerprints around it at most. So no
+key makes more pairs than its fingerprints times a constant.
 """
 
 from __future__ import annotations
@@ -16,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import checkpointed, fields
 from gristmill.llm.components import components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
-SEGMENTS = ((0, 32), (32, 64))
+#: Bits of a segment, and fingerprints that share a segment's value before they are matched by points.
+SEGMENT, LARGE = 32, 256
 #: Shingles that are hashed before their bits are added up.
 PIECE = 1 << 16
 
@@ -60,18 +66,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(hashed, fields(doc_id=kind, fp="long", text_hash="long"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints (column fp) that connect all within ``MAX_DISTANCE`` bits.
+def signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def near_points(distinct: DataFrame) -> DataFrame:
+    """(a, b) pairs of fingerprints (column fp) that connect all within ``MAX_DISTANCE`` bits, by points that are a flip away.
 
     At each point the smallest fingerprint is linked with the others there: each
     pair around a point is within distance, so the links join what pairs would.
     """
-    flips = [0] + [1 << bit for low, high in SEGMENTS for bit in range(low, high)]
-    ball = F.array(*[F.col("fp").bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x)) for x in flips])
+    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << bit))) for bit in range(64)])
     points = distinct.select("fp", F.explode(ball).alias("point"))
     met = points.groupBy("point").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b")).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+    return met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b")).distinct()
+
+
+def candidates(distinct: DataFrame, large: int = LARGE) -> DataFrame:
+    """(a, b) pairs of fingerprints (column fp) that may be within ``MAX_DISTANCE`` bits; those that are are joined by such pairs.
+
+    A key is a segment's value, with the number of the segment above it.
+    """
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    second = F.lit(1 << SEGMENT)
+    # spread before each row becomes many, in as many partitions as the join has
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    tables = spread.select("fp", F.explode(F.array(low, high.bitwiseOR(second))).alias("key"))
+    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+
+    def ball(value: Column, mark: Column | None) -> list[Column]:
+        flipped = [F.when(value.bitwiseAND(F.lit(1 << k)) != 0, value.bitwiseXOR(F.lit(1 << k))) for k in range(SEGMENT)]
+        return [x if mark is None else x.bitwiseOR(mark) for x in [value, *flipped]]
+
+    asked = spread.select("fp", F.explode(F.filter(F.array(*ball(low, None), *ball(high, second)), lambda k: k.isNotNull())).alias("key"))
+    known = tables.join(sizes, "key").select("key", F.col("fp").alias("b"), "size")
+    fetched = asked.select("key", F.col("fp").alias("a")).join(known.where(F.col("size") <= large), "key").where("a != b")
+    pairs = fetched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = asked.join(sizes.where(F.col("size") > large).select("key"), "key", "left_semi").select("fp").distinct()
+    return pairs.union(near_points(crowded))
+
+
+def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints (column fp) that connect all within ``MAX_DISTANCE`` bits, each pair verified."""
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return candidates(distinct, large).where(distance <= MAX_DISTANCE).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -81,8 +119,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the row's own included; component (the smallest fingerprint, as a long)
     tells groups apart where doc_ids repeat. Texts without words share the fingerprint 0 and link
     like others. A null doc_id is never a component's smallest unless there is
-    no other, and then component_id is null. Repeated rows each get their row;
-    an empty table gives none.
+    no other, and then component_id is null. Texts of any length are read whole.
+    Repeated rows each get their row; an empty table gives none.
     """
     marked = checkpointed(fingerprints(docs))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -15,12 +15,13 @@ import xxhash
 from llm_helpers import SMALL, prose
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontamination, exchange, kneser_ney, pii, queries, secret_scan, simhash
+from gristmill.llm import decontamination, exchange, pii, queries, quality_rules, secret_scan, simhash
+from gristmill.llm import quality_classifier as classifier
 from gristmill.llm.common import table
 from gristmill.llm.components import components
 from gristmill.llm.decontamination import contaminations, decontaminated
 from gristmill.llm.lm_scoring import score_documents
-from gristmill.llm.mixing import mix, period_schedule, shares_of, target_weights
+from gristmill.llm.mixing import default_weights, first_states, mix, scheduled, shares, whole_weights
 from gristmill.llm.near_copies import near_copies, without_near_copies
 from gristmill.llm.pii import find_pii
 from gristmill.llm.quality_classifier import classify
@@ -45,43 +46,74 @@ def ids(df, column="doc_id"):
 # -- 1 mixing
 
 
-def test_schedule_is_never_a_block_off():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {str(k): 1 + k for k in range(37)}, {"x": 1.0}, {"a": 0.97, **{str(k): 0.001 for k in range(30)}}):
-        shares = shares_of(weights, 200)
-        assert sum(shares.values()) == 200 and min(shares.values()) >= 1
-        done = collections.Counter()
-        for source, _, slot, release, deadline in period_schedule(shares, 200):
-            assert release <= slot < deadline
+def whole_schedule(c, length):
+    return list(scheduled(c, np.zeros(len(c), np.int64), 0, length))
+
+
+@pytest.mark.parametrize("weights", [[5, 3, 2], [1 + k for k in range(37)], [1], [97, *[1] * 30], [2700, *[1] * 300], [10**12, 1, 7]])
+def test_schedule_is_never_a_block_off(weights):
+    """0.9 beside 300 small sources among others; at every prefix of the stream."""
+    c, total = np.array(weights, np.int64), sum(weights)
+    done = np.zeros(len(c), np.int64)
+    for source, block, slot, release, deadline in whole_schedule(c, 7000):
+        assert release <= slot < deadline and block == done[source]
+        assert (release, deadline) == (block * total // weights[source], -(-(block + 1) * total // weights[source]))
+        done[source] += 1
+        assert (abs(done.astype(object) * total - c.astype(object) * (slot + 1)) < total).all()
+
+
+def test_runs_of_slots_are_one_schedule(spark):
+    r = random.Random(2)
+    for _ in range(4):
+        c = np.array([r.randrange(1, 10 ** r.randrange(1, 7)) for _ in range(r.choice([1, 3, 9, 40]))], np.int64)
+        length, run, states = r.randrange(1, 500), r.randrange(8, 90), [[]]
+        done = np.zeros(len(c), np.int64)
+        for slot, (source, *_) in enumerate(whole_schedule(c, length), 1):
             done[source] += 1
-            assert all(abs(done[s] - c * (slot + 1) / 200) < 1 for s, c in shares.items())
+            states.append(np.flatnonzero(done > shares(c, int(c.sum()), slot)[0]).tolist())
+        assert first_states(spark, c, length, run) == [states[min(length, k * run)] for k in range(-(-length // run) + 1)]
 
 
 def test_mix_positions_and_epochs(spark):
     docs = spark.createDataFrame([(k, f"t{k}", "big" if k < 300 else f"s{k % 4}") for k in range(400)], "doc_id long, text string, source string")
-    out = mix(docs, {"big": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1}, block_rows=4, period=20).toPandas().sort_values("position")
+    weights = {"big": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1}
+    out = mix(docs, weights, block_rows=4, run=8).toPandas().sort_values("position")
     assert out["position"].tolist() == list(range(len(out)))
     assert set(out["doc_id"]) == set(range(400))
     counts = collections.Counter()
-    for n, (source, _) in enumerate(zip(out["mix_source"], out["position"], strict=True), 1):
+    for n, source in enumerate(out["mix_source"], 1):
         counts[source] += 1
         if n % 4 == 0:
-            assert abs(counts["big"] - 0.5 * n) < 4 and abs(counts["s3"] - 0.1 * n) < 4
+            assert all(abs(counts[k] - w * n) < 4 for k, w in weights.items())
     for _, part in out.groupby(["mix_source", "epoch"]):
         assert part["doc_id"].is_unique
-    again = mix(docs, {"big": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1}, block_rows=4, period=20).toPandas().sort_values("position")
+    again = mix(docs.repartition(3), weights, block_rows=4).toPandas().sort_values("position")
     assert again["doc_id"].tolist() == out["doc_id"].tolist()
 
 
-def test_mix_weights(spark, odd_docs, no_docs):
-    assert target_weights({"a": 1000, "b": 1}, {"a": 0.1, "b": 0.9}, 4) == pytest.approx({"a": 0.1, "b": 0.0004})
-    with pytest.raises(ValueError):
-        target_weights({"a": 1}, {"b": 1})
+def test_mix_keeps_given_weights(spark):
+    docs = spark.createDataFrame([(k, "a") for k in range(60)] + [(100, "b")], "doc_id long, source string")
+    out = mix(docs, {"a": 0.1, "b": 0.9}, block_rows=1).groupBy("mix_source").count()
+    assert {r["mix_source"]: r["count"] for r in out.collect()} == {"a": 60, "b": 540}
+    assert whole_weights({"a": 3, "b": 1.0}) == {"a": 3, "b": 1}
+    exact = whole_weights({"a": 0.9, **{str(k): 0.1 / 300 for k in range(300)}})
+    assert exact["a"] / sum(exact.values()) == pytest.approx(0.9, abs=1e-12)
+    few = default_weights({"a": 1000, "b": 1})
+    assert few["b"] / 1 <= 4.1 * few["a"] / 1000
+
+
+def test_mix_odd_rows(spark, odd_docs, no_docs):
     with pytest.raises(ValueError):
-        shares_of({str(k): 1 for k in range(11)}, 10)
+        mix(odd_docs, {"src0": 1})
     assert mix(no_docs).count() == 0
-    out = mix(odd_docs, block_rows=2)
-    assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in odd_docs.select("doc_id").collect()}
-    assert out.where("epoch = 0").count() == odd_docs.count() and "" in {r[0] for r in out.select("mix_source").distinct().collect()}
+    names = ["bucket", "place", "start", "size", "n", "taken", "k", "at", "row", "number", "tie", "id", "slots", "_n", "epoch"]
+    docs = odd_docs.select("*", *[F.lit(k).alias(x) for k, x in enumerate(names) if x not in odd_docs.columns])
+    out = mix(docs, block_rows=2)
+    assert out.columns == [c for c in docs.columns if c not in ("epoch", "position")] + ["mix_source", "epoch", "block", "slot", "release", "deadline", "position"]
+    columns = [c for c in odd_docs.columns if c != "position"]
+    rows = [tuple(r) for r in out.where("epoch = 0").select(*columns, "_n").collect()]
+    assert sorted(rows, key=repr) == sorted((tuple(r) for r in docs.select(*columns, "_n").collect()), key=repr)
+    assert "" in {r[0] for r in out.select("mix_source").distinct().collect()}
 
 
 # -- 2 secrets
@@ -126,42 +158,100 @@ def test_secret_rows(odd_docs, no_docs):
 # -- 3 and 7 perplexity
 
 
-def test_kneser_ney_sums_to_one():
-    counts = np.zeros(kneser_ney.SIZE, np.int64)
-    for _, codes in kneser_ney.ngram_codes([prose(k, 500) for k in range(5)]):
-        np.add.at(counts, codes, 1)
-    table_ = kneser_ney.log2_table(*kneser_ney.fit(counts))
-    assert np.allclose((2.0 ** table_.astype(float)).reshape(-1, kneser_ney.CLASSES).sum(1), 1, atol=1e-4)
-    keys, _ = kneser_ney.fit(counts)
-    assert (np.diff(keys) > 0).all()
-
-
-def test_kneser_ney_is_the_textbook_formula():
-    """Orders one and two of a model against loops over their counts."""
-    text = "abracadabra abba cab"
-    counts = np.zeros(kneser_ney.SIZE, np.int64)
-    for _, codes in kneser_ney.ngram_codes([text]):
-        np.add.at(counts, codes, 1)
-    keys, values = kneser_ney.fit(counts)
-    model = dict(zip(keys.tolist(), values.tolist(), strict=True))
-    grams = {(int(c) >> 15, int(c) >> 10 & 31, int(c) >> 5 & 31, int(c) & 31) for c in np.flatnonzero(counts)}
-    tri = {g[1:] for g in grams}
-    bi = collections.Counter(g[1:] for g in tri)
-    uni = collections.Counter(b[1] for b in bi)
-
-    def discount(c):
-        n = [sum(v == k for v in c.values()) for k in range(5)]
+class BruteKneserNey:
+    """The textbook formula, over units in tuples, by loops."""
+
+    def __init__(self, texts, order, least=1, start="<s>"):
+        self.order, self.start = order, start
+        self.counts = {order: collections.Counter(tuple(g) for t in texts for g in self.grams(t))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts = {k: self.discount(c, least if k > 1 else 1) for k, c in self.counts.items()}
+
+    def grams(self, units):
+        units = [self.start] * (self.order - 1) + list(units)
+        return [units[k:k + self.order] for k in range(len(units) - self.order + 1)]
+
+    @staticmethod
+    def discount(counts, least):
+        n = [sum(v == k for v in counts.values()) for k in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
         raw = [1 - 2 * y * n[2] / n[1] if n[1] else y, 2 - 3 * y * n[3] / n[2] if n[2] else 2 * y, 3 - 4 * y * n[4] / n[3] if n[3] else 3 * y]
-        return [0, *(min(max(d, 0.1), k) for k, d in enumerate(raw, 1))]
-
-    d1, d2 = discount(uni), discount(bi)
-    total = sum(uni.values())
-    p1 = {w: max(uni[w] - d1[min(uni[w], 3)], 0) / total + sum(d1[min(c, 3)] for c in uni.values()) / total / 32 for w in range(32)}
-    for (h, w), c in bi.items():
-        of = {x: n for (g, x), n in bi.items() if g == h}
-        p = (c - d2[min(c, 3)]) / sum(of.values()) + sum(d2[min(n, 3)] for n in of.values()) / sum(of.values()) * p1[w]
-        assert model[(2 << 20) + (h << 5) + w] == pytest.approx(p)
+        return [0, *(k if k < least else min(max(d, 0.1), k) for k, d in enumerate(raw, 1))]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (len(self.counts[1]) + 1)
+        counts, d = self.counts[len(gram)], self.discounts[len(gram)]
+        beside = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        if not beside:
+            return self.p(gram[1:])
+        c, given = counts.get(gram, 0), sum(min(d[min(n, 3)], n) for n in beside)
+        return (c - min(d[min(c, 3)], c)) / sum(beside) + given / sum(beside) * self.p(gram[1:])
+
+    def log2(self, units):
+        return sum(math.log2(self.p(tuple(g))) for g in self.grams(units))
+
+
+def test_model_of_characters_in_all_orders(spark):
+    texts = [prose(k, 60) for k in range(8)]
+    docs = spark.createDataFrame([("en", t) for t in texts] + [("fr", t[::-1]) for t in texts] + [("en", texts[0])] * 3, "lang string, text string")
+    sent = quality_rules.fitted(docs)
+    assert sorted(sent) == ["en", "fr"]
+    odd = [texts[0], texts[1][5:40], "QXZ \u6f22 the", "a\tb", "x" * 30]
+    for lang, known in (("en", texts), ("fr", [t[::-1] for t in texts])):
+        want = BruteKneserNey(known, quality_rules.ORDER, start="\t")  # each distinct text once
+        got = quality_rules.Models(f"test {lang}", sent).log2(lang, odd)
+        assert got.tolist() == pytest.approx([want.log2(t.replace("\t", " ")) for t in odd], rel=1e-4)
+    assert np.isnan(quality_rules.Models("none", sent).log2("de", ["a"])).all()
+
+
+def test_a_model_in_parts_and_a_text_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", prose(k, 60)) for k in range(8)], "lang string, text string")
+    text = prose(99, 400)
+    whole = quality_rules.Models("whole", quality_rules.fitted(docs)).log2("en", [text, text])
+    monkeypatch.setattr(quality_rules, "PART", 500)
+    sent = quality_rules.fitted(docs)
+    monkeypatch.setattr(quality_rules, "PIECE", 100)
+    assert len(sent["en"]) > 1
+    assert quality_rules.Models("parts", sent).log2("en", [text, text]).tolist() == pytest.approx(whole.tolist(), rel=1e-5)
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_model_of_words_in_all_orders(least):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randrange(1, 12))) for _ in range(30)]
+    want = BruteKneserNey([[*t.split(), "</s>"] for t in texts], classifier.ORDER, least)
+    keys, values, logs, unknown = classifier.word_model("en", *exchange.hash_words(t.encode() for t in texts), least)
+    table_ = dict(zip(np.concatenate(keys).tolist(), np.concatenate(values).tolist(), strict=True))
+    near = classifier.Lookup((np.concatenate(keys), np.concatenate(values)), np.zeros(0, np.uint64), {"en": unknown})
+    far = classifier.Lookup((keys[0], values[0]), np.concatenate(keys[1:]), {"en": unknown})
+    odd = [*texts[:5], "a b x c", "zz yy", "e e e e e e", ""]
+    words, sizes = exchange.hash_words(t.encode() for t in odd)
+    expected = pytest.approx([want.log2([*t.split(), "</s>"]) for t in odd], rel=1e-4)
+    assert near.score("en", words, sizes)[0].tolist() == expected
+    total, text, key, times = far.score("en", words, sizes)
+    for k, x, n in zip(text, key.tolist(), times, strict=True):
+        total[k] += n * table_.get(x, 0.0)  # the join
+    assert total.tolist() == expected
+
+
+def test_classifier_joins_give_the_model_of_the_training_texts(spark):
+    """Whole flow against loops: what trains, bits of every document and the quantiles of the held-out ones."""
+    texts = {k: prose(k, 40, 60) for k in range(120)}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()] + [(500, texts[3], "xx")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(100, 0, 0), (101, 1, 1)], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"]: r["held_out"] for r in classifier.trusted_ids(docs, labels).collect()}
+    assert set(held) == set(range(100)) and 5 < sum(held.values()) < 60
+    want = BruteKneserNey([[*texts[k].split(), "</s>"] for k, x in held.items() if not x], classifier.ORDER, classifier.LEAST)
+    out = {r["doc_id"]: r for r in classify(docs, labels).collect()}
+    bits = {k: -want.log2([*t.split(), "</s>"]) / (len(t.split()) + 1) for k, t in texts.items()}
+    assert {k: out[k]["quality_bits"] for k in texts} == pytest.approx(bits, rel=1e-4)
+    own = sorted(bits[k] for k, x in held.items() if x)
+    low, high = (of[max(0, math.ceil(q * len(of)) - 1)] for of, q in zip((sorted(bits[k] for k in held), own), classifier.QUANTILES, strict=True))
+    assert (out[0]["quality_least"], out[0]["quality_limit"]) == pytest.approx((low, high), rel=1e-4)
+    assert all(out[k]["quality_kept"] == (out[0]["quality_least"] <= out[k]["quality_bits"] <= out[0]["quality_limit"]) for k in texts)
+    assert out[500]["quality_bits"] is None and out[500]["quality_kept"]
 
 
 def test_quality_rules_counts(spark, small):
@@ -178,22 +268,54 @@ def test_quality_rules_counts(spark, small):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_keeps_prose_and_drops_noise(spark, no_labels):
-    clean = [(k, prose(k, 200), "en", "s") for k in range(200)]
-    noise = [(1000 + k, "".join(random.Random(k).choice("#*$%&|<>0123456789 QXZ") for _ in range(1500)), "en", "s") for k in range(5)]
-    docs = spark.createDataFrame(clean + noise, "doc_id long, text string, lang string, source string")
-    rules = apply_rules(docs).toPandas().set_index("doc_id")
-    assert rules.loc[:199, "kept"].all() and not rules.loc[1000:, "kept"].any()
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)], "doc_id long, quality int, toxic int")
-    judged = classify(docs, labels).toPandas().set_index("doc_id")
-    assert judged.loc[:199, "quality_kept"].all() and not judged.loc[1000:, "quality_kept"].any()
+def noise(k):
+    r = random.Random(k)
+    return " ".join("".join(r.choice("#*$%&|<>0123456789QXZ") for _ in range(9)) for _ in range(150))
+
+
+def test_rules_reject_noise_and_boilerplate(spark):
+    clean = [(k, prose(k, 200), "en") for k in range(200)]
+    junk = [(1000 + k, noise(k), "en") for k in range(5)]
+    # few different words in ever new order: no window repeats often, yet it is far too easy to foretell
+    r = random.Random(9)
+    easy = [(2000 + k, " ".join("the" * r.randrange(1, 16) for _ in range(60)), "en") for k in range(3)]
+    copies = [(3000 + k, junk[0][1], "en") for k in range(300)]  # many copies teach the model nothing
+    out = apply_rules(spark.createDataFrame(clean + junk + easy + copies, "doc_id long, text string, lang string")).toPandas().set_index("doc_id").sort_index()
+    assert out.loc[:199, "kept"].mean() > 0.98
+    assert not out.loc[1000:, "kept"].any()
+    assert (out.loc[1000:1999, "log2_perplexity"] > out.loc[1000:1999, "upper"]).all()
+    below = out.loc[2000:2999]
+    assert (below["base_failed"] | (below["log2_perplexity"] < below["lower"])).all() and not below["base_failed"].all()
+
+
+@pytest.mark.parametrize(("lang", "n"), [("en", 150), ("other", 150), ("en", 19)])
+def test_classifier_drops_noise(spark, no_labels, lang, n):
+    clean = [(k, prose(k, 200), lang) for k in range(200)]
+    docs = spark.createDataFrame(clean + [(1000 + k, noise(k), lang) for k in range(5)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    judged = classify(docs, labels).toPandas().set_index("doc_id").sort_index()
+    assert not judged.loc[1000:, "quality_kept"].any()
+    assert judged.loc[:199, "quality_kept"].mean() > (0.9 if n > 100 else 0.3)
     assert classify(docs, no_labels).where("quality_kept").count() == 205
 
 
+def test_models_of_many_languages(spark):
+    vocabulary = prose(0, 100).split()
+    text = lambda j: " ".join(random.Random(j).choices(vocabulary, k=300))
+    docs = spark.createDataFrame([(100 * k + j, text(j) if j < 8 else noise(j), f"l{k}") for k in range(70) for j in range(9)], "doc_id long, text string, lang string")
+    assert len(quality_rules.fitted(docs)) == 70
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id % 100 < 8")
+    out = classify(docs, labels)
+    assert out.where("doc_id % 100 = 8 and quality_kept").count() == 0 and out.where("quality_bits is null").count() == 0
+
+
 def test_quality_odd_rows(odd_docs, no_docs, no_labels):
     assert apply_rules(no_docs).count() == 0 and classify(no_docs, no_labels).count() == 0
     assert ids(apply_rules(odd_docs)) == ids(odd_docs)
     labels = odd_docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    named = odd_docs.select("*", *[F.lit(1).alias(x) for x in ("row", "id", "of", "h", "text_hash", "quality_kept")])
+    out = classify(named, labels)
+    assert out.columns == [*named.columns[:-1], *classifier.ADDED]
     out = classify(odd_docs, labels)
     assert ids(out) == ids(odd_docs) and out.columns[:9] == odd_docs.columns
     assert out.where("text is null and not quality_kept").count() == 0
@@ -344,13 +466,19 @@ def test_simhash(spark, small, odd_docs, no_docs):
     assert all((a ^ b).bit_count() > 2 for k, a in enumerate(marks) for b in marks[:k])
 
 
-def test_links_join_all_pairs_within_distance(spark):
+@pytest.mark.parametrize("large", [256, 10, 0])
+def test_links_join_all_pairs_within_distance(spark, large):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(12)]
-    marks = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randrange(4))) for b in base for _ in range(20)})
-    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
-    found = simhash.links(spark.createDataFrame([(m,) for m in signed], "fp long"))
-    parts = {x["vertex"]: x["component"] for x in components(found).collect()}
+    marks = sorted({b ^ sum(1 << x for x in r.sample(range(64), r.randrange(5))) for b in base for _ in range(40)})
+    signed = [simhash.signed(m) for m in marks]
+    rows = spark.createDataFrame([(m,) for m in signed], "fp long")
+    pairs = {(x["a"], x["b"]) for x in simhash.links(rows, large).collect()}
+    near = {(min(a, b), max(a, b)) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert pairs == near if large == 256 else pairs <= near
+    if large == 256:  # complete distances do reject
+        assert simhash.candidates(rows, large).distinct().count() > 2 * len(near)
+    parts = {x["vertex"]: x["component"] for x in components(simhash.links(rows, large)).collect()}
     want = brute_groups([(s, m) for s, m in zip(signed, marks, strict=True)])
     assert sorted(((s, f"{m:016x}", parts.get(s, s)) for s, m in zip(signed, marks, strict=True)), key=repr) == want
 
@@ -424,7 +552,7 @@ def brute_pii(text):
 
 def test_pii_base_spans(spark, small):
     r = random.Random(3)
-    odd = ["".join(r.choice("a1@.-+ (2%5") for _ in range(r.randrange(70))) for _ in range(3000)] + ["a" * 200 + "@b.c", "1" * 5000, "a@b.c@d.e"]
+    odd = ["".join(r.choice("a1@.-+ (2%5") for _ in range(r.randrange(70))) for _ in range(3000)] + ["a" * 200 + "@b.c", "1" * 5000, "a@b.c@d.e", "0" * 4000 + ".1.1.1 0.0.0.0"]
     for text in odd:
         assert sorted(pii.base_spans(text)) == brute_pii(text), text
     got = find_pii(table(spark, SMALL, "documents")).toPandas().set_index("doc_id")
@@ -436,8 +564,11 @@ def test_pii_base_spans(spark, small):
 def test_pii_checks_and_context(spark, odd_docs, no_docs):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+    assert pii.base_spans("0" * 5000 + ".1.1.1") and not pii.base_spans("9" * 5000 + ".1.1.1")
     said = lambda t: [pii.KINDS[k] for _, k, _, _ in pii.findings(t)]
     assert said("IBAN GB82 WEST 1234 5698 7654 32 please") == ["iban"] and said("IBAN GB82 WEST 1234 5698 7654 31 please") == []
+    assert said("IBAN GB82 WEST 1234 5698 7654 32 PLEASE PAY") == ["iban"] and said("GB82WEST12345698765432x") == []
+    assert said("XX GB82 WEST 1234 5698 7654 3 2") == ["iban"] and said("IBAN " + "GB82" * 3000) == []
     assert said("social security 078-05-1120") == ["identity"] and said("code 078-05-1120") == []
     assert pii.score("call +49 30 1234567", 5, 3, 19) > pii.score("+49 30 1234567", 0, 3, 14)
     assert find_pii(no_docs).count() == 0 and ids(find_pii(odd_docs)) == ids(odd_docs)
@@ -484,6 +615,54 @@ def test_edited_passages_are_found_and_placed(monkeypatch):
             assert abs(start - len(before)) <= 12 and abs(end - len(before) - len(chars)) <= 12
 
 
+def test_short_long_and_repeated_items(spark):
+    long, short = prose(1, 200), prose(2, 30)
+    question = "What is the capital city of Burkina Faso?"
+    bench = spark.createDataFrame([(1, long), (1, short), (2, question), (3, "yes or no"), (4, long), (4, long), (5, " ")], "item_id long, text string")
+    texts = [long[:164] + " " + prose(3, 100), f"{prose(4, 50)} {question.upper()} {prose(5, 60)}", "well, yes  or no.", "yes or nothing", long,
+             prose(8, 50) + long[300:620] + prose(9, 50), question.replace("capital", "capitol"), question.replace("Burkina", "Burundi"), short]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in contaminations(docs, bench).collect())
+    assert got == [(1, 2), (2, 3), (4, 1), (4, 4), (5, 1), (5, 4), (6, 2), (8, 1)]
+    assert ids(decontaminated(docs, bench)) == [0, 3, 7]
+
+
+def brute_distance(pattern, text):
+    """Edits of the best place of ``pattern`` in ``text``."""
+    row = [0] * (len(text) + 1)
+    for p in pattern:
+        last, row = row, [row[0] + 1]
+        for k, c in enumerate(text):
+            row.append(min(last[k] + (c != p), last[k + 1] + 1, row[k] + 1))
+    return min(row)
+
+
+def test_segments_at_the_edit_budget():
+    """Alignments are the best ones, decoys just over the budget are left, and common q-grams lose nothing."""
+    r = random.Random(5)
+    stem = "answer the question: "  # shared by more segments than COMMON
+    items = [(k, stem + prose(700 + k, 13)[:75]) for k in range(100)]
+    index = decontamination.Index(items)
+    assert index.needed.min() < index.needed.max()  # some have given up q-grams
+    for trial in range(60):
+        item, passage = r.choice(items)
+        chars = list(passage)
+        for p in sorted(r.sample(range(1, len(chars) - 1), r.randrange(3, 10)), reverse=True):
+            if (x := r.random()) < 0.4:
+                chars[p] = "Q"
+            elif x < 0.7:
+                del chars[p]
+            else:
+                chars.insert(p, "Z")
+        text = f"{prose(trial, 40)} {''.join(chars)} {prose(trial + 1, 40)}"
+        edits = brute_distance(passage.lower(), text.lower())
+        budget = int(len(passage) * decontamination.ERROR_RATE)
+        found = index.found([text]).get(0, {})
+        assert (item in found) == (edits <= budget), (edits, budget)
+        if item in found:
+            assert found[item][3] == edits
+
+
 # -- 10 sharding
 
 
