@@ -36,8 +36,8 @@ ORDER = 5
 REACH = 4.0
 #: Documents train the model if so many of a hundred characters at least are letters or spaces.
 LETTERS_PERCENT = 90
-#: Characters that are worked on at once, and n-grams in a part of a model.
-PIECE, PART = 1 << 20, 1 << 21
+#: Characters that are scored and counted at once, and n-grams in a part of a model.
+PIECE, COUNTED, PART = 1 << 17, 1 << 19, 1 << 21
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -88,18 +88,18 @@ def code_points(text: str) -> np.ndarray:
     return np.where(points == ord(START), 32, np.where(points == 0, 0xFFFD, points)).astype(np.uint32)
 
 
-def pieces(texts: Iterable[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[str], size: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(numbers of the texts, code points, where each one's begin): texts behind start marks, and cut where they are long."""
     numbers, parts, total = [], [], 0
     for number, text in enumerate(texts):
         before = np.full(ORDER - 1, ord(START), np.uint32)
-        for at in range(0, len(text), PIECE):
-            points = np.concatenate([before, code_points(text[at:at + PIECE])])
+        for at in range(0, len(text), size):
+            points = np.concatenate([before, code_points(text[at:at + size])])
             before = points[1 - ORDER:]
             numbers.append(number)
             parts.append(points)
             total += len(points)
-            if total >= PIECE:
+            if total >= size:
                 yield numbers, np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
                 numbers, parts, total = [], [], 0
     if parts:
@@ -165,7 +165,7 @@ def count_chars(texts: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
-                for _, points, begins in pieces(own):
+                for _, points, begins in pieces(own, COUNTED):
                     ends = ends_of(points, begins)
                     _, first, n = np.unique(rolled(units(points), ORDER)[ends - ORDER + 1], return_index=True, return_counts=True)
                     grams = np.ascontiguousarray(points[(ends[first] - ORDER + 1)[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
@@ -217,7 +217,7 @@ class Models:
     def log2(self, lang: str, texts: list[str]) -> np.ndarray:
         """log2 probability of each text; not a number where no model knows the language."""
         out = np.full(len(texts), np.nan if lang not in self.sent else 0.0)
-        for numbers, points, begins in pieces(texts) if lang in self.sent else ():
+        for numbers, points, begins in pieces(texts, PIECE) if lang in self.sent else ():
             p = self.characters(lang, points, begins)
             np.add.at(out, numbers, np.add.reduceat(p, begins - (ORDER - 1) * np.arange(len(begins))))
         return out
