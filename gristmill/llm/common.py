@@ -39,6 +39,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that ``small`` tables have at most.
+MAX_BROADCAST = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, worked out, to be broadcast in joins if it has ``MAX_BROADCAST`` rows at most; else joined as Spark sees fit."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def like_string(column: str | Column) -> Column:
     """A column as string with null as the empty string."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, fields, like_string, made_once, unique_name
+from gristmill.llm.common import checkpointed, fields, like_string, made_once, small, unique_name
 from gristmill.llm.exchange import mixed
 from gristmill.llm.kneser_ney import CONTEXT, START, HashArray, char_levels, fit, rolled
 
@@ -130,7 +130,7 @@ def trains(text: str) -> bool:
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
-    """(lang, text): each distinct text of each language once, of ``docs`` (lang, text)."""
+    """(lang, text, h): the texts of ``docs`` (lang, text) that train, dealt by their hash; a text may occur more than once in its partition."""
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -144,26 +144,22 @@ def training_texts(docs: DataFrame) -> DataFrame:
                         kept.append(number)
             yield batch.take(pa.array(kept, pa.int64()))
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
-            yield batch.take(pa.array(new, pa.int64())).select([0, 1])
-
     rows = docs.select(like_string("lang").alias("lang"), "text", F.xxhash64("text").alias("h"))
     # a task sends each text once, so a text with many copies is as many rows as there are tasks
-    return rows.mapInArrow(chosen, "lang string, text string, h long").repartition("lang", "h").mapInArrow(once, "lang string, text string")
+    return rows.mapInArrow(chosen, "lang string, text string, h long").repartition("lang", "h")
 
 
 def count_chars(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all character n-grams of ``texts`` (lang, text)."""
+    """(lang, gram, n) of all character n-grams of ``texts`` (lang, text, h), which equal texts share a partition of; each distinct one counts once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
+            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
                 for _, points, begins in pieces(own, COUNTED):
                     ends = ends_of(points, begins)
@@ -293,7 +289,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
         F.percentile_approx("log2_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     bands = quartiles.select("lang", (low - REACH * (high - low)).alias("lower"), (high + REACH * (high - low)).alias("upper"))
-    judged = scored.join(bands, "lang", "left")  # a row for each language
+    judged = scored.join(small(bands), "lang", "left")  # a row for each language
     inside = F.col("log2_perplexity").between(F.col("lower"), F.col("upper"))
     return judged.select("doc_id", *COUNTS, "lang", "log2_perplexity", "lower", "upper", "base_failed",
                          (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
