@@ -28,9 +28,10 @@ def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
     def with_parts(level: DataFrame) -> DataFrame:
         return level.select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("head"), F.expr("substring(gram, 2)").alias("tail"), "n")
 
-    levels = [checkpointed(with_parts(counts))]
+    # heads and tails are cut anew where they are needed, so that they take no disk
+    levels = [with_parts(checkpointed(counts))]
     for _ in range(order - 1):
-        levels.insert(0, checkpointed(with_parts(levels[0].groupBy("lang", F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")))))
+        levels.insert(0, with_parts(checkpointed(levels[0].groupBy("lang", F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")))))
     return levels
 
 

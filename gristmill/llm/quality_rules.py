@@ -130,7 +130,7 @@ def trains(text: str) -> bool:
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
-    """(lang, text, h): the texts of ``docs`` (lang, text) that train, dealt by their hash; a text may occur more than once in its partition."""
+    """(lang, data, h, size): the texts of ``docs`` (lang, text) that train, compressed, dealt by their hash; one may occur more than once in its partition."""
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -142,24 +142,28 @@ def training_texts(docs: DataFrame) -> DataFrame:
                     counts = text_counts(text)
                     if not fails(counts[0], counts[4]) and trains(text):
                         kept.append(number)
-            yield batch.take(pa.array(kept, pa.int64()))
+            sent = batch.take(pa.array(kept, pa.int64()))
+            data = [pa.compress(x.encode("utf-8", "surrogatepass"), "zstd", asbytes=True) for x in sent.column(1).to_pylist()]
+            sizes = [len(x.encode("utf-8", "surrogatepass")) for x in sent.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([sent.column(0), pa.array(data, pa.binary()), sent.column(2), pa.array(sizes, pa.int64())],
+                                             ["lang", "data", "h", "size"])
 
     rows = docs.select(like_string("lang").alias("lang"), "text", F.xxhash64("text").alias("h"))
     # a task sends each text once, so a text with many copies is as many rows as there are tasks
-    return rows.mapInArrow(chosen, "lang string, text string, h long").repartition("lang", "h")
+    return rows.mapInArrow(chosen, "lang string, data binary, h long, size long").repartition("lang", "h")
 
 
 def count_chars(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all character n-grams of ``texts`` (lang, text, h), which equal texts share a partition of; each distinct one counts once."""
+    """(lang, gram, n) of all character n-grams of ``training_texts``; each distinct text counts once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             by_lang: dict[str, list[str]] = {}
-            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, data, h, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (lang, h) not in seen:
                     seen.add((lang, h))
-                    by_lang.setdefault(lang, []).append(text)
+                    by_lang.setdefault(lang, []).append(pa.decompress(data, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass"))
             for lang, own in by_lang.items():
                 for _, points, begins in pieces(own, COUNTED):
                     ends = ends_of(points, begins)
