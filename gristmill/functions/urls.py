@@ -47,10 +47,21 @@ LIST_PATHS = ["list.do", "alllist.do", "eventlist.do", "list.asp", "list.jsp", "
 DETAIL_PATHS = ["view.do", "read.do", "detail.do", "/view/", "/view?", "/detail/", "/read/", "/post/detail", "board_view",
                 "board_read", "board_detail", "read.asp", "read.php", "read.jsp", "openbrlviewer"]
 BOARD_HINTS = ["board", "bbs", "notice", "ntt", "list", "view", "article", "portal", "news", "announcement", "gosi", "gonggo"]
-DOWNLOAD_EXTENSIONS = (
-    "jpg jpeg png gif bmp tiff tif webp svg ico mp4 avi mov wmv flv webm mkv m4v mp3 wav flac aac ogg wma m4a pdf hwp hwpx doc "
-    "docx ppt pptx xls xlsx txt rtf csv odt ods odp psd ai eps zip rar 7z tar gz bz2 xz exe msi dmg deb rpm apk swf db sqlite "
-    "bak log ini cfg conf xml json yaml yml toml").split()
+# Endings of URLs that name a file, by kind.
+DOWNLOAD_EXTENSIONS = [
+    "jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "svg", "ico", "raw", "cr2", "nef", "arw",
+    "mp4", "avi", "mov", "wmv", "flv", "webm", "mkv", "m4v", "3gp", "ogv", "mts", "m2ts", "ts", "vob", "asf", "rm", "rmvb",
+    "mp3", "wav", "flac", "aac", "ogg", "wma", "m4a", "opus", "aiff", "au", "mid", "midi",
+    "pdf", "hwp", "hwpx", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "txt", "rtf", "csv", "odt", "ods", "odp",
+    "psd", "ai", "eps", "indd", "sketch", "fig", "xd", "cdr", "dwg", "dxf", "blend", "max", "3ds", "obj", "fbx", "dae",
+    "zip", "rar", "7z", "tar", "gz", "bz2", "lzma", "xz", "ace", "arj", "cab", "iso", "dmg", "pkg",
+    "exe", "msi", "deb", "rpm", "apk", "app", "bat", "cmd", "com", "scr", "vbs", "js", "jar", "war",
+    "swf", "fla", "f4v", "f4p", "f4a", "f4b", "shockwave", "quicktime", "realmedia",
+    "db", "sqlite", "mdb", "accdb", "dbf", "odb", "sql",
+    "bak", "backup", "old", "tmp", "temp", "log", "cache",
+    "ini", "cfg", "conf", "config", "xml", "json", "yaml", "yml", "toml",
+    "c", "cpp", "h", "java", "py", "scss", "less", "pl", "rb", "go", "rs", "swift", "kt", "jsx", "tsx", "vue", "svelte",
+]
 DOWNLOAD_WORDS = ["download", "attachment", "file", "/uploads/", "/media/", "/assets/", "/static/"]
 MULTI_LABEL_SUFFIXES = ["co.kr", "go.kr", "or.kr", "ac.kr", "re.kr", "ne.kr", "pe.kr", "co.uk", "co.jp"]
 

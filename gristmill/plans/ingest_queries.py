@@ -180,10 +180,11 @@ def best_title_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("flat", "b.*").orderBy(F.desc("score"), "flat").limit(20)
 
 
-@query("seeded_start_order", "select page_id from pages order by md5('7:' || page_id::varchar), page_id limit 100")
+@query("seeded_start_order", "select page_id, md5('7:' || page_id::varchar) as place from pages")
 def seeded_start_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred start URLs of a seeded shuffle."""
-    return table(spark, sf_dir, "pages").select("page_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("page_id").cast("string"))), "page_id").limit(100)
+    """All start URLs with their places in a seeded shuffle, in that order."""
+    place = F.md5(F.concat(F.lit("7:"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", place.alias("place")).orderBy("place", "page_id")
 
 
 @query("priority_lanes", f"""

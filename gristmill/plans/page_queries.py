@@ -63,7 +63,7 @@ def page_fast_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     def parse(i: int, url: str, html: str) -> list[tuple]:
         page = H.Page(html)
         titles, content = page.title_candidates(), page.content()
-        date = H.DATE.search(html[:20_000])
+        date = H.DATE.search(content)
         title = titles[0][0] if titles else ""
         links = page.absolute_links(url)
         return [(i, title, date[0] if date else None, len(content), len(links), bool(title or len(content) >= 30 or date))]

@@ -125,7 +125,7 @@ def url_scope_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("url_class_flags", f"""
     select page_id, {QUERY} <> '' as has_query, false as is_list, false as is_detail,
-      regexp_matches(lower(url), '\\.(pdf|hwp|txt|zip|jpg|js|py)$') or contains(lower(url), 'file') or contains(lower(url), 'download') as downloadable,
+      regexp_matches(lower(url), '\\.({'|'.join(U.DOWNLOAD_EXTENSIONS)})$') or contains(lower(url), 'file') or contains(lower(url), 'download') as downloadable,
       coalesce(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/[^/]*\\.([A-Za-z0-9]{{1,5}})$', 1)), '') as extension
     from pages""")
 def url_class_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
