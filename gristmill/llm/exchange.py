@@ -144,7 +144,7 @@ def packed_counts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.minimum(counts, 255).astype(np.uint8), counts[large].astype("<u8").view(np.uint8)])
 
 
-def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+def unpacked_counts(data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` counts that ``packed_counts`` has packed."""
     counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
     counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
@@ -153,25 +153,35 @@ def unpacked_counts(data: bytes, n: int) -> np.ndarray:
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys in their order) for each bucket that has keys."""
-    bucket = (keys % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)  # sixteen bits sort in one pass
+    # a range of keys, so that those of a bucket are close together; sixteen bits sort in one pass
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     edges = runs(bucket[order])
     for at, places in zip(edges, np.split(order, edges[1:]), strict=True) if len(keys) else ():
         yield int(bucket[order[at]]), places
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Keys as their differences, byte by byte: first all lowest bytes, then all second ones.
+def squeezed(values: np.ndarray) -> bytes:
+    """Values, byte by byte (first all lowest bytes, then all second ones), compressed behind their size."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    Differences of rising keys are small, so the planes of high bytes are nearly all zero and compress to nothing.
-    """
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    """The values of one type that ``squeezed`` has packed."""
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys as their differences; those of rising keys are small, so their high bytes take next to nothing."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
     """The keys that ``packed_keys`` has packed; they may come in any order."""
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unsqueezed(data, np.uint64), dtype=np.uint64)
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -184,7 +194,7 @@ def asked(grouped: DataFrame, n: int, request: Callable[[pd.DataFrame], tuple[np
 
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, noted = request(rows)
-        sent = [(bucket, key[0], packed_keys(keys[places]), noted[places].tobytes()) for bucket, places in by_bucket(keys, n)]
+        sent = [(bucket, key[0], packed_keys(keys[places]), squeezed(noted[places])) for bucket, places in by_bucket(keys, n)]
         return pd.DataFrame(sent, columns=["bucket", "g", "keys", "noted"])
 
     return grouped.groupBy("g").applyInPandas(send, "bucket int, g int, keys binary, noted binary")
@@ -195,14 +205,15 @@ def answered(questions: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.
     """(g, bucket, told): for each question of a bucket what ``answer`` tells the group that asked.
 
     ``answer`` gets the keys and notes of all questions in a row and where each
-    question starts, and returns an array for each.
+    question starts, and returns an array for each, which travels ``squeezed``.
     """
 
     def tell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpacked_keys(x) for x in rows["keys"]])
-        noted = np.frombuffer(b"".join(rows["noted"]), noted_type)
-        starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows["keys"]])])
+        asking = [unpacked_keys(x) for x in rows["keys"]]
+        noted = np.concatenate([unsqueezed(x, noted_type) for x in rows["noted"]])
+        keys, starts = np.concatenate(asking), np.concatenate([[0], np.cumsum([len(x) for x in asking])])
+        del asking
         told = answer(keys, noted, starts)
-        return pd.DataFrame({"g": rows["g"], "bucket": key[0], "told": [x.tobytes() for x in told]})
+        return pd.DataFrame({"g": rows["g"], "bucket": key[0], "told": [squeezed(x) for x in told]})
 
     return questions.groupBy("bucket").applyInPandas(tell, "g int, bucket int, told binary")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import checkpointed
-from gristmill.llm.exchange import NO_ID, answered, asked, by_bucket, dealt, hash_words, mixed, packed_counts, parts_for, runs, unpacked, unpacked_counts
+from gristmill.llm.exchange import NO_ID, answered, asked, by_bucket, dealt, hash_words, mixed, packed_counts, parts_for, runs, unpacked, unpacked_counts, unsqueezed
 
 #: The longest n-gram and the factor for each step back.
 ORDER, ALPHA = 3, 0.4
@@ -82,7 +82,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
         total = np.zeros(len(distinct), np.int64)
         answers = dict(zip(told["bucket"], told["told"], strict=True))
         for bucket, places in by_bucket(distinct, n):
-            total[places] = unpacked_counts(answers[bucket], len(places))
+            total[places] = unpacked_counts(unsqueezed(answers[bucket], np.uint8), len(places))
         # occurrences of a key in one document lie together
         changes = np.ones(len(keys), bool)
         changes[1:] = (key_order[1:] != key_order[:-1]) | (document[1:] != document[:-1])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.exchange import NO_ID, answered, asked, dealt, hash_words, mixed, parts_for, runs, unpacked
+from gristmill.llm.exchange import NO_ID, answered, asked, dealt, hash_words, mixed, parts_for, runs, unpacked, unsqueezed
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
         return [keys[a:b][smaller[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def removed(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        elsewhere = np.sort(np.frombuffer(b"".join(told["told"]), np.uint64))
+        elsewhere = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(x, np.uint64) for x in told["told"])]))
         doc_ids, texts = unpacked(rows)
         keys, ids, ends = windows(doc_ids, texts)
         order = np.argsort(keys)
