@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -244,8 +244,11 @@ class Models:
 
 def fitted(docs: DataFrame) -> dict[str, list]:
     """The parts of the models of all languages of ``docs`` (lang, text), as broadcasts of at most about ``PART`` n-grams each."""
-    model = checkpointed(fit(char_levels(count_chars(training_texts(docs)), ORDER)))
-    most = model.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    levels = char_levels(count_chars(training_texts(docs)), ORDER)
+    # by the counts, which are there already, so that the model itself is not written once more
+    sizes = reduce(DataFrame.union, (level.groupBy("lang").count() for level in levels))
+    most = sizes.groupBy("lang").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
+    model = fit(levels)
     context, sent = docs.sparkSession.sparkContext, {}
     for row in packed(model, most // PART + 1).toLocalIterator():  # one part at a time on the driver
         sent.setdefault(row["lang"], []).append(context.broadcast((bytes(row["keys"]), bytes(row["values"]))))
