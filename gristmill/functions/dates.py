@@ -73,3 +73,13 @@ def is_office_hour(ts: Column | str, zone: str = "Asia/Seoul") -> Column:
     """Monday to Friday, 9 to 18 in a time zone; the session runs in UTC."""
     local = F.from_utc_timestamp(as_column(ts), zone)
     return F.dayofweek(local).between(2, 6) & F.hour(local).between(9, 17)
+
+
+def metadata_timestamp(c: Column | str) -> Column:
+    """A text's date and time as ``yyyy-MM-dd HH:mm:ss``; zones are cut off, a null is empty, and what has no valid date stays as it is."""
+    raw = F.trim(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")))
+    spaced = F.regexp_replace(raw, r"^(\d{4}-\d{2}-\d{2})T(?=\d{2}:\d{2})", "$1 ")
+    part = lambda k, n: F.lpad(F.coalesce(F.nullif(F.regexp_extract(
+        spaced, r"(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?:\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?", k), F.lit("")), F.lit("0")), n, "0")
+    found = F.concat_ws(" ", F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), F.concat_ws(":", part(4, 2), part(5, 2), part(6, 2)))
+    return F.when(F.try_to_timestamp(found, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull(), found).otherwise(raw)
