@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group on average; a bucket holds the keys of as much.
 GROUP_BYTES = 8 << 20
-#: A null doc_id is larger than any other.
-NO_ID = (1 << 63) - 1
+#: A null doc_id has the place of the largest one.
+LAST_ID = (1 << 63) - 1
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
 
@@ -101,41 +101,44 @@ def parts_for(docs: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """(g, ids, sizes, texts): the rows of ``docs`` (doc_id, text) in packed blocks, dealt to groups by a hash of both.
+    """(g, ids, known, sizes, texts): the rows of ``docs`` (doc_id, text) in packed blocks, dealt to groups by a hash of both.
 
     Words are parted by ASCII alone, so texts stay UTF-8 from here on; null
-    texts are empty and null ids ``NO_ID``. Blocks are compressed, as the
-    groups' shuffle is the only one that moves the text.
+    texts are empty and null ids ``LAST_ID``, not known. Blocks are compressed,
+    as the groups' shuffle is the only one that moves the text.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = batch.column(0).to_numpy()
             ids, texts = batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
+            known = batch.column(3).to_numpy(zero_copy_only=False)
             order = np.argsort(group, kind="stable")
             blocks = []
             for places in np.split(order, runs(group[order])[1:]) if len(order) else ():
                 own = [texts[k] or b"" for k in places]
-                blocks.append((group[places[0]], ids[places].tobytes(), np.array([len(x) for x in own], np.int64).tobytes(),
-                               pa.compress(b"".join(own), "zstd", asbytes=True)))
-            columns = list(zip(*blocks, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)],
-                                             ["g", "ids", "sizes", "texts"])
+                blocks.append((group[places[0]], ids[places].tobytes(), known[places].tobytes(),
+                               np.array([len(x) for x in own], np.int64).tobytes(), pa.compress(b"".join(own), "zstd", asbytes=True)))
+            columns = list(zip(*blocks, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)],
+                                             ["g", "ids", "known", "sizes", "texts"])
 
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
-    return rows.mapInArrow(pack, "g int, ids binary, sizes binary, texts binary")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), F.coalesce(doc_id, F.lit(LAST_ID)), "text", doc_id.isNotNull())
+    return rows.mapInArrow(pack, "g int, ids binary, known binary, sizes binary, texts binary")
 
 
-def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
-    """(ids, texts) of the blocks of a group."""
-    ids, texts = [np.zeros(0, np.int64)], []
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(ids, whether they are known, texts) of the blocks of a group."""
+    ids, known, texts = [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
     for block in rows.itertuples(index=False):
         sizes = np.frombuffer(block.sizes, np.int64)
         data = pa.decompress(block.texts, int(sizes.sum()), "zstd", asbytes=True) if sizes.sum() else b""
         ends = np.cumsum(sizes)
         ids.append(np.frombuffer(block.ids, np.int64))
+        known.append(np.frombuffer(block.known, bool))
         texts += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-    return np.concatenate(ids), texts
+    return np.concatenate(ids), np.concatenate(known), texts
 
 
 def packed_counts(counts: np.ndarray) -> np.ndarray:

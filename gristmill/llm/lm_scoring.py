@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import checkpointed
-from gristmill.llm.exchange import NO_ID, answered, asked, by_bucket, dealt, hash_words, mixed, packed_counts, parts_for, runs, unpacked, unpacked_counts, unsqueezed
+from gristmill.llm.exchange import answered, asked, by_bucket, dealt, hash_words, mixed, packed_counts, parts_for, runs, unpacked, unpacked_counts, unsqueezed
 
 #: The longest n-gram and the factor for each step back.
 ORDER, ALPHA = 3, 0.4
@@ -54,7 +54,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
 
     def counted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of all orders of a group with their counts."""
-        keys = np.concatenate([np.zeros(0, np.uint64), *(ngrams(h, k) for h in hashed(unpacked(rows)[1]) for k in range(1, order + 1))])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(ngrams(h, k) for h in hashed(unpacked(rows)[-1]) for k in range(1, order + 1))])
         keys.sort()
         at = runs(keys)
         return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
@@ -69,7 +69,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
         return [packed_counts(total[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def scored(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, texts = unpacked(rows)
+        ids, known, texts = unpacked(rows)
         words = hashed(texts)
         grams = [ngrams(h, k) for h in words for k in range(1, order + 1)]
         sizes = np.array([len(x) for x in grams], np.int64)
@@ -92,7 +92,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
         elsewhere[by_key] = np.repeat(total, np.diff(np.append(at, len(keys)))) - own
         parts = np.split(elsewhere, np.cumsum(sizes)[:-1]) if len(grams) else []
         out = []
-        for number, (doc_id, hashes) in enumerate(zip(ids.tolist(), words, strict=True)):
+        for number, (doc_id, has_id, hashes) in enumerate(zip(ids.tolist(), known.tolist(), words, strict=True)):
             size = len(hashes)
             others = parts[number * order:(number + 1) * order]
             # from single words upwards; a longer n-gram takes over where it occurs elsewhere
@@ -107,14 +107,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
                 value[here] = np.where(found, np.log(np.maximum(others[k - 1], 1) / np.maximum(context, 1)), value[here] + np.log(alpha))
                 over_all[here] &= ~found
                 steps[here] = np.where(found, 0, steps[here] + 1)
-            out.append((doc_id, size, float(value.sum()), int(over_all.sum()), int((steps + (single <= 0) > 0).sum())))
-        return pd.DataFrame(out, columns=["id", "n_words", "part", "n_single", "n_backoff"])
+            out.append((doc_id, has_id, size, float(value.sum()), int(over_all.sum()), int((steps + (single <= 0) > 0).sum())))
+        return pd.DataFrame(out, columns=["id", "known", "n_words", "part", "n_single", "n_backoff"])
 
     told = answered(asked(grouped, n, counted), totals, np.uint32)
     parts = checkpointed(grouped.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
-        scored, "id long, n_words long, part double, n_single long, n_backoff long"))
+        scored, "id long, known boolean, n_words long, part double, n_single long, n_backoff long"))
     all_words = parts.agg(F.sum("n_words")).first()[0] or 0
     rest = F.greatest(F.lit(all_words) - F.col("n_words"), F.lit(1))
     total = F.col("part") - F.col("n_single") * F.log(rest)
-    return parts.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", total.alias("log_score"),
+    return parts.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_words", total.alias("log_score"),
                         F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_score"), "n_backoff")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.exchange import NO_ID, answered, asked, dealt, hash_words, mixed, parts_for, runs, unpacked, unsqueezed
+from gristmill.llm.exchange import answered, asked, dealt, hash_words, mixed, parts_for, runs, unpacked, unsqueezed
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,8 +48,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
     kept_sha256 (of the kept words, joined by one space), removed (intervals as
     first:end in words, comma-joined) and, ``with_text``, kept_text.
 
-    A null text has no words. A null doc_id counts as larger than any other, and
-    rows with equal doc_ids don't remove each other's words. Texts shorter than
+    A null text has no words. A null doc_id has the place of the largest one,
+    2**63 - 1, and rows with equal places don't remove each other's words. Texts shorter than
     a window lose nothing; an empty table gives no rows; other columns are
     ignored. Two windows that differ share a hash with a chance of 2**-64.
     """
@@ -66,7 +66,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
 
     def least_ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct window of a group, and the smallest id that has it, in the order of its first place."""
-        ids, texts = unpacked(rows)
+        ids, _, texts = unpacked(rows)
         by_id = np.argsort(ids, kind="stable")
         keys, ids, _ = windows(ids[by_id], [texts[k] for k in by_id])
         order = np.argsort(keys)
@@ -86,7 +86,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
 
     def removed(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         elsewhere = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(x, np.uint64) for x in told["told"])]))
-        doc_ids, texts = unpacked(rows)
+        doc_ids, known, texts = unpacked(rows)
         keys, ids, ends = windows(doc_ids, texts)
         order = np.argsort(keys)
         at = runs(keys[order])
@@ -99,20 +99,20 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
             before = elsewhere[place] == known if len(elsewhere) else np.zeros(len(known), bool)
             gone_windows[order] = (ids[order] > np.repeat(least, times)) | np.repeat(before, times)
         out = []
-        for doc_id, text, a, b in zip(doc_ids.tolist(), texts, np.append(0, ends[:-1]), ends, strict=True):
+        for doc_id, has_id, text, a, b in zip(doc_ids.tolist(), known.tolist(), texts, np.append(0, ends[:-1]), ends, strict=True):
             words = text.split()
             gone = np.zeros(len(words), bool)
             spans = intervals(np.flatnonzero(gone_windows[a:b]), size)
             for first, after in spans:
                 gone[first:after] = True
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
-            out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
+            out.append((doc_id, has_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
                         ",".join(f"{a}:{b}" for a, b in spans), kept.decode("utf-8", "replace") if with_text else None))
-        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"])
+        return pd.DataFrame(out, columns=["id", "known", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"])
 
     questions = asked(grouped, n, least_ids)
     told = answered(questions, repeated, np.int64)
     out = grouped.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
-        removed, "id long, n_words long, n_removed long, kept_sha256 string, removed string, kept_text string")
+        removed, "id long, known boolean, n_words long, n_removed long, kept_sha256 string, removed string, kept_text string")
     columns = ["n_words", "n_removed", "kept_sha256", "removed", *["kept_text"] * with_text]
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *columns)
+    return out.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), *columns)

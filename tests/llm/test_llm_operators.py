@@ -422,6 +422,13 @@ def test_substring_dedup(spark, small, odd_docs, no_docs):
     assert {(x["doc_id"], x["kept_text"], x["removed"]) for x in r.collect()} == {(1, "a b c d e f", ""), (2, "x y", "1:5")}
 
 
+def test_the_largest_id_is_not_a_null_one(spark):
+    text = prose(4, 40)
+    docs = spark.createDataFrame([((1 << 63) - 1, text), (None, text + " a"), (-1, text + " b")], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in remove_repeats(docs).collect()} == {((1 << 63) - 1, 40), (None, 40), (-1, 0)}
+    assert {(r["doc_id"], r["n_words"]) for r in score_documents(docs).collect()} == {((1 << 63) - 1, 40), (None, 41), (-1, 41)}
+
+
 # -- 6 near-duplicates
 
 
