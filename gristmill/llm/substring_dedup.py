@@ -94,9 +94,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
         if len(at):
             times = np.diff(np.append(at, len(keys)))
             least = np.minimum.reduceat(ids[order], at)
-            known = keys[order[at]]
-            place = np.minimum(np.searchsorted(elsewhere, known), max(0, len(elsewhere) - 1))
-            before = elsewhere[place] == known if len(elsewhere) else np.zeros(len(known), bool)
+            distinct = keys[order[at]]
+            place = np.minimum(np.searchsorted(elsewhere, distinct), max(0, len(elsewhere) - 1))
+            before = elsewhere[place] == distinct if len(elsewhere) else np.zeros(len(distinct), bool)
             gone_windows[order] = (ids[order] > np.repeat(least, times)) | np.repeat(before, times)
         out = []
         for doc_id, has_id, text, a, b in zip(doc_ids.tolist(), known.tolist(), texts, np.append(0, ends[:-1]), ends, strict=True):
