@@ -38,6 +38,8 @@ REACH = 4.0
 LETTERS_PERCENT = 90
 #: Characters that are scored and counted at once, and n-grams in a part of a model.
 PIECE, COUNTED, PART = 1 << 17, 1 << 19, 1 << 21
+#: Bytes of text that a task counts at least, cores permitting; a task of little text hardly combines equal n-grams.
+TASK_BYTES = 16 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -153,8 +155,8 @@ def training_texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(chosen, "lang string, data binary, h long, size long").repartition("lang", "h")
 
 
-def count_chars(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all character n-grams of ``training_texts``; each distinct text counts once."""
+def count_chars(texts: DataFrame, n_tasks: int) -> DataFrame:
+    """(lang, gram, n) of all character n-grams of ``training_texts``; each distinct text counts once. At most ``n_tasks`` tasks count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -171,7 +173,7 @@ def count_chars(texts: DataFrame) -> DataFrame:
                     grams = np.ascontiguousarray(points[(ends[first] - ORDER + 1)[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "gram": pa.array(grams), "n": pa.array(n)})
 
-    return texts.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.coalesce(n_tasks).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def packed(model: DataFrame, n_parts: int) -> DataFrame:
@@ -244,12 +246,13 @@ class Models:
 
 def fitted(docs: DataFrame) -> dict[str, list]:
     """The parts of the models of all languages of ``docs`` (lang, text), as broadcasts of at most about ``PART`` n-grams each."""
-    levels = char_levels(count_chars(training_texts(docs)), ORDER)
+    context, size = docs.sparkSession.sparkContext, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    levels = char_levels(count_chars(training_texts(docs), max(context.defaultParallelism, size // TASK_BYTES)), ORDER)
     # by the counts, which are there already, so that the model itself is not written once more
     sizes = reduce(DataFrame.union, (level.groupBy("lang").count() for level in levels))
     most = sizes.groupBy("lang").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
     model = fit(levels)
-    context, sent = docs.sparkSession.sparkContext, {}
+    sent = {}
     for row in packed(model, most // PART + 1).toLocalIterator():  # one part at a time on the driver
         sent.setdefault(row["lang"], []).append(context.broadcast((bytes(row["keys"]), bytes(row["values"]))))
     return sent
