@@ -95,3 +95,67 @@ def mixing_sql(block_rows: int = 16, seed: int = 42) -> str:
     select doc_id, s as source, epoch, block, slot, ((block::hugeint * total) // w)::bigint as release,
       (((block + 1)::hugeint * total + w - 1) // w)::bigint as deadline, slot * {block_rows} + k % {block_rows} as position
     from b join timed using (s, block), t"""
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def minhash_sql() -> str:
+    """The links by counting common shingles of each pair of different texts, and the smallest doc_id reached by following them."""
+    return rf"""
+    with recursive d as (select row_number() over () as rid, doc_id,
+      coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+    s as (select rid, doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])) end as ks from d),
+    t as (select min(rid) as t, ks, len(ks) as n from s where len(ks) > 0 group by ks),
+    x as (select t, n, unnest(ks) as k from t),
+    pairs as (select a.t as a, b.t as b from x a join x b on a.k = b.k and a.t < b.t group by a.t, b.t, a.n, b.n
+      having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    e as (select a, b from pairs union all select b, a from pairs),
+    reach as (select t as a, t as b from t union select reach.a, e.b from reach join e on reach.b = e.a),
+    of_row as (select s.rid, s.doc_id, len(s.ks)::bigint as n_shingles, t.t from s left join t on s.ks = t.ks),
+    least as (select r.a as t, min(o.doc_id) as m from reach r join of_row o on o.t = r.b group by r.a)
+    select doc_id, n_shingles, case when n_shingles = 0 then doc_id else m end as component_id,
+      doc_id is not distinct from case when n_shingles = 0 then doc_id else m end as kept
+    from of_row left join least using (t)"""
+
+
+def spelling_sql() -> str:
+    """Words by the same checksum, worked out byte by byte; neighbours by the patterns and the words that lack each letter."""
+    return f"""
+    with recursive c as (select list(c order by i) as crc from (select i, list_reduce(list_concat([i], range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    r as (select doc_id, run, count(*) as n from (select coalesce(doc_id::varchar, '') as doc_id,
+      unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) as run from documents) group by 1, 2),
+    h as (select run, n, regexp_extract_all(hex(doc_id || ':' || run), '..') as h from r),
+    b as (select run, n, [16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1 for x in h] as bytes from h),
+    k as (select run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) as crc from b, c),
+    w as (select case when crc % 97 = 0 then substr(run, 1, (crc % length(run))::bigint) || substr(run, (crc % length(run))::bigint + 2) else run end as word, n from k),
+    v as (select word, sum(n)::bigint as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+    cut as (select word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as pattern, substr(word, 1, i - 1) || substr(word, i + 1) as short
+      from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+    indel as (select distinct cut.word, cut.n, v.word as near, v.n as near_n from cut join v on v.word = cut.short),
+    near as (select a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.pattern = b.pattern and a.word <> b.word
+      union all select * from indel union all select near, near_n, word, n from indel),
+    ranked as (select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by near_n desc, encode(near)) as place from near),
+    f as (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 2 * v.n then near end as form,
+      case when near_n >= 2 * v.n then near_n end as form_n from v left join ranked on ranked.word = v.word and place = 1),
+    chain as (select word, word as root, 0 as step from f union all select chain.word, f.form, step + 1 from chain join f on f.word = chain.root where f.form is not null)
+    select f.word, n, n_near, form, form_n, root from f join (select word, max_by(root, step) as root from chain group by word) using (word)"""
+
+
+def search_sql(top: int = 10) -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    cut = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{term}')"
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, {cut} as ws from documents),
+    n as (select rid, doc_id, len(ws) as n from d where len(ws) > 0),
+    total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from n),
+    i as (select row_number() over () as iid, item_id, {cut} as ws from (select distinct item_id, text from benchmark)),
+    q as (select iid, item_id, term, count(*) as q from (select iid, item_id, unnest(ws) as term from i) group by 1, 2, 3),
+    p as (select rid, term, count(*) as tf from (select rid, unnest(ws) as term from d) where term in (select term from q) group by 1, 2),
+    df as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from p, total group by term),
+    s as (select iid, item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::bigint as score
+      from q join p using (term) join df using (term) join n using (rid), total group by iid, item_id, rid, doc_id)
+    select item_id, rank::int as rank, doc_id, score from (
+      select *, row_number() over (partition by iid order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= {top}"""
