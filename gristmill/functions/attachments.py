@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions import urls as U
 from gristmill.functions.columns import as_column, contains_any, let
+from gristmill.functions.script_calls import script_download
 
 # File kinds and query keys.
 DOCUMENTS = ["hwp", "hwpx", "pdf", "doc", "docx", "ppt", "pptx", "txt", "csv", "xlsx", "xls"]
@@ -125,10 +127,13 @@ def wiki_page_kind(url: Column | str) -> Column:
         F.lower(U.path(url)).rlike(r"/(load|opensearch)[^/]*\.php$|/(resources|skins)/"), "resource").otherwise("page")
 
 
-def script_target(href: Column | str) -> Column:
-    """The URL inside a ``javascript:`` link: a quoted path or address, or null."""
-    found = F.regexp_extract(as_column(href), r"(?i)^javascript:.*?['\"]((?:https?://|/)[^'\"]+)['\"]", 1)
-    return F.when(found != "", found)
+def script_download_of(script: Column | str, base: Column | str) -> Column:
+    """The address that a script downloads, against the URL of its page; empty if none. See ``script_calls.script_download``."""
+    @F.pandas_udf("string")
+    def found(scripts: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([script_download(x, y or "") for x, y in zip(scripts, bases, strict=True)], dtype="object")
+
+    return found(as_column(script), as_column(base))
 
 
 def page_url(url: Column, number: Column) -> Column:

@@ -1,190 +1,88 @@
-"""Reading HTML pages with the standard library's parser, in batches."""
+"""Reading HTML pages as trees, in batches."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-DROPPED = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template"}
-NOISE_CLASSES = ("ad", "ads", "banner", "menu", "sidebar", "breadcrumb", "share", "comment")
-BLOCKS = {"p", "li", "td", "th", "h1", "h2", "h3", "h4", "blockquote", "dd", "dt", "pre", "figcaption"}
-VOID = {"br", "img", "meta", "link", "input", "hr", "source", "area", "base", "col", "embed", "wbr"}
-MAIN = ("article", "main")
-#: What a place is worth as a title, before the length and words are judged.
-TITLE_WEIGHTS = {"og:title": 40, "meta": 30, "h1": 35, "h2": 15, "title": 25}
-GENERIC_TITLES = {"home", "index", "untitled", "main", "notice", "board", "list", "view"}
-#: Elements that name a value, and those that hold it.
-LABELS, CELLS = {"th", "dt"}, {"td", "dd"}
-TRAILS = {"breadcrumb", "location", "breadcrumbs"}
-DATE = re.compile(r"20[0-9]{2}[-./년]\s*[0-9]{1,2}[-./월]\s*[0-9]{1,2}")
-
-
-class Page(HTMLParser):
-    """Title candidates, links, block texts and main content of one page."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.hidden = self.main = 0
-        self.all_text: list[str] = []
-        self.main_text: list[str] = []
-        self.blocks: list[str] = []
-        self.block: list[str] | None = None
-        self.titles: list[tuple[str, str]] = []
-        self.held_title: list[str] | None = None
-        self.links: list[tuple[str, str]] = []
-        self.anchor: tuple[str, list[str]] | None = None
-        self.label = ""
-        self.cell: tuple[bool, list[str]] | None = None  # whether it is a label, and its texts
-        self.pairs: list[tuple[str, str]] = []
-        self.trail: list[str] = []
-        self.in_trail = 0
-        self.row: tuple[list[str], list[tuple[str, str]]] | None = None  # texts and links of a list entry
-        self.entries: list[tuple[str, str, str]] = []
-        self.feed(html)
-        self.close()
-        self._end_block()
-
-    def _end_block(self) -> None:
-        if self.block is not None and len(text := " ".join("".join(self.block).split())) > 1:
-            self.blocks.append(text)
-        self.block = None
-
-    def _end_anchor(self) -> None:
-        if self.anchor:
-            link = (self.anchor[0], " ".join("".join(self.anchor[1]).split()))
-            self.links.append(link)
-            if self.in_trail and link[1]:
-                self.trail.append(link[1])
-            if self.row:
-                self.row[1].append(link)
-        self.anchor = None
-
-    def _end_cell(self) -> None:
-        if self.cell:
-            text = " ".join("".join(self.cell[1]).split())
-            if self.cell[0]:
-                self.label = text.rstrip(" :：")
-            elif self.label:
-                self.pairs.append((self.label, text))
-                self.label = ""
-        self.cell = None
-
-    def _end_row(self) -> None:
-        if self.row and self.row[1]:
-            href, title = self.row[1][0]
-            self.entries.append((href, title, " ".join(" ".join(self.row[0]).split())))
-        self.row = None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = dict(attrs)
-        if tag == "meta" and a.get("content"):
-            name = (a.get("property") or a.get("name") or "").lower()
-            if name in ("og:title", "title", "twitter:title"):
-                self.titles.append(("og:title" if name == "og:title" else "meta", a["content"].strip()))
-        if tag == "a" and a.get("href"):
-            self._end_anchor()
-            self.anchor = (a["href"].strip(), [])
-        if tag in VOID:
-            return
-        classes = set((a.get("class") or "").lower().split())
-        if classes & TRAILS or self.in_trail:
-            self.in_trail += 1
-        if tag in LABELS | CELLS:
-            self._end_cell()
-            self.cell = (tag in LABELS, [])
-        if tag in ("tr", "li") and not self.hidden:
-            self._end_row()
-            self.row = ([], [])
-        noisy = tag in DROPPED or bool(classes & set(NOISE_CLASSES))
-        self.stack.append(tag + "!" * noisy)
-        self.hidden += noisy
-        self.main += tag in MAIN
-        if tag in ("title", "h1", "h2"):
-            self.held_title = []
-        if tag in BLOCKS:
-            self._end_block()
-            self.block = []
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self._end_anchor()
-        if self.held_title is not None and tag in ("title", "h1", "h2"):
-            self.titles.append((tag, " ".join("".join(self.held_title).split())))
-            self.held_title = None
-        if tag in BLOCKS:
-            self._end_block()
-        if tag in LABELS | CELLS:
-            self._end_cell()
-        if tag in ("tr", "li"):
-            self._end_row()
-        if any(x.rstrip("!") == tag for x in self.stack):
-            while self.stack:  # tags that were left open end here
-                top = self.stack.pop()
-                self.in_trail = max(0, self.in_trail - 1)
-                self.hidden -= top.endswith("!")
-                self.main -= top.rstrip("!") in MAIN
-                if top.rstrip("!") == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if self.held_title is not None:
-            self.held_title.append(data)
-        if self.anchor:
-            self.anchor[1].append(data)
-        if self.cell:
-            self.cell[1].append(data)
-        if self.row:
-            self.row[0].append(data)
-        if self.hidden or (self.stack and self.stack[-1] == "title"):
-            return
-        self.all_text.append(data)
-        if self.main:
-            self.main_text.append(data)
-        if self.block is not None and not self.anchor:
-            self.block.append(data)
-
-    def content(self) -> str:
-        """The text of the article or main part, else of the body, squeezed."""
-        main = " ".join(" ".join(self.main_text).split())
-        return main if len(main) >= 30 else " ".join(" ".join(self.all_text).split())
-
-    def title_candidates(self) -> list[tuple[str, str, int]]:
-        """(text, place, score) by falling score, each text once at its best; 20 at most."""
-        best: dict[str, tuple[str, str, int]] = {}
-        for place, text in self.titles:
-            text = " ".join(text.split())
-            flat = re.sub(r"[\W_]+", "", text).lower()
-            if not flat:
-                continue
-            score = TITLE_WEIGHTS[place] + (10 if 8 <= len(text) <= 80 else -10) - 30 * (flat in GENERIC_TITLES)
-            if flat not in best or best[flat][2] < score:
-                best[flat] = (text, place, score)
-        return sorted(best.values(), key=lambda x: (-x[2], x[0]))[:20]
-
-    def posts(self, base: str) -> list[tuple[str, str, str]]:
-        """(url, title, date) of list entries that have a link and a date."""
-        found = [(href, title, DATE.search(text)) for href, title, text in self.entries]
-        return [(urljoin(base, href), title, date[0]) for href, title, date in found if date and title]
-
-    def absolute_links(self, base: str) -> list[tuple[str, str]]:
-        """Links to other pages with their texts."""
-        return [(urljoin(base, href), text) for href, text in self.links
-                if not href.lower().startswith(("#", "javascript:", "mailto:", "tel:"))]
-
-
-def read_pages(pages: DataFrame, rows_of: Callable[[int, str, str], list[tuple]], schema: str) -> DataFrame:
-    """``rows_of`` (page_id, url, html) over all pages; null html is an empty page."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+from gristmill.functions.dom import Tree
+
+DROPPED = ["script", "style", "nav", "header", "footer", "aside", "noscript", "template", "title"]
+NOISE_CLASSES = {"ad", "ads", "banner", "menu", "sidebar", "breadcrumb", "share", "comment"}
+BLOCKS = {"p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt", "pre", "figcaption"}
+
+
+def blocks(tree: Tree) -> list[str]:
+    """The texts of block elements in order, each without the blocks inside it, links and what is no content; one character is no text."""
+    noisy = [k for k in range(1, len(tree)) if NOISE_CLASSES & {x.lower() for x in tree.classes(k)}]
+    dropped = tree.marked([*tree.within(0, [*DROPPED, "a"]), *noisy])
+    held: dict[int, list[str]] = {}
+    for piece, node in zip(tree.pieces, tree.owner, strict=True):
+        if not dropped[node]:
+            block = next((k for k in (node, *tree.ancestors(node)) if tree.tag[k] in BLOCKS), None)
+            if block is not None:
+                held.setdefault(block, []).append(piece)
+    return [text for pieces in held.values() if len(text := " ".join(" ".join(pieces).split())) > 1]
+
+
+def read_pages(pages: DataFrame, rows_of: Callable[[int, str, Tree], list[tuple]], schema: str) -> DataFrame:
+    """``rows_of`` (page_id, url, tree) over all pages, each parsed once; null html is an empty page."""
+    names = [x.strip().split(" ")[0] for x in _top_level(schema)]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [row for p in batch.itertuples(index=False) for row in rows_of(p.page_id, p.url or "", p.html or "")]
+            out = [row for p in batch.itertuples(index=False) for row in rows_of(p.page_id, p.url or "", Tree(p.html or ""))]
             yield pd.DataFrame(out, columns=names)
 
     return pages.select("page_id", "url", "html").mapInPandas(read, schema)
+
+
+def _top_level(schema: str) -> list[str]:
+    """The fields of a schema string; commas inside ``<>`` part none."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+#: What ``facts`` reads from a page, by name, as (type, function of tree and URL).
+def _facts() -> dict[str, tuple[str, Callable[[Tree, str], object]]]:
+    from gristmill.functions import page_parts as P
+
+    def named(names: str, rows: list[tuple]) -> list[dict]:
+        return [dict(zip(names.split(), row, strict=True)) for row in rows]
+
+    return {
+        "content": ("string", lambda t, u: P.content(t)),
+        "blocks": ("array<string>", lambda t, u: blocks(t)),
+        "title": ("struct<title string, stage string>", lambda t, u: dict(zip(("title", "stage"), P.title(t), strict=True))),
+        "titles": ("array<struct<title string, place string, score int, reasons array<string>>>",
+                   lambda t, u: named("title place score reasons", P.scored_titles(t))),
+        "attachments": ("array<struct<url string, name string, reason string, unsure boolean>>", lambda t, u: named("url name reason unsure", P.attachments(t, u))),
+        "links": ("array<struct<url string, anchor string, in_menu boolean>>", lambda t, u: named("url anchor in_menu", P.links(t, u))),
+        "posts": ("array<struct<url string, title string, date string>>", lambda t, u: named("url title date", P.posts(t, u))),
+        "pairs": ("array<struct<label string, value string>>", lambda t, u: named("label value", P.labelled_pairs(t))),
+        "trail": ("array<string>", lambda t, u: P.trail(t)),
+        "menu": ("array<struct<depth int, label string, url string>>", lambda t, u: named("depth label url", P.menu(t, u))),
+        "fast": ("struct<title string, content string, place string, day string, links array<string>, ok boolean>", lambda t, u: P.fast_parse(t, u)),
+        "nodes": ("array<struct<node int, parent int, depth int, tag string, id string, classes array<string>, first int, last int, text string>>",
+                  lambda t, u: named("node parent depth tag id classes first last text", t.flat())),
+    }
+
+
+def facts(pages: DataFrame, *names: str) -> DataFrame:
+    """(page_id, url, one column for each name): what is asked of each page, from one parse of it.
+
+    Names are those of ``_facts``: content, blocks, title, titles, attachments,
+    links, posts, pairs, trail, menu, fast, nodes. A null or blank page has no
+    title, links or nodes and an empty content.
+    """
+    wanted = [(name, *_facts()[name]) for name in names]
+    schema = ", ".join(["page_id long", "url string", *(f"{name} {kind}" for name, kind, _ in wanted)])
+    return read_pages(pages, lambda i, url, tree: [(i, url, *(f(tree, url) for _, _, f in wanted))], schema)

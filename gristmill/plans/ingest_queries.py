@@ -314,9 +314,30 @@ def list_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "n", A.page_url(F.col("url"), F.col("n")).alias("next_url"))
 
 
-@query("script_links", """
-    select event_id, case when event_type = 'click' then '/file/' || user_id::varchar || '.do' when event_type = 'view' then 'https://a.kr/' || user_id::varchar end as target from events""")
+#: Forms of scripts that a link may hold, with what each downloads; {u} is a user, {e} an event.
+SCRIPT_FORMS = [
+    ("javascript:downloadFile('/attach/{u} a.pdf', 'name', 'pdf');", "https://a.kr/attach/{u}%20a.pdf"),
+    ("javascript:fn_egov_downFile('F{u}', '{e}')", "https://a.kr/cmm/fms/FileDown.do?atchFileId=F{u}&fileSn={e}"),
+    ("cfBrctFileDownload('BRCT','{u} 1')", "https://a.kr/nsbms/comn/fileMng/fileDownload.do?bizDvCd=BRCT&fileNo=0&fileSeq={u}%201"),
+    ("cfComnFileDownload('B', '{u}', '{e}')", "https://a.kr/nsbms/comn/fileMng/fileDownload.do?bizDvCd=B&fileNo={u}&fileSeq={e}"),
+    ("javascript:goDownload('n{u}.hwp','s{e}.hwp','/data/f')", "https://a.kr/emwp/jsp/ofr/FileDownNew.jsp?user_file_nm=n{u}.hwp&sys_file_nm=s{e}.hwp&file_path=/data/f"),
+    ("javascript:downItem('12^o{u}.hwp^{e}.hwp^2018')",
+     "https://a.kr/fileDownload.do?fileGubun=BBS&gubun=BBS&fileSize=12&orgfilename=o{u}.hwp&fileName={e}.hwp&filePath=2018&type="),
+    ("fileDown('FILE_{u}', '{e}', 'B1'); return false;", "https://a.kr/common/cmm/fms/FileDown.do?atchFileId=FILE_{u}&fileSn={e}&bbsId=B1"),
+    ("location.href = '/download/{u}.do?fileId={e}'", "https://a.kr/download/{u}.do?fileId={e}"),
+    ("javascript:go(check('x'), \"/bbs/file/{u}.hwp\")", "https://a.kr/bbs/file/{u}.hwp"),
+    ("javascript:fileDown('{e}')", ""), ("javascript:void(0)", ""), ("alert('a.pdf')", ""), ("files/{u}.pdf", ""), ("./files/{u}.pdf", "https://a.kr/b/files/{u}.pdf"),
+]
+
+
+def _script_cases(which: int) -> str:
+    return " ".join(f"when {k} then '" + form[which].replace("'", "''").replace("{u}", "' || user_id::varchar || '").replace("{e}", "' || event_id::varchar || '") + "'"
+                    for k, form in enumerate(SCRIPT_FORMS))
+
+
+@query("script_links", f"select event_id, case event_id % {len(SCRIPT_FORMS)} {_script_cases(1)} end as target from events")
 def script_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    href = (F.when(F.col("event_type") == "click", F.concat(F.lit("javascript:fn_down('/file/"), F.col("user_id"), F.lit(".do', 1)")))
-            .when(F.col("event_type") == "view", F.concat(F.lit('JavaScript: open("https://a.kr/'), F.col("user_id"), F.lit('")'))).otherwise("javascript:void(0)"))
-    return table(spark, sf_dir, "events").select("event_id", A.script_target(href).alias("target"))
+    """What the scripts of links download, each form of call in turn."""
+    script = F.coalesce(*[F.when(F.col("event_id") % len(SCRIPT_FORMS) == k, F.replace(F.replace(F.lit(form), F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{e}"), F.col("event_id").cast("string")))
+                          for k, (form, _) in enumerate(SCRIPT_FORMS)])
+    return table(spark, sf_dir, "events").select("event_id", A.script_download_of(script, F.lit("https://a.kr/b/c.do")).alias("target"))

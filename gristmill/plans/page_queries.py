@@ -7,17 +7,75 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import html as H
 from gristmill.functions import urls as U
+from gristmill.functions.columns import as_column
 from gristmill.plans.registry import query
 from gristmill.sources.tables import table
 
+#: Pages of a site, by the priority of an order: what each kind of page looks like. {k}, {c}, {d}, {e} and {s} stand for
+#: key, customer, day (two forms) and status of the order.
+_MENU = ('<header><ul class="gnb"><li><a href="/a">Sector A</a><ul><li><a href="/a/b">Sector B</a></li></ul></li><li><a href="/guide.pdf">Guide</a></li></ul></header>'
+         '<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/b">Board {s}</a> &gt; <span>Orders</span></div>')
+SITE = {
+    "1": '<div id="contents" class="board_view"><h4>Order {k} notice 작성자 c{c} 작성일 {e}</h4><table><tr><th>Author :</th><td>c{c}</td><th>Date</th><td>{d}</td></tr>'
+         '<tr><th>첨부파일</th><td><a href="/cmm/fms/FileDown.do?atchFileId=F{k}&amp;fileSn=0">plan{k}.hwp [29.0 KB]</a></td></tr></table></div>',
+    "2": '<div id="content"><h3 class="Subject">[{s}] Order {k}</h3><p>Text of {c}.</p><ul class="file_list"><li><a href="javascript:fn_egov_downFile(\'F{k}\', \'1\')">b{k}.pdf</a></li></ul></div>',
+    "3": '<main><h2>Plain order {k}</h2><p>Sent on {d}.</p><button onclick="fileDown(\'FILE_{k}\',\'2\'); return false">c.xlsx download</button><a href="/b/list.do">List</a></main>',
+    "4": '<div class="article"><p>No heading, customer {c}.</p><a href="/preview.jsp?file=x{k}.hwp">x{k}.hwp</a></div>',
+    "5": '<table><tr><td><a href="view.do?id={k}">Post {k}</a></td><td>{d}</td></tr><tr><td><a href="view.do?id=0">No date</a></td><td>-</td></tr></table>',
+}
+
+
+def _filled(template: str) -> F.Column:
+    date = F.add_months("o_orderdate", 240)  # pages are read for days of this century
+    given = {"k": F.col("o_orderkey").cast("string"), "c": F.col("o_custkey").cast("string"), "d": F.date_format(date, "yyyy.MM.dd"),
+             "e": F.date_format(date, "yyyy-MM-dd"), "s": F.col("o_orderstatus")}
+    html = F.lit(template)
+    for name, value in given.items():
+        html = F.replace(html, F.lit("{" + name + "}"), value)
+    return html
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a site for each order, as (page_id, url, html): three kinds of detail pages with files, one with a preview only, one list."""
+    kind = F.substring("o_orderpriority", 1, 1)
+    body = F.coalesce(*[F.when(kind == name, _filled(_MENU + template)) for name, template in SITE.items()], F.lit(""))
+    head = F.concat(F.lit("<html><head><title>Site</title>"), F.when(kind == "4", _filled('<meta property="og:title" content="Shared order {k}">')).otherwise(""))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://a.kr/bbs/list.do?no="), as_column("o_orderkey").cast("string")).alias("url"),
+        F.concat(head, F.lit("</head><body>"), body, F.lit("</body></html>")).alias("html"))
+
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-@query("page_main_content")
+def _plain(html: str) -> str:
+    """SQL: the text of a piece of HTML."""
+    bare = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    for name, c in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{name}', '{c}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+_DAY = "strftime(o_orderdate + interval 20 years, '%Y.%m.%d')"
+_KIND = "left(o_orderpriority, 1)"
+
+
+@query("page_nodes", """
+    with p as (select page_id, regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g') as html from pages),
+    t as (select page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) as tag from p)
+    select page_id, tag, count(*) as n from t group by 1, 2""")
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes of each tag the tree of a page has."""
+    nodes = H.facts(pages(spark, sf_dir), "nodes").select("page_id", F.explode("nodes.tag").alias("tag"))
+    return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("page_main_content", f"select page_id, {_plain(_ARTICLE)} as content, length({_plain(_ARTICLE)})::int as n_chars from pages")
 def page_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.read_pages(pages(spark, sf_dir), lambda i, u, h: [(i, (c := H.Page(h).content()), len(c))], "page_id long, content string, n_chars int")
+    return H.facts(pages(spark, sf_dir), "content").select("page_id", "content", F.length("content").alias("n_chars"))
 
 
 @query("page_block_texts")
@@ -25,14 +83,37 @@ def page_block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of block elements, in order, those over five characters that no other kept block contains."""
     from gristmill.operators.duplicates import contained_blocks_dropped
 
-    blocks = H.read_pages(pages(spark, sf_dir), lambda i, u, h: [(i, H.Page(h).blocks)], "page_id long, blocks array<string>")
+    blocks = H.facts(pages(spark, sf_dir), "blocks")
     return blocks.select("page_id", F.posexplode(contained_blocks_dropped(F.col("blocks"))).alias("block_no", "block"))
 
 
-@query("page_title_candidates")
+@query("page_title_candidates", rf"""
+    with p as (select page_id, {_plain(_H1)} as t, {_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as tag, {_plain(_ARTICLE)} as body from pages),
+    f as (select *, regexp_replace(lower(t), '[\s:：ㆍ·\[\]()-]', '', 'g') as k, regexp_replace(lower(tag), '[\s:：ㆍ·\[\]()-]', '', 'g') as kt,
+      left(case when regexp_matches(body, '^.*?[.!?。！？]\s') then trim(regexp_extract(body, '^(.*?[.!?。！？])\s', 1)) else body end, 160) as first from p),
+    c as (select page_id, t as title, 'h1' as place, k, 70 as score, ['inside_post_area', 'heading_or_title'] as reasons, first from f union all
+      select page_id, tag, 'title', kt, 55, ['heading_or_title', 'semantic_class_or_id'], first from f where kt <> k),
+    j as (select *, length(title) not between 4 and 160 as bad, (length(k) <= 3 and not regexp_matches(k, '[0-9]')) as menu,
+      regexp_replace(lower(first), '[\s:：ㆍ·\[\]()-]', '', 'g') = k as same, len(string_split(title, '>')) > 2 as crumb from c where k <> ''),
+    s as (select *, score - 20 * bad::int - 30 * menu::int - 10 * same::int - 20 * crumb::int as final from j)
+    select page_id, (row_number() over (partition by page_id order by final desc, place) - 1)::int as rank, title, place, final::int as score,
+      array_to_string(list_concat(reasons, list_filter([case when bad then 'bad_length' end, case when menu then 'site_or_menu_only' end,
+        case when same then 'same_as_body_first_sentence' end, case when crumb then 'breadcrumb' end], lambda x: x is not null)), ',') as reasons from s""")
 def page_title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.read_pages(pages(spark, sf_dir), lambda i, u, h: [(i, k, *c) for k, c in enumerate(H.Page(h).title_candidates())],
-                        "page_id long, rank int, title string, place string, score int")
+    """Titles that a page may have, by score, with the reasons of each."""
+    found = H.facts(pages(spark, sf_dir), "titles").select("page_id", F.posexplode("titles").alias("rank", "t"))
+    return found.select("page_id", "rank", "t.title", "t.place", "t.score", F.array_join("t.reasons", ",").alias("reasons"))
+
+
+@query("page_title_stages", f"""
+    select o_orderkey as page_id, case {_KIND} when '1' then 'Order ' || o_orderkey || ' notice' when '2' then '[' || o_orderstatus || '] Order ' || o_orderkey
+      when '3' then 'Plain order ' || o_orderkey when '4' then 'Shared order ' || o_orderkey else 'Site' end as title,
+      case {_KIND} when '1' then 'place' when '2' then 'heading_class' when '3' then 'heading' when '4' then 'meta' else 'tag' end as stage from orders
+    union all select -1 - page_id, {_plain(_H1)}, 'heading' from pages""")
+def page_title_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each page with the stage that found it; given pages have negative numbers."""
+    given = pages(spark, sf_dir).withColumn("page_id", -1 - F.col("page_id"))
+    return H.facts(site_pages(spark, sf_dir).unionByName(given.select("page_id", "url", "html")), "title").select("page_id", "title.*")
 
 
 @query("page_title_tag", "select page_id, coalesce(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') as title, len(regexp_extract_all(html, '<h1[ >]'))::int as n_h1 from pages")
@@ -41,10 +122,23 @@ def page_title_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.regexp_count("html", F.lit("<h1[ >]")).alias("n_h1"))
 
 
-@query("page_links")
+@query("page_links", """
+    with l as (select page_id, url, unnest(range(0, len(h)))::int as link_no, unnest(h) as href, unnest(t) as anchor from (
+      select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as t from pages))
+    select page_id, link_no, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || href as url, anchor, true as in_menu from l""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.read_pages(pages(spark, sf_dir), lambda i, u, h: [(i, k, *x) for k, x in enumerate(H.Page(h).absolute_links(u))],
-                        "page_id long, link_no int, url string, anchor string")
+    """Links to other pages, with their texts and whether they stand in a menu."""
+    found = H.facts(pages(spark, sf_dir), "links").select("page_id", F.posexplode("links").alias("link_no", "l"))
+    return found.select("page_id", "link_no", "l.*")
+
+
+@query("page_link_places", f"""
+    with n as (select o_orderkey as page_id, 3 as n_menu, 2 + case {_KIND} when '5' then 2 when '2' then 0 else 1 end as n_content from orders)
+    select * from n""")
+def page_link_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links of a page stand in menus, and how many elsewhere."""
+    return H.facts(site_pages(spark, sf_dir), "links").select(
+        "page_id", F.size(F.filter("links", lambda x: x["in_menu"])).alias("n_menu"), F.size(F.filter("links", lambda x: ~x["in_menu"])).alias("n_content"))
 
 
 @query("page_href_counts", """
@@ -56,26 +150,41 @@ def page_href_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("href").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("page_fast_parse")
+@query("page_fast_parse", f"""
+    with p as (select page_id, {_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title, {_plain(_ARTICLE)} as body,
+      {_plain("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<script>.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g')")} as whole,
+      len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)">', 1))) as n from pages)
+    select page_id, title, case when length(body) >= 30 then body else whole end as content, case when length(body) >= 30 then 'article' else 'body' end as place,
+      '' as day, n::int as n_links, true as ok from p""")
 def page_fast_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, content, first date and links of a page; ok with a title, enough content or a date."""
-
-    def parse(i: int, url: str, html: str) -> list[tuple]:
-        page = H.Page(html)
-        titles, content = page.title_candidates(), page.content()
-        date = H.DATE.search(content)
-        title = titles[0][0] if titles else ""
-        links = page.absolute_links(url)
-        return [(i, title, date[0] if date else None, len(content), len(links), bool(title or len(content) >= 30 or date))]
+    """Title, content, first day and links of a page; ok with a title, enough content or a day."""
+    return H.facts(pages(spark, sf_dir), "fast").select("page_id", "fast.title", "fast.content", "fast.place", "fast.day", F.size("fast.links").alias("n_links"), "fast.ok")
 
-    return H.read_pages(pages(spark, sf_dir), parse, "page_id long, title string, date string, n_chars int, n_links int, ok boolean")
 
-
-@query("page_attachments")
+@query("page_attachments", f"""
+    select o_orderkey as page_id, 'https://a.kr' || case {_KIND} when '1' then '/cmm/fms/FileDown.do?atchFileId=F' || o_orderkey || '&fileSn=0'
+        when '2' then '/cmm/fms/FileDown.do?atchFileId=F' || o_orderkey || '&fileSn=1' else '/common/cmm/fms/FileDown.do?atchFileId=FILE_' || o_orderkey || '&fileSn=2' end as url,
+      case {_KIND} when '1' then 'plan' || o_orderkey || '.hwp' when '2' then 'b' || o_orderkey || '.pdf' else 'c.xlsx' end as name,
+      case {_KIND} when '1' then 'href' when '2' then 'javascript' else 'onclick' end as reason, {_KIND} <> '1' as unsure from orders where {_KIND} < '4'""")
 def page_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that look like files, with extension and name."""
-    links = H.read_pages(pages(spark, sf_dir), lambda i, u, h: [(i, *x) for x in H.Page(h).absolute_links(u)], "page_id long, url string, anchor string")
-    return links.where(U.is_downloadable("url")).select("page_id", "url", F.when(F.col("anchor") == "", F.element_at(F.split("url", "/"), -1)).otherwise(F.col("anchor")).alias("name"), U.extension("url").alias("extension"))
+    """Files that pages offer: by links, scripts and click handlers; previews and files in menus are none."""
+    given = pages(spark, sf_dir).select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    return H.facts(site_pages(spark, sf_dir).unionByName(given), "attachments").select("page_id", F.inline("attachments"))
+
+
+@query("page_menu_tree", """
+    with i as (select unnest([{'place': 0, 'depth': 0, 'label': 'Sector A', 'url': '/a'}, {'place': 1, 'depth': 1, 'label': 'Sector B', 'url': '/a/b'},
+      {'place': 2, 'depth': 0, 'label': 'Guide', 'url': '/guide.pdf'}]) as i),
+    nav as (select page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(url, '^([a-z]+://[^/]*)', 1) as root from pages),
+    l as (select page_id, root, unnest(range(0, len(h)))::int as place, unnest(h) as href, unnest(t) as label from (
+      select page_id, root, regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2) as t from nav))
+    select o_orderkey as page_id, i.place, i.depth, i.label, 'https://a.kr' || i.url as url from orders, i
+    union all select -1 - page_id, place, 0, label, root || href from l""")
+def page_menu_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each page's menu with their depth."""
+    given = pages(spark, sf_dir).select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    found = H.facts(site_pages(spark, sf_dir).unionByName(given), "menu").select("page_id", F.posexplode("menu").alias("place", "m"))
+    return found.select("page_id", "place", "m.*")
 
 
 @query("site_descendants", """
@@ -97,24 +206,16 @@ def site_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
-def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detail page with labelled values and a list page for each order, as (page_id, url, html)."""
-    date = F.date_format(F.add_months("o_orderdate", 240), "yyyy.MM.dd")  # lists are read for dates of this century
-    detail = F.concat(F.lit('<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/b">Board '), F.col("o_orderstatus"),
-                      F.lit('</a></div><h2>T</h2><table><tr><th>Author :</th><td>c'), F.col("o_custkey"), F.lit("</td><th>Date</th><td>"), date,
-                      F.lit('</td></tr></table><ul><li><a href="view.do?id='), F.col("o_orderkey"), F.lit('">Post '), F.col("o_orderkey"),
-                      F.lit("</a> <span>"), date, F.lit('</span></li><li><a href="/none">No date</a></li></ul>'))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://a.kr/bbs/list.do").alias("url"), detail.alias("html"))
-
-
-@query("page_labelled_pairs", """
-    select o_orderkey as page_id, 'Author' as label, 'c' || o_custkey::varchar as value from orders union all select o_orderkey, 'Date', strftime(o_orderdate + interval 20 years, '%Y.%m.%d') from orders""")
+@query("page_labelled_pairs", f"""
+    select o_orderkey as page_id, unnest(['Author', 'Date', '첨부파일']) as label, unnest(['c' || o_custkey::varchar, {_DAY}, 'plan' || o_orderkey || '.hwp [29.0 KB]']) as value
+    from orders where {_KIND} = '1' union all select o_orderkey, 'Post ' || o_orderkey, {_DAY} from orders where {_KIND} = '5'
+    union all select o_orderkey, 'No date', '-' from orders where {_KIND} = '5'""")
 def page_labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of a detail page with their labels."""
-    return H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, *p) for p in H.Page(h).pairs], "page_id long, label string, value string")
+    """Values of tables and definition lists with their labels."""
+    return H.facts(site_pages(spark, sf_dir), "pairs").select("page_id", F.inline("pairs"))
 
 
-@query("page_post_dates", "select o_orderkey as page_id, (o_orderdate + interval 20 years)::date as day from orders")
+@query("page_post_dates", f"select o_orderkey as page_id, (o_orderdate + interval 20 years)::date as day from orders where {_KIND} = '1'")
 def page_post_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of a post by its label."""
     from gristmill.functions.dates import parse_date
@@ -123,16 +224,18 @@ def page_post_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.groupBy("page_id").agg(F.min(parse_date("value").cast("date")).alias("day"))
 
 
-@query("board_posts", """
-    select o_orderkey as page_id, 'https://a.kr/bbs/view.do?id=' || o_orderkey::varchar as url, 'Post ' || o_orderkey::varchar as title, strftime(o_orderdate + interval 20 years, '%Y.%m.%d') as date from orders""")
+@query("board_posts", f"""
+    select o_orderkey as page_id, 'https://a.kr/bbs/view.do?id=' || o_orderkey::varchar as url, 'Post ' || o_orderkey::varchar as title,
+      strftime(o_orderdate + interval 20 years, '%Y-%m-%d') as date from orders where {_KIND} = '5'""")
 def board_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of list pages that have a link and a date."""
-    return H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, *p) for p in H.Page(h).posts(u)], "page_id long, url string, title string, date string")
+    return H.facts(site_pages(spark, sf_dir), "posts").select("page_id", F.inline("posts"))
 
 
-@query("page_breadcrumbs", "select 'Home > Board ' || o_orderstatus as trail, count(*) as n from orders group by 1")
+@query("page_breadcrumbs", "select 'Board ' || o_orderstatus || ' > Orders' as trail, count(*) as n from orders group by 1")
 def page_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trails = H.read_pages(board_pages(spark, sf_dir), lambda i, u, h: [(i, " > ".join(H.Page(h).trail))], "page_id long, trail string")
+    """Trails without their home page, with the number of pages that have them."""
+    trails = H.facts(site_pages(spark, sf_dir), "trail").select(F.array_join("trail", " > ").alias("trail"))
     return trails.groupBy("trail").agg(F.count(F.lit(1)).alias("n"))
 
 

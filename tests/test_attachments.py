@@ -31,7 +31,6 @@ def test_keys_and_boards(spark):
                   "https://a.kr/x", "https://b.kr/bbs/b1/view.do") == [True, True, True, False, False, False]
     assert values(spark, lambda c: A.page_url(c, F.lit(7)), "https://a.kr/l?page=2&x=1", "https://a.kr/l#t", "https://a.kr/l?x=1") == [
         "https://a.kr/l?page=7&x=1", "https://a.kr/l?page=7", "https://a.kr/l?x=1&page=7"]
-    assert values(spark, A.script_target, "javascript:go('/a/b.do')", "javascript:void(0)", "/plain") == ["/a/b.do", None, None]
 
 
 def test_titles_and_failures(spark):

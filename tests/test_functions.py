@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import chunks as C
 from gristmill.functions import dates as D
-from gristmill.functions import html as H
 from gristmill.functions import texts as X
 from gristmill.functions import urls as U
 from gristmill.functions.columns import is_blank, select_existing, where_if_present
@@ -77,16 +76,6 @@ def test_chunks(spark):
     assert C.segment_chunks(["a" * 600, "b" * 600, "c" * 600]) == [" ".join([x * 600 for x in "abc"])]
 
 
-def test_html():
-    page = H.Page('<html><head><title>My long title here</title><meta property="og:title" content="Other title"></head><body><nav><a href="/n">nav</a></nav>'
-                  '<article><h1>My long title here</h1><p>One &amp; two<script>x</script></p><p>Three <a href="mailto:a@b">m</a></p></article></body></html>')
-    assert page.content() == "My long title here One & two Three m"
-    assert page.title_candidates()[0][0] in ("Other title", "My long title here") and len(page.title_candidates()) == 2
-    assert page.absolute_links("https://a.kr/x/") == [("https://a.kr/n", "nav")]
-    assert "One & two" in page.blocks
-    assert H.Page("").content() == "" and H.Page("<p>open <b>tags").blocks == ["open tags"]
-
-
 def test_duplicates_and_history(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, ""), (5, None), (6, "a")], "id int, k string")
     assert [tuple(r) for r in O.duplicate_groups(df, "k", "id").collect()] == [("a", 3, 1, [2, 6])]
