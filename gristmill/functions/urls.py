@@ -41,6 +41,19 @@ PRIMARY_KEYS = [
     "nttid", "bbsid", "articleid", "boardid", "searchlctrekey", "seq", "idx", "id", "num", "no", "ntt_no", "nttno",
     "postid", "docid", "progrmsn",
 ]
+# Pages of one article, whose parameters name it whatever else a URL carries.
+DETAIL_NAMES = {"bd_selectbbs.do": "BD_selectBbs.do", "bd_selectbeffatinfoothbcbbs.do": "BD_selectBbs.do",
+                "bd_selectnftcbbsdetail.do": "BD_selectNftcBbsDetail.do", "selectboarddetail.do": "selectBoardDetail.do"}
+BOARD_DETAIL_KEYS = ["q_bbscode", "q_bbscttsn"]
+NOTICE_DETAIL_KEYS = ["q_nftcbbscode", "q_nftcbbsmgtno"]
+ARTICLE_KEYS = ["bbsid", "nttid"]
+CONTEXT_KEYS = ["deptid", "key", "menu", "menuid", "menuno", "mnno"]
+MORE_IDENTITY_KEYS = ["bbscode", "bbscttsn", "bbsmgtno", "mgtno", "nftcbbscode", "nftcbbsmgtno"]
+IDENTITY_ENDINGS = ["id", "no", "num", "seq", "sn", "mgtno", "code"]
+DETAIL_ENDINGS = [".do", ".jsp", ".php", ".asp", ".aspx"]
+DETAIL_WORDS = ["detail", "view", "article", "bbs", "board", "read", "select"]
+ARTICLE_PLACES = ["/bbs/", "/board/", "/cop/bbs/"]
+ARTICLE_PAGES = ["view.do", "selectboardarticle.do", "selectboarddetail.do", "selectnoticearticle.do", "selectnoticedetail.do"]
 # Path and word hints.
 LIST_PATHS = ["list.do", "alllist.do", "eventlist.do", "list.asp", "list.jsp", "list.php", "list.html", "deptgdc.do",
               "selectbbsnttlist.do"]
@@ -85,9 +98,14 @@ def query(url: Column | str) -> Column:
     return F.regexp_extract(as_column(url), _PARTS, 4)
 
 
+def ascii_host(name: Column) -> Column:
+    """A host as it is in the name system: labels of other letters in Punycode; what can't be written so stays."""
+    return F.when(name.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name), name)).otherwise(name)
+
+
 def bare_host(url: Column | str) -> Column:
-    """Host without ``www.`` and default ports."""
-    named = F.regexp_replace(host(url), r"^www\.", "")
+    """Host in ASCII, without ``www.`` and default ports."""
+    named = F.regexp_replace(ascii_host(host(url)), r"^www\.", "")
     return F.when(scheme(url) == "http", F.regexp_replace(named, ":80$", "")).otherwise(F.regexp_replace(named, ":443$", ""))
 
 
@@ -153,17 +171,68 @@ def canonical_crawl_url(url: Column | str) -> Column:
     return let(absolute(url), key)
 
 
-def canonical_dedup_url(url: Column | str) -> Column:
-    """Key of a document: path and value case kept, page and search parameters dropped, repeated pairs once."""
-    drop = [*DEDUP_PAGE_KEYS, *TRACKING_KEYS, *DEDUP_VOLATILE_KEYS]
+def _in_one(key: Column, lists: list[str]) -> Column:
+    """Whether a parameter's name is listed, with or without ``q_`` in front."""
+    return key.isin(lists) | F.regexp_replace(key, "^q_(?=.)", "").isin(lists)
+
+
+def is_identity_key(key: Column) -> Column:
+    """Whether a parameter names an article: a primary key, or an ending like ``no``; menus, pages and sessions don't."""
+    plain = F.regexp_replace(key, "^q_(?=.)", "")
+    none = _in_one(key, [*CONTEXT_KEYS, *DEDUP_PAGE_KEYS, *TRACKING_KEYS, *DEDUP_VOLATILE_KEYS])
+    return (key != "") & ~none & (_in_one(key, PRIMARY_KEYS) | plain.isin(MORE_IDENTITY_KEYS) | plain.rlike(f"({'|'.join(IDENTITY_ENDINGS)})$"))
+
+
+def _discarded_key(key: Column) -> Column:
+    """Whether a parameter never tells documents apart: tracking, sessions, pages and searches."""
+    plain = F.regexp_replace(key, "^q_(?=.)", "")
+    return (plain.startswith("utm_") | _in_one(key, [*DEDUP_PAGE_KEYS, *TRACKING_KEYS, *DEDUP_VOLATILE_KEYS])
+            | ((key.startswith("search") | plain.startswith("search")) & ~is_identity_key(key)))
+
+
+def identity(url: Column | str) -> Column:
+    """struct<stable, suffix, place, pairs> of a full URL: what tells its document from others.
+
+    ``pairs`` are the parameters that count, each once, in their order; ``place``
+    is the decoded path, or one name for pages that show the same article by
+    different paths; ``stable`` says that some parameters alone name the article.
+    """
+    full = as_column(url)
+    place, pairs = F.lower(F.trim(path(full))), query_pairs(full)
+    suffix = F.element_at(F.split(F.regexp_replace(place, "/+$", ""), "/"), -1)
+    given = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+
+    def has(keys: list[str]) -> Column:
+        return F.size(F.array_intersect(given, F.array(*map(F.lit, keys)))) == len(keys)
+
+    def listed(keys: list[str]) -> Column:
+        return F.array(*map(F.lit, keys))
+
+    named = suffix.isin(list(DETAIL_NAMES))
+    shaped = named | (suffix.rlike(f"({'|'.join(x.replace('.', '[.]') for x in DETAIL_ENDINGS)})$") & contains_any(place, DETAIL_WORDS))
+    naming = F.filter(given, is_identity_key)
+    own = F.when(shaped & (F.size(naming) >= 2) & F.forall(given, lambda k: is_identity_key(k) | _discarded_key(k)), naming).otherwise(F.array().cast("array<string>"))
 
-    def lasting(p: Column) -> Column:
-        plain = F.regexp_replace(p["key"], "^q_", "")
-        return ~p["key"].startswith("utm_") & ~plain.isin(drop) & (~plain.startswith("search") | plain.isin(PRIMARY_KEYS))
+    def made(own: Column) -> Column:
+        article = (suffix == "selectboarddetail.do") & has(ARTICLE_KEYS)
+        stable = (named & (has(BOARD_DETAIL_KEYS) | has(NOTICE_DETAIL_KEYS))) | article | (F.size(own) > 0)
+        allowed = (F.when(suffix == "selectboarddetail.do", listed(ARTICLE_KEYS)).when(has(NOTICE_DETAIL_KEYS), listed(NOTICE_DETAIL_KEYS))
+                   .when(F.size(own) > 0, own).otherwise(listed(BOARD_DETAIL_KEYS)))
+        board = F.array_contains(given, "nttid") & contains_any(place, ARTICLE_PLACES) & suffix.isin(ARTICLE_PAGES)
+        kept = F.filter(pairs, lambda p: ~_discarded_key(p["key"]) & (~stable | F.array_contains(allowed, p["key"])) & (~board | p["key"].isin(ARTICLE_KEYS)))
+        name = F.coalesce(*[F.when(suffix == k, F.lit(v)) for k, v in DETAIL_NAMES.items()])
+        return F.struct(stable.alias("stable"), suffix.alias("suffix"),
+                        F.when(stable & named, F.concat(F.lit("/__bbs_detail__/"), name)).otherwise(resolved_path(_decoded(path(full), False))).alias("place"),
+                        F.array_distinct(kept).alias("pairs"))
 
+    return let(own, made)
+
+
+def canonical_dedup_url(url: Column | str) -> Column:
+    """Key of a document: path and value case kept, parameters that count in order, each once; see ``identity``."""
     def key(full: Column) -> Column:
-        pairs = F.array_sort(F.array_distinct(F.filter(query_pairs(full), lasting)))
-        return F.when(full == "", "").otherwise(_assembled(full, _encoded(resolved_path(_decoded(path(full), False)), True, "%20"), pairs))
+        return F.when(full == "", "").otherwise(let(identity(full), lambda x: _assembled(
+            full, _encoded(x["place"], True, "%20"), F.array_sort(x["pairs"]))))
 
     return let(absolute(url), key)
 
@@ -295,18 +364,51 @@ def passes_query_filter(url: Column | str, mode: str) -> Column:
 
 
 def tokens(url: Column | str) -> Column:
-    """Sorted tokens of a URL: host, last path part and parameters, joined by ``|``."""
-    last = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
-    pairs = F.transform(query_pairs(url), lambda p: F.concat_ws("=", p["key"], p["value"]))
-    parts = F.filter(F.concat(F.array(host(url), F.coalesce(last, F.lit(""))), pairs), lambda x: x != "")
-    return F.array_join(F.array_sort(parts), "|")
+    """Sorted tokens of a URL: bare host, last path part in lower case, and the parameters that count, joined by ``|``."""
+    def made(full: Column) -> Column:
+        def joined(x: Column) -> Column:
+            last = F.element_at(F.filter(F.split(F.lower(x["place"]), "/"), lambda s: s != ""), -1)
+            pairs = F.transform(x["pairs"], lambda p: F.concat_ws("=", p["key"], p["value"]))
+            parts = F.array_distinct(F.concat(F.array(F.regexp_replace(host(full), r"^www\.", ""), F.coalesce(last, F.lit(""))), pairs))
+            return F.array_join(F.array_sort(F.filter(parts, lambda t: t != "")), "|")
+
+        return F.when(full == "", "").otherwise(let(identity(full), joined))
+
+    return let(absolute(url), made)
 
 
 def dedup_keys(url: Column | str) -> Column:
-    """Keys of which any shared one means the same document: canonical, tokens, and host with primary parameters."""
-    keyed = F.filter(query_pairs(url), lambda p: p["key"].isin(PRIMARY_KEYS))
-    named = F.transform(keyed, lambda p: F.concat(host(url), F.lit("|"), p["key"], F.lit("="), p["value"]))
-    return F.array_distinct(F.concat(F.array(canonical_dedup_url(url), tokens(url)), named))
+    """Keys of which any shared one means the same document: canonical, tokens, the article of a board, and primary parameters with and without host."""
+    def made(full: Column) -> Column:
+        bare = F.regexp_replace(host(full), r"^www\.", "")
+        keyed = F.filter(query_pairs(full), lambda p: p["key"].isin(PRIMARY_KEYS))
+
+        def article(x: Column) -> Column:
+            value = lambda k: F.get(F.filter(x["pairs"], lambda p: p["key"] == k), F.lit(0))["value"]
+            by = F.when(x["suffix"] == "selectboarddetail.do", F.concat(F.lit("bbsid="), value("bbsid"), F.lit("|nttid="), value("nttid"))).otherwise(
+                F.concat(F.lit("q_bbscode="), value("q_bbscode"), F.lit("|q_bbscttsn="), value("q_bbscttsn")))
+            return F.when(x["stable"], F.concat(bare, F.lit("|bbs_detail|"), by))
+
+        plain = F.transform(keyed, lambda p: F.concat_ws("=", p["key"], p["value"]))
+        with_host = F.transform(plain, lambda k: F.concat_ws("|", bare, k))
+        all_keys = F.concat(F.array(canonical_dedup_url(full), tokens(full), let(identity(full), article)), plain, with_host)
+        return F.array_distinct(F.filter(all_keys, lambda k: k.isNotNull() & (k != "")))
+
+    return let(absolute(url), made)
+
+
+def candidate_terms(url: Column | str) -> Column:
+    """Parts of a URL, in order and lower case, that the URLs of the same document are likely to hold: parameters, and the path where these don't name it."""
+    def made(full: Column) -> Column:
+        def terms(x: Column) -> Column:
+            named = F.filter(F.transform(x["pairs"], lambda p: F.lower(F.concat_ws("=", p["key"], p["value"]))), lambda t: F.length(t) >= 4)
+            place = F.lower(F.trim(path(full)))
+            around = F.filter(F.array(place, x["suffix"]), lambda t: F.length(t) >= 3)
+            return F.array_distinct(F.when(x["stable"], named).otherwise(F.concat(around, named)))
+
+        return F.when(full == "", F.array().cast("array<string>")).otherwise(let(identity(full), terms))
+
+    return let(absolute(url), made)
 
 
 def parent_board(url: Column | str) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import urls as U
+from gristmill.functions.urls import DEDUP_PAGE_KEYS, DEDUP_VOLATILE_KEYS, TRACKING_KEYS
+from gristmill.operators.components import connected_rows
 from gristmill.operators.duplicates import duplicate_groups, duplicate_rows, unknown_starts
-from gristmill.operators.rules import categorized, matching_any
+from gristmill.operators.rules import categorized, holds_any, matching_any
 from gristmill.plans.registry import query
-from gristmill.plans.sql import BARE, CRAWL_KEY, DEDUP_KEY, HOST, PATH, QUERY, segments
+from gristmill.plans.sql import BARE, CRAWL_KEY, DEDUP_KEY, HOST, PATH, QUERY, pairs, segments
 from gristmill.sources.tables import table
 
 
@@ -155,9 +157,12 @@ def distinct_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select(U.bare_host("url").alias("domain")).distinct()
 
 
-@query("url_tokens", f"""
-    select page_id, array_to_string(list_sort([x for x in list_concat([{HOST}, coalesce({segments(PATH)}[-1], '')],
-      [p for p in string_split({QUERY}, '&') if regexp_matches(p, '^[^=]+=.')]) if x <> '']), '|') as tokens from pages""")
+_PLAIN_HOST = f"regexp_replace({HOST}, '^www\\.', '')"
+_TOKENS = f"""array_to_string(list_sort(list_distinct([x for x in list_concat([{_PLAIN_HOST}, lower(coalesce({segments(PATH)}[-1], ''))],
+      {pairs(QUERY, [*DEDUP_PAGE_KEYS, *TRACKING_KEYS, *DEDUP_VOLATILE_KEYS])}) if x <> ''])), '|')"""
+
+
+@query("url_tokens", f"select page_id, {_TOKENS} as tokens from pages")
 def url_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", U.tokens("url").alias("tokens"))
 
@@ -189,9 +194,53 @@ def start_url_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_starts(starts, keyed.where("scheme = 'https'"), "key", "page_id")
 
 
+def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, url): addresses of articles by seven patterns; those of the first pattern, half of all rows, share one id."""
+    orders = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(F.floor(F.col("o_orderkey") / 2) % 6 + 1)
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+
+    def said(*parts: object) -> F.Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    forms = [said("http://www.a.kr/p/", key, "?id=1&x=", key), said("https://b.kr/bbs/view.do?nttId=c", customer, "&bbsId=b1&page=", key),
+             said("https://b.kr/x/", key, ".html?nttid=c", customer, "&docId=d", customer), said("http://other.kr/q.php?docid=d", customer, "&utm_source=q"),
+             said("https://한국.kr/site/BD_selectBbs.do?q_bbsCode=1&q_bbscttSn=", customer, "&q_currPage=", key),
+             said("https://한국.kr/else/BD_selectBeffatInfoOtHbcBbs.do?q_bbscttSn=", customer, "&q_bbsCode=1"), said("https://c.kr/alone/", key)]
+    return orders.select("o_orderkey", F.coalesce(*[F.when(kind == k, form) for k, form in enumerate(forms)]).alias("url"))
+
+
+_KINDS = "with o as (select o_orderkey as k, o_custkey as c, case when o_orderkey % 2 = 0 then 0 else (o_orderkey // 2) % 6 + 1 end as kind from orders)"
+
+
+@query("url_identity", f"""{_KINDS},
+    t as (select k, c, kind, case kind when 0 then ['/p/' || k, k::varchar, 'id=1', 'x=' || k] when 1 then ['nttid=c' || c, 'bbsid=b1']
+        when 2 then ['/x/' || k || '.html', k || '.html', 'nttid=c' || c, 'docid=d' || c]
+        when 3 then ['/q.php', 'q.php', 'docid=d' || c] when 4 then ['q_bbscode=1', 'q_bbscttsn=' || c] when 5 then ['q_bbscttsn=' || c, 'q_bbscode=1']
+        else ['/alone/' || k, k::varchar] end as terms from o)
+    select k as o_orderkey, case kind when 0 then 'http://a.kr/p/' || k || '?id=1&x=' || k when 1 then 'https://b.kr/bbs/view.do?bbsid=b1&nttid=c' || c
+      when 2 then 'https://b.kr/x/' || k || '.html?docid=d' || c || '&nttid=c' || c when 3 then 'http://other.kr/q.php?docid=d' || c
+      when 6 then 'https://c.kr/alone/' || k else 'https://xn--3e0b707e.kr/__bbs_detail__/BD_selectBbs.do?q_bbscode=1&q_bbscttsn=' || c end as canonical,
+      array_to_string([x for x in terms if length(x) >= case when contains(x, '=') then 4 else 3 end], ' ') as terms from t""")
+def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of each address, and the parts that addresses of the same document are likely to hold."""
+    return order_urls(spark, sf_dir).select("o_orderkey", U.canonical_dedup_url("url").alias("canonical"), F.array_join(U.candidate_terms("url"), " ").alias("terms"))
+
+
+@query("url_connected", f"""{_KINDS},
+    g as (select *, bool_or(kind = 2) over (partition by c) as bridged from o),
+    b as (select *, bool_or(kind = 1) over (partition by c) as boarded from g),
+    p as (select *, case when kind = 0 then 'id' when kind = 6 then 'k' || k when kind in (4, 5) then 'b' || c when kind = 1 or (bridged and boarded) then 'board'
+      else 'd' || c end as part from b)
+    select k as o_orderkey, min(k) over (partition by part) as component from p""")
+def url_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest order whose address shares a key, or a chain of keys, with that of each order."""
+    keyed = order_urls(spark, sf_dir).select("o_orderkey", U.dedup_keys("url").alias("keys"))
+    return connected_rows(keyed, "o_orderkey", "keys").select("o_orderkey", "component")
+
+
 @query("url_shared_keys", f"""
-    with k as (select page_id, unnest(list_distinct([{DEDUP_KEY}, array_to_string(list_sort([x for x in list_concat([{HOST},
-      coalesce({segments(PATH)}[-1], '')], [p for p in string_split({QUERY}, '&') if regexp_matches(p, '^[^=]+=.')]) if x <> '']), '|')])) as key from pages)
+    with k as (select page_id, unnest(list_distinct([{DEDUP_KEY}, {_TOKENS}])) as key from pages)
     select key, count(*) as n, min(page_id) as first_page from k group by key having count(*) > 1""")
 def url_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys by which two pages or more count as the same."""
@@ -215,9 +264,28 @@ def url_category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     select page_id, contains(lower(url), '.example.net') and contains(lower(url), '/de/') or contains(lower(url), 'blog.') as known from pages
     where not (contains(lower(url), 'cheap-pills') or contains(lower(url), 'spam-farm') and contains(lower(url), 'page='))""")
 def url_pattern_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that no refused pattern matches, with whether an accepted one does."""
     kept = matching_any(pages(spark, sf_dir), "url", [["cheap-pills"], ["spam-farm", "page="]], keep=False)
-    known = matching_any(kept, "url", [[".example.net", "/de/"], ["blog."]]).select("page_id", F.lit(True).alias("known"))
-    return kept.select("page_id").join(known, "page_id", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("known"))
+    return kept.select("page_id", holds_any(F.col("url"), [[".example.net", "/de/"], ["blog."]]).alias("known"))
+
+
+@query("url_rule_index", """
+    with r as (select o_orderkey as pos, case o_orderkey % 7 when 0 then '' else '/' || ['en', 'fr', 'de', 'es'][o_orderkey % 4 + 1] || '/' || (o_custkey % 1000)::varchar end as url,
+      case o_orderkey % 3 when 0 then ['utm_source=feed'] when 1 then ['page=2', 'ref=' || chr(97 + (o_orderkey % 26)::int)] else [] end as query,
+      'c' || o_custkey::varchar as cate1, case when o_orderkey % 5 > 0 then 's' || o_orderkey::varchar end as cate2 from orders where o_orderkey > 40),
+    m as (select page_id, pos, cate1, cate2 from pages join r on contains(lower(pages.url), r.url) and len([t for t in r.query if not contains(lower(pages.url), t)]) = 0),
+    b as (select page_id, arg_min(cate1, (cate2 is null, pos)) as cate1, arg_min(coalesce(cate2, ''), (cate2 is null, pos)) as cate2 from m group by page_id)
+    select page_id, b.cate1, nullif(b.cate2, '') as cate2 from pages left join b using (page_id)""")
+def url_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of pages by one rule for each order."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    place = F.concat(F.lit("/"), F.element_at(F.array(*map(F.lit, ["EN", "fr", "de", "es"])), (key % 4 + 1).cast("int")), F.lit("/"), (customer % 1000).cast("string"))
+    tokens = F.when(key % 3 == 0, F.array(F.lit("utm_source=feed"))).when(
+        key % 3 == 1, F.array(F.lit("page=2"), F.concat(F.lit("ref="), F.char(97 + key % 26)))).otherwise(F.array().cast("array<string>"))
+    rules = table(spark, sf_dir, "orders").where("o_orderkey > 40").select(
+        key.alias("pos"), F.when(key % 7 == 0, "").otherwise(place).alias("url"), tokens.alias("query"),
+        F.concat(F.lit("c"), customer.cast("string")).alias("cate1"), F.when(key % 5 > 0, F.concat(F.lit("s"), key.cast("string"))).alias("cate2"))
+    return categorized(pages(spark, sf_dir), "url", rules).select("page_id", "cate1", "cate2")
 
 
 @query("url_common_prefix", f"""
