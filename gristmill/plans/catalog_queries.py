@@ -177,11 +177,15 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(F.col("p_name").contains("a")).select("p_partkey", "p_name").orderBy(F.desc("p_partkey")).offset(10).limit(40)
 
 
-@query("guarded_query", "select c_nationkey, count(*) as n from customer where c_acctbal > 1000 and c_mktsegment = 'BUILDING' group by 1")
+@query("guarded_query", """
+    select c_nationkey, count(*) as n, max(replace(c_mktsegment, 'B', 'b')) as "set" from customer where c_acctbal > 1000 and c_mktsegment = 'BUILDING' group by 1""")
 def guarded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checked statement with parameters, over a filter that passed its own check."""
-    table(spark, sf_dir, "customer").where(safe_condition("c_acctbal > 1000")).createOrReplaceTempView("guarded_customer")
-    return run_query(spark, "SELECT c_nationkey, count(*) AS n FROM guarded_customer WHERE c_mktsegment = :segment GROUP BY c_nationkey;", segment="BUILDING")
+    kept = table(spark, sf_dir, "customer").where(safe_condition(spark, "c_acctbal > 1000 and replace(c_mktsegment, ';', '--') is not null"))
+    kept.createOrReplaceTempView("guarded_customer")
+    return run_query(spark, """
+        WITH kept AS (SELECT * FROM guarded_customer WHERE c_mktsegment = :segment)
+        SELECT c_nationkey, count(*) AS n, max(replace(c_mktsegment, 'B', 'b')) AS `set` FROM kept GROUP BY c_nationkey;""", segment="BUILDING")
 
 
 @query("json_prop_lookup", """

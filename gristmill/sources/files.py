@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gristmill.sources.hwp import MAGIC, hwp_text
 
 #: Encodings that a text file may be in, in the order in which equals are decided.
 ENCODINGS = ["utf-8-sig", "utf-8", "cp949", "euc-kr", "utf-16", "utf-16-le", "utf-16-be", "latin-1"]
@@ -89,21 +91,29 @@ def plain_text(name: str, data: bytes) -> tuple[str | None, str | None, str | No
             return document_text(data), created_date(data), None
         if kind in OFFICE:
             return office_text(data, kind), created_date(data), None
+        if kind == "hwp" and data[:8] == MAGIC:
+            return hwp_text(data), None, None
+        if kind == "hwp" and data[:2] == b"PK":  # a newer file with the older ending
+            return office_text(data, "hwpx"), created_date(data), None
         if kind in ("txt", "csv", "md", "log", "html", "htm", "json", "xml"):
             return decoded(data)[0], None, None
         return None, None, f"no reader for {kind}"
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, struct.error) as e:
         return None, None, str(e)[:200]
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, text, created, error) of the files that ``path`` names."""
+def plain_texts(files: DataFrame) -> DataFrame:
+    """(path, size, text, created, error) of ``files`` (path, content); null contents have no text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [plain_text(p, d) for p, d in zip(batch["path"], batch["content"], strict=True)]
+            found = [plain_text(p, d) if d is not None else (None, None, None) for p, d in zip(batch["path"], batch["content"], strict=True)]
             text, created, error = zip(*found, strict=True) if found else ((), (), ())
-            yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "text": text, "created": created, "error": error})
+            yield pd.DataFrame({"path": batch["path"], "size": [len(d or b"") for d in batch["content"]], "text": text, "created": created, "error": error})
+
+    return files.select("path", "content").mapInPandas(read, "path string, size long, text string, created string, error string")
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.col("content"))
-    return files.mapInPandas(read, "path string, size long, text string, created string, error string")
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``plain_texts`` of the files that ``path`` names."""
+    return plain_texts(spark.read.format("binaryFile").load(path))

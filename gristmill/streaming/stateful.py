@@ -1,13 +1,15 @@
-"""Stateful streams: seen sets, time-to-live claims, monotonic counters, throttles.
+"""Stateful streams: seen sets, claims and caches that expire, batches by size or time, cancel marks, counters, throttles.
 
 Each function takes a streaming DataFrame and returns one; ``run_available``
-drives a query over what is there and returns its rows as a table.
+drives a query over what is there and returns its rows as a table. State that
+has a lifetime is dropped by event-time timers once the watermark has passed it,
+so it doesn't grow with the keys that were ever seen.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below the warehouse where that isn't set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+    """A new folder below ``spark.checkpoint.dir``; only a local session without that setting takes one below its warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
     return f"{top}/stream-{uuid.uuid4()}"
 
 
@@ -37,6 +43,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
                  .option("path", f"{folder}/rows").trigger(availableNow=True).start())
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0)).write.parquet(f"{folder}/rows/none")  # so that there is a folder without input
     query = (stream.writeStream.foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/n{n}"))
              .outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
@@ -50,25 +57,151 @@ def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, dela
     return stream.dropDuplicates(keys)
 
 
-def claims(stream: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
-    """(keys, time) of rows that no granted claim of their key precedes by less than ``seconds``."""
+def in_order(stream: DataFrame, keys: list[str], time: str, columns: list[str], schema: str, state_schema: str,
+             step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]],
+             deadline: Callable[[tuple], int | None], expire: Callable[[tuple], list[tuple]] = lambda state: [], delay: str = "0 seconds") -> DataFrame:
+    """What ``step`` makes of the rows of each key in the order of their time, with a state that a timer ends.
+
+    ``step`` takes the state of a key (None at first) and a row (microseconds of
+    ``time``, then ``columns``) and gives the next state and output rows (without
+    the keys). Once the watermark, which lags ``delay`` behind, has passed
+    ``deadline`` of a state (microseconds, None for never), ``expire`` gives its
+    last rows and it is dropped. Rows behind the watermark are dropped as late; rows
+    without a time have no place and are left out. A task holds the rows that a key has in one micro-batch.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {time} timestamp"
-
-    def grant(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted({int(t.value) for b in batches for t in b[time] if not pd.isna(t)})
-        kept = []
-        for t in times:
-            if last is None or t - last >= seconds * 1_000_000_000:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame([(*key, pd.Timestamp(t)) for t in kept], columns=[*keys, time])
-
-    rows = stream.select(*keys, F.col(time).cast("timestamp").alias(time))
-    return rows.groupBy(*keys).applyInPandasWithState(grant, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    out_names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    whole = ", ".join([*(f"{c} {kinds[c]}" for c in keys), schema])
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            out = expire(tuple(state.get))
+            state.remove()
+        else:
+            rows = sorted((row for b in batches for row in zip(b["_us"].tolist(), *(b[c].tolist() for c in columns), strict=True)), key=lambda r: (r[0], *map(str, r[1:])))
+            held, out = tuple(state.get) if state.exists else None, []
+            for row in rows:
+                held, made = step(held, row)
+                out += made
+            end = deadline(held) if held is not None else None
+            now = state.getCurrentWatermarkMs()
+            if held is not None and end is not None and -(-end // 1000) <= now:  # nothing that still comes can see it
+                out += expire(held)
+                held = None
+            if held is not None:
+                state.update(held)
+                if end is not None:
+                    state.setTimeoutTimestamp(-(-end // 1000))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame([(*key, *row) for row in out], columns=[*keys, *out_names])
+
+    timed = stream.select(*keys, *[c for c in columns if c not in keys], F.col(time).cast("timestamp").alias("_t")).where("_t is not null")
+    rows = timed.withColumn("_us", F.unix_micros("_t")).withWatermark("_t", delay)
+    return rows.groupBy(*keys).applyInPandasWithState(fold, whole, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def claims(stream: DataFrame, keys: list[str], time: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """(keys, time) of rows that no granted claim of their key precedes by less than ``seconds``; a claim is forgotten when it has run out."""
+    def grant(last: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        if last is not None and row[0] - last[0] < seconds * 1_000_000:
+            return last, []
+        return (row[0],), [(row[0],)]
+
+    granted = in_order(stream, keys, time, [], "_at long", "last long", grant, lambda last: last[0] + seconds * 1_000_000, delay=delay)
+    return granted.select(*keys, F.timestamp_micros("_at").alias(time))
+
+
+#: Bounds of the lifetime of what a cache of finished URLs remembers, in seconds.
+LEAST_TTL, MOST_TTL = 60, 86_400
+
+
+def cached_lookups(stream: DataFrame, keys: list[str], time: str, ident: str, stage: str, lookup: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """(keys, ident, cached) of the rows where ``lookup`` holds: whether a row of the key without it was remembered for ``seconds`` at most.
+
+    Stages are ``study`` and ``save`` (anything else counts as study); a look-up
+    for save is also served by study. Remembering again starts anew. Of rows at
+    one time those that remember come first. ``seconds`` is held within a
+    minute and a day.
+    """
+    ttl = min(max(seconds, LEAST_TTL), MOST_TTL) * 1_000_000
+
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        at, asks, is_save, row_id = row
+        study, save = held or (0, 0)
+        if asks:
+            return (study, save), [(row_id, at < save or at < study if is_save else at < study)]
+        return ((study, at + ttl) if is_save else (at + ttl, save)), []
+
+    rows = stream.withColumns({"_asks": F.col(lookup), "_save": F.lower(F.trim(F.coalesce(stage, F.lit("")))) == "save", "_id": F.col(ident)})
+    kind = dict(stream.dtypes)[ident]
+    found = in_order(rows, keys, time, ["_asks", "_save", "_id"], f"_found {kind}, cached boolean", "study long, save long", step, max, delay=delay)
+    return found.withColumnRenamed("_found", ident)
+
+
+def batches(stream: DataFrame, keys: list[str], time: str, ident: str, size: int, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """(keys, batch, n, first, last, full): the rows of each key in batches that close with ``size`` rows, or ``seconds`` after their first.
+
+    A batch that time closes is given out when a row of its key comes later, or
+    when the watermark has passed its end. ``first`` and ``last`` are idents.
+    """
+    span = seconds * 1_000_000
+
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        at, row_id = row
+        number, n, start, first, last = held or (0, 0, at, row_id, row_id)
+        out = []
+        if n and at - start >= span:
+            out.append((number, n, first, last, False))
+            number, n = number + 1, 0
+        if not n:
+            start, first = at, row_id
+        n, last = n + 1, row_id
+        if n == size:
+            out.append((number, n, first, last, True))
+            return (number + 1, 0, at, row_id, row_id), out
+        return (number, n, start, first, last), out
+
+    kind = dict(stream.dtypes)[ident]
+    return in_order(stream, keys, time, [ident], f"batch int, n int, first {kind}, last {kind}, full boolean",
+                    f"number int, n int, start long, first {kind}, last {kind}", step, lambda s: s[2] + span if s[1] else None,
+                    lambda s: [(s[0], s[1], s[3], s[4], False)] if s[1] else [], delay)
+
+
+def job_outcomes(stream: DataFrame, keys: list[str], time: str, ident: str, action: str, cancel_seconds: int, retries: int, delay: str = "0 seconds") -> DataFrame:
+    """(keys, ident, outcome, attempts) of each run of a job, by what was said of its key before.
+
+    ``action`` is enqueue (clears a cancel mark and the attempts), cancel (marks for ``cancel_seconds``),
+    done or failed (a run); other rows count for nothing. A run under a mark is cancelled and takes the
+    mark with it; a failed one is retried up to ``retries`` times and then discarded; attempts counts
+    the failures so far. A key without a mark and attempts has no state.
+    """
+    ttl = cancel_seconds * 1_000_000
+
+    def step(held: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at, said, row_id = row
+        until, failed = held or (0, 0)
+        out = []
+        if said == "enqueue":
+            until = failed = 0
+        elif said == "cancel":
+            until = at + ttl
+        elif said in ("done", "failed") and at < until:
+            until, out = 0, [(row_id, "cancelled", failed)]
+        elif said == "done":
+            failed, out = 0, [(row_id, "done", failed)]
+        elif said == "failed":
+            failed += 1
+            out = [(row_id, "retried" if failed <= retries else "discarded", failed)]
+            failed = failed if failed <= retries else 0
+        return ((until, failed) if until or failed else None), out
+
+    kind = dict(stream.dtypes)[ident]
+    rows = stream.withColumns({"_said": F.col(action), "_id": F.col(ident)})
+    # attempts have no end of their own, so only a mark alone runs out
+    found = in_order(rows, keys, time, ["_said", "_id"], f"_found {kind}, outcome string, attempts int", "until long, failed int", step,
+                     lambda s: s[0] if not s[1] else None, delay=delay)
+    return found.withColumnRenamed("_found", ident)
 
 
 def progress(stream: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:

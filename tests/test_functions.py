@@ -107,16 +107,6 @@ def test_columns(spark):
     assert where_if_present(df, "zz", F.lit(False)).count() == 4
 
 
-def test_guards():
-    assert tables.read_only("SELECT 'drop; it' AS x;") == "SELECT 'drop; it' AS x"
-    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "SELECT 1 -- x", "WITH a AS (SELECT 1) INSERT INTO b SELECT 1"):
-        with pytest.raises(ValueError):
-            tables.read_only(bad)
-    with pytest.raises(ValueError):
-        tables.safe_condition("a = 1; drop table x")
-    assert tables.safe_condition("a = ';'")
-
-
 def test_files(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
