@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.columns import as_column
 
+# The forms in which days come.
 #: A day with one separator throughout, or with Korean units, and a time of day.
 WRITTEN = r"^([0-9]{2}|[0-9]{4})([-./])([0-9]{1,2})\2([0-9]{1,2})(?:[ T]([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?)?$"
 KOREAN = r"^([0-9]{4})(년) ([0-9]{1,2})월 ([0-9]{1,2})일(?: ([0-9]{1,2})시 ([0-9]{1,2})분(?: ([0-9]{1,2})초)?)?$"
@@ -34,6 +35,25 @@ def latest_date(c: Column | str, now: Column) -> Column:
     return F.array_max(F.filter(found, lambda d: d.isNotNull() & (d <= now.cast("date"))))
 
 
+#: Full days of a text: with separators, with Korean units, eight digits that no others touch; and a year alone.
+WRITTEN_DAYS = [r"([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})", r"([0-9]{4})년\s*([0-9]{1,2})월\s*([0-9]{1,2})일", r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])"]
+YEAR_ALONE = r"(?<![\p{L}\p{N}_])(?:19|20)[0-9]{2}(?![\p{L}\p{N}_])"
+
+
+def text_date(c: Column | str, now: Column) -> Column:
+    """The time that a text, as a file's name, speaks of: a relative one, else the latest full day from 1900 to today, else the first of its first year."""
+    text = as_column(c)
+
+    def found(form: str) -> Column:
+        part = lambda x, k: F.regexp_extract(x, form, k).cast("int")
+        return F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda x: F.try_to_date(
+            F.format_string("%04d-%02d-%02d", part(x, 1), part(x, 2), part(x, 3)), "yyyy-MM-dd"))
+
+    days = F.filter(F.flatten(F.array(*map(found, WRITTEN_DAYS))), lambda d: d.isNotNull() & (d >= F.lit("1900-01-01").cast("date")) & (d <= now.cast("date")))
+    year = F.regexp_extract(text, YEAR_ALONE, 0)
+    return F.coalesce(relative_date(text, now), F.array_max(days).cast("timestamp"), F.when(year != "", F.make_date(year.cast("int"), F.lit(1), F.lit(1)).cast("timestamp")))
+
+
 def relative_date(c: Column | str, now: Column) -> Column:
     """Korean relative dates: just now, today, yesterday, and so many minutes, hours or days ago."""
     text = F.trim(as_column(c))
@@ -78,7 +98,12 @@ def is_office_hour(ts: Column | str, zone: str = "Asia/Seoul") -> Column:
 def metadata_timestamp(c: Column | str) -> Column:
     """A text's date and time as ``yyyy-MM-dd HH:mm:ss``; zones are cut off, a null is empty, and what has no valid date stays as it is."""
     raw = F.trim(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")))
-    spaced = F.regexp_replace(raw, r"^(\d{4}-\d{2}-\d{2})T(?=\d{2}:\d{2})", "$1 ")
+    # basic forms and hours alone, as the standard writes them, are spelled out first
+    basic = F.regexp_replace(raw, r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2})(?:(\d{2})(\d{2})?)?(?=$|[.,Z+-])", "$1-$2-$3T$4:$5:$6")
+    whole = F.regexp_replace(F.regexp_replace(basic, "::", ":00:00"), r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}):(?!\d)", "$1:00")
+    short = F.regexp_replace(whole, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    spaced = F.regexp_replace(short, r"^(\d{4}-\d{2}-\d{2})T(?=\d{2}:\d{2})", "$1 ")
+    # Fixed value: the pattern of a day and time.
     part = lambda k, n: F.lpad(F.coalesce(F.nullif(F.regexp_extract(
         spaced, r"(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?:\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?", k), F.lit("")), F.lit("0")), n, "0")
     found = F.concat_ws(" ", F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), F.concat_ws(":", part(4, 2), part(5, 2), part(6, 2)))

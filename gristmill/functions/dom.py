@@ -55,6 +55,7 @@ class Tree(HTMLParser):
         self.pieces: list[str] = []
         self.owner: list[int] = []
         self._open = [0]
+        self.source = html
         self.feed(html)
         self.close()
         while self._open:

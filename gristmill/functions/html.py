@@ -71,6 +71,7 @@ def _facts() -> dict[str, tuple[str, Callable[[Tree, str], object]]]:
         "trail": ("array<string>", lambda t, u: P.trail(t)),
         "menu": ("array<struct<depth int, label string, url string>>", lambda t, u: named("depth label url", P.menu(t, u))),
         "fast": ("struct<title string, content string, place string, day string, links array<string>, ok boolean>", lambda t, u: P.fast_parse(t, u)),
+        "favicon": ("string", lambda t, u: P.favicon(t, u)),
         "nodes": ("array<struct<node int, parent int, depth int, tag string, id string, classes array<string>, first int, last int, text string>>",
                   lambda t, u: named("node parent depth tag id classes first last text", t.flat())),
     }
@@ -80,9 +81,20 @@ def facts(pages: DataFrame, *names: str) -> DataFrame:
     """(page_id, url, one column for each name): what is asked of each page, from one parse of it.
 
     Names are those of ``_facts``: content, blocks, title, titles, attachments,
-    links, posts, pairs, trail, menu, fast, nodes. A null or blank page has no
+    links, posts, pairs, trail, menu, fast, favicon, nodes. A null or blank page has no
     title, links or nodes and an empty content.
     """
     wanted = [(name, *_facts()[name]) for name in names]
     schema = ", ".join(["page_id long", "url string", *(f"{name} {kind}" for name, kind, _ in wanted)])
     return read_pages(pages, lambda i, url, tree: [(i, url, *(f(tree, url) for _, _, f in wanted))], schema)
+
+
+def dates(pages: DataFrame, now: str) -> DataFrame:
+    """(page_id, day, source, modified, event_start, event_end, apply_start, apply_end) of each page as of a day; see ``page_dates``."""
+    import datetime
+
+    from gristmill.functions.page_dates import page_dates
+
+    today = datetime.date.fromisoformat(now)
+    return read_pages(pages, lambda i, url, tree: [(i, *page_dates(tree, today).values())],
+                      "page_id long, day date, source string, modified date, event_start date, event_end date, apply_start date, apply_end date")

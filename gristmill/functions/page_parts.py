@@ -82,6 +82,8 @@ MENU_TAGS = ["nav", "header", "footer", "aside"]
 MENU_HINTS = ["menu", "gnb", "lnb", "snb", "sidebar", "nav", "header", "footer", "topmenu", "quick"]
 MENU_PLACES = ["header", "nav", "#gnb", ".gnb", ".menu", ".nav", "ul.menu-depth1", "ul.depth1"]
 MENU_DEPTH = 5
+# Rel values that name an icon, the first that is there counts; after them any with "icon" in it.
+ICON_RELS = ["icon", "shortcut icon", "apple-touch-icon", "apple-touch-icon-precomposed"]
 FAST_LINKS = 80
 
 _FLAT = re.compile(r"[\s:：ㆍ·\-\[\]()]")
@@ -381,6 +383,13 @@ def attachments(tree: Tree, base: str) -> list[tuple[str, str, str, bool]]:
     return list(out.values())
 
 
+def favicon(tree: Tree, base: str) -> str:
+    """The address of a page's icon: of its link tags, or ``/favicon.ico`` of its host."""
+    found = [(" ".join(tree.get(k, "rel").split()).lower(), tree.get(k, "href").strip()) for k in tree.by_tag.get("link", ())]
+    href = next((h for rel in ICON_RELS for r, h in found if r == rel and h), "") or next((h for r, h in found if "icon" in r and h), "")
+    return urljoin(base, href or "/favicon.ico")
+
+
 # lists, labels, trails and menus
 
 

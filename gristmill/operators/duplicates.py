@@ -55,6 +55,16 @@ def unknown_starts(starts: DataFrame, known: DataFrame, key: str, order: str) ->
     return passed.select(*starts.columns).union(starts.where(F.coalesce(F.col(key), F.lit("")) == ""))
 
 
+def start_reasons(starts: DataFrame, known: DataFrame, key: str, order: str) -> DataFrame:
+    """``starts`` with reason: blank (passes), known, repeated (not the first of its key in ``order``) or new; see ``unknown_starts``."""
+    least = starts.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(order).alias("_first"))
+    seen = known.where(F.coalesce(F.col(key), F.lit("")) != "").select(key).distinct().withColumn("_known", F.lit(True))
+    both = starts.join(least, key, "left").join(seen, key, "left")
+    reason = (F.when(F.coalesce(F.col(key), F.lit("")) == "", "blank").when(F.col("_known"), "known")
+              .when(F.col(order) > F.col("_first"), "repeated").otherwise("new"))
+    return both.select(*[c for c in starts.columns], reason.alias("reason"))
+
+
 def contained_blocks_dropped(blocks: Column, least: int = 5) -> Column:
     """Text blocks in order without those that a kept block contains; a longer block replaces the shorter ones it contains."""
     def step(done: Column, block: Column) -> Column:

@@ -16,11 +16,8 @@ STRUCTURED_EXTENSIONS = [".pdf", ".ppt", ".pptx", ".doc", ".docx"]
 TABLE_EXTENSIONS = [".pdf", ".ppt", ".pptx"]
 LEAST_CHARS = 300
 GENERIC_NAMES = ["", "file", "download", "attachment", "첨부", "첨부파일", "다운로드", "붙임"]
-CLEAR_WORDS = ["계획", "공고", "고시", "안내", "신청", "서식", "붙임", "첨부", "결과", "보고", "자료", "교육", "모집", "채용"]
+CLEAR_WORDS = ["계획", "공고", "고시", "안내", "신청", "서식", "붙임", "첨부", "결과", "보고", "자료", "교육", "모집", "채용", "사업"]
 DOCUMENT_ENDING = r"(?i)\.(pdf|hwp|hwpx|doc|docx|ppt|pptx|xls|xlsx|csv)($|[?#])"
-#: rel values that name an icon, the first that is there counts; after them any with "icon" in it.
-ICON_RELS = ["icon", "shortcut icon", "apple-touch-icon", "apple-touch-icon-precomposed"]
-
 #: Tables of more rows are cut into chunks of so many, and have their first rows as header.
 WHOLE_TABLE, TABLE_CHUNK, HEADER_ROWS = 10, 20, 5
 
@@ -42,13 +39,13 @@ def workflow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("metadata_timestamps", """
-    select event_id, case event_id % 6 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%Y-%m-%d %H:%M:00') when 2 then strftime(ts, '%Y-%m-%d 00:00:00')
-      when 3 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 4 then 'at ' || strftime(ts, '%H:%M') || ' of 2024-13-41' else '' end as formatted from events""")
+    select event_id, case event_id % 9 when 6 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 7 then strftime(ts, '%Y-%m-%d %H:00:00') when 8 then strftime(ts, '%Y-%m-%d %H:%M:00') when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%Y-%m-%d %H:%M:00') when 2 then strftime(ts, '%Y-%m-%d 00:00:00')
+      when 3 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 4 then 'at ' || strftime(ts, '%H:%M') || ' of 2024-13-41' when 5 then '' end as formatted from events""")
 def metadata_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time stamps of metadata in one format, from the several in which they come."""
     form = lambda pattern: F.date_format("ts", pattern)
-    kind = F.col("event_id") % 6
-    said = (F.when(kind == 0, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(kind == 1, form("yyyy.M.d H:m"))
+    kind = F.col("event_id") % 9
+    said = (F.when(kind == 6, form("yyyyMMdd'T'HHmmss")).when(kind == 7, F.concat(form("yyyy-MM-dd'T'HH"), F.lit("+09:00"))).when(kind == 8, F.concat(form("yyyyMMdd'T'HHmm"), F.lit("Z"))).when(kind == 0, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(kind == 1, form("yyyy.M.d H:m"))
             .when(kind == 2, F.concat(F.lit("on "), form("yyyy/M/d"))).when(kind == 3, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")))
             .when(kind == 4, F.concat(F.lit("at "), form("HH:mm"), F.lit(" of 2024-13-41"))))
     return table(spark, sf_dir, "events").select("event_id", D.metadata_timestamp(said).alias("formatted"))
@@ -57,18 +54,21 @@ def metadata_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wants_structured_fallback(path: Column, text: Column, has_tables: Column) -> Column:
     """Whether a document's plain text is too short, or it has tables that plain text loses."""
     ending = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
-    short = F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_CHARS
+    short = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")) < LEAST_CHARS
     return F.coalesce(ending.isin(STRUCTURED_EXTENSIONS) & (short | (ending.isin(TABLE_EXTENSIONS) & has_tables)), F.lit(False))
 
 
 @query("structured_fallback", """
-    select doc_id, doc_id % 4 <> 2 and (coalesce(length(trim(text)), 0) < 300 or (doc_id % 4 <> 1 and contains(text, '|'))) as fallback from documents""")
+    with d as (select doc_id, case when doc_id % 3 = 0 then repeat(chr(10) || chr(9), 400) || left(text, 200) || chr(160) else text end as text from documents)
+    select doc_id, doc_id % 4 <> 2 and (coalesce(length(regexp_replace(text, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')), 0) < 300 or (doc_id % 4 <> 1 and contains(text, '|'))) as fallback from d""")
 def structured_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a structured conversion should replace; their kinds go round by id."""
     ending = F.element_at(F.array(*map(F.lit, [".pdf", ".DOCX", ".txt", ".pptx"])), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     path = F.concat(F.lit("files/v1.2/"), "doc_id", ending)
+    padded = F.concat(F.repeat(F.lit("\n\t"), 400), F.substring("text", 1, 200), F.lit("\u00a0"))  # many line ends and little text
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, padded).otherwise(F.col("text")))
     tables = F.coalesce(F.contains("text", F.lit("|")), F.lit(False))
-    return table(spark, sf_dir, "documents").select("doc_id", wants_structured_fallback(path, F.col("text"), tables).alias("fallback"))
+    return docs.select("doc_id", wants_structured_fallback(path, F.col("text"), tables).alias("fallback"))
 
 
 def is_ambiguous(name: Column, href: Column) -> Column:
@@ -86,9 +86,10 @@ def is_ambiguous(name: Column, href: Column) -> Column:
 @query("ambiguous_links", """
     with l as (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as t from pages),
     c as (select page_id, unnest(range(0, len(h)))::int as place, unnest(h) as href, trim(unnest(t)) as name from l
-      union all select page_id, -1, url || '.pdf', trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) from pages)
-    select page_id, place, lower(regexp_replace(name, '\\s+', '', 'g')) in ('', 'file', 'download', 'attachment') or length(name) <= 4 or length(name) < 14
-      or not regexp_matches(name || ' ' || href, '(?i)\\.(pdf|hwp|hwpx|doc|docx|ppt|pptx|xls|xlsx|csv)( |$|[?#])') as ambiguous from c""")
+      union all select page_id, -1, url || '.pdf', trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) from pages
+      union all select page_id, -2, '/get?no=1', ['계획', '공고', '고시', '안내', '신청', '서식', '붙임', '첨부', '결과', '보고', '자료', '교육', '모집', '채용', '사업', '없는말'][page_id % 16 + 1] || ' a.hwp' from pages)
+    select page_id, place, case when place = -2 then page_id % 16 = 15 else lower(regexp_replace(name, '\\s+', '', 'g')) in ('', 'file', 'download', 'attachment') or length(name) <= 4 or length(name) < 14
+      or not regexp_matches(name || ' ' || href, '(?i)\\.(pdf|hwp|hwpx|doc|docx|ppt|pptx|xls|xlsx|csv)( |$|[?#])') end as ambiguous from c""")
 def ambiguous_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages, and each page as a document by its title, with whether they are ambiguous."""
     pages = table(spark, sf_dir, "pages")
@@ -97,37 +98,10 @@ def ambiguous_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "place", "l.href", "l.name")
     whole = pages.select("page_id", F.lit(-1).alias("place"), F.concat("url", F.lit(".pdf")).alias("href"),
                          F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"))
-    return links.union(whole).select("page_id", "place", is_ambiguous(F.col("name"), F.col("href")).alias("ambiguous"))
-
-
-def favicon(html: Column, url: Column) -> Column:
-    """The address of a page's icon: of its link tags, or ``/favicon.ico`` of its host."""
-    value = lambda tag, key: F.regexp_extract(tag, rf"""(?is)\s{key}\s*=\s*["']([^"']*)["']""", 1)
-    links = F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda tag: F.struct(
-        value(tag, "rel").alias("rel"), F.trim(value(tag, "href")).alias("href")))
-    first = lambda fits: F.nullif(F.get(F.filter(links, fits), F.lit(0))["href"], F.lit(""))
-    named = lambda rel: first(lambda x: x["rel"] == rel)
-    href = F.coalesce(*map(named, ICON_RELS), first(lambda x: F.contains(x["rel"], F.lit("icon"))))
-    root = F.concat(U.scheme(url), F.lit("://"), U.host(url))
-    folder = F.coalesce(F.nullif(F.regexp_extract(U.path(url), "^(.*/)", 1), F.lit("")), F.lit("/"))
-    return (F.when(href.isNull(), F.concat(root, F.lit("/favicon.ico"))).when(href.rlike("^https?://"), href)
-            .when(href.startswith("//"), F.concat(U.scheme(url), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
-            .otherwise(F.concat(root, folder, href)))
-
-
-@query("page_favicons", """
-    with p as (select page_id, url, regexp_replace(html, '<head>', '<head>' || case page_id % 3 when 0 then '<link rel="preload icon" href="/x.png"><link rel=''icon'' href="a/b.png">'
-      when 1 then '<link href="//cdn.example/i.ico" rel="shortcut icon">' else '' end) as html from pages)
-    select page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || case page_id % 3 when 1 then '://cdn.example/i.ico'
-      when 0 then '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) || '', '^(.*/)', 1) || 'a/b.png'
-      else '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || '/favicon.ico' end as favicon from p""")
-def page_favicons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The icon of each page; two of three pages get link tags, as the given ones have none."""
-    kind = F.col("page_id") % 3
-    tags = F.when(kind == 0, F.lit("""<link rel="preload icon" href="/x.png"><link rel='icon' href="a/b.png">""")).when(
-        kind == 1, F.lit('<link href="//cdn.example/i.ico" rel="shortcut icon">')).otherwise("")
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", favicon(F.concat(tags, "html"), F.col("url")).alias("favicon"))
+    words = F.array(*map(F.lit, [*CLEAR_WORDS, "없는말"]))
+    worded = pages.select("page_id", F.lit(-2).alias("place"), F.lit("/get?no=1").alias("href"),
+                          F.concat(F.element_at(words, (F.col("page_id") % F.size(words) + 1).cast("int")), F.lit(" a.hwp")).alias("name"))
+    return links.union(whole).union(worded).select("page_id", "place", is_ambiguous(F.col("name"), F.col("href")).alias("ambiguous"))
 
 
 @query("table_chunks", """

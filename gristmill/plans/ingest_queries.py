@@ -14,6 +14,7 @@ from gristmill.functions import attachments as A
 from gristmill.functions import chunks as C
 from gristmill.functions import urls as U
 from gristmill.functions.columns import is_blank
+from gristmill.operators.ordering import with_place
 from gristmill.plans.registry import query
 from gristmill.plans.sql import CRAWL_KEY, HOST
 from gristmill.sources.tables import appended_stage, table
@@ -180,11 +181,15 @@ def best_title_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("flat", "b.*").orderBy(F.desc("score"), "flat").limit(20)
 
 
-@query("seeded_start_order", "select page_id, md5('7:' || page_id::varchar) as place from pages")
+@query("seeded_start_order", """
+    select page_id, row_number() over (order by page_id) - 1 as forward, row_number() over (order by page_id desc) - 1 as reverse,
+      row_number() over (order by md5('7:' || page_id::varchar), page_id) - 1 as shuffled from pages""")
 def seeded_start_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All start URLs with their places in a seeded shuffle, in that order."""
-    place = F.md5(F.concat(F.lit("7:"), F.col("page_id").cast("string")))
-    return table(spark, sf_dir, "pages").select("page_id", place.alias("place")).orderBy("place", "page_id")
+    """The place of each start URL forwards, backwards and in a seeded shuffle."""
+    key = F.md5(F.concat(F.lit("7:"), F.col("page_id").cast("string")))
+    rows = with_place(table(spark, sf_dir, "pages").select("page_id"), "forward", F.col("page_id"))
+    n = rows.count()
+    return with_place(rows.withColumn("reverse", n - 1 - F.col("forward")).withColumn("_key", key), "shuffled", F.col("_key"), F.col("page_id")).drop("_key")
 
 
 @query("priority_lanes", f"""

@@ -244,3 +244,48 @@ def parent_board_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list that each article belongs to."""
     url = F.concat(F.lit("https://a.kr/bbs/view.do?page=2&nttId="), F.col("o_orderkey"), F.lit("&bbsId=B"), F.col("o_custkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey", U.parent_board(url).alias("parent"))
+
+
+#: Pages that name days, by the priority of an order; {d} is its day with dots, {k} in Korean, {b} eight digits, {e} the day of the month nine days on.
+DATED = {
+    "1": "<dl><dt>수정일</dt><dd>{l}</dd><dt>등록일</dt><dd>{d} 10:00</dd></dl><p>1999-01-01 2019.12.31</p>",
+    "2": "<p><span>작성일</span> : <b>{k}</b> 작성일자 {b}</p><p>2019.12.31</p>",
+    "3": "<table><tr><th>장소</th><td>2001.1.1</td></tr><tr><th>행사 기간</th><td>{d}(월) 10:00 ~ {n}</td></tr></table>",
+    "4": "<p>모집 2018 신청기간 : {d} ~ {e}일, 20명</p><p>2030-01-01</p>",
+    "5": "<p>{d}, 2030-01-01, 2011.13.1 and 2012-01-01</p>",
+}
+
+
+@query("page_dates", f"""
+    with o as (select *, {_KIND} as kind, (o_orderdate + interval 20 years)::date as d from orders)
+    select o_orderkey as page_id, case kind when '4' then make_date(year(d), 1, 1) when '5' then greatest(d, date '2012-01-01') else d end as day,
+      case kind when '1' then 'posted' when '2' then 'posted' when '3' then 'event' when '4' then 'application' else 'any' end as source,
+      case when kind = '1' then d + 40 end as modified, case when kind = '3' then d end as event_start, case when kind = '3' then d + 9 end as event_end,
+      case when kind in ('3', '4') then d end as apply_start, case when kind = '3' then d + 9 when kind = '4' then case when month(d + 9) = month(d) then d + 9 else d end end as apply_end from o""")
+def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When pages were posted and changed, and the periods of their events and applications."""
+    day = F.add_months("o_orderdate", 240)
+    later = F.date_add(day, 9)
+    given = {"d": F.date_format(day, "yyyy.M.d"), "k": F.date_format(day, "yyyy년 M월 d일"), "b": F.date_format(day, "yyyyMMdd"), "l": F.date_format(F.date_add(day, 40), "yyyy-MM-dd"),
+             "n": F.when(F.year(later) == F.year(day), F.date_format(later, "M.d")).otherwise(F.date_format(later, "yyyy.MM.dd")),
+             "e": F.dayofmonth(F.when(F.month(later) == F.month(day), later).otherwise(day)).cast("string")}
+    html = F.coalesce(*[F.when(F.substring("o_orderpriority", 1, 1) == kind, F.lit(template)) for kind, template in DATED.items()])
+    for name, value in given.items():
+        html = F.replace(html, F.lit("{" + name + "}"), value)
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://a.kr/").alias("url"), html.alias("html"))
+    return H.dates(made, "2029-01-01")
+
+
+@query("page_favicons", """
+    with p as (select page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) as host,
+      regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) || '', '^(.*/)', 1) as folder from pages)
+    select page_id, case page_id % 7 when 0 then scheme || '://' || host || folder || 'a/b.png' when 1 then scheme || '://cdn.example/i.ico' when 2 then scheme || '://' || host || '/t.png'
+      when 3 then scheme || '://' || host || regexp_replace(folder, '[^/]+/$', '') || 'up.ico' when 4 then 'data:image/png;base64,AA' else scheme || '://' || host || '/favicon.ico' end as favicon from p""")
+def page_favicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The icon of each page; most pages get link tags, as the given ones have none."""
+    tags = ["""<link rel="preload icon" href="/x.png"><link rel='icon' href="a/b.png">""", '<link href="//cdn.example/i.ico" rel="shortcut icon">',
+            "<link rel=mask-icon href=/t.png>", '<link rel="apple-touch-icon" href="../up.ico">', '<link rel="icon" href="data:image/png;base64,AA">',
+            '<!-- <link rel="icon" href="/no.ico"> -->', '<link rel="stylesheet" href="/icon.css"><link rel="icon" href="">']
+    kind = F.col("page_id") % len(tags)
+    html = F.concat(F.coalesce(*[F.when(kind == k, F.lit(tag)) for k, tag in enumerate(tags)]), "html")
+    return H.facts(pages(spark, sf_dir).withColumn("html", html), "favicon").select("page_id", "favicon")

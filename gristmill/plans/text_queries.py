@@ -147,6 +147,19 @@ def latest_date_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", D.latest_date(text, now).alias("latest"))
 
 
+@query("text_dates", """
+    select o_orderkey, case o_orderkey % 8 when 0 then o_orderdate::date::timestamp when 1 then greatest(o_orderdate::date, date '1995-02-03')::timestamp when 2 then o_orderdate::date::timestamp
+      when 3 then make_date(year(o_orderdate), 1, 1)::timestamp when 4 then timestamp '2003-01-01 10:00:00' - to_hours(3) when 5 then make_date(1998, 1, 1)::timestamp when 6 then null
+      else timestamp '2002-12-31' end as at from orders""")
+def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time that names of files speak of."""
+    form = lambda pattern: F.date_format("o_orderdate", pattern)
+    forms = [F.concat(F.lit("plan_"), form("yyyyMMdd"), F.lit("_v2.hwp")), F.concat(form("yyyy.M.d"), F.lit(" and 1995-2-3, not 2004-01-01 or 1995.13.1")), F.concat(F.lit("x"), form("yyyy년 M월d일")),
+             F.concat(form("yyyy"), F.lit(" report 2001")), F.lit("3시간 전"), F.lit("a1998 1998 (2003)"), F.lit("no 12345678901 v19981"), F.lit("어제")]
+    name = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.text_date(name, F.to_timestamp(F.lit("2003-01-01 10:00:00"))).alias("at"))
+
+
 @query("relative_dates", """
     select event_id, case event_type when 'signup' then timestamp '2024-03-01 12:00:00' when 'error' then timestamp '2024-03-01 00:00:00' when 'click' then timestamp '2024-02-29 00:00:00'
       when 'view' then timestamp '2024-03-01 12:00:00' - to_hours((event_id % 20)::int) else timestamp '2024-03-01 00:00:00' - to_days((event_id % 20)::int) end as at from events""")

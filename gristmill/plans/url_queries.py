@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gristmill.functions import urls as U
 from gristmill.functions.urls import DEDUP_PAGE_KEYS, DEDUP_VOLATILE_KEYS, TRACKING_KEYS
 from gristmill.operators.components import connected_rows
-from gristmill.operators.duplicates import duplicate_groups, duplicate_rows, unknown_starts
+from gristmill.operators.duplicates import duplicate_groups, duplicate_rows, start_reasons, unknown_starts
+from gristmill.operators.patterns import seed_groups, suggested_rules
 from gristmill.operators.rules import categorized, holds_any, matching_any
 from gristmill.plans.registry import query
 from gristmill.plans.sql import BARE, CRAWL_KEY, DEDUP_KEY, HOST, PATH, QUERY, pairs, segments
@@ -101,15 +102,20 @@ def url_pattern_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOP = f"array_to_string(list_reverse(list_reverse(string_split({HOST}, '.'))[1:2]), '.')"
 
 
+_BOARD_WORDS = ["board", "bbs", "notice", "ntt", "list", "view", "article", "portal", "news", "announcement", "gosi", "gonggo"]
+
+
 @query("url_seed_groups", f"""
-    select {_TOP} as domain, {_TEMPLATE} as template, count(*) as n, count(distinct {HOST}) as hosts, min(length(url)) as shortest,
-      arg_min(url, struct_pack(a := length(url), b := url)) as representative
-    from pages group by 1, 2""")
+    with p as (select page_id, url, lower(url) as low, {_TOP} as domain, {_TEMPLATE} as template, case when contains(url, 'utm_source=feed') then 'utm_source=feed'
+        when contains(url, 'ref=x') then 'ref=x' else '' end as query_signature, {HOST} as host, len({segments(PATH)}) as depth, case when page_id % 3 = 0 then ' ' else 'b' || page_id % 2 end as bot from pages),
+    s as (select *, {' + '.join(f"2 * contains(low, '{w}')::int" for w in _BOARD_WORDS)} + 3 * (contains(low, 'board') or contains(low, 'list.do'))::int as score from p)
+    select domain, template, query_signature, count(*) as n, count(distinct host) as hosts, count(distinct nullif(trim(bot), '')) as bots,
+      case when count(distinct nullif(trim(bot), '')) = 1 then min(nullif(trim(bot), '')) end as only_bot,
+      arg_max(url, struct_pack(a := score, b := -depth, c := -length(url), d := page_id)) as representative from s group by 1, 2, 3""")
 def url_seed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).groupBy(U.top_domain(U.host("url")).alias("domain"), U.path_template("url").alias("template")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(U.host("url")).alias("hosts"),
-        F.min(F.length("url")).cast("long").alias("shortest"),
-        F.min_by("url", F.struct(F.length("url"), "url")).alias("representative"))
+    """Groups of pages by domain, path template and stable parameters; each page belongs to a bot, or to none."""
+    bot = F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.concat(F.lit("b"), (F.col("page_id") % 2).cast("string")))
+    return seed_groups(pages(spark, sf_dir).withColumn("bot", bot), "page_id", "url", "bot")
 
 
 @query("url_scope_filter", f"select page_id, url from pages where regexp_matches(url, '^https?://(www\\.)?spam-farm\\.example\\.org/en/')")
@@ -239,6 +245,51 @@ def url_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_rows(keyed, "o_orderkey", "keys").select("o_orderkey", "component")
 
 
+@query("start_url_reasons", f"""
+    with k as (select page_id, case when page_id % 9 = 4 then '' else regexp_replace({CRAWL_KEY}, '^https?://', '') end as key, url from pages),
+    s as (select *, row_number() over (partition by key order by page_id) as r from k where starts_with(url, 'http:') or key = ''),
+    m as (select case when key = '' then 'blank' when key in (select key from k where starts_with(url, 'https:')) then 'known' when r > 1 then 'repeated' else 'new' end as reason from s)
+    select reason, count(*) as n from m group by 1""")
+def start_url_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many start URLs are new, and why the others aren't taken; those without a key pass."""
+    keyed = pages(spark, sf_dir).select("page_id", "url", F.when(F.col("page_id") % 9 == 4, "").otherwise(U.without_scheme(U.canonical_crawl_url("url"))).alias("key"))
+    starts = keyed.where(F.col("url").startswith("http:") | (F.col("key") == "")).select("page_id", "key")
+    return start_reasons(starts, keyed.where(F.col("url").startswith("https:")), "key", "page_id").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("post_url_plan", f"""
+    with k as (select page_id, url, {CRAWL_KEY} as key from pages where not contains(url, 'spam-farm')),
+    c as (select *, case when contains(lower(url), '/en/') then 'english' when contains(lower(url), 'blog.') then 'blog' end as cate1 from k),
+    r as (select *, row_number() over (partition by regexp_replace(key, '^https?://', '') order by page_id) as r from c where cate1 is not null)
+    select page_id, cate1, key from r where r = 1 and regexp_replace(key, '^https?://', '') not in (select regexp_replace({CRAWL_KEY}, '^https?://', '') from pages where page_id % 5 = 0)""")
+def post_url_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of posts in one plan: filtered, given a category by rules, the first of each key, and not known yet."""
+    rules = spark.createDataFrame([(1, "/en/", [], "english", "page"), (2, "blog.", [], "blog", "page")], "pos int, url string, query array<string>, cate1 string, cate2 string")
+    given = pages(spark, sf_dir)
+    known = given.where("page_id % 5 = 0").select(U.without_scheme(U.canonical_crawl_url("url")).alias("bare"))
+    kept = categorized(matching_any(given, "url", [["spam-farm"]], keep=False), "url", rules).where("cate1 is not null")
+    keyed = kept.select("page_id", "cate1", U.canonical_crawl_url("url").alias("key")).withColumn("bare", U.without_scheme("key"))
+    return unknown_starts(keyed, known, "bare", "page_id").select("page_id", "cate1", "key")
+
+
+@query("url_pattern_rules", f"""{_KINDS},
+    u as (select k, c, kind, case kind when 1 then 'b.kr|/bbs/view.do|' when 3 then 'other.kr|/q.php|utm_source=q' when 4 then '한국.kr|/site/bd_selectbbs.do|q_bbscode=1&q_bbscttsn=' || c
+        when 5 then '한국.kr|/else/bd_selectbeffatinfoothbcbbs.do|q_bbscode=1&q_bbscttsn=' || c when 6 then 'c.kr|/alone/:var|'
+        when 0 then 'www.a.kr|/p/:var|x=' || k else 'b.kr|/x/' || k || '.html|' end as signature from o where kind <> 3 or c % 2 = 0),
+    g as (select signature, any_value(kind) as kind, any_value(c) as c, count(*) as n, count(distinct k) as keys, min(k::varchar) as k1 from u group by 1),
+    r as (select *, case kind when 1 then 'https://b.kr/bbs/view.do' when 3 then 'http://other.kr/q.php?utm_source=q' when 4 then 'https://한국.kr/site/BD_selectBbs.do?q_bbsCode=1&q_bbscttSn=' || c
+      when 5 then 'https://한국.kr/else/BD_selectBeffatInfoOtHbcBbs.do?q_bbsCode=1&q_bbscttSn=' || c else 'https://c.kr/alone' end as rule_url,
+      case kind when 3 then 'utm_source=q' when 4 then 'q_bbsCode=1 q_bbscttSn=' || c when 5 then 'q_bbsCode=1 q_bbscttSn=' || c else '' end as rule_query,
+      case kind when 6 then 'constant alone, ' || case when keys = 1 then 'constant ' || k1 when keys <= 8 then 'bounded' else 'free' end when 1 then 'constant bbs, constant view.do' when 3 then 'constant q.php'
+        when 4 then 'constant site, constant BD_selectBbs.do' else 'constant else, constant BD_selectBeffatInfoOtHbcBbs.do' end as positions from g where n >= 3)
+    select signature, n, least(n, 8)::int as n_sample, rule_url, rule_query, positions from r union all select null, count(*), null, null, null, null from g where n < 3""")
+def url_pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that groups of three addresses or more suggest; those with an odd document at other.kr are known already."""
+    found = suggested_rules(order_urls(spark, sf_dir), "url", 3, [["other.kr", f"{x}&utm"] for x in (1, 3, 5, 7, 9)])
+    said = F.array_join(F.transform("positions", lambda p: F.concat_ws(" ", p["kind"], F.when(p["kind"] == "constant", p["parts"][0]))), ", ")
+    return found.select("signature", "n", F.when(F.col("sample").isNotNull(), F.size("sample")).alias("n_sample"), "rule_url", F.array_join("rule_query", " ").alias("rule_query"), said.alias("positions"))
+
+
 @query("url_shared_keys", f"""
     with k as (select page_id, unnest(list_distinct([{DEDUP_KEY}, {_TOKENS}])) as key from pages)
     select key, count(*) as n, min(page_id) as first_page from k group by key having count(*) > 1""")
