@@ -110,3 +110,13 @@ def segment_chunks(texts: list[str], size: int = SIZE) -> list[str]:
         else:
             out.append(held)
     return [" ".join(x) for x in out]
+
+
+def dispatched_chunks(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, by_blocks, n_chunks): how each text is cut: Markdown by its blocks, other text in windows."""
+    from gristmill.functions.texts import looks_like_markdown
+
+    marked = rows.withColumn("by_blocks", F.coalesce(looks_like_markdown(text), F.lit(False)))
+    blocks = exploded_semantic_chunks(marked.where("by_blocks"), ident, text).groupBy(ident).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    plain = F.when(F.col("by_blocks"), 0).otherwise(F.size(fixed_chunks(text)))
+    return marked.select(ident, "by_blocks", plain.alias("_w")).join(blocks, ident, "left").select(ident, "by_blocks", F.coalesce("_n", "_w").alias("n_chunks"))

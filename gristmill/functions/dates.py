@@ -84,9 +84,13 @@ def text_in_range(c: Column | str, start: str, end: str) -> Column:
     return F.coalesce(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))
 
 
-def bound(c: str, upper: bool) -> str:
-    """A date as the first or last second of its day; a timestamp as it is."""
-    return f"{c} {'23:59:59' if upper else '00:00:00'}" if len(c.strip()) == 10 else c
+def created_bound(c: Column | str, upper: bool) -> Column:
+    """A day as its first or last second, a time as yyyy-MM-dd HH:mm:ss; '' for blanks and null for what is neither."""
+    text = F.replace(F.trim(F.coalesce(as_column(c), F.lit(""))), F.lit("T"), F.lit(" "))
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit(" 23:59:59" if upper else " 00:00:00"))).when(
+        text.rlike(r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{1,2}(:\d{1,2})?$"), F.date_format(F.coalesce(
+            F.try_to_timestamp(text, F.lit("yyyy-MM-dd H:m:s")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd H:m"))), "yyyy-MM-dd HH:mm:ss"))
+    return F.when(text == "", "").otherwise(whole)
 
 
 def is_office_hour(ts: Column | str, zone: str = "Asia/Seoul") -> Column:

@@ -54,6 +54,7 @@ def _top_level(schema: str) -> list[str]:
 #: What ``facts`` reads from a page, by name, as (type, function of tree and URL).
 def _facts() -> dict[str, tuple[str, Callable[[Tree, str], object]]]:
     from gristmill.functions import page_parts as P
+    from gristmill.functions.detail_evidence import detail_marks
 
     def named(names: str, rows: list[tuple]) -> list[dict]:
         return [dict(zip(names.split(), row, strict=True)) for row in rows]
@@ -72,6 +73,7 @@ def _facts() -> dict[str, tuple[str, Callable[[Tree, str], object]]]:
         "menu": ("array<struct<depth int, label string, url string>>", lambda t, u: named("depth label url", P.menu(t, u))),
         "fast": ("struct<title string, content string, place string, day string, links array<string>, ok boolean>", lambda t, u: P.fast_parse(t, u)),
         "favicon": ("string", lambda t, u: P.favicon(t, u)),
+        "marks": ("array<string>", lambda t, u: detail_marks(t, u)),
         "nodes": ("array<struct<node int, parent int, depth int, tag string, id string, classes array<string>, first int, last int, text string>>",
                   lambda t, u: named("node parent depth tag id classes first last text", t.flat())),
     }
@@ -81,7 +83,7 @@ def facts(pages: DataFrame, *names: str) -> DataFrame:
     """(page_id, url, one column for each name): what is asked of each page, from one parse of it.
 
     Names are those of ``_facts``: content, blocks, title, titles, attachments,
-    links, posts, pairs, trail, menu, fast, favicon, nodes. A null or blank page has no
+    links, posts, pairs, trail, menu, fast, favicon, marks, nodes. A null or blank page has no
     title, links or nodes and an empty content.
     """
     wanted = [(name, *_facts()[name]) for name in names]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import html as H
 from gristmill.functions import urls as U
 from gristmill.functions.columns import as_column
+from gristmill.functions.detail_evidence import LEAST_MARKS
 from gristmill.plans.registry import query
 from gristmill.sources.tables import table
 
@@ -289,3 +290,19 @@ def page_favicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("page_id") % len(tags)
     html = F.concat(F.coalesce(*[F.when(kind == k, F.lit(tag)) for k, tag in enumerate(tags)]), "html")
     return H.facts(pages(spark, sf_dir).withColumn("html", html), "favicon").select("page_id", "favicon")
+
+
+@query("page_detail_marks", f"""
+    select o_orderkey as page_id, case {_KIND} when '1' then 'query h1_title date_place day author' when '2' then 'query board_parameter title_link' when '4' then 'article_type' else '' end as marks,
+      {_KIND} in ('1', '2') as is_post from orders""")
+def page_detail_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for one post on each page, and whether that is enough: posts, lists by paging, by their address, by their entries."""
+    forms = {"1": ("https://a.kr/x?y=a{k}", "<h1>Order {k}</h1><span class='reg-date'>{d}</span><p class=writer>c{c}</p>"),
+             "2": ("https://a.kr/bbs/view.do?nttId={k}", "<h3 class=title><a href='#'>Order</a></h3><div class=paging-box></div>"),
+             "3": ("https://a.kr/bbs/view.do?page=2&q={s}", "<h1>Order {k}</h1><span class=date>{d}</span>"),
+             "4": ("https://a.kr/{k}", "<meta property='og:type' content='Article'><h1>Abc</h1><ul class=board_list><li><a>1</a></li><li>y</li><li>x</li></ul>"),
+             "5": ("https://a.kr/x?id={k}", "<h1>Order {k}</h1><table><tbody><tr><td>{d}</td></tr><tr><td><a>2</a></td></tr><tr><td>{d}</td></tr></tbody></table>")}
+    kind = F.substring("o_orderpriority", 1, 1)
+    part = lambda n: F.coalesce(*[F.when(kind == k, _filled(form[n])) for k, form in forms.items()])
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), part(0).alias("url"), part(1).alias("html"))
+    return H.facts(made, "marks").select("page_id", F.array_join("marks", " ").alias("marks"), (F.size("marks") >= LEAST_MARKS).alias("is_post"))
