@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,3 +120,16 @@ def trimmed_to_bytes(c: Column | str, limit: int) -> Column:
     text = F.substring(as_column(c), 1, limit)
     sizes = F.filter(F.sequence(F.lit(0), F.length(text)), lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= limit)
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), F.array_max(sizes)))
+
+
+def holds(c: Column | str, part: str) -> Column:
+    """Whether a text holds a part as it is written; a blank part is in every text."""
+    return as_column(c).contains(part)
+
+
+def unescaped(c: Column | str) -> Column:
+    """Text with the entities of HTML as characters and its white space squeezed."""
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else " ".join(html.unescape(t).split()) for t in texts], dtype="object")
+
+    return F.pandas_udf(read, "string")(as_column(c))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import as_column, contains_any, let
+from gristmill.functions.punycode import ascii_host
 
 # Query keys that don't identify a page.
 CRAWL_PAGE_KEYS = [
@@ -98,11 +99,6 @@ def query(url: Column | str) -> Column:
     return F.regexp_extract(as_column(url), _PARTS, 4)
 
 
-def ascii_host(name: Column) -> Column:
-    """A host as it is in the name system: labels of other letters in Punycode; what can't be written so stays."""
-    return F.when(name.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name), name)).otherwise(name)
-
-
 def bare_host(url: Column | str) -> Column:
     """Host in ASCII, without ``www.`` and default ports."""
     named = F.regexp_replace(ascii_host(host(url)), r"^www\.", "")
@@ -198,43 +194,52 @@ def identity(url: Column | str) -> Column:
     different paths; ``stable`` says that some parameters alone name the article.
     """
     full = as_column(url)
-    place, pairs = F.lower(F.trim(path(full))), query_pairs(full)
-    suffix = F.element_at(F.split(F.regexp_replace(place, "/+$", ""), "/"), -1)
-    given = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-
-    def has(keys: list[str]) -> Column:
-        return F.size(F.array_intersect(given, F.array(*map(F.lit, keys)))) == len(keys)
 
     def listed(keys: list[str]) -> Column:
         return F.array(*map(F.lit, keys))
 
-    named = suffix.isin(list(DETAIL_NAMES))
-    shaped = named | (suffix.rlike(f"({'|'.join(x.replace('.', '[.]') for x in DETAIL_ENDINGS)})$") & contains_any(place, DETAIL_WORDS))
-    naming = F.filter(given, is_identity_key)
-    own = F.when(shaped & (F.size(naming) >= 2) & F.forall(given, lambda k: is_identity_key(k) | _discarded_key(k)), naming).otherwise(F.array().cast("array<string>"))
-
-    def made(own: Column) -> Column:
-        article = (suffix == "selectboarddetail.do") & has(ARTICLE_KEYS)
-        stable = (named & (has(BOARD_DETAIL_KEYS) | has(NOTICE_DETAIL_KEYS))) | article | (F.size(own) > 0)
-        allowed = (F.when(suffix == "selectboarddetail.do", listed(ARTICLE_KEYS)).when(has(NOTICE_DETAIL_KEYS), listed(NOTICE_DETAIL_KEYS))
-                   .when(F.size(own) > 0, own).otherwise(listed(BOARD_DETAIL_KEYS)))
+    def read(parts: Column) -> Column:
+        """What the parameters' names say, each worked out once."""
+        place = parts["place"]
+        given = F.array_distinct(F.transform(parts["pairs"], lambda p: p["key"]))
+        suffix = F.element_at(F.split(F.regexp_replace(place, "/+$", ""), "/"), -1)
+        classes = F.transform(given, lambda k: F.struct(k.alias("key"), is_identity_key(k).alias("names"), _discarded_key(k).alias("dropped")))
+        return F.struct(place.alias("place"), parts["pairs"].alias("pairs"), given.alias("given"), suffix.alias("suffix"), classes.alias("keys"))
+
+    def judged(x: Column) -> Column:
+        """Which parameters alone name the article, if any do."""
+        place, suffix, given = x["place"], x["suffix"], x["given"]
+        has = lambda keys: F.size(F.array_intersect(given, listed(keys))) == len(keys)
+        named = suffix.isin(list(DETAIL_NAMES))
+        shaped = named | (suffix.rlike(f"({'|'.join(e.replace('.', '[.]') for e in DETAIL_ENDINGS)})$") & contains_any(place, DETAIL_WORDS))
+        naming = F.transform(F.filter(x["keys"], lambda k: k["names"]), lambda k: k["key"])
+        own = F.when(shaped & (F.size(naming) >= 2) & F.forall(x["keys"], lambda k: k["names"] | k["dropped"]), naming).otherwise(F.array().cast("array<string>"))
         board = F.array_contains(given, "nttid") & contains_any(place, ARTICLE_PLACES) & suffix.isin(ARTICLE_PAGES)
-        kept = F.filter(pairs, lambda p: ~_discarded_key(p["key"]) & (~stable | F.array_contains(allowed, p["key"])) & (~board | p["key"].isin(ARTICLE_KEYS)))
-        name = F.coalesce(*[F.when(suffix == k, F.lit(v)) for k, v in DETAIL_NAMES.items()])
-        return F.struct(stable.alias("stable"), suffix.alias("suffix"),
-                        F.when(stable & named, F.concat(F.lit("/__bbs_detail__/"), name)).otherwise(resolved_path(_decoded(path(full), False))).alias("place"),
-                        F.array_distinct(kept).alias("pairs"))
+        return F.struct(own.alias("own"), named.alias("named"), board.alias("board"), has(BOARD_DETAIL_KEYS).alias("by_board"), has(NOTICE_DETAIL_KEYS).alias("by_notice"),
+                        ((suffix == "selectboarddetail.do") & has(ARTICLE_KEYS)).alias("by_article"), x["suffix"].alias("suffix"), x["pairs"].alias("pairs"),
+                        F.transform(F.filter(x["keys"], lambda k: k["dropped"]), lambda k: k["key"]).alias("dropped"))
+
+    def made(x: Column) -> Column:
+        stable = (x["named"] & (x["by_board"] | x["by_notice"])) | x["by_article"] | (F.size(x["own"]) > 0)
+        allowed = (F.when(x["suffix"] == "selectboarddetail.do", listed(ARTICLE_KEYS)).when(x["by_notice"], listed(NOTICE_DETAIL_KEYS))
+                   .when(F.size(x["own"]) > 0, x["own"]).otherwise(listed(BOARD_DETAIL_KEYS)))
+        name = F.coalesce(*[F.when(x["suffix"] == k, F.lit(v)) for k, v in DETAIL_NAMES.items()])
+        place = F.when(stable & x["named"], F.concat(F.lit("/__bbs_detail__/"), name)).otherwise(resolved_path(_decoded(path(full), False)))
+        kept = let(F.struct(stable.alias("s"), allowed.alias("a")), lambda y: F.filter(x["pairs"], lambda p: ~F.array_contains(x["dropped"], p["key"]) & (
+            ~y["s"] | F.array_contains(y["a"], p["key"])) & (~x["board"] | p["key"].isin(ARTICLE_KEYS))))
+        return F.struct(stable.alias("stable"), x["suffix"].alias("suffix"), place.alias("place"), F.array_distinct(kept).alias("pairs"))
+
+    parts = F.struct(F.lower(F.trim(path(full))).alias("place"), query_pairs(full).alias("pairs"))
+    return let(parts, lambda p: let(read(p), lambda x: let(judged(x), made)))
+
 
-    return let(own, made)
+def _canonical(full: Column, x: Column) -> Column:
+    return _assembled(full, _encoded(x["place"], True, "%20"), F.array_sort(x["pairs"]))
 
 
 def canonical_dedup_url(url: Column | str) -> Column:
     """Key of a document: path and value case kept, parameters that count in order, each once; see ``identity``."""
-    def key(full: Column) -> Column:
-        return F.when(full == "", "").otherwise(let(identity(full), lambda x: _assembled(
-            full, _encoded(x["place"], True, "%20"), F.array_sort(x["pairs"]))))
-
-    return let(absolute(url), key)
+    return let(absolute(url), lambda full: F.when(full == "", "").otherwise(let(identity(full), lambda x: _canonical(full, x))))
 
 
 def without_scheme(key: Column | str) -> Column:
@@ -363,36 +368,33 @@ def passes_query_filter(url: Column | str, mode: str) -> Column:
     return has if mode == "Q" else ~has if mode == "P" else F.lit(True)
 
 
-def tokens(url: Column | str) -> Column:
-    """Sorted tokens of a URL: bare host, last path part in lower case, and the parameters that count, joined by ``|``."""
-    def made(full: Column) -> Column:
-        def joined(x: Column) -> Column:
-            last = F.element_at(F.filter(F.split(F.lower(x["place"]), "/"), lambda s: s != ""), -1)
-            pairs = F.transform(x["pairs"], lambda p: F.concat_ws("=", p["key"], p["value"]))
-            parts = F.array_distinct(F.concat(F.array(F.regexp_replace(host(full), r"^www\.", ""), F.coalesce(last, F.lit(""))), pairs))
-            return F.array_join(F.array_sort(F.filter(parts, lambda t: t != "")), "|")
+def _tokens(full: Column, x: Column) -> Column:
+    last = F.element_at(F.filter(F.split(F.lower(x["place"]), "/"), lambda s: s != ""), -1)
+    pairs = F.transform(x["pairs"], lambda p: F.concat_ws("=", p["key"], p["value"]))
+    parts = F.array_distinct(F.concat(F.array(F.regexp_replace(host(full), r"^www\.", ""), F.coalesce(last, F.lit(""))), pairs))
+    return F.array_join(F.array_sort(F.filter(parts, lambda t: t != "")), "|")
 
-        return F.when(full == "", "").otherwise(let(identity(full), joined))
 
-    return let(absolute(url), made)
+def tokens(url: Column | str) -> Column:
+    """Sorted tokens of a URL: bare host, last path part in lower case, and the parameters that count, joined by ``|``."""
+    return let(absolute(url), lambda full: F.when(full == "", "").otherwise(let(identity(full), lambda x: _tokens(full, x))))
 
 
 def dedup_keys(url: Column | str) -> Column:
     """Keys of which any shared one means the same document: canonical, tokens, the article of a board, and primary parameters with and without host."""
     def made(full: Column) -> Column:
-        bare = F.regexp_replace(host(full), r"^www\.", "")
-        keyed = F.filter(query_pairs(full), lambda p: p["key"].isin(PRIMARY_KEYS))
-
-        def article(x: Column) -> Column:
+        def keys(x: Column) -> Column:
+            bare = F.regexp_replace(host(full), r"^www\.", "")
             value = lambda k: F.get(F.filter(x["pairs"], lambda p: p["key"] == k), F.lit(0))["value"]
             by = F.when(x["suffix"] == "selectboarddetail.do", F.concat(F.lit("bbsid="), value("bbsid"), F.lit("|nttid="), value("nttid"))).otherwise(
                 F.concat(F.lit("q_bbscode="), value("q_bbscode"), F.lit("|q_bbscttsn="), value("q_bbscttsn")))
-            return F.when(x["stable"], F.concat(bare, F.lit("|bbs_detail|"), by))
+            article = F.when(x["stable"], F.concat(bare, F.lit("|bbs_detail|"), by))
+            named = let(F.transform(F.filter(query_pairs(full), lambda p: p["key"].isin(PRIMARY_KEYS)), lambda p: F.concat_ws("=", p["key"], p["value"])),
+                        lambda plain: let(bare, lambda b: F.concat(plain, F.transform(plain, lambda k: F.concat_ws("|", b, k)))))
+            return F.concat(F.array(_canonical(full, x), _tokens(full, x), article), named)
 
-        plain = F.transform(keyed, lambda p: F.concat_ws("=", p["key"], p["value"]))
-        with_host = F.transform(plain, lambda k: F.concat_ws("|", bare, k))
-        all_keys = F.concat(F.array(canonical_dedup_url(full), tokens(full), let(identity(full), article)), plain, with_host)
-        return F.array_distinct(F.filter(all_keys, lambda k: k.isNotNull() & (k != "")))
+        return F.when(full == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(
+            let(identity(full), keys), lambda k: k.isNotNull() & (k != ""))))
 
     return let(absolute(url), made)
 
@@ -411,9 +413,40 @@ def candidate_terms(url: Column | str) -> Column:
     return let(absolute(url), made)
 
 
+# Names of pages of posts and of lists, and parameters of boards and of posts.
+BOARD_PATHS = [(f"{name}.{end}", f"list.{end}") for end in ("do", "asp", "php", "jsp") for name in ("view", "detail", "read")]
+BOARD_PARAMETERS = ["menuno", "menu_no", "menu_cd", "bbsid", "bbs_id", "boardno", "board_no"]
+POST_PARAMETERS = ["nttid", "ntt_id", "num", "id", "seq", "no", "articleno", "article_no"]
+CAMPAIGN_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
+
+
 def parent_board(url: Column | str) -> Column:
-    """The list that an article's URL belongs to: list for view in the path, without the keys of the article."""
-    place = F.regexp_replace(path(url), r"(?i)(view|read|detail)(\.(?:do|jsp|asp|php))$", "list$2")
-    kept = F.filter(query_pairs(url), lambda p: ~p["key"].isin([*PRIMARY_KEYS, *DEDUP_PAGE_KEYS]) | p["key"].isin("bbsid", "boardid"))
-    q = let(joined_pairs(kept), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.concat(scheme(url), F.lit("://"), host(url), place, q)
+    """The list that a post's URL leads to: list for view in its path, in lower case, with the parameters of the board; null if that is the URL itself."""
+    text = as_column(url)
+    low = F.lower(path(text))
+    place = F.coalesce(*[F.when(low.contains(old), F.replace(low, F.lit(old), F.lit(new))) for old, new in BOARD_PATHS], low)
+    items = F.filter(F.split(query(text), "&"), lambda x: x.rlike("^[^=]+=."))
+    names = F.array_distinct(F.transform(items, lambda x: F.substring_index(x, "=", 1)))
+
+    def kept(x: Column) -> Column:
+        name = F.lower(F.substring_index(x, "=", 1))
+        return ~name.isin(POST_PARAMETERS) & (contains_any(name, BOARD_PARAMETERS) | (F.size(names) == 1))
+
+    pairs = F.transform(F.filter(items, kept), lambda x: F.concat(F.substring_index(x, "=", 1), F.lit("="), _encoded(_decoded(F.regexp_extract(x, "(?s)=(.*)", 1), True), False, "+")))
+    q = let(F.array_join(pairs, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return let(F.concat(scheme(text), F.lit("://"), host(text), place, q), lambda board: F.when((board != text) & (scheme(text) != ""), board))
+
+
+def sitemap_query(text: Column) -> Column:
+    """A query without campaigns, its parameters sorted; blank values stay."""
+    def pair(item: Column) -> Column:
+        return F.struct(_decoded(F.substring_index(item, "=", 1), True).alias("key"), _decoded(F.regexp_extract(item, "(?s)=(.*)", 1), True).alias("value"))
+
+    pairs = F.filter(F.transform(F.filter(F.split(text, "&"), lambda x: x != ""), pair), lambda p: ~p["key"].isin(CAMPAIGN_KEYS))
+    return joined_pairs(F.array_sort(pairs))
+
+
+def of_domain(url: Column | str, domain: str) -> Column:
+    """Whether a URL's host is a domain or lies below it."""
+    plain = domain.strip().lower()
+    return (host(url) == plain) | host(url).endswith(f".{plain}")

@@ -34,11 +34,40 @@ def replaced_by_key(target: DataFrame, source: DataFrame, keys: list[str]) -> Da
     return kept.select(*target.columns).unionByName(source.select(*target.columns))
 
 
-def patched_metadata(old: Column, new: Column) -> Column:
-    """A string map with the entries of ``new`` that ``old`` lacks or has blank."""
-    kept = F.map_filter(old, lambda k, v: ~is_blank(v))
-    added = F.map_filter(new, lambda k, v: ~is_blank(v) & ~F.map_contains_key(kept, k))
-    return F.map_concat(kept, added)
+def patched_metadata(old: Column, new: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+    """A string map with the entries of ``new`` that ``old`` lacks or has blank, under their own names and under none of their ``aliases``.
+
+    Blank entries of ``old`` stay unless ``new`` has them.
+    """
+    has = F.map_filter(old, lambda k, v: ~is_blank(v))
+
+    def lacking(key: Column) -> Column:
+        out = ~F.map_contains_key(has, key)
+        for name, others in (aliases or {}).items():
+            for other in others:
+                out = out & ~((key == name) & F.map_contains_key(has, other))
+        return out
+
+    added = F.map_filter(new, lambda k, v: ~is_blank(v) & lacking(k))
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(added, k) & (~is_blank(v) if aliases is None else F.lit(True))), added)
+
+
+#: Entries that hold times, and those of a file that are taken over.
+TIME_ENTRIES = ["content_created_at", "content_updated_at", "created_at", "updated_at"]
+
+
+def chunk_metadata(base: Column, kind: Column, source_url: Column, index: Column, length: Column) -> Column:
+    """Metadata of a chunk as a string map: what has a value, with defaults; times of the content stand for those of its row.
+
+    ``base`` is what is known of the page or file; its other entries follow.
+    """
+    value = lambda name: F.nullif(F.trim(F.element_at(base, name)), F.lit(""))
+    created, updated = (F.coalesce(value(f"content_{x}_at"), value(f"{x}_at")) for x in ("created", "updated"))
+    fixed = {"source_url": F.nullif(F.trim(source_url), F.lit("")), "chunk_index": index.cast("string"), "content_length": length.cast("string"),
+             "update_frequency": F.coalesce(value("update_frequency"), F.lit("1_day")), "content_created_at": value("content_created_at"),
+             "content_updated_at": value("content_updated_at"), "created_at": created, "updated_at": updated, "date_rerank_target": F.lit("true"), "source_category": kind}
+    own = F.create_map(*[x for name, v in fixed.items() for x in (F.lit(name), v)])
+    return F.map_filter(F.map_concat(F.map_filter(base, lambda k, v: ~k.isin(list(fixed))), own), lambda k, v: ~is_blank(v))
 
 
 def merged_category(old: Column, new: Column, overwrite: bool) -> Column:

@@ -61,15 +61,6 @@ def attachment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(A.attachment_key(url).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("attachment_blocks", """
-    select l_returnflag as flag, case l_linestatus when 'O' then 'hwp' else 'zip' end as extension, count(*) as n, l_linestatus <> 'O' or l_returnflag = 'N' as blocked from lineitem group by all""")
-def attachment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("notice "), F.col("l_partkey"), F.when(F.col("l_linestatus") == "O", ".HWP [29.0 KByte]").otherwise(".zip (3 MB)"))
-    media = F.when(F.col("l_returnflag") == "N", "image/png").otherwise("application/octet-stream")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), A.known_extension(name).alias("extension"), A.is_blocked(name, media).alias("blocked"))
-    return rows.groupBy("flag", "extension", "blocked").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("file_identity_groups", """
     select lower(p_brand) as stem, 'hwp' as ext, p_size::bigint as size, count(*) as n, min(p_partkey) as keep from part group by all""")
 def file_identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,21 +79,6 @@ def delete_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("r", number).where("r > 1").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
 
 
-@query("wiki_page_kinds", """
-    select case event_type when 'error' then 'edit' when 'click' then 'resource' else 'page' end as kind, count(*) as n from events group by 1""")
-def wiki_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("https://w.kr/"), F.when(F.col("event_type") == "error", "index.php?title=A&action=edit").when(F.col("event_type") == "click", "w/load.php?x=1").otherwise("wiki/A?x=action"))
-    return table(spark, sf_dir, "events").groupBy(A.wiki_page_kind(url).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("ocr_failures", """
-    select case event_type when 'error' then 'ocr_status_' || (400 + (event_id % 5))::varchar when 'click' then 'ocr_failed' when 'view' then 'ocr_api_failed' end as reason, count(*) as n from events group by 1""")
-def ocr_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    text = (F.when(kind == "error", F.concat(F.lit("OCR returned "), F.col("event_id") % 5 + 400)).when(kind == "click", "the ocr step FAILED").when(kind == "view", "OCR API down").otherwise("failed"))
-    return table(spark, sf_dir, "events").groupBy(A.ocr_failure(text).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("placeholder_titles", """
     select page_id, title = '' or lower(title) in ('error', 'err', '404', '500') as placeholder from (select page_id, coalesce(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') as title from pages)""")
 def placeholder_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

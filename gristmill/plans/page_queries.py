@@ -240,13 +240,6 @@ def page_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trails.groupBy("trail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("parent_board_urls", "select o_orderkey, 'https://a.kr/bbs/list.do?bbsid=B' || o_custkey::varchar as parent from orders")
-def parent_board_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list that each article belongs to."""
-    url = F.concat(F.lit("https://a.kr/bbs/view.do?page=2&nttId="), F.col("o_orderkey"), F.lit("&bbsId=B"), F.col("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", U.parent_board(url).alias("parent"))
-
-
 #: Pages that name days, by the priority of an order; {d} is its day with dots, {k} in Korean, {b} eight digits, {e} the day of the month nine days on.
 DATED = {
     "1": "<dl><dt>수정일</dt><dd>{l}</dd><dt>등록일</dt><dd>{d} 10:00</dd></dl><p>1999-01-01 2019.12.31</p>",
