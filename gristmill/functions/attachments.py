@@ -32,6 +32,49 @@ def without_size_label(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.trim(as_column(name)), _SIZE_LABEL, ""))
 
 
+def without_sizes(name: Column | str) -> Column:
+    """A file name without sizes at its end and before its ending, however many there are."""
+    once = lambda c: F.trim(F.regexp_replace(F.trim(c), _SIZE_LABEL, ""))
+
+    def step(text: Column) -> Column:
+        def kept(parts: Column) -> Column:
+            return F.when((parts["stem"] != "") & (parts["kept"] != "") & (parts["kept"] != parts["stem"]), F.concat(parts["kept"], parts["end"])).otherwise(text)
+
+        stem, end = (F.regexp_extract(text, r"(?s)^(.+)(\.[^./\\]*)$", k) for k in (1, 2))
+        return let(F.struct(stem.alias("stem"), end.alias("end"), once(stem).alias("kept")), kept)
+
+    text = as_column(name)
+    for _ in range(3):  # labels in a row, before and after the ending
+        text = let(once(text), step)
+    return text
+
+
+def safe_name(name: Column | str) -> Column:
+    """A name that any file system takes: letters, digits, spaces and ``._-`` only; ``downloaded_file`` if nothing is left."""
+    kept = F.trim(F.regexp_replace(without_sizes(F.coalesce(as_column(name), F.lit(""))), r"[^\p{L}\p{Nd} ._-]", ""))
+    return let(kept, lambda x: F.when(x == "", "downloaded_file").otherwise(x))
+
+
+def name_within(name: Column | str, limit: int) -> Column:
+    """A name of at most ``limit`` UTF-8 bytes that keeps its ending if that fits."""
+    def cut(part: Column, most: Column) -> Column:
+        def longest(short: Column) -> Column:
+            fits = F.filter(F.sequence(F.lit(0), F.length(short)), lambda n: F.octet_length(F.substring(short, F.lit(1), n)) <= most)
+            return F.substring(short, F.lit(1), F.array_max(fits))
+
+        return let(F.substring(part, 1, limit), longest)
+
+    def made(text: Column) -> Column:
+        def ended(end: Column) -> Column:
+            stem = F.substring(text, F.lit(1), F.length(text) - F.length(end))
+            room = F.lit(limit) - F.octet_length(end)
+            return F.when(room <= 0, cut(text, F.lit(limit))).otherwise(F.concat(cut(stem, room), end))
+
+        return F.when(F.octet_length(text) <= limit, text).otherwise(let(F.regexp_extract(text, r"(?s)^.+(\.[^.]*)$", 1), ended))
+
+    return let(as_column(name), made)
+
+
 def known_extension(name: Column | str) -> Column:
     """The first known extension that ends a token of a name, else what follows the last dot."""
     text = without_size_label(name)

@@ -70,6 +70,7 @@ def _facts() -> dict[str, tuple[str, Callable[[Tree, str], object]]]:
         "posts": ("array<struct<url string, title string, date string>>", lambda t, u: named("url title date", P.posts(t, u))),
         "pairs": ("array<struct<label string, value string>>", lambda t, u: named("label value", P.labelled_pairs(t))),
         "trail": ("array<string>", lambda t, u: P.trail(t)),
+        "category": ("string", lambda t, u: P.category_of(P.trail(t))),
         "menu": ("array<struct<depth int, label string, url string>>", lambda t, u: named("depth label url", P.menu(t, u))),
         "fast": ("struct<title string, content string, place string, day string, links array<string>, ok boolean>", lambda t, u: P.fast_parse(t, u)),
         "favicon": ("string", lambda t, u: P.favicon(t, u)),
@@ -83,7 +84,7 @@ def facts(pages: DataFrame, *names: str) -> DataFrame:
     """(page_id, url, one column for each name): what is asked of each page, from one parse of it.
 
     Names are those of ``_facts``: content, blocks, title, titles, attachments,
-    links, posts, pairs, trail, menu, fast, favicon, marks, nodes. A null or blank page has no
+    links, posts, pairs, trail, category, menu, fast, favicon, marks, nodes. A null or blank page has no
     title, links or nodes and an empty content.
     """
     wanted = [(name, *_facts()[name]) for name in names]

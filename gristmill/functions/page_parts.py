@@ -62,6 +62,13 @@ ERROR_TITLES = ["error", "err", "404", "500", "403", "502", "503", "badrequest",
 ERROR_PARTS = ["error_title", "server error", "runtime error"]
 TRAIL_WORDS = ["breadcrumb", "location", "path", "navigation", "nav"]
 
+# Trails.
+TRAIL_PLACES = ["nav[aria-label*=breadcrumb]", "nav[aria-label*=Breadcrumb]", "ol.breadcrumb", "ul.breadcrumb", ".breadcrumb", "#breadcrumb", ".breadcrumbs", ".bread-crumb",
+                ".breadCrumb", ".location", ".locationarea", ".page_location", ".page-location", ".pagepath", ".page-path", ".pagePath", ".path"]
+TRAIL_MARKS = [">", "/", "|"]
+HOME_WORDS = ["home", "main", "start", "homepage", "홈"]
+LABEL_TAGS = ["a", "span", "em", "strong", "button"]
+
 # Attachments.
 DOWNLOAD_HINTS = ["downloadbbsfile", "filedown", "filedownload", "file_down", "download.do", "download.jsp", "atchfile", "atchmnfl", "filesn", "fileid",
                   "file_id", "file_sn", "/file/download/", "/download/uu/", "downloadcontentsfile", "menucntfile", "process.file.do"]
@@ -437,15 +444,47 @@ def posts(tree: Tree, base: str) -> list[tuple[str, str, str]]:
     return list(out.values())
 
 
+def trail_steps(text: str) -> list[str]:
+    """The steps of a trail that is written with marks between them."""
+    return [x.strip() for x in re.split(r"\s*[>/\\|›»]\s*", " ".join(text.split())) if x.strip()]
+
+
+def clean_steps(steps: list[str]) -> list[str]:
+    """Steps without home pages, marks and repeats of the one before."""
+    out: list[str] = []
+    for step in (" ".join(s.split()) for s in steps):
+        if step and step not in TRAIL_MARKS and step.lower().replace(" ", "") not in HOME_WORDS and step != (out or [""])[-1]:
+            out.append(step)
+    return out
+
+
 def trail(tree: Tree) -> list[str]:
-    """The steps of the first trail of a page that has two or more, without the first if it is the home page."""
-    for selector in (".breadcrumb", ".breadcrumbs", ".location", "[class*=breadcrumb]", "[class*=location]", "[id*=location]"):
-        for node in tree.select(selector):
-            steps = [tree.text(k) for k in tree.within(node, ["a", "li", "span"]) if not tree.within(k, ["a", "li", "span"])]
-            steps = [s for s in steps if s and s not in (">", "/", "›")] or [s.strip() for s in tree.text(node).split(">") if s.strip()]
-            if len(steps) > 1:
-                return steps[1:] if steps[0].lower() in ("home", "홈", "main", "메인") else steps
-    return []
+    """The steps of the first trail of a page that has two; else those of its title, without the office in front.
+
+    Entries of a list give their own links and labels, not those of lists inside them.
+    """
+    def labels(item: int) -> list[str]:
+        return [t for k in tree.children(item) if tree.tag[k] in LABEL_TAGS and (t := tree.text(k))]
+
+    for place in sorted({k for s in TRAIL_PLACES for k in tree.select(s)}):
+        items = [k for k in tree.within(place, ["li"]) if not any(tree.tag[n] == "li" and n > place for n in tree.ancestors(k))]
+        if len(items) == 1 and len(own := labels(items[0])) > 1:
+            steps = own
+        else:
+            said = [(labels(k) or [tree.text(k)])[0] for k in items] or labels(place) or [tree.text(place)]
+            steps = [x for text in said for x in trail_steps(text)]
+        if len(found := clean_steps(steps)) > 1:
+            return found
+    steps = clean_steps(trail_steps(next((tree.text(k) for k in tree.by_tag.get("title", ())), "")))
+    steps = steps[1:] if len(steps) > 1 and steps[0].endswith("청") else steps
+    return steps if len(steps) > 1 else []
+
+
+def category_of(steps: list[str]) -> str:
+    """The category that a trail names: the step before its last, or the one before that if it only introduces."""
+    if len(steps) < 2:
+        return ""
+    return steps[-3] if steps[-2].endswith(" 소개") and len(steps) > 2 else steps[-2]
 
 
 def menu(tree: Tree, base: str) -> list[tuple[int, str, str]]:

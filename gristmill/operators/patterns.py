@@ -81,6 +81,15 @@ def suggested_rules(rows: DataFrame, url: str, least: int, known: list[list[str]
     return listed.union(left.select(*[F.col("n") if c == "n" else none[c] for c in listed.columns]))
 
 
+def frequent_tokens(rows: DataFrame) -> DataFrame:
+    """(signature, rank, token, n): the ``TOKENS`` scripts and stable parameters of each signature of ``rows`` (signature, url) that occur most, twice or more."""
+    script = F.element_at(F.concat(F.array(F.lit("")), _segments("url")), -1)
+    own = F.concat(F.filter(F.array(script), lambda x: x.rlike(r"\.[A-Za-z0-9]{1,6}$")), stable_tokens("url"))
+    counts = rows.select("signature", F.explode(own).alias("token")).groupBy("signature", "token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    number = F.row_number().over(W.partitionBy("signature").orderBy(F.desc("n"), "token"))
+    return counts.withColumn("rank", number).where(F.col("rank") <= TOKENS).select("signature", "rank", "token", "n")
+
+
 def seed_groups(rows: DataFrame, ident: str, url: str, bot: str) -> DataFrame:
     """(domain, template, query_signature, n, hosts, bots, only_bot, representative) of URLs by what they share.
 

@@ -233,11 +233,11 @@ def board_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.facts(site_pages(spark, sf_dir), "posts").select("page_id", F.inline("posts"))
 
 
-@query("page_breadcrumbs", "select 'Board ' || o_orderstatus || ' > Orders' as trail, count(*) as n from orders group by 1")
+@query("page_breadcrumbs", "select 'Board ' || o_orderstatus || ' > Orders' as trail, 'Board ' || o_orderstatus as category, count(*) as n from orders group by 1, 2")
 def page_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trails without their home page, with the number of pages that have them."""
-    trails = H.facts(site_pages(spark, sf_dir), "trail").select(F.array_join("trail", " > ").alias("trail"))
-    return trails.groupBy("trail").agg(F.count(F.lit(1)).alias("n"))
+    """Trails without their home page and the categories that they name, with the number of pages that have them."""
+    trails = H.facts(site_pages(spark, sf_dir), "trail", "category").select(F.array_join("trail", " > ").alias("trail"), "category")
+    return trails.groupBy("trail", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Pages that name days, by the priority of an order; {d} is its day with dots, {k} in Korean, {b} eight digits, {e} the day of the month nine days on.

@@ -174,3 +174,15 @@ _OCR_REASONS = ["ocr_status_404", "ocr_failed", "ocr_api_failed", None, None, "o
 def ocr_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why texts are messages of failed calls, if they are."""
     return table(spark, sf_dir, "events").select("event_id", A.ocr_failure(_each(_OCR, "event_id")).alias("reason"))
+
+
+_FILES = ["보고서 (최종).hwp [29.0 KB]", "a b_c-d.PDF", "x (3 MB).zip", "?*<>", "", "r/é|ü:.txt (1,024 bytes)", "가나다라마바사아자차카타파하.hwpx", "n.averyveryverylongending", "1.2 GB"]
+_SAFE = ["보고서 최종.hwp", "a b_c-d.PDF", "x.zip", "downloaded_file", "downloaded_file", "réü.txt", "가나다라마바사아자차카타파하.hwpx", "n.averyveryverylongending", "downloaded_file"]
+_SHORT = ["보고서 최종.hwp", "a b_c-d.PDF", "x.zip", "downloaded_file", "downloaded_file", "réü.txt", "가나다라마.hwpx", "n.averyveryverylongen", "downloaded_file"]
+
+
+@query("safe_file_names", f"select event_id, {_each_sql(_SAFE, 'event_id')} as safe, {_each_sql(_SHORT, 'event_id')} as short from events")
+def safe_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files as they are stored: without sizes and signs, of 21 bytes at most."""
+    safe = A.safe_name(_each(_FILES, "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", safe.alias("safe"), A.name_within(safe, 21).alias("short"))

@@ -9,7 +9,7 @@ from gristmill.functions import urls as U
 from gristmill.functions.urls import DEDUP_PAGE_KEYS, DEDUP_VOLATILE_KEYS, TRACKING_KEYS
 from gristmill.operators.components import connected_rows
 from gristmill.operators.duplicates import duplicate_groups, duplicate_rows, start_reasons, unknown_starts
-from gristmill.operators.patterns import seed_groups, suggested_rules
+from gristmill.operators.patterns import frequent_tokens, seed_groups, suggested_rules
 from gristmill.operators.rules import categorized, holds_any, matching_any
 from gristmill.plans.registry import query
 from gristmill.plans.sql import BARE, CRAWL_KEY, DEDUP_KEY, HOST, PATH, QUERY, pairs, segments
@@ -290,6 +290,18 @@ def url_pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("signature", "n", F.when(F.col("sample").isNotNull(), F.size("sample")).alias("n_sample"), "rule_url", F.array_join("rule_query", " ").alias("rule_query"), said.alias("positions"))
 
 
+@query("url_frequent_tokens", f"""
+    with p as (select {HOST} || '|' || {_TEMPLATE} as signature, coalesce({segments(PATH)}[-1], '') as script, {QUERY} as q from pages),
+    t as (select signature, script as token from p where regexp_matches(script, '\\.[A-Za-z0-9]{{1,6}}$') union all
+      select signature, unnest([x for x in string_split(q, '&') if regexp_matches(x, '^(utm_source|ref)=.')]) from p),
+    c as (select signature, token, count(*) as n from t group by 1, 2 having count(*) >= 2),
+    r as (select *, row_number() over (partition by signature order by n desc, token) as r from c)
+    select signature, r::int as rank, token, n from r where r <= 8""")
+def url_frequent_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight scripts and parameters of each path template that occur most, twice or more."""
+    return frequent_tokens(pages(spark, sf_dir).select(F.concat_ws("|", U.host("url"), U.path_template("url")).alias("signature"), "url"))
+
+
 @query("url_shared_keys", f"""
     with k as (select page_id, unnest(list_distinct([{DEDUP_KEY}, {_TOKENS}])) as key from pages)
     select key, count(*) as n, min(page_id) as first_page from k group by key having count(*) > 1""")

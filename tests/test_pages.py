@@ -85,6 +85,10 @@ def test_lists_trails_menus():
     assert P.menu_markdown(P.menu(tree, "http://h/")) == "- [A](http://h/a)\n  - [B](http://h/b)\n    - [C](http://h/c)"
     assert P.trail(tree) == ["News", "Notice"] and P.posts(tree, "http://h/l") == [("http://h/v?1", "Post", "2024-03-04")]
     assert P.labelled_pairs(tree) == [("Post", "2024년 3월 4일"), ("File", "2024.1.1"), ("Who", "me")]
+    trails = ["<ul class=path><li><a>Home</a></li><li><span>A</span><ul><li>x</li></ul></li><li>B 소개</li><li>C</li></ul>", "<p class=location>Main &gt; A &gt; A / B</p>",
+              "<ol class=breadcrumb><li><a>A/B</a><a>C</a></li></ol>", "<title>구로구청 &gt; A &gt; B</title>", "<div class=path>Only</div><title>One</title>"]
+    assert [P.trail(Tree(t)) for t in trails] == [["A", "B 소개", "C"], ["A", "B"], ["A/B", "C"], ["A", "B"], []]
+    assert [P.category_of(P.trail(Tree(t))) for t in trails] == ["A", "A", "A/B", "A", ""]
     assert P.menu(Tree("<nav><a href=/x>x</a></nav>"), "") == [] == P.trail(Tree("<div class=location>Home</div>"))
 
 
