@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.blocks import in_blocks
 from gristmill.llm.common import checkpointed, fields, small
 from gristmill.llm.components import components
 from gristmill.llm.exchange import mixed
@@ -183,18 +184,7 @@ def _in_blocks(met: DataFrame, known: DataFrame, wide: DataFrame, percent: int)
 
     ``known`` has the component of nodes that have one already, ``wide`` the set and signature of each node.
     """
-    labelled = met.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # points with the same members are one
-    several = labelled.groupBy("point").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_size"),
-        F.bit_xor("node").alias("_x"), F.bit_xor(F.xxhash64("node")).alias("_y")).where("_low < _high")
-    several = several.groupBy("_size", "_x", "_y").agg(F.min("point").alias("point"), F.min("_shingles").alias("_shingles")).select(
-        "point", F.ceil(F.col("_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = labelled.join(several, "point").withColumn("own", F.pmod(F.xxhash64("node", "point"), F.col("blocks")).cast("int"))
-    # a block meets itself and each other one once
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = sent.select("node", "component", "point", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")).join(wide, "node")
+    keyed = in_blocks(met, known, BLOCK_SHINGLES).join(wide, "node")
     needed = least_matches(percent)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ on its complete shingle sets before it is linked.
 
 Groups of n near copies do not make n * n pairs. At each point the smallest
 text is held against the others; then, at points that still have several
-components, a task counts what the sets there share.
+components, a task counts what the sets of two blocks of the point share.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.blocks import in_blocks
 from gristmill.llm.common import checkpointed, fields
 from gristmill.llm.components import components
 from gristmill.llm.exchange import hash_words, mixed, packed_keys, unpacked_keys
@@ -38,6 +39,8 @@ TERMS = mixed(FACTORS)
 PIECE = 512
 #: Leading bits of a shingle's hash that are kept where sets are compared.
 KEPT_BITS = 40
+#: Shingles of the sets of one block of a point, on average.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -106,8 +109,11 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "_a", "_b").mapInArrow(verify, "a long, b long")
 
 
-def similar_pairs(nodes: list[int], components: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Pairs of nodes of different components whose sets have a similarity of ``least`` or more; one that joins each two components will do."""
+def similar_pairs(nodes: list[int], components: list[int], sets: list[np.ndarray], least: float, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of nodes of different components whose sets have a similarity of ``least`` or more; one that joins each two components will do.
+
+    With ``sides`` that differ only pairs across them count.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, key = np.unique(np.concatenate(sets), return_inverse=True)
@@ -116,11 +122,14 @@ def similar_pairs(nodes: list[int], components: list[int], sets: list[np.ndarray
     starts, holders = ends - np.bincount(key), owner[order]
     edges = np.cumsum(sizes)
     _, label = np.unique(np.array(components, np.int64), return_inverse=True)
+    side = np.array(sides if sides is not None else [0] * len(sets))
+    two = len(np.unique(side)) > 1
     out = []
     for k in range(len(sets)):
         own = key[edges[k] - sizes[k]:edges[k]]
         common = np.bincount(np.concatenate([holders[starts[x]:ends[x]] for x in own]), minlength=len(sets))
-        near = np.flatnonzero((common >= least * (sizes + sizes[k] - common)) & (label != label[k]))
+        across = side > side[k] if two else np.arange(len(sets)) > k
+        near = np.flatnonzero((common >= least * (sizes + sizes[k] - common)) & (label != label[k]) & across)
         for other in near.tolist():
             if label[other] != label[k]:
                 out.append((nodes[k], nodes[other]))
@@ -162,18 +171,16 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
         F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(first)
     found = components(links)
-    # what is at one point in different components, each pair of members once
+    # what is at one point in different components, in blocks of a bounded number of shingles
     known = found.select(F.col("vertex").alias("node"), "component")
-    labelled = met.select("point", "node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_points = labelled.groupBy("point").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("point")
-    at_once = labelled.join(mixed_points, "point").join(sets, "node").select("point", "component", "node", "keys")
+    at_once = in_blocks(met.select("point", "node", "n"), known, BLOCK_SHINGLES).join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(similar_pairs(
-            rows["node"].tolist(), rows["component"].tolist(), [unpacked_keys(x) for x in rows["keys"]], least), columns=["a", "b"])
+        return pd.DataFrame(similar_pairs(rows["node"].tolist(), rows["component"].tolist(), [unpacked_keys(x) for x in rows["keys"]], least, rows["side"].tolist()),
+                            columns=["a", "b"])
 
-    # each set travels once for each of its points, not once for each pair
-    more = checkpointed(at_once.groupBy("point").applyInPandas(compare, "a long, b long").distinct())
+    # each set travels once for each block that it meets, not once for each pair
+    more = checkpointed(at_once.groupBy("point", "i", "j").applyInPandas(compare, "a long, b long").distinct())
     if more.limit(1).count():
         found = components(links.union(more))
     assigned = marked.select("doc_id", "text_hash", "node").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left")

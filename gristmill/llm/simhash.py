@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, fields
+from gristmill.llm.common import checkpointed, fields, unique_name
 from gristmill.llm.components import components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -142,11 +142,11 @@ def first_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
     both any one; a null doc_id stays only where a group has no other.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("text_hash"))
+    key = [f"_{name}_{unique_name()}" for name in ("id", "null", "hash")]  # no column of docs has such a name
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
     kept = assigned.groupBy("component").agg(F.min(rank).alias("first")).select(
-        F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.last").alias("_null"),
-        F.col("first.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
-    key = ["_id", "_null", "_hash"]
+        F.coalesce("first.doc_id", none).alias(key[0]), F.col("first.last").alias(key[1]), F.col("first.text_hash").alias(key[2]))
+    keyed = docs.withColumns(dict(zip(key, (F.coalesce("doc_id", none), F.col("doc_id").isNull(), F.xxhash64("text")), strict=True)))
     return keyed.join(kept.distinct(), key, "left_semi").dropDuplicates(key).drop(*key)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -14,6 +15,7 @@ import pytest
 from llm_helpers import SCHEMA, prose, rows_of
 
 from gristmill.llm import minhash as M
+from gristmill.llm import near_copies as N
 from gristmill.llm import ranked_search as R
 from gristmill.llm import spelling as S
 from gristmill.llm.near_copies import shingle_sets
@@ -264,3 +266,26 @@ def test_rows_with_other_columns(spark):
     items = spark.createDataFrame([(1, prose(1, 5), "x", 2)], "item_id long, text string, rank string, score int")
     assert found_search(df, items) == plain_search([r[:2] for r in rows], [(1, prose(1, 5))])
     assert found_duplicates(df) == plain_duplicates([r[:2] for r in rows])
+
+
+def test_near_copies_in_many_blocks(spark, monkeypatch):
+    """A template's pages at 0.75, which stay apart, and near copies of some, in blocks of a few texts; columns of any name stay."""
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 900)
+    core = prose(5, 120)
+    texts = [core + " " + prose(2000 + k, 18, 4000) for k in range(50)]
+    texts += [edited(t, 1, k) for k, t in enumerate(texts[:15])]
+    df = spark.createDataFrame([(k, t, k, "n", 1) for k, t in enumerate(texts)], "doc_id long, text string, _id long, _null string, _hash int")
+    assert N.near_copies(df).groupBy("component").count().where("count = 2").count() == 15
+    kept = N.without_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["_id"] for r in kept.collect()) == list(range(50))
+    named = spark.createDataFrame([("b", core), ("a", core), (None, core + " x")], "doc_id string, text string")
+    assert [r["doc_id"] for r in N.without_near_copies(named).collect()] == ["a"]
+
+
+def test_many_pages_of_one_template(spark):
+    """Two thousand pages of one template end soon, each on its own."""
+    core = prose(5, 120)
+    rows = [(k, f"{core} " + " ".join(f"w{k}x{j}" for j in range(17))) for k in range(2000)]
+    began = time.time()
+    found = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.select("component").distinct().count() == 2000 and time.time() - began < 120
