@@ -73,24 +73,28 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
         words = hashed(texts)
         grams = [ngrams(h, k) for h in words for k in range(1, order + 1)]
         sizes = np.array([len(x) for x in grams], np.int64)
-        document = np.repeat(np.arange(len(grams)) // order, sizes)
         keys = np.concatenate([np.zeros(0, np.uint64), *grams])
-        by_key = np.argsort(keys, kind="stable")  # equal keys stay in the order of their documents
-        key_order, document = keys[by_key], document[by_key]
+        del grams, texts
+        by_key = np.argsort(keys, kind="stable").astype(np.int32)  # equal keys stay in the order of their documents
+        key_order = keys[by_key]
+        del keys
+        document = np.repeat(np.arange(len(sizes), dtype=np.int32) // np.int32(order), sizes)[by_key]
         at = runs(key_order)
         distinct = key_order[at]
         total = np.zeros(len(distinct), np.int64)
         answers = dict(zip(told["bucket"], told["told"], strict=True))
         for bucket, places in by_bucket(distinct, n):
             total[places] = unpacked_counts(unsqueezed(answers[bucket], np.uint8), len(places))
+        del distinct
         # occurrences of a key in one document lie together
-        changes = np.ones(len(keys), bool)
+        n_keys, changes = len(key_order), np.ones(len(key_order), bool)
         changes[1:] = (key_order[1:] != key_order[:-1]) | (document[1:] != document[:-1])
-        own_at = np.flatnonzero(changes)
-        own = np.repeat(np.diff(np.append(own_at, len(keys))), np.diff(np.append(own_at, len(keys))))
-        elsewhere = np.zeros(len(keys), np.int64)
-        elsewhere[by_key] = np.repeat(total, np.diff(np.append(at, len(keys)))) - own
-        parts = np.split(elsewhere, np.cumsum(sizes)[:-1]) if len(grams) else []
+        del key_order, document
+        own = np.diff(np.append(np.flatnonzero(changes), n_keys)).astype(np.int32)
+        elsewhere = np.zeros(n_keys, np.int64)
+        elsewhere[by_key] = np.repeat(total, np.diff(np.append(at, n_keys))) - np.repeat(own, own)
+        del by_key, changes, own, total, at
+        parts = np.split(elsewhere, np.cumsum(sizes)[:-1]) if len(sizes) else []
         out = []
         for number, (doc_id, has_id, hashes) in enumerate(zip(ids.tolist(), known.tolist(), words, strict=True)):
             size = len(hashes)
