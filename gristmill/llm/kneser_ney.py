@@ -121,3 +121,20 @@ class HashArray:
             behind = behind[here[behind] < wanted[behind]]
         at[here != wanted] = len(self.keys) - 1
         return self.values[at]
+
+
+class SortedArray:
+    """Sorted 64-bit keys with values, as they were sent: no copy and no table, so that any number of them may be asked in turn."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of keys; nan where there is none."""
+        out = np.full(len(wanted), np.float32(np.nan), np.float32)
+        if len(self.keys):
+            order = np.argsort(wanted)  # neighbours are sought in neighbouring places
+            at = np.minimum(np.searchsorted(self.keys, wanted[order]), len(self.keys) - 1)
+            hit = self.keys[at] == wanted[order]
+            out[order[hit]] = self.values[at[hit]]
+        return out

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, fields, like_string, made_once, small, unique_name
+from gristmill.llm.common import checkpointed, fields, like_string, small, unique_name
 from gristmill.llm.exchange import mixed
-from gristmill.llm.kneser_ney import CONTEXT, START, HashArray, char_levels, fit, rolled
+from gristmill.llm.kneser_ney import CONTEXT, START, HashArray, SortedArray, char_levels, fit, rolled
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -198,16 +198,28 @@ def packed(model: DataFrame, n_parts: int) -> DataFrame:
     return held.groupBy("lang", "part").applyInPandas(pack, "lang string, part int, keys binary, values binary")
 
 
+#: Parts of models that a worker keeps with a table of where runs of keys begin, and the tables of the models in use.
+INDEXED = 4
+_TABLES: dict[str, dict[tuple[str, int], HashArray]] = {}
+
+
 class Models:
     """Models of characters by language, from the parts that were sent."""
 
     def __init__(self, name: str, sent: dict[str, list]):
         self.name, self.sent = name, sent
 
-    def arrays(self, lang: str) -> Iterator[HashArray]:
+    def arrays(self, lang: str) -> Iterator[HashArray | SortedArray]:
+        """The parts of a language; the first ``INDEXED`` that a worker meets get a table, the others are asked as they are."""
+        if self.name not in _TABLES:
+            _TABLES.clear()
+            _TABLES[self.name] = {}
+        tables = _TABLES[self.name]
         for number, part in enumerate(self.sent[lang]):
-            yield made_once(f"{self.name} {lang} {number}", lambda part=part: HashArray(
-                np.frombuffer(part.value[0], np.uint64), np.frombuffer(part.value[1], np.float32)))
+            keys, values = np.frombuffer(part.value[0], np.uint64), np.frombuffer(part.value[1], np.float32)
+            if (lang, number) not in tables and len(tables) < INDEXED:
+                tables[lang, number] = HashArray(keys, values)
+            yield tables.get((lang, number)) or SortedArray(keys, values)
 
     def find(self, lang: str, keys: np.ndarray) -> np.ndarray:
         out = None

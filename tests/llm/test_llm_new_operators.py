@@ -16,8 +16,10 @@ from llm_helpers import SCHEMA, prose, rows_of
 
 from gristmill.llm import minhash as M
 from gristmill.llm import near_copies as N
+from gristmill.llm import quality_rules as Q
 from gristmill.llm import ranked_search as R
 from gristmill.llm import spelling as S
+from gristmill.llm.kneser_ney import HashArray, SortedArray
 from gristmill.llm.near_copies import shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -289,3 +291,25 @@ def test_many_pages_of_one_template(spark):
     began = time.time()
     found = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert found.select("component").distinct().count() == 2000 and time.time() - began < 120
+
+
+def test_character_model_in_many_parts(spark, monkeypatch):
+    """However many parts a model comes in, the verdicts are the same, and most parts need no table."""
+    rows = [(k, prose(k, 150, 3000), "en" if k % 3 else "fr") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    told = []
+    for part in (Q.PART, 300):
+        monkeypatch.setattr(Q, "PART", part)
+        began = time.time()
+        told.append(sorted((r["doc_id"], round(r["log2_perplexity"], 5), r["kept"]) for r in Q.apply_rules(df).collect()))
+        assert time.time() - began < 100
+    assert told[0] == told[1]
+
+
+def test_sorted_array_is_a_hash_array():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 2**64, 5000, np.uint64))
+    values = r.random(len(keys)).astype(np.float32)
+    wanted = np.concatenate([keys[::7], r.integers(0, 2**64, 500, np.uint64), keys[:3], keys[-1:]])
+    np.testing.assert_array_equal(SortedArray(keys, values).find(wanted), HashArray(keys, values).find(wanted))
+    assert np.isnan(SortedArray(keys[:0], values[:0]).find(wanted)).all()
