@@ -21,6 +21,14 @@ from gristmill.llm.exchange import mixed
 
 #: What stands before a text; no character or word of a text is equal to it.
 START = "\t"
+#: Rows of a level that a task reads, on average, so that small levels don't part into many small files.
+TASK_ROWS = 1 << 18
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, worked out, in as many tasks as its rows need and no more than it has."""
+    held = checkpointed(df)
+    return held.coalesce(held.count() // TASK_ROWS + 1)
 
 
 def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
@@ -29,9 +37,9 @@ def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
         return level.select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("head"), F.expr("substring(gram, 2)").alias("tail"), "n")
 
     # heads and tails are cut anew where they are needed, so that they take no disk
-    levels = [with_parts(checkpointed(counts))]
+    levels = [with_parts(gathered(counts))]
     for _ in range(order - 1):
-        levels.insert(0, with_parts(checkpointed(levels[0].groupBy("lang", F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")))))
+        levels.insert(0, with_parts(gathered(levels[0].groupBy("lang", F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")))))
     return levels
 
 
@@ -69,7 +77,7 @@ def fit(levels: list[DataFrame]) -> DataFrame:
         below = known.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_below"))
         seen = level.join(d, "lang").join(contexts, ["lang", "head"]).join(below, ["lang", "tail"])
         own = (F.col("n") - F.least(given, "n")) / F.col("total")
-        p = checkpointed(seen.select("lang", "gram", F.log2(own + F.pow(F.lit(2.0), F.col("left") + F.col("p_below"))).alias("p")))
+        p = gathered(seen.select("lang", "gram", F.log2(own + F.pow(F.lit(2.0), F.col("left") + F.col("p_below"))).alias("p")))
         weights = contexts.select("lang", F.col("head").alias("gram"), "left").where("left < 0")
         part = known.join(weights, ["lang", "gram"], "full").select("lang", F.lit(size - 1).alias("size"), "gram", "p", "left")
         out, known = part if out is None else out.union(part), p
