@@ -43,7 +43,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -
     (a word's, null without words) and n_backoff (words not scored at the
     longest order that their place allows). A null text has no words; a null
     doc_id is kept; repeated rows are documents of their own; an empty table
-    gives no rows. Different n-grams share a hash with a chance of 2**-64.
+    gives no rows. Texts of any length are read whole, other columns are ignored.
+    Different n-grams share a hash with a chance of 2**-64.
     """
     n = parts_for(docs)
     grouped = dealt(docs, n)

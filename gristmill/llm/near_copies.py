@@ -143,7 +143,8 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     Texts are linked where the Jaccard similarity of their sets of five-word
     shingles is ``least`` or more; a component (a long) is what links join.
     Texts with the same words are in one component, texts without words too.
-    Repeated rows each get their row; an empty table gives none. A pair at 0.8 is
+    Repeated rows each get their row; an empty table gives none. Texts of any length are
+    read whole, other columns are ignored. A pair at 0.8 is
     missed with a chance of 6e-6 (see ``BANDS``). Different shingles share what
     is kept of their hashes with a chance of 2**-40, so sets of 1000 shingles look
     one shingle more alike than they are with a chance of 1e-6.

@@ -71,8 +71,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty and has no spans; a null doc_id is kept. Rows
     that repeat doc_id and text each give their row. Overlapping spans of
-    different kinds are all listed. An empty table gives no rows; other columns
-    are ignored.
+    different kinds are all listed. Texts of any length are read whole. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select(

@@ -25,7 +25,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
     A null text counts as empty, a null source as the source '', and a null
     doc_id as an empty id in the shuffle. Repeated rows keep a slot each. With
     fewer rows than shards some shards are empty; an empty table gives no rows.
-    Other columns of ``docs`` are ignored.
+    Texts of any length count whole; other columns of ``docs`` are ignored.
     """
     rows = docs.select(
         F.col("doc_id"),

@@ -50,8 +50,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = False)
 
     A null text has no words. A null doc_id has the place of the largest one,
     2**63 - 1, and rows with equal places don't remove each other's words. Texts shorter than
-    a window lose nothing; an empty table gives no rows; other columns are
-    ignored. Two windows that differ share a hash with a chance of 2**-64.
+    a window lose nothing, texts of any length are read whole; repeated rows each
+    get their row; an empty table gives no rows; other columns are ignored. Two windows that differ share a hash with a chance of 2**-64.
     """
     n = parts_for(docs)
     grouped = dealt(docs, n)
