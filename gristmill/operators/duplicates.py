@@ -47,11 +47,12 @@ def unknown_starts(starts: DataFrame, known: DataFrame, key: str, order: str) ->
     """Rows of ``starts`` whose key is not known, each key once, the first in order; blank keys all pass.
 
     Both tables have ``key`` without its scheme, so http and https are the same.
+    The joins sort: no table of keys, which grow with the rows, passes the driver.
     """
     keyed = starts.where(F.col(key) != "")
     first = keyed.groupBy(key).agg(F.min(order).alias("_first"))
-    fresh = keyed.join(first, key).where(F.col(order) == F.col("_first")).drop("_first")
-    passed = fresh.join(known.select(key).where(F.col(key) != "").distinct(), key, "left_anti")
+    fresh = keyed.join(first.hint("merge"), key).where(F.col(order) == F.col("_first")).drop("_first")
+    passed = fresh.join(known.select(key).where(F.col(key) != "").distinct().hint("merge"), key, "left_anti")
     return passed.select(*starts.columns).union(starts.where(F.coalesce(F.col(key), F.lit("")) == ""))
 
 

@@ -11,7 +11,7 @@ from gristmill.operators.components import cut_lineage
 #: Letters of the piece by which a rule is found; rules with shorter parts are found by all they have.
 PIECE = 6
 #: Rows of the index that are sent to every task; a larger one is joined by a shuffle.
-MAX_BROADCAST = 1 << 18
+MAX_BROADCAST = 1 << 15
 
 
 def _pieces(text: Column, size: Column | int) -> Column:
@@ -22,24 +22,27 @@ def _pieces(text: Column, size: Column | int) -> Column:
 
 
 def rule_index(rules: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[int]]:
-    """``rules`` (pos, url, query, cate1, cate2) with parts, and the piece and size by which each is found among ``texts`` (low); the sizes there are.
+    """``rules`` (pos, url, query, cate1, cate2) with parts and last, and the piece and size by which each is found among ``texts`` (low); the sizes there are.
+
+    Rules of the same parts match the same URLs, so only the one that wins over the others is kept.
 
     A rule's piece is the one that fewest texts hold, weighted by the rules that
     have it; so neither a piece like ``https:`` nor one that many rules share is
     asked for if there is another. Rules without any part have a null piece.
     """
-    low = rules.select("pos", "cate1", "cate2", F.filter(F.array_distinct(F.transform(
-        F.concat(F.array(F.coalesce("url", F.lit(""))), F.coalesce("query", F.array().cast("array<string>"))), lambda x: F.lower(x))), lambda x: x != "").alias("parts"))
+    said = rules.select("pos", "cate1", "cate2", is_blank("cate2").alias("last"), F.array_sort(F.filter(F.array_distinct(F.transform(
+        F.concat(F.array(F.coalesce("url", F.lit(""))), F.coalesce("query", F.array().cast("array<string>"))), lambda x: F.lower(x))), lambda x: x != "")).alias("parts"))
+    low = cut_lineage(said.groupBy("parts").agg(F.min(F.struct("last", "pos", "cate1", "cate2")).alias("r")).select("parts", "r.*"))
     # the longest part may have the rarest piece
     sized = low.withColumn("size", F.least(F.lit(PIECE), F.array_max(F.transform("parts", F.length))))
     sizes = [r[0] for r in sized.where("size is not null").select("size").distinct().collect()]  # at most PIECE numbers
     long = sized.withColumn("pieces", F.array_distinct(F.flatten(F.transform("parts", lambda p: _pieces(p, F.col("size"))))))
     offered = long.select("pos", "size", F.explode("pieces").alias("piece"))
     shared = offered.groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n_rules"))
-    in_texts = _asked(texts, sizes).join(shared.select("piece", "size"), ["piece", "size"]).groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n_texts"))
+    in_texts = _asked(texts, sizes).join(shared.select("piece", "size").hint("merge"), ["piece", "size"]).groupBy("piece", "size").agg(F.count(F.lit(1)).alias("n_texts"))
     cost = shared.join(in_texts, ["piece", "size"], "left").select("piece", "size", ((F.coalesce("n_texts", F.lit(0)) + 1) * F.col("n_rules")).alias("cost"))
-    best = offered.join(cost, ["piece", "size"]).groupBy("pos").agg(F.min_by("piece", F.struct("cost", "piece")).alias("piece"))
-    return cut_lineage(long.drop("pieces").join(best, "pos", "left")), sizes
+    best = offered.join(cost.hint("merge"), ["piece", "size"]).groupBy("pos").agg(F.min_by("piece", F.struct("cost", "piece")).alias("piece"))
+    return cut_lineage(long.drop("pieces").join(best.hint("merge"), "pos", "left")), sizes
 
 
 def _asked(texts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -58,21 +61,22 @@ def categorized(rows: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     Each distinct URL asks an index of the rules by its pieces, what answers is
     held against the whole rule, and the smallest place is kept: neither rules nor
     rows are collected, and there may be any number of both. Only the sizes of
-    pieces that rules use are asked for.
+    pieces that rules use are asked for. Nothing but an index of at most
+    ``MAX_BROADCAST`` rows passes the driver: joins with what grows are by sorting.
     """
     named = F.lower(F.col(url))
     texts = rows.select(named.alias("low")).where("low is not null").distinct()
     index, sizes = rule_index(rules, texts)
-    found = F.struct(is_blank("cate2").alias("last"), "pos", "cate1", "cate2")
+    found = F.struct("last", "pos", "cate1", "cate2")
     # of rules without parts only the first with and the first without cate2 can be the answer
     always = index.where("piece is null").agg(F.min(found).alias("r")).first()["r"]
     by_piece = index.where("piece is not null")
     few = by_piece.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     asked = _asked(texts, sizes)
-    met = asked.join(F.broadcast(by_piece) if few else by_piece, ["piece", "size"]).where(F.forall("parts", lambda p: F.col("low").contains(p)))
+    met = asked.join(F.broadcast(by_piece) if few else by_piece.hint("merge"), ["piece", "size"]).where(F.forall("parts", lambda p: F.col("low").contains(p)))
     best = met.groupBy("low").agg(F.min(found).alias("_best"))
     # one row for each URL on the right, so Spark may split a URL that many rows have
-    out = rows.withColumn("_low", named).join(best.withColumnRenamed("low", "_low"), "_low", "left")
+    out = rows.withColumn("_low", named).join(best.withColumnRenamed("low", "_low").hint("merge"), "_low", "left")
     kinds = dict(index.dtypes)
     fixed = F.struct(*[F.lit(always[c]).cast(kinds.get(c, "boolean")).alias(c) for c in ("last", "pos", "cate1", "cate2")]) if always else F.lit(None)
     rule = F.when(F.col("_low").isNotNull(), F.least("_best", fixed) if always else F.col("_best"))

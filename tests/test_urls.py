@@ -108,6 +108,25 @@ def test_many_rules(spark):
     assert sorted((r["i"], r["cate1"]) for r in categorized(rows, "url", rules).collect()) == [(1, "c77777"), (2, None), (3, "c5")]
 
 
+def test_rules_of_the_same_parts_are_one(spark):
+    from gristmill.operators.rules import rule_index
+
+    rules = spark.range(5000).selectExpr("id as pos", "if(id % 2 = 0, '/EN/', '/fr/') as url", "array('b=1', if(id % 3 = 0, 'b=1', 'a=1')) as query",
+                                         "concat('c', id) as cate1", "if(id < 100, null, concat('s', id)) as cate2")
+    texts = spark.createDataFrame([("h/en/?a=1&b=1",)], "low string")
+    index, _ = rule_index(rules, texts)
+    assert sorted((r["pos"], sorted(r["parts"])) for r in index.collect()) == [
+        (100, ["/en/", "a=1", "b=1"]), (101, ["/fr/", "a=1", "b=1"]), (102, ["/en/", "b=1"]), (105, ["/fr/", "b=1"])]
+
+
+def test_no_growing_table_of_urls_is_broadcast(spark, sf_dir):
+    from gristmill.plans.url_queries import post_url_plan
+
+    found = post_url_plan(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= plan.count("Scan ExistingRDD")  # only the index of the rules, which is bounded
+
+
 def test_places(spark):
     rows = spark.range(0, 1000, 1, 7).withColumn("v", (F.col("id") * 7919) % 101)
     found = with_place(rows, "place", F.col("v"), F.desc("id")).orderBy("place").collect()
