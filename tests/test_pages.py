@@ -106,3 +106,34 @@ def test_facts(spark):
     found = {r["page_id"]: r for r in H.facts(rows, "title", "links", "content", "fast", "attachments").collect()}
     assert found[1]["title"]["stage"] == "heading" and found[1]["links"][0]["url"] == "https://a.kr/n" and not found[1]["attachments"]
     assert found[2]["content"] == "" == found[3]["content"] and not found[2]["fast"]["ok"] and found[3]["links"] == []
+
+
+def test_plain_tags_are_read_as_by_the_parser():
+    import random
+
+    from gristmill.functions.dom import Tree
+
+    class Parsed(Tree):
+        def _read_plain(self, html):
+            return False
+
+    bits = ["<p>", "</p>", '<P Class="a b">', "<br>", "<br/>", "<img src='&lt;'>", '<a href="/x?a=1&amp;b&copy=3">', "</a>", "text", "&amp", "&nbsp;x", " ", '<div id="i" disabled>', "</div >",
+            "<script>", "</script>", "a<b", "<!-- c -->", "<title>", "</title>", "<li/>", "<td x=1>", "<style>p{}", "</style>", "&", '<a b="1" b="2">', "<é>", "</br>", '<a href="x"href="y">']
+    r = random.Random(3)
+    plain = 0
+    for _ in range(3000):
+        html = "".join(r.choice(bits) for _ in range(r.randrange(1, 7)))
+        one, other = Tree(html), Parsed(html)
+        for name in ("parent", "tag", "attrs", "last", "first_text", "last_text", "pieces", "owner", "by_tag", "by_class", "by_id"):
+            assert getattr(one, name) == getattr(other, name), html
+        plain += one.plain
+    assert plain > 500
+
+
+def test_pages_are_spread_and_given_out_in_parts(spark, sf_dir):
+    from gristmill.functions import html as H
+    from gristmill.plans.page_queries import parsed, site_pages
+
+    assert site_pages(spark, sf_dir).rdd.getNumPartitions() >= 4 and parsed(spark, sf_dir).rdd.getNumPartitions() >= 4  # one file each
+    made = spark.range(1, 1001, 1, 1).selectExpr("id as page_id", "'u' as url", "'<p>x</p>' as html")
+    assert H.facts(made, "nodes").count() == 1000
