@@ -10,7 +10,7 @@ from gristmill.functions import texts as X
 from gristmill.functions import urls as U
 from gristmill.operators import merges as M
 from gristmill.plans.registry import query
-from gristmill.plans.sql import HOST
+from gristmill.plans.sql import HOST, unescaped
 from gristmill.sources.tables import table
 
 
@@ -131,8 +131,8 @@ def literal_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", X.holds(F.concat("p_name", F.lit(" 5%_off!")), "5%_o").alias("with_marks"), X.holds(F.concat("p_name", F.lit(" 5xyoff")), "5%_o").alias("without"))
 
 
-@query("unescaped_titles", """
-    select page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), chr(160), ' ') || ' <' || page_id || '> é', '\\s+', ' ', 'g')) as title from pages""")
+@query("unescaped_titles", f"""
+    select page_id, trim(regexp_replace(replace({unescaped("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, chr(160), ' ') || ' <' || page_id || '> é', '\\s+', ' ', 'g')) as title from pages""")
 def unescaped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages with their entities as characters and their white space squeezed."""
     said = F.concat(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("&nbsp;&#32;&lt;"), F.col("page_id").cast("string"), F.lit("&gt;&nbsp; &eacute;\n"))

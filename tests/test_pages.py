@@ -137,3 +137,15 @@ def test_pages_are_spread_and_given_out_in_parts(spark, sf_dir):
     assert site_pages(spark, sf_dir).rdd.getNumPartitions() >= 4 and parsed(spark, sf_dir).rdd.getNumPartitions() >= 4  # one file each
     made = spark.range(1, 1001, 1, 1).selectExpr("id as page_id", "'u' as url", "'<p>x</p>' as html")
     assert H.facts(made, "nodes").count() == 1000
+
+
+def test_sql_reads_entities_as_pages_do():
+    from html import unescape
+
+    import duckdb
+
+    from gristmill.plans.sql import unescaped
+
+    texts = ["a &amp", "a &amp; b", "&lt;b&gt", "&copy&middot;&quot", "&amp;lt;", "&am", "x&&&amp", "&", ""]
+    found = duckdb.execute(f"select t, {unescaped('t')} from (select unnest(?) as t)", [texts]).fetchall()
+    assert all(said == unescape(t) for t, said in found) and len(found) == len(texts)
