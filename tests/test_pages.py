@@ -149,3 +149,9 @@ def test_sql_reads_entities_as_pages_do():
     texts = ["a &amp", "a &amp; b", "&lt;b&gt", "&copy&middot;&quot", "&amp;lt;", "&am", "x&&&amp", "&", ""]
     found = duckdb.execute(f"select t, {unescaped('t')} from (select unnest(?) as t)", [texts]).fetchall()
     assert all(said == unescape(t) for t, said in found) and len(found) == len(texts)
+
+
+def test_each_order_has_a_dated_post(spark, sf_dir):
+    from gristmill.plans.page_queries import page_post_dates
+
+    assert page_post_dates(spark, sf_dir).where("day is not null").count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
