@@ -46,13 +46,12 @@ def stage_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, case doc_id % 5 when 4 then 'no reader for bin' end as error, case when doc_id % 5 < 4 then md5(case doc_id % 5 when 3 then '제목 ' || doc_id else text end) end as text_md5 from documents""")
 def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts read from files in UTF-8 with and without a mark, UTF-16 and CP949."""
-    def written(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        forms = ["utf-8", "utf-8-sig", "utf-16"]
-        return pd.Series([f"제목 {i}".encode("cp949") if i % 5 == 3 else (t or "").encode(forms[i % 5 % 3]) for i, t in zip(ids, texts, strict=True)])
-
-    write = F.pandas_udf(written, "binary")
+    kind, text = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    said = F.concat(F.unhex(F.lit("제목 ".encode("cp949").hex())), F.col("doc_id").cast("string").cast("binary"))
+    written = (F.when(kind == 3, said).when(kind == 0, text.cast("binary")).when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+               .otherwise(F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary"))))
     files = table(spark, sf_dir, "documents").select(
-        F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 4, ".bin").otherwise(".txt")).alias("path"), write("doc_id", "text").alias("content"))
+        F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 4, ".bin").otherwise(".txt")).alias("path"), written.alias("content"))
     return plain_texts(files).select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("doc_id"), "error", F.md5("text").alias("text_md5"))
 
 
