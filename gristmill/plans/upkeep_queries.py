@@ -11,7 +11,7 @@ from gristmill.functions import urls as U
 from gristmill.operators import merges as M
 from gristmill.plans.registry import query
 from gristmill.plans.sql import HOST, unescaped
-from gristmill.sources.tables import table
+from gristmill.sources.tables import spread, table
 
 
 def _each(values: list[str | None], key: str) -> F.Column:
@@ -32,7 +32,7 @@ def _each_sql(values: list[object], key: str) -> str:
     select mode, key, count(*) as n, arg_max(id, struct_pack(a := "at", b := idx, c := url, d := id)) as keep from k group by 1, 2 having count(*) > 1""")
 def delete_candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that repeat by address, by name, and by both, with the most recent of each group, which stays."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber")
     files = line.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("idx"),
         F.concat(F.lit("http://WWW.a.kr/f/"), (F.col("l_partkey") % 500).cast("string"), F.lit(".hwp#x")).alias("url"),
