@@ -17,7 +17,7 @@ from gristmill.functions.columns import is_blank
 from gristmill.operators.ordering import with_place
 from gristmill.plans.registry import query
 from gristmill.plans.sql import CRAWL_KEY, HOST
-from gristmill.sources.tables import appended_stage, table
+from gristmill.sources.tables import appended_stage, spread, table
 
 
 def exploration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def board_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attachment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("https://www.a.kr/portal/file/down.do?menuNo=3&atchFileId=F"), F.col("l_partkey"), F.lit("&fileSn="), F.col("l_linenumber"))).otherwise(
         F.concat(F.lit("https://a.kr/web/download/x?id="), F.col("l_suppkey"), F.lit("&mid=a&pageSize=9#top")))
-    return table(spark, sf_dir, "lineitem").groupBy(A.attachment_key(url).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counted = table(spark, sf_dir, "lineitem").groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n"))  # each address is taken apart once
+    return spread(counted, "url").groupBy(A.attachment_key("url").alias("key")).agg(F.sum("n").alias("n"))
 
 
 @query("file_identity_groups", """
