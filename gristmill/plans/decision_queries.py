@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import dates as D
 from gristmill.functions import urls as U
 from gristmill.plans.registry import query
-from gristmill.sources.tables import table
+from gristmill.sources.tables import spread, table
 
 # Fixed values that decide about files and links.
 STRUCTURED_EXTENSIONS = [".pdf", ".ppt", ".pptx", ".doc", ".docx"]
@@ -48,7 +48,7 @@ def metadata_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = (F.when(kind == 6, form("yyyyMMdd'T'HHmmss")).when(kind == 7, F.concat(form("yyyy-MM-dd'T'HH"), F.lit("+09:00"))).when(kind == 8, F.concat(form("yyyyMMdd'T'HHmm"), F.lit("Z"))).when(kind == 0, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(kind == 1, form("yyyy.M.d H:m"))
             .when(kind == 2, F.concat(F.lit("on "), form("yyyy/M/d"))).when(kind == 3, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")))
             .when(kind == 4, F.concat(F.lit("at "), form("HH:mm"), F.lit(" of 2024-13-41"))))
-    return table(spark, sf_dir, "events").select("event_id", D.metadata_timestamp(said).alias("formatted"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id").select("event_id", D.metadata_timestamp(said).alias("formatted"))
 
 
 def wants_structured_fallback(path: Column, text: Column, has_tables: Column) -> Column:
