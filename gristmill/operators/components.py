@@ -30,7 +30,7 @@ def edges_by_keys(rows: DataFrame, ident: str, keys: str) -> DataFrame:
     comes from a partial aggregate, and has one row in the join, so Spark may
     split a key that half of the rows have.
     """
-    held = rows.select(F.col(ident).alias("u"), F.explode(keys).alias("key"))
+    held = cut_lineage(rows.select(F.col(ident).alias("u"), F.explode(keys).alias("key")))  # keys may be dear, and are read twice
     least = held.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("_most")).where("v < _most").drop("_most")
     return held.join(least, "key").where("u != v").select("u", "v").distinct()
 
