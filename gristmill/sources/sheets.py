@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.operators.components import cut_lineage
 from gristmill.sources.files import decoded
 
 #: Number formats that a workbook doesn't spell out and that are dates or times.
@@ -172,8 +173,9 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held = []  # rows of many files are given out together
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                kind, held = str(path).rpartition(".")[2].lower(), []
+                kind = str(path).rpartition(".")[2].lower()
                 try:
                     rows = iter(()) if data is None else workbook(data) if kind == "xlsx" else delimited(data) if kind == "csv" else None
                     if rows is None:
@@ -185,7 +187,7 @@ def sheet_rows(files: DataFrame) -> DataFrame:
                             held = []
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, csv.Error) as e:
                     held.append((path, -1, str(e)[:200], 0, []))
-                yield pd.DataFrame(held, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
+            yield pd.DataFrame(held, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
 
     return files.select("path", "content").mapInPandas(read, ROWS)
 
@@ -196,7 +198,8 @@ def sheet_texts(rows: DataFrame) -> DataFrame:
     ``chunk`` counts in a sheet from 1, ``chunk_no`` in a file. A sheet of no more than its head is one chunk.
     """
     line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    given = rows.where("sheet_no >= 0").select("path", "sheet_no", "sheet", "row_no", line.alias("line"), F.size("cells").alias("width"))
+    # heads, bodies and numbers are asked of the same rows, which are read from their files once
+    given = cut_lineage(rows.where("sheet_no >= 0").select("path", "sheet_no", "sheet", "row_no", line.alias("line"), F.size("cells").alias("width")))
     of_sheet = ["path", "sheet_no", "sheet"]
     heads = given.where(F.col("row_no") < HEAD_ROWS).groupBy(*of_sheet).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"]), "\n").alias("head"), F.max("width").alias("width"))

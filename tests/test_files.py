@@ -98,3 +98,20 @@ def test_other_files(spark):
     files = spark.createDataFrame([("a.hwp", out.getvalue()), ("b.txt", "글".encode("euc-kr")), ("c.pdf", b"%PDF"), ("d.txt", None)], "path string, content binary")
     found = {r["path"]: (r["size"] > 0, r["text"], r["error"]) for r in plain_texts(files).collect()}
     assert found == {"a.hwp": (True, "one\ntwo", None), "b.txt": (True, "글", None), "c.pdf": (True, None, "no reader for pdf"), "d.txt": (False, None, None)}
+
+
+def test_texts_of_a_batch_are_read_in_parts():
+    from gristmill.sources import files
+
+    assert list(files._parts([1, 2, 3])) == [(0, 3)] and list(files._parts([])) == []
+    assert list(files._parts([files.AT_ONCE_BYTES, 1, files.AT_ONCE_BYTES + 5, 2])) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert list(files._parts([0] * (files.AT_ONCE + 1))) == [(0, files.AT_ONCE), (files.AT_ONCE, files.AT_ONCE + 1)]
+
+
+def test_dear_rows_are_spread(spark, sf_dir):
+    from gristmill.plans.decision_queries import metadata_timestamps
+    from gristmill.plans.office_queries import _files
+    from gristmill.plans.url_queries import order_urls
+
+    for found in (_files(spark, sf_dir), order_urls(spark, sf_dir), metadata_timestamps(spark, sf_dir)):
+        assert found.rdd.getNumPartitions() >= 4  # each table is one file
