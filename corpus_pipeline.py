@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarities of 0.8 or more join."""
+    """One document of each group that similarities of 0.8 or more join, found by SimHash fingerprints and by minima."""
     return without_near_copies(docs).select(*docs.columns)
 
 
@@ -52,7 +52,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup by shingle similarity", near_dedup),
+    ("near-dedup by SimHash and shingles", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mixture),
     ("sharding", sharding),

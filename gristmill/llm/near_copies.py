@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word shingles (the pipeline's near-dedup).
 
-A fingerprint of 64 bits cannot find a similarity of 0.8: such pairs differ in
-up to about 17 bits, and no table of segments that finds those tells unrelated
-texts apart. So the 64-bit sums of SimHash are replaced by minima: each text has
-``BANDS`` points of ``ROWS`` minima each, two texts of similarity s share one
-with a chance of 1 - (1 - s**ROWS)**BANDS, and each candidate pair is verified
-on its complete shingle sets before it is linked.
+Each text has a SimHash fingerprint of its shingles. Fingerprints within two
+bits are found by the tables of segments of operator 6, and texts that have them
+meet at a point. A similarity of 0.8 may differ in up to about 17 of 64 bits,
+which no table of segments finds without also matching unrelated texts. So each
+text has ``BANDS`` points of ``ROWS`` minima besides: two texts of similarity s
+share one with a chance of 1 - (1 - s**ROWS)**BANDS. Each candidate pair, of
+fingerprints or minima, is verified on its complete shingle sets before it is
+linked.
 
 Groups of n near copies do not make n * n pairs. At each point the smallest
 text is held against the others; then, at points that still have several
@@ -28,7 +30,7 @@ from gristmill.llm.common import checkpointed, fields
 from gristmill.llm.components import components
 from gristmill.llm.exchange import hash_words, mixed, packed_keys, unpacked_keys
 from gristmill.llm.lm_scoring import STEP, ngrams
-from gristmill.llm.simhash import first_of_each
+from gristmill.llm.simhash import fingerprint, first_of_each, links
 
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 is missed with a chance of 6e-6, one of 0.85 with 4e-9.
@@ -64,20 +66,35 @@ def points(keys: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (hash of the words), n (shingles) and points of each row of ``docs``."""
+    """doc_id, text_hash, node (hash of the words), n (shingles), points and fp (fingerprint as a signed long) of each row of ``docs``."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marks = np.array([fingerprint(x.as_py() or "", SHINGLE) for x in batch.column(1)], np.uint64)
             texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
             sets = shingle_sets(texts)
             nodes = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array([points(x).view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "n", "points"])
+                 pa.array([points(x).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(marks.view(np.int64))],
+                ["doc_id", "text_hash", "node", "n", "points", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        mark, fields(doc_id=kind, text_hash="long", node="long", n="long", points="array<long>"))
+        mark, fields(doc_id=kind, text_hash="long", node="long", n="long", points="array<long>", fp="long"))
+
+
+def fingerprint_points(marked: DataFrame) -> DataFrame:
+    """(node, n, text_hash, point): what has fingerprints within two bits meets at a point; texts without words are left out.
+
+    ``links`` connects two such fingerprints, or both with a third; so a
+    fingerprint stands at its own point and at that of the smaller one of each link.
+    """
+    nodes = marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"))
+    distinct = checkpointed(nodes.select("fp").distinct())
+    near = links(distinct).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("at"))
+    around = distinct.select("fp", F.col("fp").alias("at")).union(near)
+    return nodes.join(around, "fp").select("node", "n", "text_hash", F.xxhash64(F.lit("fingerprint"), "at").alias("point"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -141,7 +158,8 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """doc_id, text_hash and component of each row of ``docs`` (doc_id, text).
 
     Texts are linked where the Jaccard similarity of their sets of five-word
-    shingles is ``least`` or more; a component (a long) is what links join.
+    shingles is ``least`` or more; a component (a long) is what links join. Pairs
+    whose fingerprints are within two bits are all held against each other.
     Texts with the same words are in one component, texts without words too.
     Repeated rows each get their row; an empty table gives none. Texts of any length are
     read whole, other columns are ignored. A pair at 0.8 is
@@ -151,7 +169,7 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """
     marked = checkpointed(_marked(docs))
     nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("points").alias("points"), F.min("text_hash").alias("text_hash"))
-    at = nodes.select("node", "n", "text_hash", F.explode("points").alias("point"))
+    at = nodes.select("node", "n", "text_hash", F.explode("points").alias("point")).union(fingerprint_points(marked))
     shared = at.groupBy("point").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = checkpointed(at.join(shared.select("point", "first"), "point"))
     wanted = met.select("node", "text_hash").distinct()

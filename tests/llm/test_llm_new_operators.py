@@ -13,6 +13,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from llm_helpers import SCHEMA, prose, rows_of
+from pyspark.sql import functions as F
 
 from gristmill.llm import minhash as M
 from gristmill.llm import near_copies as N
@@ -21,6 +22,7 @@ from gristmill.llm import ranked_search as R
 from gristmill.llm import spelling as S
 from gristmill.llm.kneser_ney import HashArray, SortedArray
 from gristmill.llm.near_copies import shingle_sets
+from gristmill.llm.simhash import fingerprint, links, signed
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
@@ -284,6 +286,31 @@ def test_near_copies_in_many_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in N.without_near_copies(named).collect()] == ["a"]
 
 
+def test_near_copies_by_fingerprints_alone(spark, monkeypatch):
+    """Without minima, long near copies within two bits are joined; texts with one fingerprint that share too little are not."""
+    whole = N._marked
+    monkeypatch.setattr(N, "_marked", lambda docs: whole(docs).withColumn("points", F.array().cast("array<long>")))
+    texts = [prose(700 + k, 4000) for k in range(12)]
+    texts += [edited(t, 1, k) for k, t in enumerate(texts)] + ["a b c", "d e f", "", None]
+    marks = [fingerprint(t or "", N.SHINGLE) for t in texts]
+    near = [k for k in range(12) if (marks[k] ^ marks[12 + k]).bit_count() <= 2]
+    found = {r["doc_id"]: r["component"] for r in N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > 6 and [k for k in range(12) if found[k] == found[12 + k]] == near
+    assert found[26] == found[27] and len(set(found.values())) == 27 - len(near)
+
+
+@pytest.mark.parametrize("large", [0, 256])
+def test_fingerprints_within_two_bits_share_a_point(spark, monkeypatch, large):
+    monkeypatch.setattr(N, "links", lambda distinct: links(distinct, large))
+    r = random.Random(4)
+    fps = sorted({sum(1 << b for b in r.sample(range(64), r.randrange(3))) for _ in range(120)})
+    marked = spark.createDataFrame([(k, 5, k, signed(fp)) for k, fp in enumerate(fps)], "node long, n long, text_hash long, fp long")
+    at = defaultdict(set)
+    for row in N.fingerprint_points(marked).collect():
+        at[row["node"]].add(row["point"])
+    assert all(at[a] & at[b] for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2)
+
+
 def test_many_pages_of_one_template(spark):
     """Two thousand pages of one template end soon, each on its own."""
     core = prose(5, 120)
