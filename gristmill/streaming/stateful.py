@@ -8,12 +8,14 @@ so it doesn't grow with the keys that were ever seen.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -62,9 +64,16 @@ def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, dela
 AHEAD = 3_155_760_000_000_000
 
 
-def in_order(stream: DataFrame, keys: list[str], time: str, columns: list[str], schema: str, state_schema: str,
+#: Groups that the keys of a stream are dealt to by a hash; a state and a call of Python for each, not for each key.
+GROUPS = 1 << 12
+#: Whole numbers travel to Python as texts where a column may hold nulls, as pandas would make them floats.
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def in_order(stream: DataFrame, keys: list[str], time: str, columns: list[str], schema: str,
              step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]],
-             deadline: Callable[[tuple], int | None], expire: Callable[[tuple], list[tuple]] = lambda state: [], delay: str = "0 seconds") -> DataFrame:
+             deadline: Callable[[tuple], int | None], expire: Callable[[tuple], list[tuple]] = lambda state: [], delay: str = "0 seconds",
+             groups: int = GROUPS) -> DataFrame:
     """What ``step`` makes of the rows of each key in the order of their time, with a state that a timer ends.
 
     ``step`` takes the state of a key (None at first) and a row (microseconds of
@@ -72,39 +81,63 @@ def in_order(stream: DataFrame, keys: list[str], time: str, columns: list[str],
     the keys). Once the watermark, which lags ``delay`` behind, has passed
     ``deadline`` of a state (microseconds, None for never), ``expire`` gives its
     last rows and it is dropped. Rows behind the watermark are dropped as late; rows
-    without a time have no place and are left out. A task holds the rows that a key has in one micro-batch.
+    without a time have no place and are left out.
+
+    Keys are dealt to ``groups`` by their hash, and a group has one state with those
+    of its keys; its timer is the first of theirs. A task holds the rows and states that
+    a group has in one micro-batch, so ``groups`` must rise with what a micro-batch has.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out_names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    whole = ", ".join([*(f"{c} {kinds[c]}" for c in keys), schema])
+    whole = [kinds[c] in WHOLE for c in columns]
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            out = expire(tuple(state.get))
-            state.remove()
-        else:
-            rows = sorted((row for b in batches for row in zip(b["_us"].tolist(), *(b[c].tolist() for c in columns), strict=True)), key=lambda r: (r[0], *map(str, r[1:])))
-            held, out = tuple(state.get) if state.exists else None, []
-            for row in rows:
-                held, made = step(held, row)
-                out += made
-            end = deadline(held) if held is not None else None
-            now = state.getCurrentWatermarkMs()
+    def values(column: pd.Series, number: bool) -> list:
+        return [None if x is None else int(x) for x in column.tolist()] if number else column.tolist()
+
+    def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple] = pickle.loads(state.get[0]) if state.exists else {}  # noqa: S301
+        rows: dict[str, list[tuple]] = {}
+        for b in [] if state.hasTimedOut else batches:
+            for key, *row in zip(b["_key"].tolist(), b["_us"].tolist(), *(values(b[c], n) for c, n in zip(columns, whole, strict=True)), strict=True):
+                rows.setdefault(key, []).append(tuple(row))
+        out = []
+        for key, own in rows.items():
+            own.sort(key=lambda r: (r[0], *map(str, r[1:])))
+            now = held.pop(key, None)
+            for row in own:
+                now, made = step(now, row)
+                out += [(key, *x) for x in made]
+            if now is not None:
+                held[key] = now
+        passed, ends = state.getCurrentWatermarkMs(), []
+        for key, now in list(held.items()):
+            end = deadline(now)
             end = None if end is None else -(-(end + AHEAD) // 1000)
-            if held is not None and end is not None and end <= now:  # nothing that still comes can see it
-                out += expire(held)
-                held = None
-            if held is not None:
-                state.update(held)
-                if end is not None:
-                    state.setTimeoutTimestamp(end)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame([(*key, *row) for row in out], columns=[*keys, *out_names])
-
-    timed = stream.select(*keys, *[c for c in columns if c not in keys], F.unix_micros(F.col(time).cast("timestamp")).alias("_us")).where("_us is not null")
+            if end is None:
+                continue
+            if end <= passed:  # nothing that still comes can see it
+                out += [(key, *x) for x in expire(now)]
+                del held[key]
+            else:
+                ends.append(end)
+        if held:
+            state.update((pickle.dumps(held),))
+            if ends:
+                state.setTimeoutTimestamp(min(ends))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["_key", *out_names], dtype=object)
+
+    # keys stay as one text, so that Python need not know their types
+    parts = F.struct(*keys)
+    form = {"ignoreNullFields": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    sent = [F.col(c).cast("string").alias(c) if n else F.col(c) for c, n in zip(columns, whole, strict=True)]
+    timed = stream.select(F.to_json(parts, form).alias("_key"), F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group"), *sent,
+                          F.unix_micros(F.col(time).cast("timestamp")).alias("_us")).where("_us is not null")
     rows = timed.withColumn("_t", F.timestamp_micros(F.col("_us") + AHEAD)).withWatermark("_t", delay)
-    return rows.groupBy(*keys).applyInPandasWithState(fold, whole, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("_group").applyInPandasWithState(fold, f"_key string, {schema}", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    back = F.from_json("_key", T.StructType([T.StructField(c, stream.schema[c].dataType) for c in keys]), form)
+    return found.withColumn("_key", back).select("_key.*", *out_names)
 
 
 def claims(stream: DataFrame, keys: list[str], time: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
@@ -114,7 +147,7 @@ def claims(stream: DataFrame, keys: list[str], time: str, seconds: int, delay: s
             return last, []
         return (row[0],), [(row[0],)]
 
-    granted = in_order(stream, keys, time, [], "_at long", "last long", grant, lambda last: last[0] + seconds * 1_000_000, delay=delay)
+    granted = in_order(stream, keys, time, [], "_at long", grant, lambda last: last[0] + seconds * 1_000_000, delay=delay)
     return granted.select(*keys, F.timestamp_micros("_at").alias(time))
 
 
@@ -141,7 +174,7 @@ def cached_lookups(stream: DataFrame, keys: list[str], time: str, ident: str, st
 
     rows = stream.withColumns({"_asks": F.col(lookup), "_save": F.lower(F.trim(F.coalesce(stage, F.lit("")))) == "save", "_id": F.col(ident)})
     kind = dict(stream.dtypes)[ident]
-    found = in_order(rows, keys, time, ["_asks", "_save", "_id"], f"_found {kind}, cached boolean", "study long, save long", step, max, delay=delay)
+    found = in_order(rows, keys, time, ["_asks", "_save", "_id"], f"_found {kind}, cached boolean", step, max, delay=delay)
     return found.withColumnRenamed("_found", ident)
 
 
@@ -169,8 +202,7 @@ def batches(stream: DataFrame, keys: list[str], time: str, ident: str, size: int
         return (number, n, start, first, last), out
 
     kind = dict(stream.dtypes)[ident]
-    return in_order(stream, keys, time, [ident], f"batch int, n int, first {kind}, last {kind}, full boolean",
-                    f"number int, n int, start long, first {kind}, last {kind}", step, lambda s: s[2] + span if s[1] else None,
+    return in_order(stream, keys, time, [ident], f"batch int, n int, first {kind}, last {kind}, full boolean", step, lambda s: s[2] + span if s[1] else None,
                     lambda s: [(s[0], s[1], s[3], s[4], False)] if s[1] else [], delay)
 
 
@@ -205,7 +237,7 @@ def job_outcomes(stream: DataFrame, keys: list[str], time: str, ident: str, acti
     kind = dict(stream.dtypes)[ident]
     rows = stream.withColumns({"_said": F.col(action), "_id": F.col(ident)})
     # attempts have no end of their own, so only a mark alone runs out
-    found = in_order(rows, keys, time, ["_said", "_id"], f"_found {kind}, outcome string, attempts int", "until long, failed int", step,
+    found = in_order(rows, keys, time, ["_said", "_id"], f"_found {kind}, outcome string, attempts int", step,
                      lambda s: s[0] if not s[1] else None, delay=delay)
     return found.withColumnRenamed("_found", ident)
 

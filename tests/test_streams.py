@@ -96,3 +96,20 @@ def test_no_input(spark, tmp_path):
     stream = as_stream(spark, tmp_path / "in", [], SCHEMA, 1).selectExpr("*", "timestamp_seconds(s) as ts")
     assert S.run_available(S.claims(stream, ["u"], "ts", 5)).count() == 0
     assert S.run_available(S.progress(stream, ["u"], ["s"]), "update").count() == 0
+
+
+def test_keys_share_the_states_of_groups(spark, tmp_path):
+    """More keys than groups make no more states than groups; keys of any type, null or not, and large ids come back as they were."""
+    n, big = 3 * S.GROUPS, 2**62 + 1
+    rows = [(big + k, k % n if k % 7 else None, 1_700_000_000 + k, "x" if k % 5 else None) for k in range(2 * n)] + [(None, 1, 1_700_000_000, "y")]
+    stream = as_stream(spark, tmp_path / "in", rows, SCHEMA, 2).selectExpr("*", "timestamp_seconds(s) as ts", "timestamp_micros(u * 1000001) as at", "u / 3 as part")
+    keys = ["u", "said", "at", "part"]
+    query = S.batches(stream, keys, "ts", "id", 2, DAY)
+    found, states = drained(query, tmp_path / "out")
+    assert max(states) <= S.GROUPS
+    same = {}
+    for i, u, s, said in sorted(rows, key=lambda r: (r[2], str(r[0]))):
+        same.setdefault((u, said), []).append(i)
+    want = {(u, said, own[k], own[k + 1]) for (u, said), own in same.items() for k in range(0, len(own) - 1, 2)}
+    assert {(r[0], r[1], r[6], r[7]) for r in found} == want
+    assert all(r[2] is None if r[0] is None else (r[2].timestamp(), r[3]) == pytest.approx((r[0] * 1000001 / 1e6, r[0] / 3)) for r in found)
