@@ -254,6 +254,40 @@ def test_classifier_joins_give_the_model_of_the_training_texts(spark):
     assert out[500]["quality_bits"] is None and out[500]["quality_kept"]
 
 
+def test_classifier_counts_in_buckets_as_in_one_process(spark, monkeypatch):
+    """The models of two languages, counted in buckets, against the plain form; each distinct text once."""
+    monkeypatch.setattr(classifier, "COUNTED", 300)
+    r = random.Random(8)
+    texts = {lang: ["", *(" ".join(r.choice(letters) for _ in range(r.randrange(1, 14))) for _ in range(60))] for lang, letters in (("en", "abcde"), ("fr", "abcdefghijkl"))}
+    rows = [(100 * k + j, lang, t) for k, (lang, own) in enumerate(texts.items()) for j, t in enumerate(own + own[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    table_, unknown = classifier.word_models(classifier.training_texts(docs, docs.select("doc_id", "lang", F.lit(False).alias("held_out"))), 5)
+    got = {x["key"]: x["value"] for x in table_.collect()}
+    want, base = {}, {}
+    for lang, own in texts.items():
+        keys, values, _, base[lang] = classifier.word_model(lang, *exchange.hash_words(t.encode() for t in sorted(set(own))))
+        want |= dict(zip(np.concatenate(keys).view(np.int64).tolist(), np.concatenate(values).tolist(), strict=True))
+    assert unknown == pytest.approx(base)
+    assert {k for k, v in want.items() if abs(v) > 1e-9} <= got.keys()
+    assert {k: want.get(k, 0.0) for k in got} == pytest.approx(got, abs=1e-9)
+
+
+@pytest.mark.parametrize("frequent", [0, 50, 1 << 20])
+def test_classifier_trains_on_all_trusted_documents(spark, monkeypatch, frequent):
+    """However many are trusted, and wherever words and n-grams are looked up."""
+    monkeypatch.setattr(classifier, "FREQUENT", frequent)
+    monkeypatch.setattr(classifier, "FILTER_PART", 200)
+    texts = {k: prose(k, 4, 9) for k in range(3000)}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in texts], "doc_id long, quality int, toxic int")
+    held = {x["doc_id"]: x["held_out"] for x in classifier.trusted_ids(docs, labels).collect()}
+    trained = sorted({texts[k] for k, x in held.items() if not x})
+    assert sum(not x for x in held.values()) > 2100
+    want = BruteKneserNey([[*t.split(), "</s>"] for t in trained], classifier.ORDER, classifier.LEAST)
+    out = {x["doc_id"]: x["quality_bits"] for x in classify(docs, labels).collect()}
+    assert {k: out[k] for k in range(0, 3000, 17)} == pytest.approx({k: -want.log2([*texts[k].split(), "</s>"]) / (len(texts[k].split()) + 1) for k in range(0, 3000, 17)}, rel=1e-4)
+
+
 def test_quality_rules_counts(spark, small):
     got = apply_rules(table(spark, SMALL, "documents")).toPandas().set_index("doc_id")
     for doc_id, text in zip(small["doc_id"], small["text"], strict=True):
