@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+#: Rows of a small batch.
+BATCH_ROWS = 1 << 10
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of Spark (with _ for each dot) for what is run inside."""
+    names = {name.replace("_", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is run inside removes its shuffle files when it ends, not when the driver happens to collect its garbage."""
+    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Texts go to Python in batches of few rows inside, as the JVM and Python each hold a batch whole."""
+    return settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=str(BATCH_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as written to the shared checkpoint folder, with its lineage cut."""
+    """``df`` as written to the shared checkpoint folder, with its lineage cut and its shuffle files removed."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.checkpoint()
+
+
+def counted(df: DataFrame) -> int:
+    """``df.count()``, with its shuffle files removed."""
+    with shuffles_freed(df.sparkSession):
+        return df.count()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared checkpoint folder in columns, as most of its numbers are small; its shuffle files are removed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{unique_name()}"
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 #: Rows that ``small`` tables have at most.
@@ -63,14 +108,24 @@ def fields(**kinds: str) -> T.StructType:
 _MADE: dict[str, object] = {}
 
 
-def made_once(name: str, make: Callable[[], object]) -> object:
-    """``make()``, kept for later tasks of the same Python worker; names are unique for each use (see ``unique_name``)."""
+def made_once(name: str, make: Callable[[], object], kind: str = "") -> object:
+    """``make()``, kept for later tasks of the same Python worker; names are unique for each use (see ``unique_name``).
+
+    Of large objects, whose names begin with a ``kind``, a worker keeps only the last.
+    """
     if name not in _MADE:
+        forget(kind)
         while len(_MADE) >= 3:
             _MADE.pop(next(iter(_MADE)))
         _MADE[name] = make()
     return _MADE[name]
 
 
+def forget(kind: str) -> None:
+    """Let go of what this Python worker has made of a ``kind``."""
+    for name in [x for x in _MADE if kind and x.startswith(kind)]:
+        _MADE.pop(name)
+
+
 def unique_name() -> str:
     return uuid.uuid4().hex

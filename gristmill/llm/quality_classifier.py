@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, ensure_checkpoint_dir, fields, like_string, made_once, small, unique_name
-from gristmill.llm.exchange import hash_words, mixed
+from gristmill.llm.common import checkpointed, counted, fields, forget, like_string, made_once, small, small_batches, stored, unique_name
+from gristmill.llm.exchange import by_bucket, hash_words, mixed, packed_keys, squeezed, unpacked_keys, unsqueezed
 from gristmill.llm.kneser_ney import START, HashArray, rolled, text_hash
 
 #: Words of an n-gram, and the least count of n-grams of two words or more.
@@ -49,6 +49,8 @@ FREQUENT = 1 << 21
 FILTER_BITS, HASHES, FILTER_PART = 16, 4, 1 << 20
 #: Words that are looked up at once.
 PIECE = 1 << 17
+#: Questions of a block of documents, about, before they are sent, and n-grams of the model in a bucket that answers them.
+ASKED, BUCKET_KEYS = 1 << 20, 1 << 18
 #: What ends a text. No word is equal to it.
 END = "\n"
 
@@ -199,12 +201,12 @@ def blocks(columns: list[np.ndarray], counts: list[np.ndarray], by: np.ndarray,
 COUNTS = dict(lang="string", kind="string", size="int", **dict.fromkeys(("key", "tail", "n", "total", "n1", "n2", "n3", "bucket"), "long"), data="binary")
 
 
-def counted_rows(lang: str, grams: list[np.ndarray], n: np.ndarray, kept: np.ndarray) -> list[pd.DataFrame]:
-    """Rows of ``COUNTS`` of all n-grams (a column for each unit, in order) of some contexts; of n-grams only those ``kept``."""
+def counted_rows(lang: str, grams: list[np.ndarray], n: np.ndarray, kept: np.ndarray) -> list[dict]:
+    """Columns of ``COUNTS`` of all n-grams (a column for each unit, in order) of some contexts; of n-grams only those ``kept``."""
     size = len(grams)
     key = lambda columns: keys_of(np.stack(columns, 1).ravel(), len(columns), lang)[::len(columns)].view(np.int64)
-    starts = np.flatnonzero(changes(grams[:-1]))
-    of = np.cumsum(changes(grams[:-1])) - 1
+    changed = changes(grams[:-1])
+    starts, of = np.flatnonzero(changed), np.cumsum(changed)[kept] - 1
     sums = [np.add.reduceat(x.astype(np.int64), starts) for x in (n, n == 1, n == 2, n > 2)]
     # a context that leaves all changes nothing, but a word is looked up as one
     told = np.ones(len(starts), bool) if size == 2 else sums[2] + sums[3] > 0
@@ -213,14 +215,21 @@ def counted_rows(lang: str, grams: list[np.ndarray], n: np.ndarray, kept: np.nda
     names = ("total", "n1", "n2", "n3")
     found = {"kind": "gram", "size": size, "key": key(own), "tail": key(own[1:]), "n": n[kept].astype(np.int64)}
     counts = dict(zip(("n", "total", "n1", "n2"), ([int((n == k).sum())] for k in (1, 2, 3, 4)), strict=True))
-    return [pd.DataFrame(contexts | {c: x[told] for c, x in zip(names, sums, strict=True)}),
-            pd.DataFrame(found | {c: x[of[kept]] for c, x in zip(names, sums, strict=True)}),
-            pd.DataFrame({"kind": "counts", "size": size} | counts)]
+    return [contexts | {c: x[told] for c, x in zip(names, sums, strict=True)},
+            found | {c: x[of] for c, x in zip(names, sums, strict=True)},
+            {"kind": "counts", "size": size} | counts]
 
 
-def in_schema(lang: str, parts: list[pd.DataFrame]) -> pd.DataFrame:
-    whole = {name: "Int64" for name, kind in COUNTS.items() if kind in ("int", "long")}  # before they meet, as numbers beside none would be floats
-    return pd.concat([x.assign(lang=lang).reindex(columns=list(COUNTS)).astype(whole | {"data": object}) for x in parts if len(x)])
+def in_schema(lang: str, parts: list[dict]) -> pa.Table:
+    """Rows of ``COUNTS`` by their columns; a column that is one text or number has it in each row, one that is missing is null."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    tables = []
+    for part in parts:
+        n = next(len(x) for x in part.values() if not isinstance(x, str | int))
+        told = {name: (part | {"lang": lang}).get(name) for name in COUNTS}
+        tables.append(pa.table({name: pa.nulls(n, kinds[COUNTS[name]]) if x is None else pa.repeat(pa.scalar(x, kinds[COUNTS[name]]), n)
+                                if isinstance(x, str | int) else pa.array(x, kinds[COUNTS[name]]) for name, x in told.items()}))
+    return pa.concat_tables(tables)
 
 
 def counts(texts: DataFrame, n_buckets: int) -> DataFrame:
@@ -234,6 +243,7 @@ def counts(texts: DataFrame, n_buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
         held: dict[str, list[bytes]] = {}
+        forget("lookup")  # of a model before this one
 
         def sent(lang: str) -> pa.RecordBatch:
             units, place, _ = padded(*hash_words(held.pop(lang)))
@@ -253,16 +263,22 @@ def counts(texts: DataFrame, n_buckets: int) -> DataFrame:
         for lang in list(held):
             yield sent(lang)
 
-    def merged(rows: pd.DataFrame, size: int, n_counts: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        columns = [np.concatenate(x) for x in zip(*(unpacked(data, size + n_counts) for data in rows["data"]), strict=True)]
-        sums = [added_up(columns[:size], x.astype(np.int64)) for x in columns[size:]]
+    def merged(rows: pa.Table, size: int, n_counts: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        data = rows["data"].to_pylist()
+        ends = np.cumsum([int.from_bytes(x[:8], "little") for x in data]).tolist()
+        columns = [np.empty(ends[-1], np.uint64) for _ in range(size + n_counts)]
+        for block, start, end in zip(data, [0, *ends[:-1]], ends, strict=True):
+            for whole, part in zip(columns, unpacked(block, size + n_counts), strict=True):
+                whole[start:end] = part
+        sums = [added_up(columns[:size], x.view(np.int64)) for x in columns[size:]]
         return sums[0][0], [x for _, x in sums]
 
-    def sent_on(grams: list[np.ndarray], counts: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame(list(blocks(grams, counts, grams[0], n_buckets)), columns=["bucket", "data"]).assign(kind="block")
+    def sent_on(grams: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+        found = list(blocks(grams, counts, grams[0], n_buckets))
+        return {"kind": "block", "bucket": [k for k, _ in found], "data": [x for _, x in found]}
 
-    def longest(rows: pd.DataFrame) -> pd.DataFrame:
-        lang = rows["lang"].iloc[0]
+    def longest(rows: pa.Table) -> pa.Table:
+        lang = rows["lang"][0].as_py()
         grams, (n,) = merged(rows, ORDER)
         kept = n >= LEAST
         # how many left neighbours a tail has here, and whether a kept n-gram asks for it
@@ -270,41 +286,34 @@ def counts(texts: DataFrame, n_buckets: int) -> DataFrame:
         asked = added_up(grams[1:], kept.astype(np.int64))[1] > 0
         return in_schema(lang, [*counted_rows(lang, grams, n, kept), sent_on(tails, [left, asked])])
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        lang = rows["lang"].iloc[0]
+    def pairs(rows: pa.Table) -> pa.Table:
+        lang = rows["lang"][0].as_py()
         grams, (n, asked) = merged(rows, ORDER - 1, 2)
         words, left = added_up(grams[1:], np.ones(len(n), np.int64))
         return in_schema(lang, [*counted_rows(lang, grams, n, (n >= LEAST) | (asked > 0)), sent_on(words, [left])])
 
-    def single(rows: pd.DataFrame) -> pd.DataFrame:
-        lang = rows["lang"].iloc[0]
+    def single(rows: pa.Table) -> pa.Table:
+        lang = rows["lang"][0].as_py()
         words, (n,) = merged(rows, 1)
-        return in_schema(lang, [pd.DataFrame({"kind": "word", "size": 1, "key": keys_of(words[0], 1, lang).view(np.int64), "n": n})])
+        return in_schema(lang, [{"kind": "word", "size": 1, "key": keys_of(words[0], 1, lang).view(np.int64), "n": n}])
 
     dealt = texts.mapInArrow(count, "lang string, bucket long, data binary")
     out, kept = dealt, []
     for step in (longest, pairs, single):
-        found = out.select("lang", "bucket", "data").groupBy("lang", "bucket").applyInPandas(step, fields(**COUNTS))
+        found = out.select("lang", "bucket", "data").groupBy("lang", "bucket").applyInArrow(step, fields(**COUNTS))
         kept.append(found.where("kind != 'block'").drop("bucket", "data"))
         out = found.where("kind = 'block'")
     return reduce(DataFrame.union, kept)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as written to the shared checkpoint folder in columns, as most of its numbers are small."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{unique_name()}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def word_models(texts: DataFrame, n_buckets: int) -> tuple[DataFrame, dict[str, float]]:
     """(key, value, base, n) of the n-grams and contexts of the models of ``training_texts``, and the value of an unknown word by language.
 
     The same values as ``word_model``; base is the value of an unknown word for words, else 0, and n says how common one is.
     """
     spark = texts.sparkSession
-    rows = stored(counts(texts, n_buckets))
+    with small_batches(spark):
+        rows = stored(counts(texts, n_buckets))
     words = rows.where("kind = 'word'").select("lang", "key", "n")
     of = [F.sum((F.col("n") == k).cast("long")).alias(f"c{k}") for k in (1, 2, 3, 4)]
     known = [(r["lang"], 1, r) for r in words.groupBy("lang").agg(*of, F.sum("n").alias("total"), F.count(F.lit(1)).alias("known")).collect()]
@@ -374,8 +383,11 @@ class Lookup:
     """
 
     def __init__(self, near: tuple[np.ndarray, np.ndarray], far: np.ndarray | list[bytes], unknown: dict[str, float]):
-        order = np.argsort(near[0])
-        self.near, self.unknown = HashArray(near[0][order], near[1][order]), unknown
+        keys, values = near
+        if (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+        self.near, self.unknown = HashArray(keys, values), unknown
         self.filter = [np.frombuffer(x, np.uint8) for x in ([filter_part(far)] if isinstance(far, np.ndarray) else far)]
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:
@@ -413,7 +425,11 @@ class Lookup:
 
 
 def score(docs: DataFrame, table: DataFrame, unknown: dict[str, float]) -> DataFrame:
-    """(doc_id, lang, text_hash, log2_p, n): a row for each distinct document in a language of the model; n counts words and the end."""
+    """(doc_id, lang, text_hash, log2_p, n): a row for each distinct document in a language of the model; n counts words and the end.
+
+    What a task can't look up it asks: for each block of documents and bucket of
+    the model one row with all keys, which the bucket answers with one row.
+    """
     table = stored(table)
     spark = docs.sparkSession
     sizes = table.groupBy(F.least("n", F.lit(FREQUENT)).alias("n")).count().orderBy(F.desc("n")).collect()
@@ -422,8 +438,10 @@ def score(docs: DataFrame, table: DataFrame, unknown: dict[str, float]) -> DataF
     least = next((r["n"] for r, k in zip(sizes, rank.tolist(), strict=True) if k > FREQUENT), 0) + 1
     common = table.where(F.col("n") >= least).select("key", "value").toArrow()
     near = common["key"].to_numpy().view(np.uint64), common["value"].to_numpy().astype(np.float32)
+    near = tuple(x[np.argsort(near[0])] for x in near)  # here, so that no worker needs the memory for it
     far = table.where(F.col("n") < least).select("key", (F.col("value") - F.col("base")).alias("value"))
-    parts = 1 << (max(0, far.count() - 1) // FILTER_PART).bit_length()
+    n_far = counted(far)
+    parts = 1 << (max(0, n_far - 1) // FILTER_PART).bit_length()
 
     def filtered(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "data": [filter_part(rows["key"].to_numpy().view(np.uint64))]})
@@ -432,13 +450,32 @@ def score(docs: DataFrame, table: DataFrame, unknown: dict[str, float]) -> DataF
     dealt = far.select("key", F.shiftright(part, 31 - (parts.bit_length() - 1)).cast("int").alias("part"))
     held = {r["part"]: spark.sparkContext.broadcast(bytes(r["data"])) for r in dealt.groupBy("part").applyInPandas(filtered, "part int, data binary").toLocalIterator()}
     empty = spark.sparkContext.broadcast(filter_part(np.zeros(0, np.uint64)))
-    name = unique_name()
+    name = f"lookup {unique_name()}"
     shared = spark.sparkContext.broadcast(near)
     del common, near
 
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_far // BUCKET_KEYS)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = made_once(name, lambda: Lookup(shared.value, [held.get(k, empty).value for k in range(parts)], unknown))
+        lookup = made_once(name, lambda: Lookup(shared.value, [held.get(k, empty).value for k in range(parts)], unknown), "lookup")
+        block, n_docs, asked = unique_name(), 0, []
+
+        def sent(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(x.name, pa.nulls(size, x.type)) for x in schema], schema=schema)
+
+        def questions() -> pa.RecordBatch:
+            key, text, times = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, text, times = key[order], text[order], times[order]
+            found = [(k, packed_keys(key[own]), squeezed(text[own]), squeezed(times[own])) for k, own in by_bucket(key, n_buckets)]
+            return sent(len(found), block=pa.array([block] * len(found)), **{c: pa.array(x, schema.field(c).type) for c, x in zip(
+                ("bucket", "keys", "texts", "times"), zip(*found, strict=True), strict=True)})
+
+        schema = None
         for batch in batches:
+            if schema is None:
+                schema = pa.schema([("doc_id", batch.column(0).type), ("lang", pa.string()), ("text_hash", pa.int64()), ("log2_p", pa.float64()), ("n", pa.int64()), ("block", pa.string()),
+                                    ("place", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("times", pa.binary())])
             langs = np.array(batch.column(1).to_pylist(), object)
             words, sizes = hash_words(x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist())
             starts = np.cumsum(sizes) - sizes
@@ -447,25 +484,55 @@ def score(docs: DataFrame, table: DataFrame, unknown: dict[str, float]) -> DataF
                 for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own]) // PIECE)) + 1):
                     chosen = np.repeat(starts[part] - (np.cumsum(sizes[part]) - sizes[part]), sizes[part]) + np.arange(sizes[part].sum())
                     total, text, key, times = lookup.score(lang, words[chosen], sizes[part])
-                    at = pa.array(np.concatenate([part, part[text]]))
-                    nothing = np.zeros(len(text), np.int64)
-                    none = np.concatenate([np.ones(len(part), bool), nothing > 0])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at),
-                         pa.array(np.concatenate([np.zeros(len(part), np.int64), key.view(np.int64)]), mask=none),
-                         pa.array(np.concatenate([np.zeros(len(part), np.int64), times])), pa.array(np.concatenate([total, nothing])),
-                         pa.array(np.concatenate([sizes[part] + 1, nothing]))],
-                        ["doc_id", "lang", "text_hash", "key", "times", "log2_p", "n"])
+                    at, place = pa.array(part), n_docs + np.arange(len(part))
+                    yield sent(len(part), doc_id=batch.column(0).take(at), lang=batch.column(1).take(at), text_hash=batch.column(3).take(at), log2_p=pa.array(total),
+                               n=pa.array(sizes[part] + 1), block=pa.array([block] * len(part)), place=pa.array(place, pa.int32()))
+                    asked.append((key, place[text].astype(np.uint32), times.astype(np.uint32)))
+                    n_docs += len(part)
+                    if sum(len(x) for x, _, _ in asked) >= ASKED:
+                        yield questions()
+                        block, n_docs, asked = unique_name(), 0, []
+        if sum(len(x) for x, _, _ in asked):
+            yield questions()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", like_string("lang").alias("lang"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        scored, fields(doc_id=kind, lang="string", text_hash="long", key="long", times="long", log2_p="double", n="long"))
-    # a left join of all rows, so that texts are read once; rows without a key find nothing
-    joined = rows.join(far, "key", "left")
-    return joined.groupBy("doc_id", "lang", "text_hash").agg(
-        F.sum(F.col("log2_p") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("log2_p"), F.sum("n").alias("n"),
-        F.count(F.when(F.col("n") > 0, 1)).alias("copies")).select(
-        "doc_id", "lang", "text_hash", (F.col("log2_p") / F.col("copies")).alias("log2_p"), (F.col("n") / F.col("copies")).cast("long").alias("n"))
+    # written once, as documents and questions are read apart
+    with small_batches(spark):
+        rows = stored(docs.select("doc_id", like_string("lang").alias("lang"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+            scored, fields(doc_id=kind, lang="string", text_hash="long", log2_p="double", n="long", block="string", place="int", bucket="int", keys="binary", texts="binary", times="binary")))
+
+    def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """What the n-grams of a bucket add to each document that asks, by block."""
+        keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = []
+        for block, *data in zip(*(asked[c].to_pylist() for c in ("block", "keys", "texts", "times")), strict=True):
+            wanted, text, times = unpacked_keys(data[0]), unsqueezed(data[1], np.uint32), unsqueezed(data[2], np.uint32)
+            there = np.searchsorted(keys, wanted)
+            hit = np.flatnonzero(there < len(keys))
+            hit = hit[keys[there[hit]] == wanted[hit]]
+            texts, of = np.unique(text[hit], return_inverse=True)
+            out.append((block, squeezed(texts), squeezed(np.bincount(of, times[hit] * values[there[hit]], len(texts)))))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({c: pa.array(x, kind) for c, x, kind in zip(("block", "texts", "sums"), columns, (pa.string(), pa.binary(), pa.binary()), strict=True)})
+
+    def added(own: pa.Table, told: pa.Table) -> pa.Table:
+        """The documents of a block with what all buckets have told."""
+        place = own["place"].to_numpy()
+        total = np.zeros(int(place.max(initial=-1)) + 1)
+        for texts, sums in zip(told["texts"].to_pylist(), told["sums"].to_pylist(), strict=True):
+            total[unsqueezed(texts, np.uint32)] += unsqueezed(sums, np.float64)
+        return pa.table({c: own[c] for c in ("doc_id", "lang", "text_hash")} | {"log2_p": pa.array(own["log2_p"].to_numpy() + total[place]), "n": own["n"]})
+
+    bucket = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * n_buckets, 32).cast("int")  # as ``by_bucket`` deals them
+    told = rows.where("bucket is not null").select("bucket", "block", "keys", "texts", "times").groupBy("bucket").cogroup(
+        far.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(answered, "block string, texts binary, sums binary")
+    found = rows.where("bucket is null").select("doc_id", "lang", "text_hash", "log2_p", "n", "block", "place")
+    if counted(rows.where("bucket is not null").limit(1)):
+        found = found.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(added, fields(doc_id=kind, lang="string", text_hash="long", log2_p="double", n="long"))
+    # rows that repeat have the same values
+    return found.groupBy("doc_id", "lang", "text_hash").agg(F.max("log2_p").alias("log2_p"), F.max("n").alias("n"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -288,6 +289,27 @@ def test_classifier_trains_on_all_trusted_documents(spark, monkeypatch, frequent
     assert {k: out[k] for k in range(0, 3000, 17)} == pytest.approx({k: -want.log2([*texts[k].split(), "</s>"]) / (len(texts[k].split()) + 1) for k in range(0, 3000, 17)}, rel=1e-4)
 
 
+def test_classifier_asks_a_row_for_each_block_and_bucket(spark, monkeypatch):
+    """What the tasks can't look up is no row for each n-gram, however few n-grams they look up."""
+    made = []
+
+    def noted(df, store=classifier.stored):
+        found = store(df)
+        if "text_hash" in df.columns:
+            made.append((found.count(), found.select("block").distinct().count(), found.select("doc_id").distinct().count()))
+        return found
+
+    monkeypatch.setattr(classifier, "stored", noted)
+    docs = spark.createDataFrame([(k, prose(k, 300, 2000), "en") for k in range(60)], "doc_id long, text string, lang string").coalesce(2)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    whole = {r["doc_id"]: r["quality_bits"] for r in classify(docs, labels).collect()}
+    monkeypatch.setattr(classifier, "FREQUENT", 0)
+    found = {r["doc_id"]: r["quality_bits"] for r in classify(docs, labels).collect()}
+    assert found == pytest.approx(whole)
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(made) == 2 and all(rows <= 60 + blocks * n_buckets for rows, blocks, _ in made)
+
+
 def test_quality_rules_counts(spark, small):
     got = apply_rules(table(spark, SMALL, "documents")).toPandas().set_index("doc_id")
     for doc_id, text in zip(small["doc_id"], small["text"], strict=True):
@@ -524,6 +546,21 @@ def test_links_join_all_pairs_within_distance(spark, large):
     assert sorted(((s, f"{m:016x}", parts.get(s, s)) for s, m in zip(signed, marks, strict=True)), key=repr) == want
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Rounds of a long job don't add up on disk until the driver collects its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert simhash.components(edges).where("component = 0").count() == 41
+    for _ in range(50):  # the removal is not waited for
+        before = manager.getAllBlocks().size()
+        time.sleep(0.1)
+        if manager.getAllBlocks().size() == before:
+            break
+    simhash.components(edges)
+    time.sleep(2)
+    assert manager.getAllBlocks().size() - before < 10
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(60)]
     star = [(1000, 1001 + k) for k in range(60)]
