@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed
+from gristmill.llm.common import checkpointed, counted
 
 #: Rounds after which a graph counts as broken; a path of n vertices takes about log2(n).
 MAX_ROUNDS = 60
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = hooked.join(jump, F.col("label") == F.col("_v"), "left").select(
             "vertex", F.least("label", F.coalesce("_l", "label")).alias("label"))
         after = checkpointed(after)
-        changed = after.join(label_of, F.col("vertex") == F.col("_v")).where("label != _l").limit(1).count()
+        changed = counted(after.join(label_of, F.col("vertex") == F.col("_v")).where("label != _l").limit(1))
         labels = after
         if not changed:
             return labels.select("vertex", F.col("label").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.blocks import in_blocks
-from gristmill.llm.common import checkpointed, fields
+from gristmill.llm.common import checkpointed, counted, fields
 from gristmill.llm.components import components
 from gristmill.llm.exchange import hash_words, mixed, packed_keys, unpacked_keys
 from gristmill.llm.lm_scoring import STEP, ngrams
@@ -92,9 +92,10 @@ def fingerprint_points(marked: DataFrame) -> DataFrame:
     """
     nodes = marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"))
     distinct = checkpointed(nodes.select("fp").distinct())
-    near = links(distinct).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("at"))
+    # written, so that what the search has shuffled is gone before the points are joined
+    near = checkpointed(links(distinct).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("at")))
     around = distinct.select("fp", F.col("fp").alias("at")).union(near)
-    return nodes.join(around, "fp").select("node", "n", "text_hash", F.xxhash64(F.lit("fingerprint"), "at").alias("point"))
+    return checkpointed(nodes.join(around, "fp").select("node", "n", "text_hash", F.xxhash64(F.lit("fingerprint"), "at").alias("point")))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
 
     # each set travels once for each block that it meets, not once for each pair
     more = checkpointed(at_once.groupBy("point", "i", "j").applyInPandas(compare, "a long, b long").distinct())
-    if more.limit(1).count():
+    if counted(more.limit(1)):
         found = components(links.union(more))
     assigned = marked.select("doc_id", "text_hash", "node").join(found.select(F.col("vertex").alias("node"), "component"), "node", "left")
     return assigned.select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
