@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed
+from gristmill.llm.common import checkpointed, counted
 from gristmill.llm.exchange import mixed
 
 #: What stands before a text; no character or word of a text is equal to it.
@@ -28,7 +28,7 @@ TASK_ROWS = 1 << 18
 def gathered(df: DataFrame) -> DataFrame:
     """``df``, worked out, in as many tasks as its rows need and no more than it has."""
     held = checkpointed(df)
-    return held.coalesce(held.count() // TASK_ROWS + 1)
+    return held.coalesce(counted(held) // TASK_ROWS + 1)
 
 
 def char_levels(counts: DataFrame, order: int) -> list[DataFrame]:
@@ -108,14 +108,21 @@ def text_hash(text: str) -> np.uint64:
     return mixed(out)[0]
 
 
+#: Runs whose beginnings are looked for at once.
+RUNS = 1 << 16
+
+
 class HashArray:
     """Sorted 64-bit keys with values; the leading bits of a key say where its run begins."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.values = np.append(values, np.float32(np.nan)).astype(np.float32)
+        self.values = np.append(values.astype(np.float32, copy=False), np.float32(np.nan))
         bits = max(1, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.begins = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.begins = np.empty(1 << bits, np.int32)
+        for k in range(0, 1 << bits, RUNS):  # a part at a time, as whole arrays for it take several times the memory of the keys
+            part = self.begins[k:k + RUNS]
+            part[:] = np.searchsorted(keys, np.arange(k, k + len(part), dtype=np.uint64) << self.shift)
         self.keys = np.append(keys, ~np.uint64(0))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ REACH = 4.0
 LETTERS_PERCENT = 90
 #: Characters that are scored and counted at once, and n-grams in a part of a model.
 PIECE, COUNTED, PART = 1 << 17, 1 << 19, 1 << 21
+#: N-grams of a part in one row on its way over the driver.
+SENT = 1 << 16
 #: Bytes of text that a task counts at least, cores permitting; a task of little text hardly combines equal n-grams.
 TASK_BYTES = 16 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -177,7 +180,7 @@ def count_chars(texts: DataFrame, n_tasks: int) -> DataFrame:
 
 
 def packed(model: DataFrame, n_parts: int) -> DataFrame:
-    """(lang, part, keys, values): the sorted hash arrays of the model; a part has the keys with its leading bits."""
+    """(lang, part, keys, values): the sorted hash arrays of the model, in rows of up to ``SENT`` keys in order; a part lies in one partition."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         keys, values = [], []
@@ -191,7 +194,9 @@ def packed(model: DataFrame, n_parts: int) -> DataFrame:
                 values.append(own[column].to_numpy()[there])
         key, value = np.concatenate(keys), np.concatenate(values).astype(np.float32)
         order = np.argsort(key)
-        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "part": rows["part"].iloc[:1], "keys": [key[order].tobytes()], "values": [value[order].tobytes()]})
+        key, value = key[order], value[order]
+        starts = range(0, len(key), SENT)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "part": rows["part"].iloc[0], "keys": [key[k:k + SENT].tobytes() for k in starts], "values": [value[k:k + SENT].tobytes() for k in starts]})
 
     # dealt by the n-gram: its hash as an n-gram and as a context lie in different parts otherwise
     held = model.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(n_parts)).cast("int"))
@@ -265,8 +270,10 @@ def fitted(docs: DataFrame) -> dict[str, list]:
     most = sizes.groupBy("lang").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
     model = fit(levels)
     sent = {}
-    for row in packed(model, most // PART + 1).toLocalIterator():  # one part at a time on the driver
-        sent.setdefault(row["lang"], []).append(context.broadcast((bytes(row["keys"]), bytes(row["values"]))))
+    # one part at a time on the driver, in small rows, as the JVM holds several copies of a row that it hands on
+    for (lang, _), rows in groupby(packed(model, most // PART + 1).toLocalIterator(), lambda row: (row["lang"], row["part"])):
+        keys, values = zip(*((row["keys"], row["values"]) for row in rows), strict=True)
+        sent.setdefault(lang, []).append(context.broadcast((b"".join(keys), b"".join(values))))
     return sent
 
 
