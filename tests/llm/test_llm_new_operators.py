@@ -333,6 +333,22 @@ def test_character_model_in_many_parts(spark, monkeypatch):
     assert told[0] == told[1]
 
 
+def test_character_model_passes_the_driver_in_small_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", prose(k, 200)) for k in range(8)], "lang string, text string")
+    whole = [part.value for part in Q.fitted(docs)["en"]]
+    monkeypatch.setattr(Q, "SENT", 100)
+    sizes, pack = [], Q.packed
+
+    def noted(model, n_parts):
+        found = pack(model, n_parts)
+        sizes.extend(r["n"] for r in found.selectExpr("octet_length(keys) n").collect())
+        return found
+
+    monkeypatch.setattr(Q, "packed", noted)
+    assert [part.value for part in Q.fitted(docs)["en"]] == whole
+    assert len(sizes) > 1 and max(sizes) <= 8 * 100
+
+
 def test_sorted_array_is_a_hash_array():
     r = np.random.default_rng(3)
     keys = np.unique(r.integers(0, 2**64, 5000, np.uint64))
