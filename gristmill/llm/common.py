@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,12 +79,28 @@ def counted(df: DataFrame) -> int:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared checkpoint folder in columns, as most of its numbers are small; its shuffle files are removed."""
     ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{unique_name()}"
+    name = f"table-{unique_name()}"
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}"
     with shuffles_freed(df.sparkSession):
         df.write.parquet(folder)
+    _STORED.add(name)
     return df.sparkSession.read.parquet(folder)
 
 
+#: Names of the folders that ``stored`` has written and that are still there.
+_STORED: set[str] = set()
+
+
+def removed(*used: DataFrame) -> None:
+    """Remove the tables of ``stored`` that ``used`` read; what is made of them has been written by now. Other inputs stay."""
+    folders = {m[0] for df in used for x in df.inputFiles() if (m := re.match(r".*/(table-[0-9a-f]{32})(?=/)", x)) and m[1] in _STORED}
+    for folder in folders:
+        context = used[0].sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.discard(folder.rsplit("/", 1)[1])
+
+
 #: Rows that ``small`` tables have at most.
 MAX_BROADCAST = 1 << 20
 
