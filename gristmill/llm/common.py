@@ -53,9 +53,14 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+#: Characters of a query's plan that the driver keeps as text, for each of the last thousand queries and each change of a running one.
+PLAN_TEXT = 1 << 12
+
+
 def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
-    """What is run inside removes its shuffle files when it ends, not when the driver happens to collect its garbage."""
-    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
+    """What is run inside removes its shuffle files when it ends, not when the driver happens to collect its garbage, and the texts of its plans are short."""
+    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_ui_explainMode="simple",
+                    spark_sql_maxPlanStringLength=str(PLAN_TEXT))
 
 
 def small_batches(spark: SparkSession) -> AbstractContextManager[None]:

@@ -47,3 +47,14 @@ def test_packed_rows_have_each_word_once():
     assert sum(len(data) for _, data in found) < 5 * len(rows)
     none = [np.zeros(0, np.uint64)] * 3
     assert [len(x) for x in classifier.unpacked(classifier.packed(none, 2), 2, 1)] == [0, 0, 0]
+
+
+def test_plans_are_kept_as_short_texts(spark):
+    """What the driver keeps of the plan of each finished query is bounded, however long the plan."""
+    wide = spark.range(3).select("id", *[F.col("id").alias(f"c{k}") for k in range(30)])
+    for k in range(20):
+        wide = wide.join(spark.range(3).select("id", F.lit(k).alias(f"d{k}")), "id")
+    common.stored(wide)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    text = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    assert "InsertIntoHadoopFsRelationCommand" in text and len(text) <= common.PLAN_TEXT
