@@ -116,6 +116,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, which joins never broadcast: Spark takes rows that an explode or Python makes for as few as they are made of."""
+    return df.hint("merge")
+
+
 def like_string(column: str | Column) -> Column:
     """A column as string with null as the empty string."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

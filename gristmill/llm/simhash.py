@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checkpointed, fields, unique_name
+from gristmill.llm.common import checkpointed, fields, never_broadcast, unique_name
 from gristmill.llm.components import components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -99,10 +99,10 @@ def candidates(distinct: DataFrame, large: int = LARGE) -> DataFrame:
         return [x if mark is None else x.bitwiseOR(mark) for x in [value, *flipped]]
 
     asked = spread.select("fp", F.explode(F.filter(F.array(*ball(low, None), *ball(high, second)), lambda k: k.isNotNull())).alias("key"))
-    known = tables.join(sizes, "key").select("key", F.col("fp").alias("b"), "size")
-    fetched = asked.select("key", F.col("fp").alias("a")).join(known.where(F.col("size") <= large), "key").where("a != b")
+    known = never_broadcast(tables).join(sizes, "key").select("key", F.col("fp").alias("b"), "size")
+    fetched = never_broadcast(asked.select("key", F.col("fp").alias("a"))).join(known.where(F.col("size") <= large), "key").where("a != b")
     pairs = fetched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = asked.join(sizes.where(F.col("size") > large).select("key"), "key", "left_semi").select("fp").distinct()
+    crowded = never_broadcast(asked).join(sizes.where(F.col("size") > large).select("key"), "key", "left_semi").select("fp").distinct()
     return pairs.union(near_points(crowded))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from llm_helpers import prose
 from pyspark.sql import functions as F
 
-from gristmill.llm import common
+from gristmill.llm import common, simhash
 from gristmill.llm import quality_classifier as classifier
 
 
@@ -58,3 +58,39 @@ def test_plans_are_kept_as_short_texts(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     text = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
     assert "InsertIntoHadoopFsRelationCommand" in text and len(text) <= common.PLAN_TEXT
+
+
+def broadcast_unsized(spark, begun):
+    """The queries after ``begun`` that broadcast what an explode or Python has made, with no shuffle between that gives its size."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, found = store.executionsList(), []
+    for x in (runs.apply(k) for k in range(runs.size())):
+        if x.executionId() > begun:
+            graph = store.planGraph(x.executionId())
+            nodes, edges = graph.allNodes(), graph.edges()
+            name = {n.id(): n.name() for n in (nodes.apply(k) for k in range(nodes.size()))}
+            below = {}
+            for e in (edges.apply(k) for k in range(edges.size())):
+                below.setdefault(e.toId(), []).append(e.fromId())
+            todo = [k for k, n in name.items() if n == "BroadcastExchange"]
+            while todo:
+                k = todo.pop()
+                found += [x.executionId()] * (name[k] == "Generate" or name[k].startswith(("MapIn", "FlatMap")))
+                todo += [n for n in below.get(k, ()) if name[n] != "Exchange"]
+    return found
+
+
+def last_query(spark):
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+
+def test_fingerprint_search_broadcasts_nothing_exploded(spark):
+    """Each fingerprint asks for some 34 keys, which Spark takes for the size of one; tables of this size are broadcast otherwise."""
+    marks = [k * 0x9E3779B97F4A7C15 % (1 << 63) for k in range(200)]
+    distinct = common.checkpointed(spark.createDataFrame([(m ^ flip,) for m in marks for flip in (0, 1, 3 << 40)], "fp long"))
+    begun = last_query(spark)
+    assert simhash.links(distinct).count() == 400 and simhash.links(distinct, 0).count() >= 400
+    assert not broadcast_unsized(spark, begun)
