@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.common import never_broadcast
 from gristmill.llm.ranking import hex_digits, ranked_buckets, shuffle_key
 
 #: Without explicit weights a source of n rows has the target weight n ** TEMPERATURE ...
@@ -189,7 +190,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     of = starts.join(sources, "mix_source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - start - 1) div n"))))
     of = of.where("taken > start + epoch * n").withColumn("block", F.explode(F.expr(
         f"sequence((start + epoch * n) div {block_rows}, (least(taken, start + size + epoch * n) - 1) div {block_rows})")))
-    of = of.join(slots, ["number", "block"]).groupBy("mix_source", "bucket", "epoch", "start", "n", "taken").agg(
+    of = never_broadcast(of).join(slots, ["number", "block"]).groupBy("mix_source", "bucket", "epoch", "start", "n", "taken").agg(
         F.sort_array(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("slots"))
     joined = rows.join(of, ["mix_source", "bucket"]).withColumn("k", F.expr("start + place + epoch * n")).where("k < taken")
     joined = joined.withColumn("at", F.expr(f"slots[cast(k div {block_rows} - slots[0].block as int)]"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.blocks import in_blocks
-from gristmill.llm.common import checkpointed, counted, fields
+from gristmill.llm.common import checkpointed, counted, fields, never_broadcast
 from gristmill.llm.components import components
 from gristmill.llm.exchange import hash_words, mixed, packed_keys, unpacked_keys
 from gristmill.llm.lm_scoring import STEP, ngrams
@@ -172,7 +172,7 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("points").alias("points"), F.min("text_hash").alias("text_hash"))
     at = nodes.select("node", "n", "text_hash", F.explode("points").alias("point")).union(fingerprint_points(marked))
     shared = at.groupBy("point").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = checkpointed(at.join(shared.select("point", "first"), "point"))
+    met = checkpointed(never_broadcast(at).join(shared.select("point", "first"), "point"))
     wanted = met.select("node", "text_hash").distinct()
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash")
     sets = checkpointed(_sets(texts.select("node", "text")).dropDuplicates(["node"]))
@@ -193,7 +193,7 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     found = components(links)
     # what is at one point in different components, in blocks of a bounded number of shingles
     known = found.select(F.col("vertex").alias("node"), "component")
-    at_once = in_blocks(met.select("point", "node", "n"), known, BLOCK_SHINGLES).join(sets, "node")
+    at_once = never_broadcast(in_blocks(met.select("point", "node", "n"), known, BLOCK_SHINGLES)).join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(similar_pairs(rows["node"].tolist(), rows["component"].tolist(), [unpacked_keys(x) for x in rows["keys"]], least, rows["side"].tolist()),

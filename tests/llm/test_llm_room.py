@@ -8,7 +8,7 @@ import numpy as np
 from llm_helpers import prose
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, simhash
+from gristmill.llm import common, mixing, near_copies, simhash
 from gristmill.llm import quality_classifier as classifier
 
 
@@ -94,3 +94,20 @@ def test_fingerprint_search_broadcasts_nothing_exploded(spark):
     begun = last_query(spark)
     assert simhash.links(distinct).count() == 400 and simhash.links(distinct, 0).count() >= 400
     assert not broadcast_unsized(spark, begun)
+
+
+def test_near_dedup_broadcasts_nothing_exploded(spark):
+    texts = [prose(k // 2, 60) + " end" * (k % 2) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begun = last_query(spark)
+    assert near_copies.without_near_copies(docs).count() == 20
+    assert not broadcast_unsized(spark, begun)
+
+
+def test_mixing_broadcasts_nothing_exploded(spark):
+    """The blocks of a bucket and the slots of a run are many rows made of one."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    begun = last_query(spark)
+    mixed = mixing.mix(docs)
+    assert sorted(r["position"] for r in mixed.collect()) == list(range(mixed.count()))
+    assert not broadcast_unsized(spark, begun)
