@@ -155,3 +155,37 @@ def test_each_order_has_a_dated_post(spark, sf_dir):
     from gristmill.plans.page_queries import page_post_dates
 
     assert page_post_dates(spark, sf_dir).where("day is not null").count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_list_posts_follow_scripts_and_keep_undated():
+    """Addresses in scripts and data are made out, lists come before menus, posts without a day stay, and a range of days parts the others."""
+    from gristmill.functions.list_posts import list_posts
+
+    html = """<body><div id=content><p>Some introduction of the board.</p><a href="/x/view.do?nttId=99">outside of the list</a><table class="bbsList a"><tbody>
+      <tr><td><a href="#none" onclick="go('/b/view.do?nttId=1', 7); return false">One</a></td><td>2024.3.4</td></tr>
+      <tr><td><a href="javascript:show('view.do?nttId=2')">Two</a></td><td>2023-01-09</td></tr>
+      <tr><td><a data-url="/b/view.do?nttId=3&amp;q=(x)"> </a><a href="/b/view.do?nttId=3&amp;q=(x)">Three</a></td><td>-</td></tr>
+      <tr><td><a href="http://other/b/view.do?nttId=4">Elsewhere</a><a href="list.do?page=2">2</a><a href="f.pdf">f</a></td><td>2024.3.4</td></tr>
+      <tr><td><a href="view.do?nttId=5">Five</a></td><td>2025/12/31</td></tr><tr><td><a href="view.do?nttId=6">Six</a></td><td>2024.13.40</td></tr></table></div>"""
+    tree, base = Tree(html), "http://h/b/list.do"
+    one, two, three = ("http://h/b/view.do?nttId=1", "One", "2024-03-04"), ("http://h/b/view.do?nttId=2", "Two", "2023-01-09"), ("http://h/b/view.do?nttId=3&q=(x)", "Three", "")
+    five, six = ("http://h/b/view.do?nttId=5", "Five", "2025-12-31"), ("http://h/b/view.do?nttId=6", "Six", "")
+    assert list_posts(tree, base) == {"posts": [one, two, three, five, six], "old": [], "new": [], "stopped": False}
+    assert list_posts(tree, base, "2024-01-01", "2024-12-31", 1) == {"posts": [one, three, six], "old": [two], "new": [five], "stopped": True}
+    assert not list_posts(tree, base, "2024-01-01")["stopped"]
+    numbers = "https://h/BD_selectBbsList.do?q_bbsCode=1001"
+    assert list_posts(Tree("<a href='#' onclick=\"opView('20240001')\">x</a>"), numbers)["posts"] == [("https://h/BD_selectBbs.do?q_bbsCode=1001&q_bbscttSn=20240001", "x", "")]
+    contracts = "https://www.gm.go.kr/pt/bidContractInfo/contractInfo/contractList.do?menu=1"
+    assert list_posts(Tree("<a onclick=\"opView('C-7')\">x</a>"), contracts)["posts"][0][0] == "https://www.gm.go.kr/pt/bidContractInfo/contractInfo/contractView.do?menu=1&ctrtAcctBookMngNo=C-7"
+    assert list_posts(Tree("<script>var u = '/b/boardView.do?seq=8';</script>"), base)["posts"] == [("http://h/b/boardView.do?seq=8", "", "")]
+    assert list_posts(Tree("<tr><td><a href=v?1>Post</a></td><td>2024년 3월 4일</td></tr>"), base)["posts"] == [("http://h/b/v?1", "Post", "2024-03-04")]
+    assert list_posts(Tree(""), "")["posts"] == list_posts(Tree("<li><a href='http://[x/view.do?no=1'>x</a> 2024.1.1</li>"), base)["posts"] == []
+    assert list_posts(Tree("<a href='/view.do?no=1'>x</a>"), "http://[h/BD_selectBbsList.do")["posts"] == [("/view.do?no=1", "x", "")]
+
+
+def test_board_lists_part_days(spark):
+    page = "<tr><td><a href='view.do?no={0}'>P{0}</a></td><td>20{0}-01-02</td></tr>"
+    rows = [(1, "https://a.kr/bbs/list.do", "<table class=bbsList>" + "".join(page.format(k) for k in range(20, 26)) + "</table>"), (2, None, None)]
+    found = {r["page_id"]: r for r in H.board_lists(spark.createDataFrame(rows, "page_id long, url string, html string"), "2023-01-01", "2024-12-31").collect()}
+    assert [p["title"] for p in found[1]["posts"]] == ["P23", "P24"] and [p["date"] for p in found[1]["new"]] == ["2025-01-02"]
+    assert len(found[1]["old"]) == 3 and found[1]["stopped"] and not found[2]["posts"] and not found[2]["stopped"]
